@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convolens.llm.decontam import decontaminate
+from convolens.llm.linededup import dedup_lines
 from convolens.llm.mixing import mix
 from convolens.llm.quality import quality_rules
+from convolens.llm.secrets import scan_secrets, span_digest
 from convolens.llm.sharding import shard_rows
 from convolens.llm.shared import table
 
@@ -28,9 +31,26 @@ def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(sized, "doc_id", 40, ["text_crc32", "size"])
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(scan_secrets(table(spark, sf_dir, "documents")))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated", "n_near")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_chunks", "removed_lines", "removed_chunks", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
     "op4_shard": op4_shard,
+    "op7_secret_scan": op7_secret_scan,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLE: dict[str, str] = {}
