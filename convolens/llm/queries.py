@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convolens.llm import bytecnn, toxicity
 from convolens.llm.decontam import decontaminate
 from convolens.llm.linededup import dedup_lines
 from convolens.llm.mixing import mix
@@ -31,6 +32,16 @@ def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(sized, "doc_id", 40, ["text_crc32", "size"])
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bytecnn.score(docs, bytecnn.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -49,7 +60,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
     "op4_shard": op4_shard,
+    "op5_toxicity": op5_toxicity,
     "op7_secret_scan": op7_secret_scan,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
 }
