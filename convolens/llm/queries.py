@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from convolens.llm import bytecnn, toxicity
 from convolens.llm.decontam import decontaminate
+from convolens.llm.jaccard import jaccard_join
 from convolens.llm.linededup import dedup_lines
 from convolens.llm.mixing import mix
 from convolens.llm.quality import quality_rules
@@ -42,6 +43,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytecnn.score(docs, bytecnn.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op4_shard": op4_shard,
     "op5_toxicity": op5_toxicity,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_decontaminate": op9_decontaminate,
