@@ -102,3 +102,34 @@ def line_dedup(docs, min_lines=2):
 
 def crc(x):
     return zlib.crc32(x.encode())
+
+
+def jaccard(docs, percent=75):
+    """(doc_id, n_shingles, component_id, n_links) of (doc_id, text) rows with distinct ids."""
+    sets = []
+    for _, t in docs:
+        w = (t or "").translate(LOW)
+        w = WORD.findall(w)
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    holders, root, links = defaultdict(list), list(range(len(docs))), [0] * len(docs)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        both = defaultdict(int)
+        for x in s:
+            for j in holders[x]:
+                both[j] += 1
+            holders[x].append(i)
+        for j, n in both.items():
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
+                links[i] += 1
+                links[j] += 1
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return [(d, len(sets[i]), least[find(i)], links[i]) for i, (d, _) in enumerate(docs)]
