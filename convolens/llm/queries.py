@@ -11,6 +11,7 @@ from convolens.llm import bytecnn, toxicity
 from convolens.llm.decontam import decontaminate
 from convolens.llm.jaccard import jaccard_join
 from convolens.llm.linededup import dedup_lines
+from convolens.llm.lm import lm_scores
 from convolens.llm.mixing import mix
 from convolens.llm.quality import quality_rules
 from convolens.llm.secrets import scan_secrets, span_digest
@@ -26,6 +27,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
@@ -64,6 +69,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
+    "op3_lm_score": op3_lm_score,
     "op4_shard": op4_shard,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_jaccard": op6_ngram_jaccard,
