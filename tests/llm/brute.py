@@ -133,3 +133,24 @@ def jaccard(docs, percent=75):
     for i, (d, _) in enumerate(docs):
         least[find(i)] = min(d, least.get(find(i), d))
     return [(d, len(sets[i]), least[find(i)], links[i]) for i, (d, _) in enumerate(docs)]
+
+
+def lm(docs, discount=0.75):
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
+    import math
+    from collections import Counter
+
+    tokens = [(d, crc(str(d)) % 10 == 0, ["<s>", *WORD.findall((t or "").translate(LOW)), "</s> "]) for d, t in docs]
+    uni = Counter(w for _, h, ws in tokens if not h for w in ws[1:])
+    first = Counter(w for _, h, ws in tokens if not h for w in ws[:-1])
+    bi = Counter(p for _, h, ws in tokens if not h for p in zip(ws, ws[1:], strict=False))
+    after = Counter(a for a, _ in bi)
+    n, v = sum(uni.values()), len(uni)
+    base = lambda w: (uni[w] + 0.1) / (n + 0.1 * (v + 1))
+
+    def p(a, b):
+        if bi[a, b]:
+            return (bi[a, b] - discount) / first[a]
+        return base(b) * (discount * after[a] / first[a] if first[a] else 1)
+
+    return [(d, h, len(ws) - 1, sum(uni[w] > 0 for w in ws[1:]), n, sum(math.log10(base(w)) for w in ws[1:]), sum(math.log10(p(a, b)) for a, b in zip(ws, ws[1:], strict=False))) for d, h, ws in tokens]
