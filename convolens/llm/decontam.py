@@ -105,3 +105,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, near: int = 2)
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return joined.select(F.col("id").alias("doc_id"), "n_words", zero("n_hit"), zero("n_near"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
+    """``docs`` without the rows that hold a window of an item word for word."""
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = find_passages(docs.select(F.col("doc_id").alias("id"), mark.alias("mark"), "text"), items.select("item_id", "text"), n)
+    gone = found.filter(F.size("hits") > 0).select(F.col("id").alias("__id"), F.col("mark").alias("__gone")).distinct()
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__gone"))
+    return docs.withColumn("__mark", mark).join(gone, on, "left_anti").select(*docs.columns)

@@ -83,7 +83,7 @@ def frequent_shingles(docs: DataFrame, one_in: int = 32, least: int = 3, most: i
 
 
 def digests(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """(doc_id, n, cid, gkey, prefix): set size, class, least hash and prefix shingles; a class's prefix stands with its first row in a task only."""
+    """(doc_id, mark, n, cid, gkey, prefix): set size, class, least hash and prefix shingles; a class's prefix stands with its first row in a task only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, told = WordHashes(), set()
@@ -102,9 +102,9 @@ def digests(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
                     prefix.append(prefix_of(s, frequent, percent).view(np.int64))
                 else:
                     prefix.append(np.zeros(0, np.int64))
-            yield pd.DataFrame({"doc_id": b.doc_id, "n": n, "cid": cid, "gkey": gkey, "prefix": prefix})
+            yield pd.DataFrame({"doc_id": b.doc_id, "mark": b.mark, "n": n, "cid": cid, "gkey": gkey, "prefix": prefix})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, cid long, gkey long, prefix array<long>")
+    return docs.select("doc_id", "mark", "text").mapInPandas(run, "doc_id long, mark long, n long, cid long, gkey long, prefix array<long>")
 
 
 def group_pairs(postings: DataFrame) -> DataFrame:
@@ -243,16 +243,9 @@ def open_groups(dealt: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInPandas(run, "cid long, root long, links long")
 
 
-def jaccard_join(docs: DataFrame, percent: int = 75, group_size: int = 512, queries_a_part: int = 2048) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (least doc_id reachable), n_links (other rows that link with it).
-
-    Two rows link when 100 * |intersection| >= percent * |union| of their sets of
-    5-word shingles, all of the whole texts. Null and blank texts have no set and link
-    with nothing. Rows with one id and several texts are nodes of their own; null ids
-    are never the least. Classes and shingles are compared by 64-bit hashes.
-    Other columns are not looked at; an empty table gives an empty one.
-    """
-    slim = docs.select("doc_id", "text")
+def linked_rows(docs: DataFrame, percent: int = 75, group_size: int = 512, queries_a_part: int = 2048) -> DataFrame:
+    """Per row: doc_id, mark (hash of the text), n, root (class that names the component, null without a set), component_id and n_links."""
+    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     frequent = frequent_shingles(slim)
     digest = keep(digests(slim, frequent, percent), "digest")
     classes = keep(digest.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.max("gkey").alias("gkey")), "classes")
@@ -293,9 +286,38 @@ def jaccard_join(docs: DataFrame, percent: int = 75, group_size: int = 512, quer
     roots = connected_components(met, "cid", "root")
     placed = roots.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
     least = placed.groupBy("root").agg(F.min("rep").alias("component"))
-    of_class = roots.join(least, "root").select(F.col("node").alias("n_cid"), "component")
+    of_class = roots.join(least, "root").select(F.col("node").alias("n_cid"), "component", F.col("root"))
     links = met.groupBy(F.col("cid").alias("l_cid")).agg(F.sum("links").alias("links"))
     full = classes.join(of_class, F.col("cid") == F.col("n_cid"), "left").join(links, F.col("cid") == F.col("l_cid"), "left")
-    full = full.select(F.col("cid").alias("c"), F.coalesce("component", "rep").alias("component"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    out = digest.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid")).join(full, F.col("cid") == F.col("c"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    full = full.select(F.col("cid").alias("c"), F.coalesce("root", "cid").alias("root"), F.coalesce("component", "rep").alias("component"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    out = digest.select("doc_id", "mark", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid")).join(full, F.col("cid") == F.col("c"), "left")
+    return out.select("doc_id", "mark", "n", "root", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def jaccard_join(docs: DataFrame, percent: int = 75, group_size: int = 512, queries_a_part: int = 2048) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (least doc_id reachable), n_links (other rows that link with it).
+
+    Two rows link when 100 * |intersection| >= percent * |union| of their sets of
+    5-word shingles, all of the whole texts. Null and blank texts have no set and link
+    with nothing. Rows with one id and several texts are nodes of their own; null ids
+    are never the least. Classes and shingles are compared by 64-bit hashes.
+    Other columns are not looked at; an empty table gives an empty one.
+    """
+    rows = linked_rows(docs, percent, group_size, queries_a_part)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """``docs`` with one row of each component: that of the least (doc_id, hash of the text), null ids last. Rows without words all stay."""
+    rows = keep(linked_rows(docs, percent).filter("n > 0").select("doc_id", "mark", "root"), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    first = rows.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("rows"))
+    several = first.filter("rows > 1").select(F.col("root").alias("r"), "first")
+    copies = rows.join(several, F.col("root") == F.col("r")).withColumn("stays", order == F.col("first"))
+    gone = copies.filter(~F.col("stays")).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__gone")).distinct()
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    left = docs.withColumn("__mark", mark).join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__gone")), "left_anti")
+    if not copies.filter("stays").groupBy("root").agg(F.count("*").alias("k")).filter("k > 1").isEmpty():  # equal rows
+        worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        left = left.filter(worded).dropDuplicates(["doc_id", "__mark"]).unionByName(left.filter(~worded))
+    return left.select(*docs.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from convolens.llm.shared import number_rows
+from convolens.llm.shared import keep, number_rows, small
 
 
 def tempered_units(df: DataFrame, source: str = "source", alpha: float = 0.5, resolution: int = 1000) -> DataFrame:
@@ -67,13 +67,13 @@ def mix(df: DataFrame, weights: DataFrame | None = None, source: str = "source",
     weights = tempered_units(base, source) if weights is None else weights
     present = base.select(F.col(source).alias("__p")).distinct()
     known = present.join(weights, F.col("__p").eqNullSafe(F.col("source")), "left").select(F.col("__p").alias("source"), F.greatest(F.coalesce("units", F.lit(1)), F.lit(1)).alias("units"))
-    pattern = pfair_pattern(known)
+    pattern = keep(pfair_pattern(known), "pattern")
     units = pattern.groupBy(F.col("source").alias("__s")).agg(F.max("units").alias("__u"))
 
     numbered = number_rows(base, [source], key, "__n", ties).withColumn("block", F.floor(F.col("__n") / block_rows).cast("long"))
-    with_units = numbered.join(units, F.col(source).eqNullSafe(F.col("__s"))).withColumn("__turn", F.col("block") % F.col("__u"))
+    with_units = numbered.join(small(units), F.col(source).eqNullSafe(F.col("__s"))).withColumn("__turn", F.col("block") % F.col("__u"))
     p = pattern.select(F.col("source").alias("__s2"), F.col("turn").alias("__t2"), "period", "offset", F.col("release").alias("__r"), F.col("deadline").alias("__d"))
-    placed = with_units.join(p, F.col(source).eqNullSafe(F.col("__s2")) & (F.col("__turn") == F.col("__t2")))
+    placed = with_units.join(small(p), F.col(source).eqNullSafe(F.col("__s2")) & (F.col("__turn") == F.col("__t2")))
     first = F.floor(F.col("block") / F.col("__u")).cast("long") * F.col("period")
     placed = placed.select(*base.columns, "block", (first + F.col("offset")).alias("slot"), (first + F.col("__r")).alias("release"), (first + F.col("__d")).alias("deadline"), (F.col("__n") % block_rows).alias("__in"))
 
@@ -82,5 +82,5 @@ def mix(df: DataFrame, weights: DataFrame | None = None, source: str = "source",
     ranges = filled.groupBy("__range").agg(F.sum("__n").alias("__all"))
     ahead = ranges.select("__range", F.coalesce(F.sum("__all").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
     inside = F.coalesce(F.sum("__n").over(W.partitionBy("__range").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = filled.withColumn("__inside", inside).join(ahead, "__range").select(F.col("slot").alias("__slot"), (F.col("__ahead") + F.col("__inside")).alias("__start"))
-    return placed.join(starts, placed["slot"] == starts["__slot"]).select(*base.columns, "block", "slot", "release", "deadline", (F.col("__start") + F.col("__in")).cast("long").alias("position"))
+    starts = keep(filled.withColumn("__inside", inside).join(ahead, "__range").select(F.col("slot").alias("__slot"), (F.col("__ahead") + F.col("__inside")).alias("__start")), "starts")
+    return placed.join(small(starts), F.col("slot") == F.col("__slot")).select(*base.columns, "block", "slot", "release", "deadline", (F.col("__start") + F.col("__in")).cast("long").alias("position"))

@@ -38,6 +38,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables of up to so many narrow rows are broadcast; longer ones are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a hint to broadcast it, if it has no more than ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, however often body uses it."""
     return F.transform(F.array(value), body)[0]
@@ -68,11 +77,11 @@ def number_rows(df: DataFrame, groups: list[str], key: str, out: str, ties: list
     cut = df.withColumn(h, order_key(F.col(key))).withColumn(r, F.shiftright(F.col(h), 60 - bits).cast("int"))
     sizes = cut.groupBy(*groups, r).agg(F.count("*").alias("__n"))
     before = W.partitionBy(*groups).orderBy(r).rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col(r).alias("__r2"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    starts = keep(sizes.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col(r).alias("__r2"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")), "starts")
     inside = W.partitionBy(*groups, r).orderBy(h, key, *ties)
     numbered = cut.withColumn("__i", F.row_number().over(inside) - 1)
     on = numbered[r] == starts["__r2"]
     for i, g in enumerate(groups):
         on = on & numbered[g].eqNullSafe(starts[f"__g{i}"])
-    joined = numbered.join(starts, on)
+    joined = numbered.join(small(starts), on)
     return joined.select(*df.columns, (F.col("__start") + F.col("__i")).alias(out))

@@ -149,26 +149,27 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_terms: in
     return ToxicityModel(index, idf, prior, k, trust)
 
 
-def score(docs: DataFrame, model: ToxicityModel, cut: float = 0.7, carry: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence (ids of the nearest examples); with ``carry``, the columns of ``docs`` and ``toxic_score``.
+def score(docs: DataFrame, model: ToxicityModel, cut: float = 0.7) -> DataFrame:
+    """doc_id, held_out, score, predicted, evidence (ids of the nearest examples).
 
     Every whole text is scored by itself: null and empty texts, and those with no term
-    of the model, get the share of toxic rows. Equal rows get equal scores.
+    of the model, get the share of toxic rows. Equal texts get equal scores.
     """
-    held = model
-
-    if carry:
-
-        def add(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for s in batches:
-                yield pd.Series([held.score(t or "")[0] for t in s], dtype="float64")
-
-        return docs.withColumn("toxic_score", F.pandas_udf(add, "double")(F.coalesce("text", F.lit(""))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [held.score(t) for t in b.text]
+            out = [model.score(t) for t in b.text]
             yield pd.DataFrame({"doc_id": b.doc_id, "held_out": b.held_out, "score": [s for s, _ in out], "predicted": [int(s >= cut) for s, _ in out], "evidence": [e for _, e in out]})
 
     slim = docs.select("doc_id", (id_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     return slim.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>")
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, cut: float = 0.7) -> DataFrame:
+    """``docs`` without the rows whose whole text scores ``cut`` or more."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([model.score(t)[0] for t in s], dtype="float64")
+
+    return docs.filter(F.pandas_udf(run, "double")(F.coalesce("text", F.lit(""))) < cut)
