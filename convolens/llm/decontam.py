@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convolens.llm.shared import ascii_lower, keep, let, words_of
+from convolens.llm.shared import ascii_lower, keep, let, small, words_of
 
 #: What stands between words, after lower-casing A-Z, and before it.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN_CASED = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Term lists of up to so many rows are broadcast; longer ones are joined by a shuffle.
+#: Lists of terms and of places of up to so many rows are broadcast; longer ones are joined by a shuffle.
 BROADCAST_TERMS = 200_000
 
 
@@ -18,13 +18,9 @@ def tokens(text: Column) -> Column:
     return words_of(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else df
-
-
 def _occurrences(docs: DataFrame, terms: DataFrame, neighbours: bool = False) -> DataFrame:
     """A posting (id, mark, pos, term) for each place of one of ``terms``, with the words beside it if asked for."""
-    few = _small(terms)
+    few = small(terms, BROADCAST_TERMS)
     held = docs.select("id", "mark", tokens(F.col("text")).alias("ws"))
     if not neighbours:
         return held.select(F.explode("ws").alias("term")).join(few, "term")
@@ -74,7 +70,7 @@ def find_passages(docs: DataFrame, items: DataFrame, n: int = 10, near: int = 2)
     lines = keep(lines.select(F.col("id").alias("l_id"), F.col("mark").alias("l_mark"), "lines"), "lines")
 
     on = F.col("id").eqNullSafe(F.col("l_id")) & (F.col("mark") == F.col("l_mark"))
-    texts = docs.join(lines, on).select("id", "mark", "lines", tokens(F.col("text")).alias("ws")).dropDuplicates(["id", "mark"])
+    texts = docs.join(small(lines, BROADCAST_TERMS), on).select("id", "mark", "lines", tokens(F.col("text")).alias("ws"))
     part = lambda x: F.struct(x["item"].alias("item"), x["shift"].alias("shift"), F.slice("ws", F.greatest(x["shift"], F.lit(0)) + 1, x["m"] + F.least(x["shift"], F.lit(0))).alias("own"))
     cut = texts.select("id", "mark", F.explode(F.transform("lines", part)).alias("x")).select("id", "mark", "x.*")
     both = cut.join(bench, "item")
@@ -112,5 +108,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFra
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
     found = find_passages(docs.select(F.col("doc_id").alias("id"), mark.alias("mark"), "text"), items.select("item_id", "text"), n)
     gone = found.filter(F.size("hits") > 0).select(F.col("id").alias("__id"), F.col("mark").alias("__gone")).distinct()
+    gone = keep(gone, "gone")
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__gone"))
-    return docs.withColumn("__mark", mark).join(gone, on, "left_anti").select(*docs.columns)
+    return docs.withColumn("__mark", mark).join(small(gone), on, "left_anti").select(*docs.columns)
