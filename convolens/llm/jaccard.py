@@ -19,12 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convolens.llm.components import connected_components
-from convolens.llm.shared import keep
+from convolens.llm.shared import keep, small
 
 #: Odd multipliers of the places in a shingle.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-#: Lists of documents of up to so many rows are broadcast; longer ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 
 
 class WordHashes(dict):
@@ -268,8 +266,7 @@ def linked_rows(docs: DataFrame, percent: int = 75, group_size: int = 512, queri
     as_query = grouped.join(pairs, grouped["gid"] == pairs["g1"]).select("cid", "rep", "size", "g2").join(opened, F.col("g2") == opened["gid"])
     as_query = as_query.select("cid", "rep", F.struct(F.col("g2").alias("open"), own_salt.alias("salt"), F.lit(1).alias("role"), F.lit(True).alias("own"), F.col("size").alias("size")).alias("to"))
     needed = keep(as_member.unionByName(as_query).groupBy("cid", "rep").agg(F.collect_list("to").alias("to")), "needed")
-    few = F.broadcast(needed) if needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else needed
-    texts = slim.join(few, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "to", "text")
+    texts = slim.join(small(needed), F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "to", "text")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -314,9 +311,9 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     first = rows.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("rows"))
     several = first.filter("rows > 1").select(F.col("root").alias("r"), "first")
     copies = rows.join(several, F.col("root") == F.col("r")).withColumn("stays", order == F.col("first"))
-    gone = copies.filter(~F.col("stays")).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__gone")).distinct()
+    gone = keep(copies.filter(~F.col("stays")).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__gone")).distinct(), "gone")
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    left = docs.withColumn("__mark", mark).join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__gone")), "left_anti")
+    left = docs.withColumn("__mark", mark).join(small(gone), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__gone")), "left_anti")
     if not copies.filter("stays").groupBy("root").agg(F.count("*").alias("k")).filter("k > 1").isEmpty():  # equal rows
         worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
         left = left.filter(worded).dropDuplicates(["doc_id", "__mark"]).unionByName(left.filter(~worded))
