@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convolens.llm.shared import let
+from convolens.llm.shared import keep, let, small
 
 
 def chunk_ends(lines: Column, window: int = 2, divisor: int = 4) -> Column:
@@ -50,17 +50,21 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_li
     base = docs.drop(*added)
     mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     lines = F.split(F.col(text), "\n")
-    many = base.filter(F.col(text).contains("\n")).select(F.col(key).alias("id"), mark.alias("mark"), F.explode(_chunks(lines)).alias("c")).filter(F.col("c.n") >= min_lines)
-    place = F.struct("id", "mark", "c.k").alias("place")
-    marked = many.select(place, F.xxhash64("c.text").alias("hash"))
+    many = base.filter(F.col(text).contains("\n")).select(F.col(key).alias("id"), mark.alias("mark"), F.col(text).alias("t"))
+    chunks = many.select("id", "mark", F.explode(_chunks(F.split("t", "\n"))).alias("c")).filter(F.col("c.n") >= min_lines)
+    marked = keep(chunks.select(F.struct("id", "mark", "c.k").alias("place"), F.xxhash64("c.text").alias("hash")), "chunks")
     repeated = marked.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first != last").select(F.col("hash").alias("h"), "first")
+    named = marked.join(repeated, F.col("hash") == F.col("h")).select("hash", "first", "place")
 
     # only chunks whose hash repeats bring their bytes
-    texts = many.select(place, F.xxhash64("c.text").alias("hash"), F.col("c.n").alias("n"), F.col("c.text").alias("bytes"))
-    named = texts.join(repeated, F.col("hash") == F.col("h")).select("hash", "first", "place", "n", "bytes")
-    kept = named.filter(F.col("place") == F.col("first")).groupBy(F.col("hash").alias("h")).agg(F.first("bytes").alias("kept"))
-    copies = named.filter(F.col("place") != F.col("first")).join(kept, F.col("hash") == F.col("h")).filter(F.col("bytes") == F.col("kept"))
+    wanted = keep(named.groupBy(F.col("place.id").alias("w_id"), F.col("place.mark").alias("w_mark")).agg(F.collect_set(F.struct(F.col("place.k").alias("k"), "hash", "first")).alias("named")), "named")
+    held = many.join(small(wanted), F.col("id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark"))).select("id", "mark", "named", _chunks(F.split("t", "\n")).alias("c"))
+    texts = held.select("id", "mark", F.explode(F.transform("named", lambda x: F.struct(x["k"].alias("k"), x["hash"].alias("hash"), x["first"].alias("first"), F.get("c", x["k"])["text"].alias("bytes")))).alias("x")).select(F.struct("id", "mark", "x.k").alias("place"), "x.hash", "x.first", "x.bytes")
+    texts = keep(texts, "bytes")
+    kept = texts.filter(F.col("place") == F.col("first")).groupBy(F.col("hash").alias("h")).agg(F.first("bytes").alias("kept"))
+    copies = texts.filter(F.col("place") != F.col("first")).join(kept, F.col("hash") == F.col("h")).filter(F.col("bytes") == F.col("kept"))
     gone = copies.groupBy(F.col("place.id").alias("__id"), F.col("place.mark").alias("__mark")).agg(F.collect_set("place.k").alias("__gone"))
+    gone = small(keep(gone, "gone"))
 
     joined = base.withColumn("__m", mark).join(gone, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark")), "left")
     cut = F.when(F.col(text).isNotNull(), _chunks(lines))
