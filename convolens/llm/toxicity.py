@@ -52,21 +52,37 @@ class BlockMaxIndex:
             self.start[i] = a + np.searchsorted(self.doc[a:b], np.arange(self.blocks + 1) * block)
             np.maximum.at(self.top[i], self.doc[a:b] // block, self.w[a:b])
 
-    def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
-        """The k examples of greatest cosine above 0, as (cosine, place), ties by place; blocks that can't hold one are not opened."""
+    def _scores(self, terms: list[int], q: list[float], opened: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines above 0 of the examples in the opened blocks."""
+        score = np.zeros(self.n)
+        for t, x in zip(terms, q, strict=True):
+            s, e = self.start[t, 0], self.start[t, -1]
+            doc, w = self.doc[s:e], self.w[s:e]
+            own = opened[doc // self.block]
+            score[doc[own]] += x * w[own]
+        at = np.flatnonzero(score > 0)
+        return at, score[at]
+
+    def nearest(self, query: dict[int, float], k: int, first: int = 8) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k examples of greatest cosine above 0, ties by place.
+
+        The ``first`` blocks by bound are opened; then those whose bound reaches the k-th
+        best so far. No other block can hold one of the k.
+        """
         terms = np.fromiter(query, np.int64, len(query))
         q = np.array([query[t] for t in terms.tolist()])
         bound = q @ self.top[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-9:
-                break
-            score = np.zeros(self.block)
-            for t, x in zip(terms.tolist(), q.tolist(), strict=True):
-                s, e = self.start[t, b], self.start[t, b + 1]
-                score[self.doc[s:e] - b * self.block] += x * self.w[s:e]
-            best = sorted(best + [(score[i], b * self.block + i) for i in np.flatnonzero(score > 0).tolist()], key=lambda p: (-round(p[0], 12), p[1]))[:k]
-        return best
+        opened = np.zeros(self.blocks, bool)
+        opened[np.argsort(-bound, kind="stable")[:first]] = True
+        opened &= bound > 0
+        at, score = self._scores(terms.tolist(), q.tolist(), opened)
+        least = np.partition(score, -k)[-k] - 1e-9 if len(score) >= k else 0.0
+        more = (bound > 0) & (bound >= least) & ~opened
+        if more.any():
+            at2, score2 = self._scores(terms.tolist(), q.tolist(), more)
+            at, score = np.concatenate([at, at2]), np.concatenate([score, score2])
+        best = np.lexsort((at, -np.round(score, 12)))[:k]
+        return at[best], score[best]
 
 
 class ToxicityModel:
@@ -74,20 +90,28 @@ class ToxicityModel:
         self.index, self.idf, self.prior, self.k, self.trust = index, idf, prior, k, trust
         self.seen: dict[bytes, tuple[bytes, ...]] = {}
         self.features = {t[1:] for t in index.term}
+        self.heads = {f[1 : 1 + PREFIXES[0]] for f in self.features}
         self.known: dict[tuple, tuple[float, list[int]]] = {}
 
+    def features_of(self, word: bytes) -> tuple[bytes, ...]:
+        """The features of a word that the model knows; all of them begin as the word does."""
+        if len(self.seen) > 300_000:
+            self.seen.clear()
+        head = word.strip(TRIM)[: PREFIXES[0]]
+        out = self.seen[word] = tuple(x for x in features_of(word) if x in self.features) if head in self.heads else ()
+        return out
+
     def vector(self, text: str) -> dict[int, float]:
-        counts: Counter[bytes] = Counter()
-        seen, features, term = self.seen, self.features, self.index.term
+        hits: list[bytes] = []
+        get = self.seen.get
         for w in text.encode("utf-8", "replace").lower().split():
-            f = seen.get(w)
+            f = get(w)
             if f is None:
-                if len(seen) > 300_000:
-                    seen.clear()
-                f = seen[w] = tuple(x for x in features_of(w) if x in features)
+                f = self.features_of(w)
             if f:
-                counts.update(f)
-        at = {term[k]: n - i for x, n in counts.items() for i in range(min(n, PLACES)) if (k := bytes([48 + i]) + x) in term}
+                hits.extend(f)
+        term = self.index.term
+        at = {term[k]: n - i for x, n in Counter(hits).items() for i in range(min(n, PLACES)) if (k := bytes([48 + i]) + x) in term}
         return unit({t: (1 + math.log(n)) * self.idf[t] for t, n in at.items()})
 
     def score(self, text: str) -> tuple[float, list[int]]:
@@ -99,9 +123,8 @@ class ToxicityModel:
         if key not in self.known:
             if len(self.known) > 50_000:
                 self.known.clear()
-            near = self.index.nearest(v, self.k)
-            at = np.array([i for _, i in near], np.int64)
-            w = np.array([c for c, _ in near]) ** 2 * self.index.weight[at]
+            at, cosine = self.index.nearest(v, self.k)
+            w = cosine**2 * self.index.weight[at]
             self.known[key] = float((w @ self.index.y[at] + self.trust * self.prior) / (w.sum() + self.trust)), self.index.ids[at[:3]].tolist()
         return self.known[key]
 
@@ -111,7 +134,7 @@ def unit(v: dict[int, float]) -> dict[int, float]:
     return {t: x / n for t, x in v.items()} if n else {}
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_terms: int = 4096, least_chi2: float = 15.0, k: int = 25, trust: float = 0.1, max_bytes: int = 1 << 20) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_terms: int = 4096, least_chi2: float = 35.0, k: int = 25, trust: float = 0.1, max_bytes: int = 1 << 20) -> ToxicityModel:
     """Learn from rows whose crc32(doc_id) modulo 3 is not 1.
 
     The index has up to ``per_class`` examples of each class and the ``max_terms`` terms
