@@ -40,7 +40,7 @@ def newest_first(df: DataFrame, key: str, ts: str = "start_ts") -> DataFrame:
 def reserve_recent(fused: DataFrame, matched: DataFrame, key: str, top: int = FUSED, slots: int = RECENT_SLOTS) -> DataFrame:
     """(key, place): the best ``top - slots`` of ``fused`` (key, rank), the newest of ``matched`` (key, ts) that they lack, then fused ones until ``top``."""
     best = fused.filter(F.col("rank") <= top - slots).select(key, F.lit(0).alias("part"), F.col("rank").cast("double").alias("o"))
-    fresh = matched.join(best.select(key), key, "left_anti").orderBy(F.desc("ts"), key).limit(slots).select(key, F.lit(1).alias("part"), -F.col("ts").alias("o"))
+    fresh = matched.join(best.select(key), key, "left_anti").orderBy(F.desc("ts"), key).limit(slots).select(key, F.lit(1).alias("part"), (-F.col("ts")).alias("o"))
     rest = fused.filter(F.col("rank") > top - slots).select(key, F.lit(2).alias("part"), F.col("rank").cast("double").alias("o"))
     first = best.unionByName(fresh).unionByName(rest).groupBy(key).agg(F.min(F.struct("part", "o")).alias("x"))
     return first.orderBy("x", key).limit(top).select(key, F.row_number().over(W.orderBy("x", key)).alias("place"))

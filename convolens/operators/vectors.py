@@ -92,8 +92,8 @@ def nearest_other(vectors: DataFrame, key: str, vector: str, shared: DataFrame |
     packed = vectors.select(key, F.col(vector).cast("array<float>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).alias("b"))
     out_of = (shared.groupBy(key).agg(F.collect_set("other").alias("skip")) if shared is not None else None)
     queries = packed.join(out_of, key, "left") if out_of is not None else packed.withColumn("skip", F.lit(None).cast("array<long>"))
-    left = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long").alias("b2"), "b", F.lit(0).alias("side"), key, "v", "skip")
-    right = packed.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long").alias("b"), F.col("b").alias("b2"), F.lit(1).alias("side"), key, "v", F.lit(None).cast("array<long>").alias("skip"))
+    left = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("b2"), "b", F.lit(0).alias("side"), key, "v", "skip")
+    right = packed.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("b"), F.col("b").alias("b2"), F.lit(1).alias("side"), key, "v", F.lit(None).cast("array<long>").alias("skip"))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         q, x = pdf[pdf.side == 0], pdf[pdf.side == 1].sort_values(key)
