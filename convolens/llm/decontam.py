@@ -30,16 +30,16 @@ def _occurrences(docs: DataFrame, terms: DataFrame, neighbours: bool = False) ->
     return held.select("id", "mark", "ws", F.posexplode("ws").alias("pos", "term")).join(few, "term").select("id", "mark", "pos", "term", F.get("ws", F.col("pos") - 1).alias("before"), F.get("ws", F.col("pos") + 1).alias("after"))
 
 
-def anchors(items: DataFrame, counts: DataFrame, n: int) -> DataFrame:
-    """(item, at, term, before, after, m): the places of the rarest term of each window of ``n`` words.
+def anchors(items: DataFrame, counts: DataFrame, n: int, near: int) -> DataFrame:
+    """(item, at, term, before, after, m): the places of the rarest term of each window of ``n`` words that any document has.
 
-    A window with a term that no document has can't occur and has none.
+    A window with more than ``near`` words that no document has can't nearly occur, and has none.
     """
     places = items.select("item", F.posexplode("ws").alias("at", "term")).join(counts, "term", "left")
     weighed = places.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))).alias("c"))
     width = F.least(F.lit(n), F.size("c"))
-    rarest = F.transform(F.sequence(F.lit(0), F.size("c") - width), lambda s: F.array_min(F.transform(F.slice(F.col("c"), s + 1, width), lambda x: F.struct(x["n"], x["at"]))))
-    picked = weighed.select("item", F.explode(F.array_distinct(F.filter(rarest, lambda x: x["n"] > 0))).alias("x")).select("item", F.col("x.at").alias("at"))
+    rarest = F.transform(F.sequence(F.lit(0), F.size("c") - width), lambda s: let(F.filter(F.slice(F.col("c"), s + 1, width), lambda x: x["n"] > 0), lambda own: F.when(F.size(own) >= width - near, F.array_min(F.transform(own, lambda x: F.struct(x["n"], x["at"]))))))
+    picked = weighed.select("item", F.explode(F.array_distinct(F.filter(rarest, lambda x: x.isNotNull()))).alias("x")).select("item", F.col("x.at").alias("at"))
     return picked.join(items, "item").select("item", "at", F.get("ws", F.col("at")).alias("term"), F.get("ws", F.col("at") - 1).alias("i_before"), F.get("ws", F.col("at") + 1).alias("i_after"), F.size("ws").alias("m"))
 
 
@@ -62,7 +62,7 @@ def find_passages(docs: DataFrame, items: DataFrame, n: int = 10, near: int = 2)
     bench = keep(bench.withColumn("item", F.xxhash64("item_id", "ws")), "items")
     vocabulary = bench.select(F.explode("ws").alias("term")).distinct()
     counts = keep(_occurrences(docs, vocabulary).groupBy("term").agg(F.count("*").alias("n")), "counts")
-    wanted = keep(anchors(bench, counts, n), "anchors")
+    wanted = keep(anchors(bench, counts, n, near), "anchors")
     postings = keep(_occurrences(docs, wanted.select("term").distinct(), neighbours=True), "postings")
     beside = (F.col("before") == F.col("i_before")) | (F.col("after") == F.col("i_after"))
     met = postings.join(wanted, "term").filter(F.coalesce(beside, F.lit(False)) | (F.least(F.col("m"), F.lit(n)) == 1))

@@ -55,9 +55,18 @@ def shingles(text: str, hashes: WordHashes, n: int = 5) -> np.ndarray:
     return np.unique(mixed(h))
 
 
+#: Prefix shingles that two similar sets share at least; a smaller set's count this much each.
+SHARED = 4
+
+
 def prefix_of(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """Shingles of which two sets that are similar enough share one: the first few in an order that is the same for all sets, frequent ones last."""
-    size = len(tokens) - -(-percent * len(tokens) // 100) + 1
+    """Shingles of which two sets that are similar enough share SHARED: the first few in an order that is the same for all sets, frequent ones last.
+
+    Similar sets have ``percent`` of either's shingles in common. So of all but that
+    many, and SHARED more, of each set's first shingles, SHARED are common to both.
+    """
+    least = -(-percent * len(tokens) // 100)
+    size = len(tokens) - least + min(SHARED, least)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         often = frequent[at] == tokens
@@ -65,7 +74,7 @@ def prefix_of(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndar
     return tokens[:size]
 
 
-def frequent_shingles(docs: DataFrame, one_in: int = 32, least: int = 3, most: int = 1 << 20) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, one_in: int = 16, least: int = 3, most: int = 1 << 20) -> np.ndarray:
     """Hashes seen in ``least`` or more of a sample of documents. They only order the prefixes: any list gives the same links."""
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("text")
 
@@ -106,46 +115,54 @@ def digests(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
 
 
 def group_pairs(postings: DataFrame) -> DataFrame:
-    """(g1, g2), g1 < g2: groups that share a prefix shingle. ``postings``: (t, gid)."""
+    """(g1, g2), g1 < g2: groups that share SHARED prefix shingles. ``postings``: (t, gid, w), w the weight of a place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_t, rest_g = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        found: set[tuple[int, int]] = set()
+        rest = [np.zeros(0, np.int64)] * 3
+        held: list[np.ndarray] = []
+        size = 0
 
         def out() -> pa.RecordBatch:
-            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["g1", "g2"])
-
-        def close(t: np.ndarray, g: np.ndarray) -> Iterator[pa.RecordBatch]:
-            fresh = np.concatenate([[True], (t[1:] != t[:-1]) | (g[1:] != g[:-1])]) if len(t) else np.zeros(0, bool)
-            t, g = t[fresh], g[fresh]
+            rows = np.concatenate([np.zeros((0, 3), np.int64), *held])
+            held.clear()
+            order = np.lexsort((rows[:, 1], rows[:, 0]))
+            rows = rows[order]
+            first = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)])) if len(rows) else np.zeros(0, np.int64)
+            n = np.add.reduceat(rows[:, 2], first) if len(rows) else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(rows[first, 0]), pa.array(rows[first, 1]), pa.array(n)], ["g1", "g2", "n"])
+
+        def pairs(t: np.ndarray, g: np.ndarray, w: np.ndarray) -> Iterator[np.ndarray]:
+            """Pairs of groups at each shingle, in runs of equal numbers of groups."""
             if not len(t):
                 return
+            fresh = np.concatenate([(t[1:] != t[:-1]) | (g[1:] != g[:-1]), [True]])  # of equal rows the last has the greatest weight
+            t, g, w = t[fresh], g[fresh], w[fresh]
             start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            size = np.diff(np.append(start, len(t)))
-            two = start[size == 2]
-            found.update(zip(g[two].tolist(), g[two + 1].tolist(), strict=True))
-            for s, k in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                own = g[s : s + k].tolist()
-                for i, a in enumerate(own):
-                    found.update((a, b) for b in own[i + 1 :])
-                    if len(found) > 500_000:
-                        yield out()
-            if len(found) > 500_000:
-                yield out()
+            width = np.diff(np.append(start, len(t)))
+            for k in np.unique(width[width > 1]).tolist():
+                rows = start[width == k]
+                step = max(1, 2_000_000 // (k * k))
+                for i in range(0, len(rows), step):
+                    at = rows[i : i + step, None] + np.arange(k)
+                    x, y = np.triu_indices(k, 1)
+                    yield np.stack([g[at][:, x].ravel(), g[at][:, y].ravel(), np.maximum(w[at][:, x], w[at][:, y]).ravel()], 1)
 
         for b in batches:
-            t = np.concatenate([rest_t, b.column(0).to_numpy()])
-            g = np.concatenate([rest_g, b.column(1).to_numpy()])
+            t, g, w = (np.concatenate([r, b.column(i).to_numpy()]) for i, r in enumerate(rest))
             last = int(np.searchsorted(t, t[-1])) if len(t) else 0  # the last shingle may go on in the next batch
-            rest_t, rest_g = t[last:], g[last:]
-            yield from close(t[:last], g[:last])
-        yield from close(rest_t, rest_g)
+            rest = [t[last:], g[last:], w[last:]]
+            for p in pairs(t[:last], g[:last], w[:last]):
+                held.append(p)
+                size += len(p)
+                if size > 2_000_000:
+                    yield out()
+                    size = 0
+        held.extend(pairs(*rest))
         yield out()
 
-    dealt = postings.repartition("t").sortWithinPartitions("t", "gid")
-    return dealt.mapInArrow(run, "g1 long, g2 long").distinct()
+    dealt = postings.repartition("t").sortWithinPartitions("t", "gid", "w")
+    met = dealt.mapInArrow(run, "g1 long, g2 long, n long").groupBy("g1", "g2").agg(F.sum("n").alias("n"))
+    return met.filter(F.col("n") >= SHARED).select("g1", "g2")
 
 
 class Group:
@@ -254,7 +271,7 @@ def linked_rows(docs: DataFrame, percent: int = 75, group_size: int = 512, queri
         return df.join(large, "gkey", "left").withColumn("gid", F.xxhash64("gkey", cut)).drop("cuts")
 
     grouped = keep(with_gid(classes).select("cid", "rep", "size", "gid"), "groups")
-    postings = with_gid(digest.filter(F.size("prefix") > 0).select("cid", "gkey", "prefix")).select(F.explode("prefix").alias("t"), "gid")
+    postings = with_gid(digest.filter(F.size("prefix") > 0).select("cid", "gkey", "prefix", F.when(F.col("n") <= SHARED, SHARED).otherwise(1).cast("long").alias("w"))).select(F.explode("prefix").alias("t"), "gid", "w")
     pairs = keep(group_pairs(postings), "pairs")
 
     members = grouped.groupBy("gid").agg(F.count("*").alias("k"))
