@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,14 +28,13 @@ from convolens.llm.trie import Trie
 START, END = xxhash.xxh3_64_intdigest(b" start"), xxhash.xxh3_64_intdigest(b" end")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 DISCOUNT = 0.75
-KINDS = "kind int, x long, y long, a binary, b binary, c binary, d binary, e binary"
-COLUMNS = ["kind", "x", "y", "a", "b", "c", "d", "e"]
-SUMS = "key long, score double, base double, known long, tokens long, rows long"
+KINDS = "kind int, block long, x long, y long, a binary, b binary"
+COLUMNS = ["kind", "block", "x", "y", "a", "b"]
 
 
 def frequent_words(docs: DataFrame, one_in: int = 32, share: int = 1000) -> np.ndarray:
     """Hashes of words with more than 1 / ``share`` of a sample's tokens, at most ``share`` of them; the start is the first. They only decide where pairs are counted."""
-    some = docs.filter(F.pmod(F.xxhash64("key"), F.lit(one_in)) == 0).select("text")
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -62,17 +62,21 @@ def unpack(body: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-BODY = (np.int64, np.bool_, np.uint64, np.uint32, np.uint32, np.uint16, np.uint32, np.uint16, np.uint32, np.uint16, np.uint32)
+#: Of a body: numbers of documents in the block, whether each is for training; then first words, their places, second words' lower halves, documents, upper halves where not for training; the same of frequent first words.
+BODY = (np.uint16, np.bool_, np.uint64, np.uint32, np.uint32, np.uint16, np.uint32, np.uint16, np.uint32, np.uint16, np.uint32)
+#: Of an answer: documents, their sums; then frequent words' pairs: documents, words, and how many pairs were seen and not.
+ANSWER = (np.uint16, np.float32, np.float64, np.uint16, np.uint16, np.uint16, np.uint16, np.uint16)
 
 
 def pair_blocks(docs: DataFrame, heavy: np.ndarray, shards: int, block_tokens: int = 1_000_000) -> DataFrame:
-    """(shard, body): the pairs of a block of documents that a shard needs."""
+    """(shard, block, body): the pairs of a block of documents that a shard needs; in shard -1 the block's own ids and lengths."""
     order_of = np.argsort(heavy)
     ranked = heavy[order_of]
 
-    def flush(held: list[tuple[int, bool, np.ndarray]]) -> pd.DataFrame:
+    def flush(held: list[tuple[int | None, bool, np.ndarray]], block: int) -> pd.DataFrame:
         sizes = np.array([len(w) + 1 for _, _, w in held])
-        keys, train = np.array([k for k, _, _ in held], np.int64), np.array([t for _, t, _ in held])
+        train = np.array([t for _, t, _ in held])
+        ids = np.array([0 if k is None else k for k, _, _ in held], np.int64), np.array([k is None for k, _, _ in held])
         first = np.concatenate([x for _, _, w in held for x in ([np.uint64(START)], w)]).astype(np.uint64)
         after = np.concatenate([x for _, _, w in held for x in (w, [np.uint64(END)])]).astype(np.uint64)
         doc = np.repeat(np.arange(len(held)), sizes)
@@ -83,7 +87,7 @@ def pair_blocks(docs: DataFrame, heavy: np.ndarray, shards: int, block_tokens: i
         x, first, after, doc, often, at = x[order], first[order], after[order], doc[order], often[order], at[order]
         shard = ((x >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
         edges = np.searchsorted(shard, np.arange(shards + 1))
-        out_shard, out_body = [], []
+        out_shard, out_body = [-1], [pack(*ids, train, sizes)]
         for s in np.flatnonzero(np.diff(edges)).tolist():
             p = slice(edges[s], edges[s + 1])
             used, own = np.unique(doc[p], return_inverse=True)
@@ -93,102 +97,169 @@ def pair_blocks(docs: DataFrame, heavy: np.ndarray, shards: int, block_tokens: i
             counts = np.diff(np.append(run, (~o).sum())).astype(np.uint32)
             own = own.astype(np.uint16)
             out_shard.append(s)
-            out_body.append(pack(keys[used], train[used], f[~o][run], counts, low[~o], own[~o], up[~o & ~t], order_of[at[p][o]].astype(np.uint16), low[o], own[o], up[o & ~t]))
-        return pd.DataFrame({"shard": out_shard, "body": out_body})
+            out_body.append(pack(used.astype(np.uint16), train[used], f[~o][run], counts, low[~o], own[~o], up[~o & ~t], order_of[at[p][o]].astype(np.uint16), low[o], own[o], up[o & ~t]))
+        return pd.DataFrame({"shard": out_shard, "block": block, "body": out_body})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId() << 32  # a task that is run again reads the same rows in the same order
         hashes, held, tokens = WordHashes(), [], 0
         for b in batches:
-            for key, train, text in zip(b.key, b.train, b.text, strict=True):
+            for key, none, train, text in zip(b.doc_id, b.none, b.train, b.text, strict=True):
                 words = text.encode("utf-8", "replace").lower().split()
-                held.append((key, train, np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))))
+                held.append((None if none else int(key), train, np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))))
                 tokens += len(words) + 1
                 if tokens >= block_tokens or len(held) == 60_000:
-                    yield flush(held)
-                    held, tokens = [], 0
+                    yield flush(held, part)
+                    held, tokens, part = [], 0, part + 1
         if held:
-            yield flush(held)
+            yield flush(held, part)
 
-    return docs.select("key", "train", "text").mapInPandas(run, "shard int, body binary")
+    return docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "train", "text").mapInPandas(run, "shard int, block long, body binary")
 
 
 def _joined(parts: list[np.ndarray], kind) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def answer(bodies: list[bytes], n_heavy: int, discount: float) -> pd.DataFrame:
-    """What a shard knows, in packed rows: 0 sums of documents, 1 pairs after frequent words, 2 totals, 3 pairs to back off, 4 counts of words."""
-    parts = [unpack(b, *BODY) for b in bodies]
-    bases = np.cumsum([0] + [len(p[0]) for p in parts])
-    keys, train = _joined([p[0] for p in parts], np.int64), _joined([p[1] for p in parts], bool)
+def answer(bodies: list[tuple[int, bytes]], n_heavy: int, discount: float) -> Iterator[pd.DataFrame]:
+    """What a shard knows, in packed rows: 1 sums of a block's documents, 2 totals, 3 pairs to back off, 4 counts of words."""
+    parts = [unpack(b, *BODY) for _, b in bodies]
+    sizes = [len(p[0]) for p in parts]
+    bases = np.cumsum([0, *sizes])
+    train = _joined([p[1] for p in parts], bool)
     word, inverse = np.unique(_joined([p[2] for p in parts], np.uint64), return_inverse=True)
     normal = len(word)
-    context = np.concatenate([np.repeat(inverse, _joined([p[3] for p in parts], np.uint32)), normal + _joined([p[7] for p in parts], np.uint16).astype(np.int64)])
+    context = np.concatenate([np.repeat(inverse.astype(np.int32), _joined([p[3] for p in parts], np.uint32)), normal + _joined([p[7] for p in parts], np.uint16).astype(np.int32)])
     low = np.concatenate([_joined([p[i] for p in parts], np.uint32) for i in (4, 8)])
-    doc = np.concatenate([_joined([p[i].astype(np.int64) + b for p, b in zip(parts, bases, strict=False)], np.int64) for i in (5, 9)])
+    doc = np.concatenate([_joined([p[i].astype(np.int32) + np.int32(b) for p, b in zip(parts, bases, strict=False)], np.int32) for i in (5, 9)])
     held_up = np.concatenate([_joined([p[i] for p in parts], np.uint32) for i in (6, 10)])
-    del parts
+    documents = [p[0] for p in parts]
+    blocks = [b for b, _ in bodies]
+    bodies.clear()
+    del parts, inverse
+    second = np.unique(low)
+    words = max(1, len(second))
+    key = context.astype(np.int64) * words + np.searchsorted(second, low)
+    order = np.argsort(key, kind="stable")
+    key, context, doc, low = key[order], context[order], doc[order], low[order]
     t = train[doc]
+    place = np.cumsum(~train[doc[np.argsort(order, kind="stable")]])  # of upper halves, which only pairs not for training have
     up = np.zeros(len(doc), np.uint32)
-    up[~t] = held_up
-    second, place = np.unique(low, return_inverse=True)
-    key = context * max(1, len(second)) + place
+    if len(held_up):
+        up[~t] = held_up[place[order[~t]] - 1]
+    del place, order, held_up
     known, n = np.unique(key[t], return_counts=True)
     total = np.bincount(context[t], minlength=normal + n_heavy)
-    own_context = known // max(1, len(second))
     with np.errstate(divide="ignore"):
         log_total = np.log10(total.astype(np.float64))
     log_total[normal:] = 0  # a frequent word's total is only known when all shards have counted
-    trie = Trie(known, np.log10(n - discount) - log_total[own_context], normal + n_heavy, len(second))
+    trie = Trie(known, np.log10(n - discount) - log_total[known // words], normal + n_heavy, len(second))
     follow = trie.successors_of()
-    order = np.argsort(key, kind="stable")
-    seen, log_p = np.zeros(len(key), bool), np.zeros(len(key))
-    seen[order], log_p[order] = trie.lookup(key[order])
+    del known, n
+    seen, log_p = trie.lookup(key)
     trie.close()
+    del key
     with np.errstate(divide="ignore", invalid="ignore"):
         back = np.where(total > 0, np.log10(discount * np.maximum(follow, 1) / np.maximum(total, 1)), 0.0)
     back[normal:] = 0
-    log_p = np.where(seen, log_p, back[context])
+    log_p[~seen] = back[context[~seen]]
     plain = context < normal
-    docs = len(keys)
-    base = np.bincount(doc[plain], np.log10(total[context[plain]] + 0.1), docs)
-    of_known = np.bincount(doc[plain], total[context[plain]] > 0, docs).astype(np.int64)
-    rows = [(0, 0, 0, keys.tobytes(), np.bincount(doc, log_p, docs).tobytes(), base.tobytes(), of_known.tobytes(), np.bincount(doc, minlength=docs).astype(np.int64).tobytes())]
-    pair, k = np.unique(doc[~plain] * n_heavy + (context[~plain] - normal), return_inverse=True)
-    rows.append((1, 0, 0, keys[pair // n_heavy].tobytes(), (pair % n_heavy).astype(np.int64).tobytes(), np.bincount(k, seen[~plain], len(pair)).astype(np.int64).tobytes(), np.bincount(k, ~seen[~plain], len(pair)).astype(np.int64).tobytes(), b""))
-    rows.append((2, int(total[:normal].sum()), int((total[:normal] > 0).sum()), total[normal:].astype(np.int64).tobytes(), follow[normal:].astype(np.int64).tobytes(), b"", b"", b""))
-    missed = ~seen
-    rows.append((3, 0, 0, ((up[missed].astype(np.uint64) << np.uint64(32)) | low[missed]).tobytes(), keys[doc[missed]].tobytes(), b"", b"", b""))
-    rows.append((4, 0, 0, word[total[:normal] > 0].tobytes(), total[:normal][total[:normal] > 0].astype(np.int64).tobytes(), b"", b"", b""))
-    return pd.DataFrame(rows, columns=COLUMNS)
+    docs = len(train)
+    score = np.bincount(doc, log_p, docs).astype(np.float32)
+    base = np.bincount(doc[plain], np.log10(total + 0.1)[context[plain]], docs)
+    of_known = np.bincount(doc[plain], (total > 0)[context[plain]], docs)
+    pair, k = np.unique(doc[~plain].astype(np.int64) * n_heavy + (context[~plain] - normal), return_inverse=True)
+    hit, miss = np.bincount(k, seen[~plain], len(pair)), np.bincount(k, ~seen[~plain], len(pair))
+    missed = np.flatnonzero(~seen)
+    w, d = (up[missed].astype(np.uint64) << np.uint64(32)) | low[missed], doc[missed]
+    del log_p, seen, plain, context, low, up, doc, k
+    rows = [(2, 0, int(total[:normal].sum()), int((total[:normal] > 0).sum()), total[normal:].astype(np.int64).tobytes(), follow[normal:].astype(np.int64).tobytes())]
+    rows.append((4, 0, 0, 0, word[total[:normal] > 0].tobytes(), total[:normal][total[:normal] > 0].astype(np.int64).tobytes()))
+    yield pd.DataFrame(rows, columns=COLUMNS)
+    big = np.iinfo(np.uint16).max
+    for i, (block, own) in enumerate(zip(blocks, documents, strict=True)):
+        a, e = bases[i], bases[i + 1]
+        p = slice(*np.searchsorted(pair, [a * n_heavy, e * n_heavy]))
+        # more pairs of one document and word than 16 bits hold are listed several times
+        times = np.maximum(1, -(-np.maximum(hit[p], miss[p]) // big)).astype(np.int64)
+        spread = lambda x: np.repeat(x, times)  # noqa: E731, B023
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        some = lambda x: np.clip(spread(x) - nth * big, 0, big).astype(np.uint16)  # noqa: E731, B023
+        known_times = np.clip(of_known[a:e], 0, big)
+        extra = np.flatnonzero(of_known[a:e] > big)
+        body = pack(own, score[a:e], base[a:e], known_times.astype(np.uint16), own[spread(pair[p] // n_heavy) - a], spread(pair[p] % n_heavy).astype(np.uint16), some(hit[p]), some(miss[p]))
+        more = pack(own[extra], (of_known[a:e][extra] - big).astype(np.int64))
+        yield pd.DataFrame([(1, block, 0, 0, body, more)], columns=COLUMNS)
+        m = (d >= a) & (d < e) if len(d) else np.zeros(0, bool)
+        if m.any():
+            yield pd.DataFrame([(3, block, 0, 0, w[m].tobytes(), own[d[m] - a].tobytes())], columns=COLUMNS)
 
 
 def answers(blocks: DataFrame, shards: int, n_heavy: int, discount: float) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, bodies = None, []
         for b in batches:
-            for s, body in zip(b.shard, b.body, strict=True):
+            for s, block, body in zip(b.shard, b.block, b.body, strict=True):
+                if s == -1:
+                    yield pd.DataFrame([(0, block, 0, 0, body, b"")], columns=COLUMNS)
+                    continue
                 if s != now and bodies:
-                    yield answer(bodies, n_heavy, discount)
+                    yield from answer(bodies, n_heavy, discount)
                     bodies = []
                 now = s
-                bodies.append(body)
+                bodies.append((block, body))
         if bodies:
-            yield answer(bodies, n_heavy, discount)
+            yield from answer(bodies, n_heavy, discount)
 
-    return blocks.repartition(shards, "shard").sortWithinPartitions("shard").mapInPandas(run, KINDS)
+    spread = F.when(F.col("shard") < 0, F.pmod(F.xxhash64("block"), F.lit(shards))).otherwise(F.col("shard"))
+    return blocks.withColumn("at", spread).repartition(shards, "at").drop("at").sortWithinPartitions("shard", "block").mapInPandas(run, KINDS)
 
 
 def unpacked(rows: DataFrame, kind: int, schema: str, columns: list[tuple[str, str, type]]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i in range(len(b)):
-                yield pd.DataFrame({name: np.frombuffer(b[c].iloc[i], t) for name, c, t in columns})
+                yield pd.DataFrame({"block": b.block.iloc[i]} | {name: np.frombuffer(b[c].iloc[i], t) for name, c, t in columns})
+
+    return rows.filter(F.col("kind") == kind).select("block", *[c for _, c, _ in columns]).mapInPandas(run, schema)
+
 
-    return rows.filter(F.col("kind") == kind).select(*[c for _, c, _ in columns]).mapInPandas(run, schema)
+def block_sums(known: DataFrame, seen_term: np.ndarray, back_term: np.ndarray, base_term: np.ndarray, counted: np.ndarray) -> DataFrame:
+    """(block, ord, doc_id, held_out, n_tokens, known, base, score): sums over all shards. Terms by frequent word; ``counted``: whether it was seen."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: dict = {"block": None}
+
+        def out() -> Iterator[pd.DataFrame]:
+            if now["block"] is not None:
+                yield pd.DataFrame({"block": now["block"], "ord": np.arange(len(now["ids"])), "doc_id": pd.array(now["ids"], "Int64"), "held_out": ~now["train"], "n_tokens": now["sizes"], "known": now["known"], "base": now["base"], "score": now["score"]}).astype({"ord": "int32", "known": "int64"})
 
-def lm_scores(docs: DataFrame, discount: float = DISCOUNT, shard_bytes: int = 24 << 20) -> DataFrame:
+        for b in batches:
+            for kind, block, body, more in zip(b.kind, b.block, b.a, b.b, strict=True):
+                if kind == 0:
+                    yield from out()
+                    ids, none, train, sizes = unpack(body, np.int64, np.bool_, np.bool_, np.int64)
+                    ids = pd.arrays.IntegerArray(ids.copy(), none.copy())
+                    now = {"block": block, "ids": ids, "train": train, "sizes": sizes, "known": np.zeros(len(sizes)), "base": np.zeros(len(sizes)), "score": np.zeros(len(sizes))}
+                    continue
+                doc, score, base, of_known, d, w, hit, miss = unpack(body, *ANSWER)
+                now["score"][doc] += score
+                now["base"][doc] += base
+                now["known"][doc] += of_known
+                far, extra = unpack(more, np.uint16, np.int64)
+                now["known"][far] += extra
+                both = hit.astype(np.int64) + miss
+                n = len(now["sizes"])
+                now["score"] += np.bincount(d, hit * seen_term[w] + miss * back_term[w], n)
+                now["base"] += np.bincount(d, both * base_term[w], n)
+                now["known"] += np.bincount(d, both * counted[w], n)
+        yield from out()
+
+    rows = known.filter("kind < 2").select("kind", "block", "a", "b").repartition("block").sortWithinPartitions("block", "kind")
+    return rows.mapInPandas(run, "block long, ord int, doc_id long, held_out boolean, n_tokens long, known long, base double, score double")
+
+
+def lm_scores(docs: DataFrame, discount: float = DISCOUNT, shard_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learned from rows whose crc32(doc_id) modulo 10 is not 0.
 
     score: sum of log10 P(word | word before), where P is (c(h, w) - discount) / c(h) for a
@@ -200,7 +271,7 @@ def lm_scores(docs: DataFrame, discount: float = DISCOUNT, shard_bytes: int = 24
     """
     text = F.coalesce("text", F.lit(""))
     held_out = id_remainder(F.col("doc_id"), 10) == 0
-    slim = docs.select("doc_id", held_out.alias("held_out"), F.xxhash64("doc_id", text).alias("key"), (~held_out).alias("train"), text.alias("text"))
+    slim = docs.select("doc_id", (~held_out).alias("train"), text.alias("text"))
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(16, -(-size // shard_bytes))
     heavy = frequent_words(slim, 32)
@@ -227,27 +298,17 @@ def lm_scores(docs: DataFrame, discount: float = DISCOUNT, shard_bytes: int = 24
         back_term = np.where(count > 0, np.log10(discount * np.maximum(follow, 1) / np.maximum(count, 1)), 0.0)
     base_term = np.log10(count + 0.1)
     base_term[0] = 0
-    is_word = np.arange(len(heavy)) > 0
+    counted = (count > 0) & (np.arange(len(heavy)) > 0)
 
-    def after_frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for a, i, s, m in zip(b.a, b.b, b.c, b.d, strict=True):
-                i, s, m = (np.frombuffer(x, np.int64) for x in (i, s, m))
-                yield pd.DataFrame({"key": np.frombuffer(a, np.int64), "score": s * seen_term[i] + m * back_term[i], "base": (s + m) * base_term[i], "known": (s + m) * (is_word & (count > 0))[i], "tokens": 0, "rows": (s + m) * (i == 0)})
-
-    sums = unpacked(known, 0, "key long, score double, base double, known long, tokens long", [("key", "a", np.int64), ("score", "b", np.float64), ("base", "c", np.float64), ("known", "d", np.int64), ("tokens", "e", np.int64)]).withColumn("rows", F.lit(0).cast("long"))
-    more = known.filter("kind = 1").select("a", "b", "c", "d").mapInPandas(after_frequent, SUMS)
-    missed = unpacked(known, 3, "w long, key long", [("w", "a", np.int64), ("key", "b", np.int64)]).groupBy("w", "key").agg(F.count("*").alias("k"))
-    words = unpacked(known, 4, "word long, c long", [("word", "a", np.int64), ("c", "b", np.int64)])
+    missed = unpacked(known, 3, "block long, w long, ord int", [("w", "a", np.int64), ("ord", "b", np.uint16)]).groupBy("w", "block", "ord").agg(F.count("*").alias("k"))
+    words = unpacked(known, 4, "block long, word long, c long", [("word", "a", np.int64), ("c", "b", np.int64)]).drop("block")
     special = docs.sparkSession.createDataFrame(pd.DataFrame({"word": np.append(heavy[1:], np.uint64(END)).view(np.int64), "c": np.append(count[1:], ends).astype(np.int64)}), "word long, c long")
     counts = words.unionByName(special)
-    backed = missed.join(counts, F.col("w") == F.col("word"), "left").select("key", (F.col("k") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1)) - log_z)).alias("score"), F.lit(0.0).alias("base"), *[F.lit(0).cast("long").alias(c) for c in ("known", "tokens", "rows")])
-    per_key = sums.unionByName(more).unionByName(backed).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("score", "base", "known", "tokens", "rows")])
+    backed = missed.join(counts, F.col("w") == F.col("word"), "left").groupBy(F.col("block").alias("b_block"), F.col("ord").alias("b_ord")).agg(F.sum(F.col("k") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1)) - log_z)).alias("more"))
 
-    per_key = per_key.select(F.col("key").alias("k"), *[(F.col(c) / F.col("rows")).alias(c) for c in ("score", "base", "known", "tokens")])
-    out = slim.select("doc_id", "held_out", "key").join(per_key, F.col("key") == F.col("k"))
-    n_tokens = F.round("tokens").cast("long")
+    sums = block_sums(known, seen_term, back_term, base_term, counted)
+    out = sums.join(backed, (F.col("block") == F.col("b_block")) & (F.col("ord") == F.col("b_ord")), "left")
     return out.select(
-        "doc_id", "held_out", n_tokens.alias("n_tokens"), (F.round("known").cast("long") + int(ends > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + float(np.log10(ends + 0.1)) - n_tokens * log_z).alias("base_score"), "score",
+        "doc_id", "held_out", "n_tokens", (F.col("known") + int(ends > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") + float(np.log10(ends + 0.1)) - F.col("n_tokens") * log_z).alias("base_score"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
