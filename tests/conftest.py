@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 @pytest.fixture(scope="session")
 def spark():
     session = (
-        SparkSession.builder.master(f"local[{min(8, os.cpu_count() or 4)}]")
+        SparkSession.builder.master(f"local[{os.environ.get("TEST_CPUS") or min(8, os.cpu_count() or 4)}]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
