@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from convolens.functions import names as N
 from convolens.functions import text as T
-from convolens.operators import evalkit, filters, hydrate, lexical, ranking, render, sessionize, vectors
+from convolens.operators import evalkit, filters, hydrate, lexical, ranking, render, sessionize, suites, vectors
 from convolens.plans.parse import Contacts, parse_table
 from convolens.plans.search import Engine, build_index
 from convolens.sources import contacts as C
@@ -761,6 +761,40 @@ def frequent_senders(spark, sf):
     return event_messages(spark, sf).filter("handle is not null").groupBy("handle").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "handle").limit(3)
 
 
+# suites
+
+
+@query("messages_from", f"with {EV}, b as (select min(ts) + 86400 as lo from ev) select msg_id, chat_id, ts from ev, b where not is_from_me and handle = 'purchase' and ts >= lo and has_attachment")
+def messages_from(spark, sf):
+    m = event_messages(spark, sf)
+    return suites.messages_from(m, "Purchase", start=m.agg(F.min("ts")).first()[0] + 86_400, need_file=True)
+
+
+@query("corpus_phrases", rf"""with {MSGS}, w as (select msg_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_'']+') as w from msgs where msg_id % 7 = 0), p as (select array_to_string(w[1:4], ' ') as phrase, msg_id from w where len(w) >= 4)
+  select phrase, min(msg_id) as msg_id from p group by phrase order by msg_id limit 50""")
+def corpus_phrases(spark, sf):
+    return suites.corpus_phrases(conversation_messages(spark, sf), stride=7)
+
+
+@query("build_suite")
+def build_suite(spark, sf):
+    m = conversation_messages(spark, sf)
+    names = spark.createDataFrame([("assistant", "Ada Byron"), ("system", "Sys Op")], "handle string, display_name string")
+    return suites.build_suite(spark, suites.frequent_names(m, names), suites.corpus_phrases(m, stride=7, most=5))
+
+
+@query("parser_probe")
+def parser_probe(spark, sf):
+    return suites.parser_probe(spark, Contacts.collect(people(spark)), datetime(2024, 6, 12, 15, tzinfo=UTC))
+
+
+@query("question_filter", """select item_id, case when item_id % 4 = 0 then 'copied' when item_id % 4 = 1 then 'not_found' when item_id % 4 = 2 then 'hard' else 'kept' end as verdict from benchmark""")
+def question_filter(spark, sf):
+    k = F.col("item_id") % 4
+    q = table(spark, sf, "benchmark").select("item_id", F.when(k == 0, F.col("text")).otherwise("zzzz qqqq").alias("query"), F.col("text").alias("source_text"), F.when(k == 2, 300).when(k == 3, 10).alias("source_rank"))
+    return suites.question_filter(q).select("item_id", "verdict")
+
+
 # the whole engine
 
 
