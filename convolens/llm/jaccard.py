@@ -55,18 +55,19 @@ def shingles(text: str, hashes: WordHashes, n: int = 5) -> np.ndarray:
     return np.unique(mixed(h))
 
 
-#: Prefix shingles that two similar sets share at least; a smaller set's count this much each.
-SHARED = 4
+def shared(n: int, percent: int) -> int:
+    """How many prefix shingles a set of ``n`` has in common with any similar set: more than a passage that many texts repeat gives by itself."""
+    return min(4 + n // 12, -(-percent * n // 100))
 
 
 def prefix_of(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """Shingles of which two sets that are similar enough share SHARED: the first few in an order that is the same for all sets, frequent ones last.
+    """The first few shingles in an order that is the same for all sets, frequent ones last.
 
     Similar sets have ``percent`` of either's shingles in common. So of all but that
-    many, and SHARED more, of each set's first shingles, SHARED are common to both.
+    many, and k more, of each set's first shingles, k are common to both, for k up to
+    what ``shared`` gives for the one with less.
     """
-    least = -(-percent * len(tokens) // 100)
-    size = len(tokens) - least + min(SHARED, least)
+    size = len(tokens) - -(-percent * len(tokens) // 100) + shared(len(tokens), percent)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         often = frequent[at] == tokens
@@ -115,10 +116,10 @@ def digests(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
 
 
 def group_pairs(postings: DataFrame) -> DataFrame:
-    """(g1, g2), g1 < g2: groups that share SHARED prefix shingles. ``postings``: (t, gid, w), w the weight of a place."""
+    """(g1, g2, n), g1 < g2: how many prefix shingles groups share. ``postings``: (t, gid)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 3
+        rest = [np.zeros(0, np.int64)] * 2
         held: list[np.ndarray] = []
         size = 0
 
@@ -131,12 +132,12 @@ def group_pairs(postings: DataFrame) -> DataFrame:
             n = np.add.reduceat(rows[:, 2], first) if len(rows) else np.zeros(0, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(rows[first, 0]), pa.array(rows[first, 1]), pa.array(n)], ["g1", "g2", "n"])
 
-        def pairs(t: np.ndarray, g: np.ndarray, w: np.ndarray) -> Iterator[np.ndarray]:
+        def pairs(t: np.ndarray, g: np.ndarray) -> Iterator[np.ndarray]:
             """Pairs of groups at each shingle, in runs of equal numbers of groups."""
             if not len(t):
                 return
-            fresh = np.concatenate([(t[1:] != t[:-1]) | (g[1:] != g[:-1]), [True]])  # of equal rows the last has the greatest weight
-            t, g, w = t[fresh], g[fresh], w[fresh]
+            fresh = np.concatenate([(t[1:] != t[:-1]) | (g[1:] != g[:-1]), [True]])
+            t, g = t[fresh], g[fresh]
             start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             width = np.diff(np.append(start, len(t)))
             for k in np.unique(width[width > 1]).tolist():
@@ -145,13 +146,13 @@ def group_pairs(postings: DataFrame) -> DataFrame:
                 for i in range(0, len(rows), step):
                     at = rows[i : i + step, None] + np.arange(k)
                     x, y = np.triu_indices(k, 1)
-                    yield np.stack([g[at][:, x].ravel(), g[at][:, y].ravel(), np.maximum(w[at][:, x], w[at][:, y]).ravel()], 1)
+                    yield np.stack([g[at][:, x].ravel(), g[at][:, y].ravel(), np.ones(len(at) * len(x), np.int64)], 1)
 
         for b in batches:
-            t, g, w = (np.concatenate([r, b.column(i).to_numpy()]) for i, r in enumerate(rest))
+            t, g = (np.concatenate([r, b.column(i).to_numpy()]) for i, r in enumerate(rest))
             last = int(np.searchsorted(t, t[-1])) if len(t) else 0  # the last shingle may go on in the next batch
-            rest = [t[last:], g[last:], w[last:]]
-            for p in pairs(t[:last], g[:last], w[:last]):
+            rest = [t[last:], g[last:]]
+            for p in pairs(t[:last], g[:last]):
                 held.append(p)
                 size += len(p)
                 if size > 2_000_000:
@@ -160,9 +161,8 @@ def group_pairs(postings: DataFrame) -> DataFrame:
         held.extend(pairs(*rest))
         yield out()
 
-    dealt = postings.repartition("t").sortWithinPartitions("t", "gid", "w")
-    met = dealt.mapInArrow(run, "g1 long, g2 long, n long").groupBy("g1", "g2").agg(F.sum("n").alias("n"))
-    return met.filter(F.col("n") >= SHARED).select("g1", "g2")
+    dealt = postings.repartition("t").sortWithinPartitions("t", "gid")
+    return dealt.mapInArrow(run, "g1 long, g2 long, n long").groupBy("g1", "g2").agg(F.sum("n").alias("n"))
 
 
 class Group:
@@ -263,18 +263,20 @@ def linked_rows(docs: DataFrame, percent: int = 75, group_size: int = 512, queri
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     frequent = frequent_shingles(slim)
     digest = keep(digests(slim, frequent, percent), "digest")
-    classes = keep(digest.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.max("gkey").alias("gkey")), "classes")
+    classes = keep(digest.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.max("gkey").alias("gkey"), F.max("n").alias("n")), "classes")
     large = classes.groupBy("gkey").agg(F.count("*").alias("k")).filter(F.col("k") > group_size).select("gkey", F.ceil(F.col("k") / group_size).alias("cuts"))
 
     def with_gid(df: DataFrame) -> DataFrame:
         cut = F.coalesce(F.pmod(F.xxhash64("cid"), "cuts"), F.lit(0).cast("long"))
         return df.join(large, "gkey", "left").withColumn("gid", F.xxhash64("gkey", cut)).drop("cuts")
 
-    grouped = keep(with_gid(classes).select("cid", "rep", "size", "gid"), "groups")
-    postings = with_gid(digest.filter(F.size("prefix") > 0).select("cid", "gkey", "prefix", F.when(F.col("n") <= SHARED, SHARED).otherwise(1).cast("long").alias("w"))).select(F.explode("prefix").alias("t"), "gid", "w")
-    pairs = keep(group_pairs(postings), "pairs")
-
-    members = grouped.groupBy("gid").agg(F.count("*").alias("k"))
+    grouped = keep(with_gid(classes).select("cid", "rep", "size", "gid", F.least(4 + F.floor(F.col("n") / 12), F.ceil(percent * F.col("n") / 100)).alias("least")), "groups")
+    postings = with_gid(digest.filter(F.size("prefix") > 0).select("cid", "gkey", "prefix")).select(F.explode("prefix").alias("t"), "gid")
+    members = grouped.groupBy("gid").agg(F.count("*").alias("k"), F.min("least").alias("least"))
+    ends = [members.select(F.col("gid").alias(g), F.col("least").alias(f"least{g}")) for g in ("g1", "g2")]
+    met = group_pairs(postings).join(ends[0], "g1").join(ends[1], "g2")
+    pairs = keep(met.filter(F.col("n") >= F.least("leastg1", "leastg2")).select("g1", "g2"), "pairs")
+    members = members.drop("least")
     asked = pairs.join(members.select(F.col("gid").alias("g1"), F.col("k").alias("k1")), "g1").groupBy(F.col("g2").alias("gid")).agg(F.sum("k1").alias("asked"))
     opened = members.join(asked, "gid", "left").filter("k > 1 or asked is not null")
     opened = keep(opened.select("gid", F.ceil((F.coalesce("asked", F.lit(0)) + F.col("k")) / queries_a_part).cast("int").alias("salts")), "opened")
