@@ -29,7 +29,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered for the frequent ones."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h

@@ -68,7 +68,7 @@ BODY = (np.uint16, np.bool_, np.uint64, np.uint32, np.uint32, np.uint16, np.uint
 ANSWER = (np.uint16, np.float32, np.float64, np.uint16, np.uint16, np.uint16, np.uint16, np.uint16)
 
 
-def pair_blocks(docs: DataFrame, heavy: np.ndarray, shards: int, block_tokens: int = 1_000_000) -> DataFrame:
+def pair_blocks(docs: DataFrame, heavy: np.ndarray, shards: int, block_tokens: int = 700_000) -> DataFrame:
     """(shard, block, body): the pairs of a block of documents that a shard needs; in shard -1 the block's own ids and lengths."""
     order_of = np.argsort(heavy)
     ranked = heavy[order_of]
@@ -259,7 +259,7 @@ def block_sums(known: DataFrame, seen_term: np.ndarray, back_term: np.ndarray, b
     return rows.mapInPandas(run, "block long, ord int, doc_id long, held_out boolean, n_tokens long, known long, base double, score double")
 
 
-def lm_scores(docs: DataFrame, discount: float = DISCOUNT, shard_bytes: int = 16 << 20) -> DataFrame:
+def lm_scores(docs: DataFrame, discount: float = DISCOUNT, shard_bytes: int = 10 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learned from rows whose crc32(doc_id) modulo 10 is not 0.
 
     score: sum of log10 P(word | word before), where P is (c(h, w) - discount) / c(h) for a
