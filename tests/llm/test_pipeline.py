@@ -20,7 +20,7 @@ def test_stages(spark, docs, labels, items, tmp_path):
     now = write(docs, labels, items, sf)
     stages = dict(corpus_pipeline.STAGES)
     scores = {r.doc_id: r.score for r in toxicity.score(now, toxicity.fit(now, labels)).collect()}
-    pairs = lambda df: [(r.doc_id, r.text) for r in df.collect()]
+    pairs = lambda df: [tuple(r)[:2] for r in df.select("doc_id", "text").collect()]
 
     out = stages["toxicity"](spark, now, sf).cache()
     assert out.columns == now.columns
@@ -29,7 +29,7 @@ def test_stages(spark, docs, labels, items, tmp_path):
     stay = {x[0] for x in brute.jaccard(pairs(before)) if x[0] == x[2]}
     assert out.columns == now.columns and {p[0] for p in pairs(out)} == stay
     before, out = out, stages["decontamination"](spark, out, sf).cache()
-    bad = {x[0] for x in brute.contamination(pairs(before), pairs(items)) if x[-1]}
+    bad = {x[0] for x in brute.contamination(pairs(before), [tuple(r) for r in items.collect()]) if x[-1]}
     assert out.columns == now.columns and {p[0] for p in pairs(out)} == {p[0] for p in pairs(before)} - bad
     before, out = out, stages["mixing"](spark, out, sf).cache()
     assert out.columns == now.columns and Counter(pairs(out)) == Counter(pairs(before))
