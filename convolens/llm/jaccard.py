@@ -1,7 +1,7 @@
 """N-gram Jaccard join over a token-group matrix.
 
 Documents with the same set of shingles are a class. Classes with the same least
-shingle hash are a group, cut at ``group_size`` classes; its row of the matrix is the
+shingle hash are a group, cut where it gets large; its row of the matrix is the
 union of its classes' shingles. A class is a query to each group that shares one of its
 prefix shingles, and opens the group only if its overlap with the group's union can
 reach the similarity; only then the sets in it are compared, exactly.
@@ -55,6 +55,10 @@ def shingles(text: str, hashes: WordHashes, n: int = 5) -> np.ndarray:
     return np.unique(mixed(h))
 
 
+#: Shingles of a group at most, about, whatever its number of sets: what one task holds of it.
+GROUP_SHINGLES = 1 << 21
+
+
 def shared(n: int, percent: int) -> int:
     """How many prefix shingles a set of ``n`` has in common with any similar set: more than a passage that many texts repeat gives by itself."""
     return min(4 + n // 12, -(-percent * n // 100))
@@ -258,13 +262,14 @@ def open_groups(dealt: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInPandas(run, "cid long, root long, links long")
 
 
-def linked_rows(docs: DataFrame, percent: int = 75, group_size: int = 512, queries_a_part: int = 2048) -> DataFrame:
+def linked_rows(docs: DataFrame, percent: int = 75, group_size: int = 8192, queries_a_part: int = 8192) -> DataFrame:
     """Per row: doc_id, mark (hash of the text), n, root (class that names the component, null without a set), component_id and n_links."""
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     frequent = frequent_shingles(slim)
     digest = keep(digests(slim, frequent, percent), "digest")
     classes = keep(digest.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.max("gkey").alias("gkey"), F.max("n").alias("n")), "classes")
-    large = classes.groupBy("gkey").agg(F.count("*").alias("k")).filter(F.col("k") > group_size).select("gkey", F.ceil(F.col("k") / group_size).alias("cuts"))
+    cuts = F.greatest(F.ceil(F.count("*") / group_size), F.ceil(F.sum("n") / GROUP_SHINGLES))
+    large = classes.groupBy("gkey").agg(cuts.alias("cuts")).filter("cuts > 1")
 
     def with_gid(df: DataFrame) -> DataFrame:
         cut = F.coalesce(F.pmod(F.xxhash64("cid"), "cuts"), F.lit(0).cast("long"))
@@ -273,9 +278,11 @@ def linked_rows(docs: DataFrame, percent: int = 75, group_size: int = 512, queri
     grouped = keep(with_gid(classes).select("cid", "rep", "size", "gid", F.least(4 + F.floor(F.col("n") / 12), F.ceil(percent * F.col("n") / 100)).alias("least")), "groups")
     postings = with_gid(digest.filter(F.size("prefix") > 0).select("cid", "gkey", "prefix")).select(F.explode("prefix").alias("t"), "gid")
     members = grouped.groupBy("gid").agg(F.count("*").alias("k"), F.min("least").alias("least"))
-    ends = [members.select(F.col("gid").alias(g), F.col("least").alias(f"least{g}")) for g in ("g1", "g2")]
+    ends = [members.select(F.col("gid").alias(g), F.col("least").alias(f"least{g}"), F.col("k").alias(f"k{g}")) for g in ("g1", "g2")]
     met = group_pairs(postings).join(ends[0], "g1").join(ends[1], "g2")
-    pairs = keep(met.filter(F.col("n") >= F.least("leastg1", "leastg2")).select("g1", "g2"), "pairs")
+    near = met.filter(F.col("n") >= F.least("leastg1", "leastg2"))
+    turned = (F.col("kg1") > F.col("kg2")) | ((F.col("kg1") == F.col("kg2")) & (F.col("g1") > F.col("g2")))  # the smaller group asks the larger one
+    pairs = keep(near.select(F.when(turned, F.col("g2")).otherwise(F.col("g1")).alias("g1"), F.when(turned, F.col("g1")).otherwise(F.col("g2")).alias("g2")), "pairs")
     members = members.drop("least")
     asked = pairs.join(members.select(F.col("gid").alias("g1"), F.col("k").alias("k1")), "g1").groupBy(F.col("g2").alias("gid")).agg(F.sum("k1").alias("asked"))
     opened = members.join(asked, "gid", "left").filter("k > 1 or asked is not null")
@@ -310,7 +317,7 @@ def linked_rows(docs: DataFrame, percent: int = 75, group_size: int = 512, queri
     return out.select("doc_id", "mark", "n", "root", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def jaccard_join(docs: DataFrame, percent: int = 75, group_size: int = 512, queries_a_part: int = 2048) -> DataFrame:
+def jaccard_join(docs: DataFrame, percent: int = 75, group_size: int = 8192, queries_a_part: int = 8192) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least doc_id reachable), n_links (other rows that link with it).
 
     Two rows link when 100 * |intersection| >= percent * |union| of their sets of
