@@ -1,11 +1,11 @@
-"""Removal of multi-line chunks that repeat anywhere, cut by content, in DataFrame operations."""
+"""Removal of chunks and of whole passages of lines that repeat anywhere, in DataFrame operations."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convolens.llm.shared import keep, let, small
+from convolens.llm.shared import keep, let, small, words_of
 
 
 def chunk_ends(lines: Column, window: int = 2, divisor: int = 4) -> Column:
@@ -79,3 +79,68 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_li
         F.coalesce(removed, F.lit(0)).cast("long").alias("removed_lines"),
         F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long").alias("removed_chunks"),
     )
+
+
+def _pieces(lines: Column, long_words: int) -> Column:
+    """Array of struct(i, n): every two lines in a row (n = 2), and every line of more than ``long_words`` words (n = 1)."""
+    at = lambda i, n: F.struct(i.cast("int").alias("i"), F.lit(n).alias("n"))
+    pairs = F.when(F.size(lines) > 1, F.transform(F.sequence(F.lit(0), F.size(lines) - 2), lambda i: at(i, 2)))
+    # that many words have as many characters and the blanks between
+    long = lambda x: (F.length(x) > 2 * long_words) & (F.size(words_of(x)) > long_words)
+    single = F.filter(F.transform(lines, lambda x, i: F.when(long(x), at(i, 1))), lambda x: x.isNotNull())
+    return F.concat(F.coalesce(pairs, F.array().cast("array<struct<i:int,n:int>>")), single)
+
+
+def dedup_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", long_words: int = 50) -> DataFrame:
+    """``docs`` with later copies of whole passages cut out of ``text``, and n_lines, n_chunks, removed_lines, removed_chunks.
+
+    The rolling hash over two lines is compared at every line and not only at the ends
+    of chunks, so a passage of two lines or more that also stands before goes from its
+    first line to its last, whatever the text around it; so does a single line of more
+    than ``long_words`` words. The piece with the least (key, text, line) stays, and a
+    piece that overlaps it is no copy. A line that goes stands before, so no line is
+    lost from the table. Equal 64-bit hashes only nominate; the bytes are compared.
+    Chunks are those of ``chunk_ends``; removed_chunks are those with no line left.
+    Nulls, blanks and equal rows are as in ``dedup_lines``.
+    """
+    added = ["n_lines", "n_chunks", "removed_lines", "removed_chunks"]
+    base = docs.drop(*added)
+    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    full = base.filter(F.col(text).isNotNull()).select(F.col(key).alias("id"), mark.alias("mark"), F.split(F.col(text), "\n").alias("l"))
+
+    def hashed(lines: Column) -> Column:
+        hash_of = lambda p: F.when(p["n"] == 2, F.xxhash64(F.get(lines, p["i"]), F.get(lines, p["i"] + 1))).otherwise(F.xxhash64(F.get(lines, p["i"])))
+        return F.transform(_pieces(lines, long_words), lambda p: F.struct(p["i"].alias("i"), p["n"].alias("n"), hash_of(p).alias("hash")))
+
+    pieces = full.select("id", "mark", F.explode(hashed(F.col("l"))).alias("p"))
+    marked = keep(pieces.select(F.struct("id", "mark", "p.i").alias("place"), "p.n", "p.hash"), "pieces")
+    repeated = marked.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first != last").select(F.col("hash").alias("h"), "first")
+    named = marked.join(repeated, F.col("hash") == F.col("h")).select("hash", "first", "place", "n")
+
+    # only pieces whose hash repeats bring their bytes
+    wanted = keep(named.groupBy(F.col("place.id").alias("w_id"), F.col("place.mark").alias("w_mark")).agg(F.collect_set(F.struct(F.col("place.i").alias("i"), "n", "hash", "first")).alias("named")), "named")
+    held = full.join(small(wanted), F.col("id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark")))
+    bytes_of = F.transform("named", lambda x: F.struct(x["i"].alias("i"), x["n"].alias("n"), x["hash"].alias("hash"), x["first"].alias("first"), F.array_join(F.slice("l", x["i"] + 1, x["n"]), "\n").alias("bytes")))
+    texts = held.select("id", "mark", F.explode(bytes_of).alias("x")).select(F.struct("id", "mark", "x.i").alias("place"), "x.n", "x.hash", "x.first", "x.bytes")
+    texts = keep(texts, "bytes")
+    kept = texts.filter(F.col("place") == F.col("first")).groupBy(F.col("hash").alias("h")).agg(F.first("bytes").alias("kept"))
+    apart = ~(F.col("place.id").eqNullSafe(F.col("first.id")) & (F.col("place.mark") == F.col("first.mark")) & (F.col("place.i") < F.col("first.i") + F.col("n")))
+    copies = texts.filter((F.col("place") != F.col("first")) & apart).join(kept, F.col("hash") == F.col("h")).filter(F.col("bytes") == F.col("kept"))
+    gone = copies.groupBy(F.col("place.id").alias("__id"), F.col("place.mark").alias("__mark")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("place.i"), F.col("place.i") + F.col("n") - 1))))).alias("__gone"))
+    gone = small(keep(gone, "gone"))
+
+    lines = F.split(F.col(text), "\n")
+    joined = base.withColumn("__m", mark).join(gone, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark")), "left")
+    ends = F.when(F.col(text).isNotNull(), chunk_ends(lines))
+    # the lines that stay, by number, and the chunks that hold one of them
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+    whole = let(F.struct(ends.alias("ends"), stay.alias("stay")), lambda p: F.size(p["ends"]) - F.size(F.filter(p["ends"], lambda end, k: F.exists(p["stay"], lambda i: (i <= end) & (i > F.coalesce(F.get(p["ends"], k - 1), F.lit(-1)))))))
+    left = let(lines, lambda x: F.array_join(F.transform(stay, lambda i: F.get(x, i)), "\n"))
+    found = F.col("__gone").isNotNull()
+    return joined.select(
+        *[c if c != text else F.when(found, left).otherwise(F.col(text)).alias(text) for c in base.columns],
+        F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(ends)).cast("long").alias("n_chunks"),
+        F.when(found, F.size("__gone")).otherwise(F.lit(0)).cast("long").alias("removed_lines"),
+        F.when(found, whole).otherwise(F.lit(0)).cast("long").alias("removed_chunks"),
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from convolens.llm import bytecnn, oracles, toxicity
 from convolens.llm.decontam import decontaminate
 from convolens.llm.jaccard import jaccard_join
-from convolens.llm.linededup import dedup_lines
+from convolens.llm.linededup import dedup_passages
 from convolens.llm.lm import lm_scores
 from convolens.llm.mixing import mix
 from convolens.llm.quality import quality_rules
@@ -62,7 +62,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_lines", "n_chunks", "removed_lines", "removed_chunks", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
