@@ -62,14 +62,15 @@ def jump_shards(key: Column, shards: int) -> Column:
     return let(walk, lambda s: F.struct(s["at"].cast("int").alias("shard"), s["grown"].cast("int").alias("grown")))
 
 
-def shard_rows(df: DataFrame, key: str = "doc_id", shards: int = 40, ties: list[str] = ()) -> DataFrame:
+def shard_rows(df: DataFrame, key: str = "doc_id", shards: int = 40, ties: list[str] = (), order: str | None = None) -> DataFrame:
     """Add ``shard``, ``grown_shard`` (with one shard more) and ``slot``, gapless from 0 in a shard.
 
     The key alone decides the shard: rows with one key, nulls too, stay together, and
     a further shard takes rows only into itself. An empty table stays empty. Columns
-    of those names that ``df`` has are replaced. Slots are in the order of a hash of the key.
+    of those names that ``df`` has are replaced. Slots are in the order of a hash of the
+    key, or of the column ``order``, which numbers all rows from 0.
     """
     base = df.drop("shard", "grown_shard", "slot")
     placed = base.withColumn("__jump", jump_shards(F.col(key), shards))
     placed = placed.select(*base.columns, F.col("__jump.shard").alias("shard"), F.col("__jump.grown").alias("grown_shard"))
-    return number_rows(placed, ["shard"], key, "slot", ties)
+    return number_rows(placed, ["shard"], key, "slot", ties, order=order)

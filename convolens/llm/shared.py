@@ -66,15 +66,19 @@ def order_key(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
-def number_rows(df: DataFrame, groups: list[str], key: str, out: str, ties: list[str] = (), bits: int = 10) -> DataFrame:
-    """Number the rows of each group from 0 without a gap, in the order of a hash of ``key``.
+def number_rows(df: DataFrame, groups: list[str], key: str, out: str, ties: list[str] = (), bits: int = 10, order: str | None = None) -> DataFrame:
+    """Number the rows of each group from 0 without a gap, in the order of a hash of ``key``, or of the numbers ``order``.
 
     A group is cut into ``2 ** bits`` ranges of the hash, so that a group with a third
     of all rows is still many small windows; a range starts where the counts of the
-    ranges before it end. Groups may be null; ties go by ``ties``.
+    ranges before it end. Groups may be null; ties go by ``ties``. With ``order``, a
+    column that numbers all rows from 0, a range has 4,096 of its numbers.
     """
     h, r = "__hash", "__range"
-    cut = df.withColumn(h, order_key(F.col(key))).withColumn(r, F.shiftright(F.col(h), 60 - bits).cast("int"))
+    if order is None:
+        cut = df.withColumn(h, order_key(F.col(key))).withColumn(r, F.shiftright(F.col(h), 60 - bits).cast("int"))
+    else:
+        cut = df.withColumn(h, F.col(order)).withColumn(r, F.shiftright(F.col(h), 12).cast("int"))
     sizes = cut.groupBy(*groups, r).agg(F.count("*").alias("__n"))
     before = W.partitionBy(*groups).orderBy(r).rowsBetween(W.unboundedPreceding, -1)
     starts = keep(sizes.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col(r).alias("__r2"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")), "starts")

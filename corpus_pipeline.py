@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from convolens.llm import toxicity
 from convolens.llm.decontam import drop_contaminated
@@ -27,15 +28,20 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """``docs`` with position, the place of a row in the mix. It follows from the rows alone, so each stage that asks gets the same."""
+    out = mix(docs.withColumn("__tie", F.xxhash64("text")), ties=["n_chars", "__tie"])
+    return out.select(*docs.columns, "position")
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, written in the order in which Pfair scheduling interleaves their sources."""
-    mixed = mix(docs, ties=["n_chars", "text"])
-    return mixed.repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
+    return mixed(docs).repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with shard, grown_shard and slot, by jump consistent hashing of doc_id."""
-    return shard_rows(docs, ties=["n_chars", "text"])
+    """All rows with shard and grown_shard, by jump consistent hashing of doc_id, and slot: a shard's rows in the order of the mix."""
+    return shard_rows(mixed(docs), order="position").drop("position")
 
 
 STAGES = [
