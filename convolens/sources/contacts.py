@@ -55,18 +55,28 @@ def nearest_place(points: DataFrame, gazetteer: DataFrame, key: str, most_places
     """(key, place): ``City Admin Country`` of the nearest place by the great circle.
 
     The gazetteer is a fixed reference table; one with more than ``most_places`` rows is refused.
+    A place in the nine cells of one degree around a point is taken only if it is nearer
+    than their edge; every other point is compared with all places.
     """
     if gazetteer.limit(most_places + 1).count() > most_places:
         raise ValueError(f"the gazetteer has more than {most_places} places")
     rad = F.radians
+    wrap = lambda lon: F.pmod(lon + 180, F.lit(360)) - 180
     g = gazetteer.select(F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"), "city", "admin", "country_code")
-    # a place and its cell; a point looks in its own cell and the eight around, and in all only if they are empty
-    cell = lambda lat, lon: (F.floor(lat), F.floor(lon))
-    g = g.withColumn("cy", cell(F.col("g_lat"), F.col("g_lon"))[0]).withColumn("cx", cell(F.col("g_lat"), F.col("g_lon"))[1])
-    around = points.filter("lat is not null").select(key, "lat", "lon", F.explode(F.sequence(F.floor("lat") - 1, F.floor("lat") + 1)).alias("cy"), F.floor("lon").alias("c")).select("*", F.explode(F.sequence(F.col("c") - 1, F.col("c") + 1)).alias("cx"))
+    g = g.withColumn("cy", F.floor("g_lat")).withColumn("cx", wrap(F.floor("g_lon")))
+    at = [key, "lat", "lon"]
+    asked = points.filter("lat is not null and lon is not null").select(*at).distinct()
+    # to the edge: by latitude, or across the meridian at the edge; any way out of the cells is as long as one of the two
+    up = F.least(F.col("lat") - F.floor("lat") + 1, F.floor("lat") + 2 - F.col("lat"))
+    side = F.least(F.col("lon") - F.floor("lon") + 1, F.floor("lon") + 2 - F.col("lon"))
+    edge = F.least(F.pow(F.sin(rad(up) / 2), 2), (1 - F.sqrt(1 - F.pow(F.cos(rad("lat")) * F.sin(rad(side)), 2))) / 2)
+    around = asked.select(*at, edge.alias("edge"), F.explode(F.sequence(F.floor("lat") - 1, F.floor("lat") + 1)).alias("cy"), F.floor("lon").alias("c")).select("*", F.explode(F.sequence(F.col("c") - 1, F.col("c") + 1)).alias("x")).withColumn("cx", wrap(F.col("x")))
     a = F.pow(F.sin((rad("g_lat") - rad("lat")) / 2), 2) + F.cos(rad("lat")) * F.cos(rad("g_lat")) * F.pow(F.sin((rad("g_lon") - rad("lon")) / 2), 2)
     names = F.create_map(*[F.lit(x) for kv in COUNTRIES.items() for x in kv])
     label = F.concat_ws(" ", "city", "admin", F.coalesce(names[F.col("country_code")], F.col("country_code")))
-    near = around.join(F.broadcast(g), ["cy", "cx"]).select(key, label.alias("place"), a.alias("d"))
-    rest = points.filter("lat is not null").join(near.select(key).distinct(), key, "left_anti").join(F.broadcast(g)).select(key, label.alias("place"), a.alias("d"))
-    return near.unionByName(rest).groupBy(key).agg(F.min_by("place", F.struct("d", "place")).alias("place"))
+    # at the edge itself a place outside may be as near, so a hit is well inside it
+    near = around.join(F.broadcast(g), ["cy", "cx"]).select(*at, label.alias("place"), a.alias("d"), "edge").filter(F.col("d") < F.col("edge") * (1 - 1e-9))
+    done = near.select(*[F.col(c).alias(f"__{c}") for c in at]).distinct()
+    open_points = asked.join(done, (F.col(key).eqNullSafe(F.col(f"__{key}"))) & (F.col("lat") == F.col("__lat")) & (F.col("lon") == F.col("__lon")), "left_anti")
+    rest = open_points.join(F.broadcast(g)).select(key, label.alias("place"), a.alias("d"))
+    return near.select(key, "place", "d").unionByName(rest).groupBy(key).agg(F.min_by("place", F.struct("d", "place")).alias("place"))
