@@ -120,7 +120,10 @@ def attachments(spark, sf):
 @query("attachments_collect", """with a as (select user_id, event_type, case event_type when 'purchase' then 'Photo' when 'click' then 'Video' when 'view' then 'PDF' else 'Attachment' end as label from events where event_id % 5 = 0)
   select user_id, case when count(*) = 1 then min(label) when count(distinct label) = 1 then count(*) || ' ' || lower(min(label)) || 's' else count(*) || ' attachments' end as kind from a group by user_id""")
 def attachments_collect(spark, sf):
-    e = table(spark, sf, "events").filter("event_id % 5 = 0")
+    return collected(table(spark, sf, "events").filter("event_id % 5 = 0"))
+
+
+def collected(e):
     mime = F.when(F.col("event_type") == "purchase", "image/png").when(F.col("event_type") == "click", "video/mp4").when(F.col("event_type") == "view", "application/pdf")
     labelled = e.withColumn("label", T.attachment_label(mime, F.lit(None).cast("string"), F.lit(0)))
     g = labelled.groupBy("user_id").agg(F.count("*").alias("c"), F.count_distinct("label").alias("k"), F.min("label").alias("one"))
@@ -411,8 +414,12 @@ LOGIT = "(chunk_id * 37 % 101 - 80) / 10.0"
 SCORED = f"{SESSIONS}, sc as (select *, {LOGIT} as logit, chunk_id % 5 = 0 as lexical from chunks where chunk_id % 13 = 0)"
 
 
+def all_scored(spark, sf):
+    return event_chunks(spark, sf).withColumn("logit", (F.col("chunk_id") * 37 % 101 - 80) / 10.0).withColumn("lexical", F.col("chunk_id") % 5 == 0)
+
+
 def scored_chunks(spark, sf):
-    return event_chunks(spark, sf).filter("chunk_id % 13 = 0").withColumn("logit", (F.col("chunk_id") * 37 % 101 - 80) / 10.0).withColumn("lexical", F.col("chunk_id") % 5 == 0)
+    return all_scored(spark, sf).filter("chunk_id % 13 = 0")
 
 
 @query("rerank_head", f"""with {SCORED}, r as (select *, row_number() over (order by logit desc, chunk_id) as a from sc), t as (select *, row_number() over (partition by a > 9 order by start_ts desc, chunk_id) as b from r)
@@ -455,6 +462,54 @@ def session_expand(spark, sf):
     return out.select("chat_id", F.col("day").cast("string").alias("day"), F.array_join(F.col("context_ids").cast("array<string>"), ",").alias("context_ids"))
 
 
+# the same operators over every chunk, message and event
+
+
+def whole(sql: str) -> str:
+    return sql.replace(" where chunk_id % 13 = 0", "")
+
+
+@query("rerank_head_all", whole(ORACLE["rerank_head"]))
+def rerank_head_all(spark, sf):
+    return ranking.head(all_scored(spark, sf), "chunk_id").select("chunk_id", r6("logit"))
+
+
+@query("session_scores_all", whole(ORACLE["session_scores"]))
+def session_scores_all(spark, sf):
+    s = ranking.sessions(all_scored(spark, sf), NOW)
+    return s.select("chat_id", F.col("day").cast("string").alias("day"), r6("score"), "latest", "is_lexical", F.array_join(F.col("chunk_ids").cast("array<string>"), ",").alias("chunk_ids"))
+
+
+@query("session_reserve_all", whole(ORACLE["session_reserve"]))
+def session_reserve_all(spark, sf):
+    return ranking.reserve_sessions(ranking.sessions(all_scored(spark, sf), NOW)).select("chat_id", F.col("day").cast("string").alias("day"), "place")
+
+
+@query("paginate_all", whole(ORACLE["paginate"]))
+def paginate_all(spark, sf):
+    placed = ranking.reserve_sessions(ranking.sessions(all_scored(spark, sf), NOW))
+    return ranking.page(placed, 8, 8).select("chat_id", F.col("day").cast("string").alias("day"), "place", "has_more", "next_offset")
+
+
+@query("session_expand_all", whole(ORACLE["session_expand"]))
+def session_expand_all(spark, sf):
+    hits = all_scored(spark, sf).select("chat_id", ranking.day_of(F.col("start_ts")).alias("day"), "chunk_id")
+    out = ranking.expand(hits, event_chunks(spark, sf))
+    return out.select("chat_id", F.col("day").cast("string").alias("day"), F.array_join(F.col("context_ids").cast("array<string>"), ",").alias("context_ids"))
+
+
+@query("recency_slots_all", ORACLE["recency_slots"].replace(" where msg_id % 11 = 0 qualify rank <= 60", "").replace(" where msg_id % 22 = 0", ""))
+def recency_slots_all(spark, sf):
+    m = event_messages(spark, sf)
+    fused = m.withColumn("rank", F.row_number().over(W.orderBy(F.col("msg_id") * 7919 % 10007, "msg_id"))).select("msg_id", "rank")
+    return ranking.reserve_recent(fused, m.select("msg_id", "ts"), "msg_id")
+
+
+@query("attachments_collect_all", ORACLE["attachments_collect"].replace(" where event_id % 5 = 0", ""))
+def attachments_collect_all(spark, sf):
+    return collected(table(spark, sf, "events"))
+
+
 @query("browse_recent", f"""with {SESSIONS}, t as (select * from chunks order by start_ts desc, chunk_id desc limit 50)
   select chat_id, cast(to_timestamp(start_ts) at time zone 'UTC' as date)::varchar as day, max(start_ts) as latest, array_to_string(list_sort(list(chunk_id)), ',') as chunk_ids from t group by all""")
 def browse_recent(spark, sf):
