@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,9 +41,13 @@ def collapse_urls(t: Column) -> Column:
     return F.regexp_replace(hosts, r"(?i)https?://\S+", "[link:link]")
 
 
+# What counts as an e-mail address and as a telephone number.
+EMAIL, PHONE = r"(?U)[\w.+-]+@[\w-]+\.[\w.-]+", r"\+?\d[\d\-\s().]{7,}\d"
+
+
 def redact(t: Column) -> Column:
     """E-mail addresses, then telephone numbers, to placeholders."""
-    return F.regexp_replace(F.regexp_replace(t, r"(?U)[\w.+-]+@[\w-]+\.[\w.-]+", "[email]"), r"\+?\d[\d\-\s().]{7,}\d", "[phone]")
+    return F.regexp_replace(F.regexp_replace(t, EMAIL, "[email]"), PHONE, "[phone]")
 
 
 def middle_drop(tokens: Column, most: int) -> Column:
@@ -65,16 +72,19 @@ def match_score(t: Column, terms: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(words(t), terms)), F.lit(0))
 
 
+# What is counted in a chunk, or only looked for.
+SIGNALS = {
+    "entity_count": (r"(?<!^)(?<![.!?]\s)\b[A-Z][a-z]+\b", "count"),
+    "has_url": (r"\[link:", "any"),
+    "has_number": (r"(?U)\d", "any"),
+    "has_long_token": (r"(?U)\b\w{15,}\b", "any"),
+    "token_count": (r"(?U)\w+", "count"),
+}
+
+
 def regex_signals(t: Column) -> dict[str, Column]:
     """What makes a chunk worth a question: capitalised names inside sentences, links, numbers, long words, length."""
-    has = lambda p: t.rlike(p).cast("int")
-    return {
-        "entity_count": F.regexp_count(t, F.lit(r"(?<!^)(?<![.!?]\s)\b[A-Z][a-z]+\b")),
-        "has_url": has(r"\[link:"),
-        "has_number": has(r"(?U)\d"),
-        "has_long_token": has(r"(?U)\b\w{15,}\b"),
-        "token_count": F.regexp_count(t, F.lit(r"(?U)\w+")),
-    }
+    return {name: F.regexp_count(t, F.lit(p)) if how == "count" else t.rlike(p).cast("int") for name, (p, how) in SIGNALS.items()}
 
 
 def content_words(t: Column) -> Column:
@@ -88,27 +98,49 @@ def vocabulary_overlap(question: Column, source: Column) -> Column:
     return F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(q, content_words(source))) / F.size(q))
 
 
+def _plain_letters() -> dict[int, str]:
+    """Letters with marks in one code point, by the Unicode decomposition, to the letter alone."""
+    bare = {c: "".join(x for x in unicodedata.normalize("NFD", chr(c)) if unicodedata.category(x)[0] != "M") for c in range(0xC0, 0x2000)}
+    return {c: x for c, x in bare.items() if len(x) == 1 and x != chr(c)}
+
+
+PLAIN_LETTERS = _plain_letters()
+
+
+def plain_terms(text: str) -> list[str]:
+    """On the driver what ``index_terms`` is on a column: the two must agree, or a word is never found."""
+    bare = "".join(c for c in text.lower().translate(PLAIN_LETTERS) if unicodedata.category(c)[0] != "M")
+    return [w for w in re.split(r"[\W_]+", bare) if w]
+
+
 def index_terms(t: Column) -> Column:
-    """Terms of the inverted index, before stemming: lower case, without accents, cut at anything but letters and digits."""
-    plain = F.regexp_replace(F.lower(t), r"\p{M}+", "")
-    accents = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-    plain = F.translate(plain, accents, "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Terms of the inverted index, before stemming: lower case, without marks on letters, cut at anything but letters and digits."""
+    plain = F.translate(F.lower(t), "".join(map(chr, PLAIN_LETTERS)), "".join(PLAIN_LETTERS.values()))
+    return F.filter(F.split(F.regexp_replace(plain, r"\p{M}+", ""), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+# Labels of attachments, each with the types that it is for: whole media types, beginnings of media types,
+# whole uniform type names, their beginnings, and parts of them. The first label that fits counts.
+ATTACHMENTS = {
+    "GIF": (("image/gif",), (), (), (), ("gif",)),
+    "Photo": ((), ("image/",), ("public.jpeg", "public.png"), ("public.hei",), ()),
+    "Video": ((), ("video/",), (), (), ("movie", "mpeg-4")),
+    "Audio message": ((), ("audio/",), (), (), ("audio",)),
+    "PDF": (("application/pdf",), (), ("com.adobe.pdf",), (), ()),
+    "Contact card": (("text/vcard",), (), (), (), ("vcard",)),
+}
 
 
 def attachment_label(mime: Column, uti: Column, is_sticker: Column) -> Column:
     """What to call an attachment, by either of two type names that may be missing."""
     m, u = F.lower(F.coalesce(mime, F.lit(""))), F.lower(F.coalesce(uti, F.lit("")))
-    return (
-        F.when(F.coalesce(is_sticker.cast("int"), F.lit(0)) != 0, "Sticker")
-        .when((m == "image/gif") | u.contains("gif"), "GIF")
-        .when(m.startswith("image/") | u.startswith("public.hei") | u.isin("public.jpeg", "public.png"), "Photo")
-        .when(m.startswith("video/") | u.contains("movie") | u.contains("mpeg-4"), "Video")
-        .when(m.startswith("audio/") | u.contains("audio"), "Audio message")
-        .when((m == "application/pdf") | (u == "com.adobe.pdf"), "PDF")
-        .when((m == "text/vcard") | u.contains("vcard"), "Contact card")
-        .otherwise("Attachment")
-    )
+    label = F.when(F.coalesce(is_sticker.cast("int"), F.lit(0)) != 0, "Sticker")
+    for name, (types, openings, names, name_openings, parts) in ATTACHMENTS.items():
+        fits = m.isin(*types) | u.isin(*names)
+        for test in [*map(m.startswith, openings), *map(u.startswith, name_openings), *map(u.contains, parts)]:
+            fits = fits | test
+        label = label.when(fits, name)
+    return label.otherwise("Attachment")
 
 
 def joined_label(count: Column, kinds: Column, one: Column) -> Column:

@@ -30,12 +30,7 @@ def term_stats(index: DataFrame, key: str) -> DataFrame:
 
 def parse_terms(query: str, stem: bool = False) -> list[str]:
     """Word terms of a query, in order, each once; driver side, as queries are short."""
-    import re
-    import unicodedata
-
-    plain = "".join(c for c in unicodedata.normalize("NFKD", query.lower()) if not unicodedata.combining(c))
-    found = [w for w in re.split(r"[\W_]+", plain) if w]
-    return list(dict.fromkeys(porter_stem(w) if stem else w for w in found))
+    return list(dict.fromkeys(porter_stem(w) if stem else w for w in T.plain_terms(query)))
 
 
 def idf(n: Column, df: Column) -> Column:

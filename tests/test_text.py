@@ -89,3 +89,12 @@ def test_blobs():
     tiff += struct.pack("<6I", 40, 1, 30, 1, 0, 1) + struct.pack("<6I", 8, 1, 15, 1, 0, 1)
     assert exif_position(b"\xff\xd8\xff\xe1\0\0Exif\0\0" + tiff) == pytest.approx((40.5, -8.25))
     assert exif_position(b"nothing") is None and exif_position(tiff[:20]) is None
+
+
+def test_accents_are_folded_alike_on_both_sides(spark):
+    from convolens.operators import lexical
+
+    docs = spark.createDataFrame([(1, "Škoda Łódź"), (2, "Ângström ǆ"), (3, "plain"), (4, "Řéka")], "id long, t string")
+    index, stats = lexical.postings(docs, "id", "t"), lexical.doc_stats(docs, "id", "t")
+    for word, found in (("Škoda", {1}), ("skoda", {1}), ("łódź", {1}), ("angstrom", {2}), ("řéka", {4}), ("PLAIN", {3})):
+        assert {r.id for r in lexical.bm25(index, stats, lexical.parse_terms(word), "id").collect()} == found
