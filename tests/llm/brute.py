@@ -136,21 +136,29 @@ def jaccard(docs, percent=75):
 
 
 def lm(docs, discount=0.75):
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): back-off over the two words before."""
     import math
     from collections import Counter
 
-    tokens = [(d, crc(str(d)) % 10 == 0, ["<s>", *WORD.findall((t or "").translate(LOW)), "</s> "]) for d, t in docs]
-    uni = Counter(w for _, h, ws in tokens if not h for w in ws[1:])
-    first = Counter(w for _, h, ws in tokens if not h for w in ws[:-1])
-    bi = Counter(p for _, h, ws in tokens if not h for p in zip(ws, ws[1:], strict=False))
-    after = Counter(a for a, _ in bi)
-    n, v = sum(uni.values()), len(uni)
-    base = lambda w: (uni[w] + 0.1) / (n + 0.1 * (v + 1))
-
-    def p(a, b):
-        if bi[a, b]:
-            return (bi[a, b] - discount) / first[a]
-        return base(b) * (discount * after[a] / first[a] if first[a] else 1)
-
-    return [(d, h, len(ws) - 1, sum(uni[w] > 0 for w in ws[1:]), n, sum(math.log10(base(w)) for w in ws[1:]), sum(math.log10(p(a, b)) for a, b in zip(ws, ws[1:], strict=False))) for d, h, ws in tokens]
+    tokens = [(d, crc(str(d)) % 10 == 0, ["<s> ", "<s> ", *WORD.findall((t or "").translate(LOW)), "</s> "]) for d, t in docs]
+    grams = {k: Counter(tuple(ws[i - k + 1 : i + 1]) for _, h, ws in tokens if not h for i in range(2, len(ws))) for k in (1, 2, 3)}
+    total, after = Counter(), Counter()
+    for k in (2, 3):
+        for g, c in grams[k].items():
+            total[g[:-1]] += c
+            after[g[:-1]] += 1
+    n, v = sum(grams[1].values()), len(grams[1])
+    base = lambda w: (grams[1][w,] + 0.1) / (n + 0.1 * (v + 1))
+
+    def p(gram):
+        h = gram[:-1]
+        if not h:
+            return base(gram[0])
+        if grams[len(gram)][gram]:
+            return (grams[len(gram)][gram] - discount) / total[h]
+        return p(gram[1:]) * (discount * after[h] / total[h] if total[h] else 1)
+
+    return [
+        (d, h, len(ws) - 2, sum(grams[1][w,] > 0 for w in ws[2:]), n, sum(math.log10(base(w)) for w in ws[2:]), sum(math.log10(p(tuple(ws[i - 2 : i + 1]))) for i in range(2, len(ws))))
+        for d, h, ws in tokens
+    ]
