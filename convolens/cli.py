@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from convolens.plans.parse import Contacts, parse_query
 from convolens.plans.search import Engine, build_index
 from convolens.sources.contacts import handle_names
-from convolens.sources.messages import clean_messages, read_source
+from convolens.sources.messages import chat_roster, chat_table, clean_messages, read_source
 from convolens.sources.store import IndexStore
 
 
@@ -33,18 +33,19 @@ def main(args: list[str] | None = None) -> int:
             s.add_argument("--limit", type=int, default=50)
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("convolens").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    messages = clean_messages(read_source(spark, a.source))
+    tables = read_source(spark, a.source)
+    messages = clean_messages(tables)
     if a.command == "build":
         print(build_index(spark, messages, a.index))
         return 0
     contacts = spark.read.parquet(a.contacts) if a.contacts else None
-    engine = Engine(spark, IndexStore(spark, a.index), messages, handle_names(contacts) if contacts is not None else None)
+    engine = Engine(spark, IndexStore(spark, a.index), messages, handle_names(contacts) if contacts is not None else None, chat_roster(tables), chat_table(tables))
     if a.command == "status":
         engine.status().show(truncate=False, vertical=True)
     elif a.command == "conversation":
         engine.conversation(a.chat_id, a.around, a.limit).show(a.limit, False)
     else:
-        q = parse_query(a.query, datetime.now(UTC), Contacts.collect(contacts) if contacts is not None else None)
+        q = parse_query(a.query, datetime.now(UTC), Contacts.collect(contacts, messages) if contacts is not None else None)
         for row in engine.search(q, a.offset, a.show, a.redact).select("payload").collect():
             print(row["payload"])
     return 0

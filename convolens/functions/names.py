@@ -8,7 +8,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
 
 
 def _shape(w: str) -> str:
@@ -133,6 +133,19 @@ def stem_udf(s: pd.Series) -> pd.Series:
     return s.map(porter_stem, na_action="ignore")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def stem_all_udf(s: pd.Series) -> pd.Series:
+    """Arrays of terms to arrays of stems; a term that comes again in a batch is stemmed once."""
+    known: dict[str, str] = {}
+
+    def stem(w: str) -> str:
+        if w not in known:
+            known[w] = porter_stem(w)
+        return known[w]
+
+    return s.map(lambda ws: [stem(w) for w in ws], na_action="ignore")
+
+
 @F.pandas_udf(StringType())
 def fold_name_udf(s: pd.Series) -> pd.Series:
     return s.map(fold_name, na_action="ignore")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from convolens.operators import ranges
+
 DAY, LONE = 86_400, 9999.0
 Z = 1.96
 
@@ -26,19 +28,20 @@ def within_a_day(chunks: DataFrame) -> DataFrame:
 def rank_share(df: DataFrame, value: str, out: str, skip: float | None = None) -> DataFrame:
     """Add the share of values below; values equal to ``skip`` count for none and get 1.
 
-    Counted by value first, so the one window over all runs over distinct values.
+    Counted by value first, then over ranges of values.
     """
     counted = df.filter(F.col(value) != skip) if skip is not None else df
     sizes = counted.groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
-    w = W.orderBy("__v")
-    below = sizes.select("__v", F.coalesce(F.sum("__n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__b"), F.sum("__n").over(W.partitionBy(F.lit(0))).alias("__all"))
+    every = sizes.agg(F.sum("__n").alias("__all"))
+    below = ranges.summed_before(sizes, "__v", F.col("__n"), "__b").crossJoin(F.broadcast(every)).select("__v", "__b", "__all")
     return df.join(below, F.col(value) == F.col("__v"), "left").withColumn(out, F.coalesce(F.col("__b") / F.col("__all"), F.lit(1.0))).drop("__v", "__b", "__all")
 
 
 def quartile_bands(df: DataFrame, value: str, out: str) -> DataFrame:
     """Add the band 0 to 3 by the values that stand at n//4, n//2 and 3n//4 of the sorted ones; nulls have none."""
     sizes = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    run = sizes.select("v", F.sum("n").over(W.orderBy("v")).alias("upto"), F.sum("n").over(W.partitionBy(F.lit(0))).alias("all"))
+    every = sizes.agg(F.sum("n").alias("all"))
+    run = ranges.summed_before(sizes, "v", F.col("n"), "before").crossJoin(F.broadcast(every)).withColumn("upto", F.col("before") + F.col("n"))
     at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.col("all") * q / 4), F.col("v")))
     cuts = run.agg(at(1).alias("__q1"), at(2).alias("__q2"), at(3).alias("__q3"))
     v = F.col(value)
@@ -64,7 +67,7 @@ def candidate_scores(df: DataFrame) -> DataFrame:
 
 
 def category() -> Column:
-    """The first that fits of six kinds of question."""
+    """The first that fits of six kinds of question. The kinds, their order and their bounds."""
     yes = lambda c: F.col(c).cast("int") == 1
     return (F.when(yes("has_geo") | yes("has_attachment"), "media_geo").when(yes("has_url") | yes("has_long_token"), "exact_string")
             .when(yes("is_group") & (F.col("participant_count") >= 3), "person_filtered").when(F.col("isolation_share") >= 0.8, "time_filtered")
@@ -90,7 +93,7 @@ def stratified(df: DataFrame, target: int = 300, shares: dict[int, float] | None
 
 
 def every_nth(df: DataFrame, n: int, *order: str) -> DataFrame:
-    return df.withColumn("__i", F.row_number().over(W.orderBy(*order)) - 1).filter(F.col("__i") % n == 0).drop("__i")
+    return ranges.numbered(df, *order, out="__i").filter(F.col("__i") % n == 0).drop("__i")
 
 
 def wilson(hits: Column, n: Column, z: float = Z) -> tuple[Column, Column]:

@@ -27,10 +27,15 @@ def with_sender(messages: DataFrame, names: DataFrame | None = None) -> DataFram
 
 
 def hydrate(wanted: DataFrame, members: DataFrame, messages: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """Message rows of sessions. ``wanted``: chat_id, day, chunk_id, is_hit. A message in several chunks stands once, as a hit if one is."""
-    rows = wanted.join(members, "chunk_id").groupBy("chat_id", "day", "msg_id").agg(F.max("is_hit").alias("is_hit"))
-    full = with_sender(messages.filter((F.trim(F.coalesce("text", F.lit(""))) != "") | F.col("has_attachment")), names)
-    return rows.join(full.drop("chat_id").dropDuplicates(["msg_id"]), "msg_id")
+    """Message rows of sessions. ``wanted``: chat_id, day, chunk_id, is_hit, those of a page. A message in several chunks stands once, as a hit if one is.
+
+    The few wanted rows meet the messages first; of several rows with one id the earliest by time and text counts.
+    """
+    rows = F.broadcast(wanted).join(members, "chunk_id").groupBy("chat_id", "day", "msg_id").agg(F.max("is_hit").alias("is_hit"))
+    full = with_sender(messages.filter((F.trim(F.coalesce("text", F.lit(""))) != "") | F.col("has_attachment")), names).drop("chat_id")
+    met = full.join(F.broadcast(rows), "msg_id")
+    first = F.row_number().over(W.partitionBy("chat_id", "day", "msg_id").orderBy("ts", "text"))
+    return met.withColumn("__first", first).filter("__first = 1").drop("__first")
 
 
 def nest(rows: DataFrame) -> DataFrame:
@@ -65,9 +70,13 @@ def tail_limit(behind: int) -> int:
     return min(2 * behind + 50, TAIL_CAP)
 
 
-def live_tail(messages: DataFrame, since: float, limit: int, until: float | None = None, chats: DataFrame | None = None) -> DataFrame:
-    """(chat_id, day, msg_id, ...) newer than the index, of the last ``limit`` rows by id; the horizon filters and never ends the reading, as ids are not in order of time."""
+def live_tail(messages: DataFrame, since: float, limit: int, until: float | None = None, chats: DataFrame | None = None, start: float | None = None) -> DataFrame:
+    """(chat_id, day, msg_id, ...) newer than the index, of the last ``limit`` rows by id; the horizon filters and never ends the reading, as ids are not in order of time.
+
+    Dates and chats that a search asks for hold here as well.
+    """
     last = messages.orderBy(F.desc("msg_id")).limit(limit).filter(F.col("ts") > since)
+    last = last.filter(F.col("ts") >= start) if start is not None else last
     last = last.filter(F.col("ts") <= until) if until is not None else last
     last = last.join(chats, "chat_id", "left_semi") if chats is not None else last
     return last.withColumn("day", day_of(F.col("ts"))).withColumn("is_hit", F.lit(True))

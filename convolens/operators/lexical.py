@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convolens.functions import text as T
-from convolens.functions.names import porter_stem, stem_udf
+from convolens.functions.names import porter_stem, stem_all_udf
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
 
 def postings(docs: DataFrame, key: str, text: str, stem: bool = False) -> DataFrame:
-    """term, key, tf, positions (from 0). With ``stem``, each distinct term is stemmed once."""
-    rows = docs.select(key, F.posexplode(T.index_terms(F.coalesce(text, F.lit("")))).alias("pos", "term"))
-    if stem:
-        stems = rows.select("term").distinct().withColumn("stem", stem_udf("term"))
-        rows = rows.join(stems, "term").select(key, "pos", F.col("stem").alias("term"))
-    return rows.groupBy("term", key).agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """term, key, tf, dl (places of the whole text), positions (from 0). With ``stem`` the terms are stems.
+
+    Stems are found text by text, so no term, however common, is gathered in one task; the
+    one shuffle is by (term, key).
+    """
+    terms = T.index_terms(F.coalesce(text, F.lit("")))
+    held = docs.select(key, (stem_all_udf(terms) if stem else terms).alias("ws")).withColumn("dl", F.size("ws"))
+    rows = held.select(key, "dl", F.posexplode("ws").alias("pos", "term"))
+    grouped = rows.groupBy("term", key).agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    return grouped.select("term", key, "tf", "dl", "positions")
 
 
 def doc_stats(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -83,6 +89,40 @@ def phrase_search(index: DataFrame, stats: DataFrame, phrase: list[str], key: st
     return scored.select(key, (idf(F.col("n"), F.col("df")) * _weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score")).orderBy(F.desc(F.round("score", 9)), key).limit(k)
 
 
+def matched(index: DataFrame, terms: list[str], key: str, candidates: DataFrame | None = None) -> DataFrame:
+    """(key, dl, hits): the documents that have one of the terms, with struct(term, tf, positions) of each that they have.
+
+    The one read of an index that all arms of a search share: a filter on literal terms
+    reaches the file, whose rows are in the order of terms.
+    """
+    hit = index.filter(F.col("term").isin(*terms))
+    if candidates is not None:
+        hit = hit.join(candidates.select(key).distinct(), key, "left_semi")
+    return hit.groupBy(key).agg(F.first("dl").alias("dl"), F.collect_list(F.struct("term", "tf", "positions")).alias("hits"))
+
+
+def bm25_of(words: list[str], docs: dict[str, int], n: int, avgdl: float) -> Column:
+    """BM25 of a row of ``matched``, null without all of the words. ``docs``: how many documents have a word."""
+    own = F.filter("hits", lambda h: h["term"].isin(*words))
+    weight = F.create_map(*[F.lit(x) for w in words for x in (w, max(math.log((n - docs.get(w, 0) + 0.5) / (docs.get(w, 0) + 0.5)), FLOOR))])
+    score = F.aggregate(own, F.lit(0.0), lambda a, h: a + weight[h["term"]] * _weight(h["tf"], F.col("dl"), F.lit(avgdl)))
+    return F.when(F.size(own) == len(words), score)
+
+
+def _starts(word: str, place: int) -> Column:
+    """Where a phrase would begin by the places of its word number ``place``."""
+    own = F.filter("hits", lambda h: h["term"] == word)
+    return F.flatten(F.transform(own, lambda h: F.transform(h["positions"], lambda p: p - place)))
+
+
+def phrase_count(phrase: list[str]) -> Column:
+    """How often the words stand one after the other in a row of ``matched``; null if never."""
+    common = _starts(phrase[0], 0)
+    for i, word in enumerate(phrase[1:], 1):
+        common = F.array_intersect(common, _starts(word, i))
+    return F.when(F.size(common) > 0, F.size(common))
+
+
 def mean_top_idf(docs: DataFrame, index: DataFrame, key: str, text: str, top: int = 5) -> DataFrame:
     """(key, idf_mean): mean of the greatest ln(N / df) among a text's distinct terms that the index knows; 0 without any."""
     n = docs.agg(F.countDistinct(key).alias("n"))

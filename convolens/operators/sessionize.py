@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from convolens.functions.text import strip_placeholder, token_count
+from convolens.operators import ranges
 
 #: Seconds without a message that end a window, its tokens and messages at most, and messages that the next one takes over.
 GAP, TOKENS, MESSAGES, OVERLAP = 2700, 400, 40, 2
@@ -85,7 +86,7 @@ def positional_diff(fresh: DataFrame, existing: DataFrame) -> DataFrame:
     top = existing.agg(F.coalesce(F.max("chunk_id"), F.lit(0)).alias("top"))
     # ids of new windows: chats one after the other, so a chat's first id is what chats before it need
     need = marked.filter("action = 'insert'").groupBy("chat_id").agg(F.count("*").alias("n"))
-    before = need.select("chat_id", F.coalesce(F.sum("n").over(W.orderBy("chat_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = ranges.summed_before(need, "chat_id", F.col("n"), "before").select("chat_id", "before")
     numbered = marked.withColumn("i", F.sum((F.col("action") == "insert").cast("long")).over(W.partitionBy("chat_id").orderBy("k")))
     ids = F.coalesce("old_id", F.col("top") + F.col("before") + F.col("i"))
     return numbered.join(before, "chat_id", "left").crossJoin(F.broadcast(top)).select("chat_id", (F.col("k") - 1).alias("position"), "action", ids.cast("long").alias("chunk_id"), F.col("new_ids").alias("msg_ids"))

@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -70,15 +72,35 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def knn(vectors: DataFrame, query: list[float] | DataFrame, key: str, vector: str, k: int = 200, candidates: DataFrame | None = None) -> DataFrame:
-    """(key, distance): the exact k nearest by cosine, ties by key. Candidates come before the distances; an empty set gives no rows."""
+    """(key, distance): the exact k nearest by cosine, ties by key. Candidates come before the distances; an empty set gives no rows.
+
+    A batch of vectors is one matrix product, and only the k best of a batch leave it.
+    Vectors of another length than the query, or with nulls, have no distance.
+    """
     if candidates is not None:
         vectors = vectors.join(candidates.select(key).distinct(), key, "left_semi")
     if isinstance(query, DataFrame):
-        rows = vectors.crossJoin(F.broadcast(query.select(F.col(query.columns[0]).alias("__q")).limit(1)))
-        q = F.col("__q")
-    else:
-        rows, q = vectors, F.array(*[F.lit(float(x)) for x in query])
-    return rows.select(key, cosine_distance(F.col(vector), q).alias("distance")).orderBy(F.round("distance", 9), key).limit(k)
+        first = query.select(query.columns[0]).first()
+        query = list(first[0]) if first else []
+    q = np.asarray(query, np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = np.linalg.norm(q)
+        for b in batches:
+            lists = b.column(1)
+            fit = (pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False) == len(q)) & (len(q) > 0)
+            some = b.filter(pa.array(fit))
+            x = some.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, max(1, len(q)))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                d = 1 - (x @ q if len(x) else np.zeros(0)) / (np.linalg.norm(x, axis=1) * size)
+            own = np.flatnonzero(np.isfinite(d))
+            keys = some.column(0).to_numpy(zero_copy_only=False)
+            best = own[np.lexsort((keys[own], np.round(d[own], 9)))][:k]
+            yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(best)), pa.array(d[best])], ["key", "distance"])
+
+    kind = vectors.schema[key].dataType.simpleString()
+    near = vectors.select(key, vector).mapInArrow(run, f"key {kind}, distance double").withColumnRenamed("key", key)
+    return near.orderBy(F.round("distance", 9), key).limit(k)
 
 
 def nearest_other(vectors: DataFrame, key: str, vector: str, shared: DataFrame | None = None, block: int = 2048) -> DataFrame:

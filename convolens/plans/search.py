@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from convolens.operators import filters, hydrate, lexical, ranking, render, sessionize, vectors
-from convolens.plans.parse import ParsedQuery
-from convolens.sources.store import IndexStore
+from convolens.functions.text import TERM_STOPWORDS
+from convolens.operators import filters, hydrate, lexical, ranges, ranking, render, sessionize, vectors
+from convolens.plans.parse import ParsedQuery, effective_filters
+from convolens.sources.store import IndexStore, Snapshot
 
 CALIBRATION_SAMPLE = 2000
+#: Results of an arm: by words or vectors, and by the verbatim phrase.
+ARM, PHRASE_ARM = 200, 20
 
 
 @dataclass
@@ -31,49 +35,69 @@ def window_rows(chunks: DataFrame, messages: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "chat_id", F.posexplode("msg_ids").alias("pos", "msg_id")).join(messages, ["chat_id", "msg_id"])
 
 
-def build_index(spark: SparkSession, messages: DataFrame, out: str, models: Models | None = None, files: DataFrame | None = None, prune: bool = True, **cut) -> str:
+def build_index(spark: SparkSession, messages: DataFrame, out: str, models: Models | None = None, files: DataFrame | None = None, prune: bool = True, limit_chunks: int | None = None, **cut) -> str:
     """Index ``messages`` at ``out``, or bring the index there up to date, as a new version; returns its name.
 
     Windows that are as before keep their ids and vectors; only new and changed ones are
     embedded. The calibration of the first build stays, so that old and new vectors compare.
-    ``files``: (msg_id, files). ``cut``: parameters of sessionize.chunk_messages.
+    ``files``: (msg_id, files). ``limit_chunks``: build only the first so many windows by chat
+    and place, and prune nothing. ``cut``: parameters of sessionize.chunk_messages. What a
+    later table needs is written and read back, so nothing is computed twice.
     """
     models, store = models or Models(), IndexStore(spark, out)
-    fresh = sessionize.with_content_hash(sessionize.chunk_messages(messages, **cut), messages)
-    old = store.exists()
-    if old:
-        before = store.read("chunks")
-        diff = sessionize.positional_diff(fresh, before)
+    before, w = store.snapshot(missing_ok=True), store.writer()
+    fresh = w.put("fresh", sessionize.with_content_hash(sessionize.chunk_messages(messages, **cut), messages))
+    if limit_chunks is not None:
+        fresh, prune = fresh.orderBy("chat_id", "position").limit(limit_chunks), False
+    if before:
+        diff = sessionize.positional_diff(fresh, before.read("chunks"))
         diff = diff if prune else diff.withColumn("action", F.when(F.col("action") == "delete", "same").otherwise(F.col("action")))
     else:
-        first = F.sum("n").over(W.orderBy("chat_id").rowsBetween(W.unboundedPreceding, -1))
-        starts = fresh.groupBy("chat_id").agg(F.count("*").alias("n")).select("chat_id", F.coalesce(first, F.lit(0)).alias("start"))
+        sizes = fresh.groupBy("chat_id").agg(F.count("*").alias("n"))
+        starts = ranges.summed_before(sizes, "chat_id", F.col("n"), "start").select("chat_id", "start")
         diff = fresh.join(starts, "chat_id").select("chat_id", "position", F.lit("insert").alias("action"), (F.col("start") + F.col("position") + 1).alias("chunk_id"))
+    diff = w.put("diff", diff)
     changed = diff.filter(F.col("action").isin("insert", "rewrite")).select("chat_id", "position", "chunk_id").join(fresh, ["chat_id", "position"])
     rows = window_rows(changed, messages)
     rows = rows.join(files, "msg_id", "left") if files is not None else rows
+    rows = w.put("rows", rows)
     texts = render.semantic_text(rows, ["chunk_id"]).join(render.lexical_text(rows, ["chunk_id"]), "chunk_id")
-    new = changed.join(texts, "chunk_id", "left").select("chunk_id", "chat_id", "position", "start_ts", "end_ts", "has_attachment", "msg_ids", "content_hash", *[F.coalesce(c, F.lit("")).alias(c) for c in ("body_semantic", "body_lexical")])
-    raw = vectors.embed(new.select("chunk_id", "body_semantic"), "body_semantic", make=models.make_embedder)
-    if old and "int8_absmax" in (meta := store.meta()):
-        absmax = spark.createDataFrame([(float(meta["int8_absmax"]),)], "absmax double")
+    bodies = [F.coalesce(c, F.lit("")).alias(c) for c in ("body_semantic", "body_lexical")]
+    new = changed.join(texts, "chunk_id", "left").select("chunk_id", "chat_id", "position", "start_ts", "end_ts", "has_attachment", "msg_ids", "content_hash", *bodies)
+    kept = diff.filter("action = 'same'").select("chunk_id")
+    keep = lambda name: before.read(name).join(kept, "chunk_id", "left_semi")
+    chunks = w.put("chunks", keep("chunks").unionByName(new) if before else new)
+    ids = diff.filter(F.col("action").isin("insert", "rewrite")).select("chunk_id")
+    written = chunks.join(ids, "chunk_id", "left_semi") if before else chunks
+    raw = w.put("raw", vectors.embed(written.select("chunk_id", "body_semantic"), "body_semantic", make=models.make_embedder).drop("body_semantic"))
+    if before and "int8_absmax" in before.meta:
+        most = float(before.meta["int8_absmax"])
     else:
-        absmax = vectors.absmax(raw, "embedding", sample=CALIBRATION_SAMPLE, key="chunk_id")
-    coded = raw.crossJoin(F.broadcast(absmax)).select("chunk_id", vectors.quantize_int8(F.col("embedding"), F.greatest("absmax", F.lit(1e-12))).alias("embedding"))
-    if old:
-        same = diff.filter("action = 'same'").select("chunk_id")
-        keep = lambda name: store.read(name).join(same, "chunk_id", "left_semi")
-        chunks, coded = keep("chunks").unionByName(new), keep("vectors").unionByName(coded)
-    else:
-        chunks = new
-    meta_rows = absmax.select(F.lit("int8_absmax").alias("key"), F.col("absmax").cast("string").alias("value")).unionByName(spark.createDataFrame([("semantic_format_version", "1"), ("lexical_format_version", "1"), ("embed_version", "1")], "key string, value string"))
-    index = lexical.postings(chunks, "chunk_id", "body_lexical", stem=True)
-    return store.write({"chunks": chunks, "chunk_message": sessionize.membership(chunks), "vectors": coded, "postings": index, "doc_stats": lexical.doc_stats(chunks, "chunk_id", "body_lexical"), "meta": meta_rows})
+        most = vectors.absmax(raw, "embedding", sample=CALIBRATION_SAMPLE, key="chunk_id").first()["absmax"]
+    coded = raw.select("chunk_id", vectors.quantize_int8(F.col("embedding"), F.lit(max(most or 0.0, 1e-12))).alias("embedding"))
+    coded = coded.select("chunk_id", vectors.norm(F.col("embedding")).alias("norm"), "embedding")
+    w.put("vectors", keep("vectors").unionByName(coded) if before else coded)
+    w.put("chunk_message", sessionize.membership(chunks))
+    index = w.put("postings", lexical.postings(chunks, "chunk_id", "body_lexical", stem=True))
+    w.put("terms", index.groupBy("term").agg(F.count("*").alias("docs")))
+    stats = w.put("doc_stats", lexical.doc_stats(chunks, "chunk_id", "body_lexical"))
+    total = stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    last = messages.agg(F.max("msg_id")).first()[0]
+    meta = {
+        "int8_absmax": None if most is None else str(most), "n_docs": str(total["n"]), "avgdl": str(total["avgdl"] or 0.0), "last_msg_id": None if last is None else str(last),
+        "semantic_format_version": "1", "lexical_format_version": "1", "embed_version": "1",
+    }
+    w.put("meta", spark.createDataFrame([(k, v) for k, v in meta.items() if v is not None], "key string, value string"))
+    return w.publish()
 
 
 @dataclass
 class Engine:
-    """Searches an index; ``messages`` is the source as it is now, perhaps newer than the index. ``names``: (handle, display_name)."""
+    """Searches an index; ``messages`` is the source as it is now, perhaps newer than the index. ``names``: (handle, display_name).
+
+    Each question reads one snapshot of the index. Lists of results are bounded (hundreds of
+    windows, tens of sessions), so between retrieval and the page they are on the driver.
+    """
 
     spark: SparkSession
     index: IndexStore
@@ -88,98 +112,145 @@ class Engine:
         self.models = self.models or Models()
         self.roster = self.roster if self.roster is not None else self.messages.filter(F.col("handle").isNotNull()).select("chat_id", "handle").distinct()
         self.pages: dict = {}
+        self.snapshot: Snapshot | None = None
 
-    def candidates(self, q: ParsedQuery, by_sender: bool = True) -> DataFrame | None:
-        chunks = self.index.read("chunks")
+    def at(self) -> Snapshot:
+        """The index as it is now; tables and settings of a version that is known are not looked up again."""
+        fresh = self.index.snapshot()
+        if self.snapshot is None or fresh.version != self.snapshot.version:
+            self.snapshot = fresh
+        return self.snapshot
+
+    def chat_set(self, q: ParsedQuery) -> DataFrame | None:
+        """Chats that the question's people, kinds and list of chats leave; None if it has none of these."""
         people = filters.participant_chats(self.roster, self.messages, list(q.participants)) if q.participants else None
         kinds = None
         if q.is_group is not None:
             base = self.chats if self.chats is not None else self.messages.select("chat_id").distinct().withColumn("style", F.lit(None).cast("int"))
             kinds = filters.chat_kinds(base, self.roster).filter(F.col("is_group") == q.is_group)
         listed = self.spark.createDataFrame([(c,) for c in q.chat_ids], "chat_id long") if q.chat_ids is not None else None
-        out = filters.candidate_chunks(chunks, q.date_from, q.date_to, q.has_media, filters.chat_filter(people, kinds, listed))
+        return filters.chat_filter(people, kinds, listed)
+
+    def candidates(self, q: ParsedQuery, by_sender: bool = True, at: Snapshot | None = None) -> DataFrame | None:
+        at = at or self.at()
+        out = filters.candidate_chunks(at.read("chunks"), q.date_from, q.date_to, q.has_media, self.chat_set(q))
         if q.senders and by_sender:
-            out = filters.narrow_by_sender(out, filters.chunks_by_sender(self.messages, self.index.read("chunk_message"), list(q.senders), q.has_media))
+            out = filters.narrow_by_sender(out, filters.chunks_by_sender(self.messages, at.read("chunk_message"), list(q.senders), q.has_media))
         return out
 
-    def retrieve(self, q: ParsedQuery, expansions: tuple[str, ...] = ()) -> DataFrame:
-        """(chunk_id, place): at most 50, from vectors, words, the verbatim phrase and further phrasings."""
-        candidates, index, stats = self.candidates(q), self.index.read("postings"), self.index.read("doc_stats")
-        meta = self.index.meta()
-        if "int8_absmax" not in meta:
+    def arms(self, q: ParsedQuery, expansions: tuple[str, ...], at: Snapshot) -> tuple[list[tuple[int, int, int]], set[int]]:
+        """(arm, chunk_id, rank) of vectors, words, the verbatim phrase and further phrasings; and the chunks that have the phrase."""
+        if "int8_absmax" not in at.meta:
             raise RuntimeError("the index is not calibrated")
+        candidates = self.candidates(q, at=at)
         unit = self.models.make_embedder()([vectors.QUERY_PREFIX + q.semantic])[0]
-        coded = np.clip(np.rint(unit.astype(np.float64) * 127 / max(float(meta["int8_absmax"]), 1e-12)), -127, 127)
-        dense = vectors.knn(self.index.read("vectors"), coded.tolist(), "chunk_id", "embedding", candidates=candidates)
-        arms = [ranking.arm(dense, "chunk_id", F.round("distance", 9), F.col("chunk_id"))]
-        words = lexical.parse_terms(q.semantic, stem=True)
-        by_score = (F.desc(F.round("score", 9)), F.col("chunk_id"))
-        found = [lexical.bm25(index, stats, words, "chunk_id", candidates=candidates)]
-        phrase = lexical.parse_terms(q.semantic, stem=True)
-        if len(phrase) > 1:
-            found.append(lexical.phrase_search(index, stats, phrase, "chunk_id", candidates=candidates))
-        found += [lexical.bm25(index, stats, lexical.parse_terms(x, stem=True), "chunk_id", candidates=candidates) for x in expansions]
-        arms += [ranking.arm(f, "chunk_id", *by_score) for f in found]
+        coded = np.clip(np.rint(unit.astype(np.float64) * 127 / max(float(at.meta["int8_absmax"]), 1e-12)), -127, 127)
+        dense = vectors.knn(at.read("vectors"), coded.tolist(), "chunk_id", "embedding", ARM, candidates).collect()
+        best = sorted(dense, key=lambda r: (round(r["distance"], 9), r["chunk_id"]))
+        out = [(0, r["chunk_id"], i + 1) for i, r in enumerate(best)]
+
+        asked = [lexical.parse_terms(x, stem=True) for x in (q.semantic, *expansions)]
+        terms = sorted({t for words in asked for t in words})
+        if not terms:
+            return out, set()
+        docs = {r["term"]: r["docs"] for r in at.read("terms").filter(F.col("term").isin(*terms)).collect()}
+        n, avgdl = int(at.meta["n_docs"]), max(float(at.meta["avgdl"]), 1e-9)
+        hits = lexical.matched(at.read("postings"), terms, "chunk_id")
+        scores: list[tuple[int, int, Column]] = [(i + 1, ARM, lexical.bm25_of(words, docs, n, avgdl)) for i, words in enumerate(asked) if words]
+        phrase = asked[0]
+        if len(phrase) > 1:  # as one term: all its places are as many as the windows that have it
+            hits = hits.withColumn("times", lexical.phrase_count(phrase)).withColumn("with_phrase", F.count("times").over(W.partitionBy(F.col("times").isNotNull())))
+            weight = lexical.idf(F.lit(n), F.col("with_phrase"))
+            scores.append((len(asked) + 1, PHRASE_ARM, weight * lexical._weight(F.col("times"), F.col("dl"), F.lit(avgdl))))
+        else:
+            hits = hits.withColumn("times", lexical.phrase_count(phrase) if phrase else F.lit(None).cast("int"))
+        if candidates is not None:
+            hits = hits.join(candidates.select("chunk_id").distinct(), "chunk_id", "left_semi")
+        rows = hits.select("chunk_id", F.col("times").isNotNull().alias("verbatim"), F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(k).alias("k"), s.alias("score")) for a, k, s in scores])).alias("x"))
+        order = W.partitionBy("x.arm").orderBy(F.desc(F.round("x.score", 9)), "chunk_id")
+        top = rows.filter("x.score is not null").withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= ARM) & (F.col("rank") <= F.col("x.k")))
+        got = top.select(F.col("x.arm").alias("arm"), "chunk_id", "rank", "verbatim").collect()
+        # arms in the order in which ties of the fusion look at them: words, the phrase, further phrasings
+        place = {1: 1, len(asked) + 1: 2, **{i + 1: i + 2 for i in range(1, len(asked))}}
+        return out + [(place[r["arm"]], r["chunk_id"], r["rank"]) for r in got], {r["chunk_id"] for r in got if r["verbatim"]}
+
+    def retrieve(self, q: ParsedQuery, expansions: tuple[str, ...] = (), at: Snapshot | None = None) -> DataFrame:
+        """(chunk_id, place, lexical): at most 50, from vectors, words, the verbatim phrase and further phrasings."""
+        at = at or self.at()
+        ranked, verbatim = self.arms(q, expansions, at)
+        lists = self.spark.createDataFrame(ranked, "arm int, chunk_id long, rank int")
+        arms = [lists.filter(F.col("arm") == a).select("chunk_id", "rank") for a in range(3 + len(expansions))]
         fused = ranking.arm(ranking.rrf(arms, "chunk_id"), "chunk_id", F.desc(F.round("score", 12)), F.col("seen"), F.col("chunk_id"))
-        matched = None
-        for f in found:
-            matched = f.select("chunk_id") if matched is None else matched.union(f.select("chunk_id"))
-        times = matched.distinct().join(self.index.read("chunks").select("chunk_id", F.col("start_ts").alias("ts")), "chunk_id")
-        return ranking.reserve_recent(fused, times, "chunk_id")
-
-    def ranked_sessions(self, q: ParsedQuery, expansions: tuple[str, ...] = ()) -> DataFrame:
-        key = (q, expansions, self.index.version()[1])
+        found = sorted({c for a, c, _ in ranked if a > 0})
+        times = self.some_chunks(at, found).select("chunk_id", F.col("start_ts").alias("ts"))
+        places = ranking.reserve_recent(fused, times, "chunk_id")
+        return self.spark.createDataFrame([(r["chunk_id"], r["place"], r["chunk_id"] in verbatim) for r in places.collect()], "chunk_id long, place int, lexical boolean")
+
+    def some_chunks(self, at: Snapshot, ids: list[int]) -> DataFrame:
+        """Rows of a bounded list of windows; the filter on literal ids reaches the file."""
+        return at.read("chunks").filter(F.col("chunk_id").isin(*ids)) if ids else at.read("chunks").limit(0)
+
+    def ranked_sessions(self, q: ParsedQuery, expansions: tuple[str, ...] = (), at: Snapshot | None = None) -> DataFrame:
+        at = at or self.at()
+        key = (q, expansions, at.version)
         if key not in self.pages:
             while len(self.pages) >= 8:
                 self.pages.pop(next(iter(self.pages)))
-            chunks = self.index.read("chunks")
-            top = chunks.select("chunk_id", "chat_id", "start_ts", "body_semantic").join(F.broadcast(self.retrieve(q, expansions)), "chunk_id")
-            scored = ranking.rerank(q.semantic, top, "body_semantic", self.models.pair_score)
-            phrase = lexical.parse_terms(q.semantic, stem=True)
-            verbatim = lexical.phrase_places(self.index.read("postings"), phrase, "chunk_id").select("chunk_id", F.lit(True).alias("lexical"))
-            marked = scored.join(verbatim, "chunk_id", "left").withColumn("lexical", F.coalesce("lexical", F.lit(False)))
+            places = self.retrieve(q, expansions, at)
+            ids = [r["chunk_id"] for r in places.collect()]
+            top = self.some_chunks(at, ids).select("chunk_id", "chat_id", "start_ts", "body_semantic").join(F.broadcast(places), "chunk_id")
+            scored = ranking.rerank(q.semantic, top, "body_semantic", self.models.pair_score).drop("body_semantic").collect()
+            marked = self.spark.createDataFrame(scored, "chunk_id long, chat_id long, start_ts double, place int, lexical boolean, logit double")
             now = self.now or time.time()
-            best = ranking.reserve_sessions(ranking.sessions(ranking.head(marked, "chunk_id"), now)).withColumn("tier", F.lit(0))
-            rest = ranking.sessions(marked, now).join(best.select("chat_id", "day"), ["chat_id", "day"], "left_anti").withColumn("place", F.lit(None).cast("int")).withColumn("tier", F.lit(1))
-            both = best.select("chat_id", "day", "score", "latest", "chunk_ids", "place", "tier").unionByName(rest.select("chat_id", "day", "score", "latest", "chunk_ids", "place", "tier"))
-            order = W.partitionBy(F.lit(0)).orderBy("tier", F.asc_nulls_last("place"), F.desc("score"), "chat_id", "day")
-            self.pages[key] = both.withColumn("place", F.row_number().over(order)).drop("tier").cache()
-        return self.pages[key]
-
-    def _rows(self, page: DataFrame) -> DataFrame:
-        chunks = self.index.read("chunks")
+            columns = ["chat_id", "day", "score", "latest", "chunk_ids"]
+            best = ranking.reserve_sessions(ranking.sessions(ranking.head(marked, "chunk_id"), now)).select(*columns, "place")
+            every = ranking.sessions(marked, now).select(*columns)
+            first = {(r["chat_id"], r["day"]): r for r in best.collect()}
+            rest = sorted((r for r in every.collect() if (r["chat_id"], r["day"]) not in first), key=lambda r: (-r["score"], r["chat_id"], r["day"]))
+            ordered = [*sorted(first.values(), key=lambda r: r["place"]), *rest]
+            self.pages[key] = [(*(r[c] for c in columns), i + 1) for i, r in enumerate(ordered)]
+        return self.spark.createDataFrame(self.pages[key], "chat_id long, day date, score double, latest double, chunk_ids array<long>, place int")
+
+    def _rows(self, page: DataFrame, at: Snapshot) -> DataFrame:
+        chunks = at.read("chunks")
         hits = page.select("chat_id", "day", F.explode("chunk_ids").alias("chunk_id"))
-        near = ranking.expand(hits, chunks).select("chat_id", "day", F.explode("context_ids").alias("chunk_id"), F.lit(False).alias("is_hit"))
+        # a page has few chats: only their windows can stand beside its hits
+        own = chunks.select("chunk_id", "chat_id", "position").join(F.broadcast(page.select("chat_id").distinct()), "chat_id", "left_semi")
+        near = ranking.expand(hits, own).select("chat_id", "day", F.explode("context_ids").alias("chunk_id"), F.lit(False).alias("is_hit"))
         wanted = hits.withColumn("is_hit", F.lit(True)).unionByName(near)
-        return hydrate.hydrate(wanted, self.index.read("chunk_message"), self.messages, self.names)
+        return hydrate.hydrate(wanted, at.read("chunk_message"), self.messages, self.names)
+
+    def _local(self, page: DataFrame) -> DataFrame:
+        """A page, a few rows, as a table on the driver: what is read for it needs no earlier step again."""
+        return self.spark.createDataFrame(page.collect(), page.schema)
 
     def search(self, q: ParsedQuery, offset: int = 0, max_sessions: int = ranking.SESSIONS, redact: bool = False, expansions: tuple[str, ...] = ()) -> DataFrame:
-        """One row a session of the page: chat_id, day, place, score, messages, confidence, payload, has_more, next_offset. A question without content browses."""
+        """One row a session of the page: chat_id, day, place, score, messages, confidence, payload, filters, has_more, next_offset. A question without content browses."""
         if not q.semantic:
             return self.browse(q, offset, max_sessions, redact)
-        page = ranking.page(self.ranked_sessions(q, expansions), offset, max_sessions)
-        rows = filters.demote(self._rows(page), list(q.senders) or None, q.from_me, q.has_media)
-        from convolens.functions.text import TERM_STOPWORDS
-
+        at = self.at()
+        page = self._local(ranking.page(self.ranked_sessions(q, expansions, at), offset, max_sessions))
+        rows = filters.demote(self._rows(page, at), list(q.senders) or None, q.from_me, q.has_media)
         terms = [w for w in q.semantic.lower().split() if w not in TERM_STOPWORDS and len(w) > 1]
-        nested = hydrate.payload(hydrate.nest(rows), terms, redact)
+        nested = hydrate.payload(hydrate.nest(rows), terms, redact).withColumn("filters", F.lit(json.dumps(effective_filters(q))))
         return nested.join(page.select("chat_id", "day", "place", "score", "has_more", "next_offset"), ["chat_id", "day"]).orderBy("place")
 
     def browse(self, q: ParsedQuery, offset: int = 0, max_sessions: int = ranking.SESSIONS, redact: bool = False) -> DataFrame:
-        """The newest sessions that pass the filters, with messages newer than the index; no model is asked."""
-        chunks = self.index.read("chunks")
-        newest = ranking.browse(chunks, self.candidates(q))
+        """The newest sessions that pass the filters, with messages newer than the index that pass them too; no model is asked."""
+        at = self.at()
+        chunks = at.read("chunks")
+        newest = self._local(ranking.browse(chunks, self.candidates(q, at=at)))
         order = W.partitionBy(F.lit(0)).orderBy(F.desc("latest"), "chat_id")
-        page = ranking.page(newest.withColumn("place", F.row_number().over(order)).withColumn("score", F.col("latest")), offset, max_sessions)
-        rows = self._rows(page)
+        page = self._local(ranking.page(newest.withColumn("place", F.row_number().over(order)).withColumn("score", F.col("latest")), offset, max_sessions))
+        rows = self._rows(page, at)
         if offset == 0:
             fresh = hydrate.freshness(self.messages, chunks).first()
             if fresh["n_behind"]:
-                chats = filters.participant_chats(self.roster, self.messages, list(q.participants)) if q.participants else None
-                tail = hydrate.live_tail(hydrate.with_sender(self.messages, self.names), fresh["horizon"], hydrate.tail_limit(fresh["n_behind"]), q.date_to, chats)
+                named = hydrate.with_sender(self.messages, self.names)
+                tail = hydrate.live_tail(named, fresh["horizon"], hydrate.tail_limit(fresh["n_behind"]), q.date_to, self.chat_set(q), q.date_from)
                 rows = hydrate.merge_rows(tail, rows)
         rows = ranking.newest_hits(filters.demote(rows, list(q.senders) or None, q.from_me, q.has_media), max_sessions)
-        nested = hydrate.payload(hydrate.nest(rows), (), redact).filter(F.size("hit_messages") > 0)
+        nested = hydrate.payload(hydrate.nest(rows), (), redact).filter(F.size("hit_messages") > 0).withColumn("filters", F.lit(json.dumps(effective_filters(q))))
         return nested.join(page.select("chat_id", "day", "has_more", "next_offset"), ["chat_id", "day"], "left").orderBy(F.desc(F.element_at("hit_messages", -1)["ts"]), "chat_id")
 
     def conversation(self, chat_id: int, around_ts: float | None = None, limit: int = 50) -> DataFrame:
@@ -187,8 +258,10 @@ class Engine:
 
     def preview(self, q: ParsedQuery) -> DataFrame:
         """Bodies of the retrieved windows, without the source."""
-        return self.index.read("chunks").select("chunk_id", "chat_id", "start_ts", "body_semantic").join(self.retrieve(q), "chunk_id").orderBy("place")
+        at = self.at()
+        return at.read("chunks").select("chunk_id", "chat_id", "start_ts", "body_semantic").join(F.broadcast(self.retrieve(q, at=at)), "chunk_id").orderBy("place")
 
     def status(self) -> DataFrame:
-        chunks = self.index.read("chunks")
-        return hydrate.status(chunks, self.index.read("chunk_message"), self.messages).crossJoin(hydrate.freshness(self.messages, chunks))
+        at = self.at()
+        chunks = at.read("chunks")
+        return hydrate.status(chunks, at.read("chunk_message"), self.messages).crossJoin(hydrate.freshness(self.messages, chunks))

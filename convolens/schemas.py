@@ -21,9 +21,10 @@ _DDL = {
     # index tables
     "chunks": "chunk_id long, chat_id long, position int, start_ts double, end_ts double, has_attachment boolean, msg_ids array<long>, content_hash long, body_semantic string, body_lexical string",
     "chunk_message": "msg_id long, chunk_id long",
-    "postings": "term string, chunk_id long, tf int, positions array<int>",
+    "postings": "term string, chunk_id long, tf int, dl int, positions array<int>",
+    "terms": "term string, docs long",
     "doc_stats": "chunk_id long, dl int",
-    "vectors": "chunk_id long, embedding array<tinyint>",
+    "vectors": "chunk_id long, norm double, embedding array<tinyint>",
     "attachment_place": "attachment_id long, place string",
     "attachment_retry": "attachment_id long, chunk_id long",
     "meta": "key string, value string",

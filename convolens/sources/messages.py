@@ -28,6 +28,17 @@ def read_jdbc_source(spark: SparkSession, url: str, **options: str) -> dict[str,
     return tables
 
 
+def chat_roster(tables: dict[str, DataFrame]) -> DataFrame:
+    """(chat_id, handle) of all members, those who never wrote too."""
+    h = tables["handle"].select(F.col("rowid").alias("handle_id"), F.col("id").alias("handle"))
+    return tables["chat_handle_join"].join(h, "handle_id").select("chat_id", "handle").distinct()
+
+
+def chat_table(tables: dict[str, DataFrame]) -> DataFrame:
+    """(chat_id, style, ...) of all chats."""
+    return tables["chat"].withColumnRenamed("rowid", "chat_id")
+
+
 def clean_messages(tables: dict[str, DataFrame], chat_id: int | None = None, decode: bool = True) -> DataFrame:
     """One row per (chat, message), reactions left out; a blank text falls back on the rich-text blob."""
     m, j, h = tables["message"], tables["chat_message_join"], tables["handle"]

@@ -3,61 +3,108 @@
 from __future__ import annotations
 
 import uuid
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convolens.schemas import SCHEMAS
 
+#: How a table's rows are laid out, so that a filter on these columns reads few row groups.
+LAYOUT = {"postings": ("term", "chunk_id"), "terms": ("term",), "chunks": ("chunk_id",), "chunk_message": ("chunk_id", "msg_id")}
+
+
+class Snapshot:
+    """One version of an index. A query that reads all its tables from one snapshot never mixes two versions."""
+
+    def __init__(self, spark: SparkSession, root: str, number: int, version: str):
+        self.spark, self.root, self.number, self.version = spark, root, number, version
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{self.version}/{name}")
+
+    @cached_property
+    def meta(self) -> dict[str, str]:
+        return {r["key"]: r["value"] for r in self.read("meta").collect()}
+
+
+class Writer:
+    """A version that is being written; each table can be read back at once, so that what follows from it is not computed again."""
+
+    def __init__(self, store: IndexStore):
+        self.store, self.version, self.done = store, f"v={uuid.uuid4().hex}", set()
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        """Write a table; one that is no index table is a helper and goes when the version is published."""
+        path = f"{self.store.root}/{self.version}/{name}"
+        if name in SCHEMAS:
+            df = df.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[name]])
+        if name in LAYOUT:
+            df = df.repartitionByRange(*LAYOUT[name]).sortWithinPartitions(*LAYOUT[name])
+        df.write.option("compression", "zstd").parquet(path)
+        self.done.add(name)
+        return self.store.spark.read.schema(SCHEMAS.get(name, df.schema)).parquet(path)
+
+    def publish(self) -> str:
+        """Take over from the version before what was not put, drop helpers, and point to this version."""
+        store, before = self.store, self.store.snapshot(missing_ok=True)
+        for name in set(store.TABLES) - self.done:
+            self.put(name, before.read(name) if before else store.spark.createDataFrame([], SCHEMAS[name]))
+        for name in self.done - set(store.TABLES):
+            store.path(f"{self.version}/{name}", lambda fs, p: fs.delete(p, True))
+        store.path(f"current/{(before.number if before else 0) + 1:012d}.{self.version}", lambda fs, p: fs.create(p, False).close())
+        return self.version
+
 
 class IndexStore:
-    """Tables under ``root``/v=<id>/<name>. A reader sees the version that the newest pointer names, so a failed build changes nothing."""
+    """Tables under ``root``/v=<id>/<name>. A reader sees the version that the greatest pointer names, so a failed build changes nothing.
 
-    TABLES = ("chunks", "chunk_message", "postings", "doc_stats", "vectors", "meta", "attachment_place", "attachment_retry")
+    A pointer is an empty file whose name has its number and the version: finding it needs no Spark job.
+    """
+
+    TABLES = ("chunks", "chunk_message", "postings", "terms", "doc_stats", "vectors", "meta", "attachment_place", "attachment_retry")
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self) -> DataFrame | None:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/current")
-        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return self.spark.read.schema("n long, version string").parquet(f"{self.root}/current") if fs.exists(fs_path) else None
+    def path(self, name: str, act):
+        """``act(file system, path)`` on something under the root, in whatever store Spark reads it from."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return act(p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p)
 
-    def version(self) -> tuple[int, str | None]:
-        pointer = self._pointer()
-        top = pointer.orderBy(F.desc("n")).first() if pointer is not None else None
-        return (top["n"], top["version"]) if top else (0, None)
+    def snapshot(self, missing_ok: bool = False) -> Snapshot | None:
+        names = self.path("current", lambda fs, p: [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else [])
+        top = max((n for n in names if n[:12].isdigit()), default=None)
+        if top is None and not missing_ok:
+            raise FileNotFoundError(f"no index at {self.root}")
+        return Snapshot(self.spark, self.root, int(top[:12]), top[13:]) if top else None
 
     def exists(self) -> bool:
-        return self.version()[1] is not None
+        return self.snapshot(missing_ok=True) is not None
 
     def read(self, name: str) -> DataFrame:
-        version = self.version()[1]
-        if version is None:
-            raise FileNotFoundError(f"no index at {self.root}")
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{version}/{name}")
+        return self.snapshot().read(name)
+
+    def writer(self) -> Writer:
+        return Writer(self)
 
     def write(self, tables: dict[str, DataFrame]) -> str:
         """Write a new version; tables that are not given are taken over from the one before, or empty."""
-        n, old = self.version()
-        version = f"v={uuid.uuid4().hex}"
-        for name in self.TABLES:
-            df = tables.get(name)
-            if df is None:
-                df = self.read(name) if old else self.spark.createDataFrame([], SCHEMAS[name])
-            df.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[name]]).write.option("compression", "zstd").parquet(f"{self.root}/{version}/{name}")
-        self.spark.createDataFrame([(n + 1, version)], "n long, version string").coalesce(1).write.mode("append").parquet(f"{self.root}/current")
-        return version
+        w = self.writer()
+        for name, df in tables.items():
+            w.put(name, df)
+        return w.publish()
 
     def meta(self) -> dict[str, str]:
-        return {r["key"]: r["value"] for r in self.read("meta").collect()}
+        return self.snapshot().meta
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of both by key; a column of ``new`` wins where it is not null."""
     n = new.select(*[F.col(c).alias(f"__{c}") for c in new.columns])
     both = old.join(n, F.col(key) == F.col(f"__{key}"), "full")
-    return both.select(*[F.coalesce(f"__{c}", c).alias(c) if c in new.columns else F.col(c) for c in old.columns], *[F.col(f"__{c}").alias(c) for c in new.columns if c not in old.columns])
+    kept = [F.coalesce(f"__{c}", c).alias(c) if c in new.columns else F.col(c) for c in old.columns]
+    return both.select(*kept, *[F.col(f"__{c}").alias(c) for c in new.columns if c not in old.columns])
 
 
 def insert_new(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -69,3 +116,8 @@ def insert_new(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def write_json_lines(df: DataFrame, path: str) -> None:
     """All columns but those that begin with an underscore."""
     df.select(*[c for c in df.columns if not c.startswith("_")]).write.mode("append").json(path)
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Golden sets and suites, a record a line; fields that the schema lacks are left out."""
+    return spark.read.schema(schema).json(path)
