@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -33,6 +34,12 @@ STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
 STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
 
 
+#: The rules with the longest suffix first, as the algorithm tries them.
+LONG_FIRST = [sorted((r.split(":") for r in rules.split()), key=lambda r: -len(r[0])) for rules in (STEP2, STEP3)]
+LONG_STEP4 = sorted(STEP4.split(), key=lambda e: -len(e))
+
+
+@lru_cache(1 << 18)
 def porter_stem(w: str) -> str:
     """Porter's stemmer (1980) for a lower-case word."""
     if len(w) <= 2 or not w.isascii():
@@ -57,13 +64,12 @@ def porter_stem(w: str) -> str:
                 break
     if w.endswith("y") and "v" in _shape(w[:-1]):
         w = w[:-1] + "i"
-    for rules in (STEP2, STEP3):
-        pairs = sorted((r.split(":") for r in rules.split()), key=lambda r: -len(r[0]))
+    for pairs in LONG_FIRST:
         for end, to in pairs:
             if w.endswith(end):
                 w = w[: -len(end)] + to if _measure(w[: -len(end)]) else w
                 break
-    for end in sorted(STEP4.split(), key=lambda e: -len(e)):
+    for end in LONG_STEP4:
         if w.endswith(end):
             stem = w[: -len(end)]
             w = stem if _measure(stem) > 1 and (end != "ion" or stem[-1:] in ("s", "t")) else w
@@ -135,15 +141,8 @@ def stem_udf(s: pd.Series) -> pd.Series:
 
 @F.pandas_udf(ArrayType(StringType()))
 def stem_all_udf(s: pd.Series) -> pd.Series:
-    """Arrays of terms to arrays of stems; a term that comes again in a batch is stemmed once."""
-    known: dict[str, str] = {}
-
-    def stem(w: str) -> str:
-        if w not in known:
-            known[w] = porter_stem(w)
-        return known[w]
-
-    return s.map(lambda ws: [stem(w) for w in ws], na_action="ignore")
+    """Arrays of terms to arrays of stems."""
+    return s.map(lambda ws: [porter_stem(w) for w in ws], na_action="ignore")
 
 
 @F.pandas_udf(StringType())

@@ -23,13 +23,18 @@ def arm(df: DataFrame, key: str, *order: Column) -> DataFrame:
 
 
 def rrf(arms: list[DataFrame], key: str, k: int = RRF_K, top: int = FUSED, weights: list[float] | None = None) -> DataFrame:
-    """(key, score): sum of weight / (k + rank) over arms; ties in the order of first appearance."""
-    parts = [a.select(key, "rank", F.lit(i).alias("arm"), F.lit(float(w)).alias("w")) for i, (a, w) in enumerate(zip(arms, weights or [1.0] * len(arms), strict=True))]
+    """(key, score): sum of weight / (k + rank) over arms (key, rank); ties in the order of first appearance."""
+    parts = [a.select(key, "rank", F.lit(i).alias("arm")) for i, a in enumerate(arms)]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    score = F.sum(F.col("w") / (k + F.col("rank")))
-    fused = rows.groupBy(key).agg(score.alias("score"), F.min(F.struct("arm", "rank")).alias("seen"))
+    return rrf_rows(rows, key, k, top, weights)
+
+
+def rrf_rows(rows: DataFrame, key: str, k: int = RRF_K, top: int = FUSED, weights: list[float] | None = None) -> DataFrame:
+    """The same of all arms in one table (arm, key, rank)."""
+    weight = F.array(*[F.lit(float(w)) for w in weights])[F.col("arm")] if weights else F.lit(1.0)
+    fused = rows.groupBy(key).agg(F.sum(weight / (k + F.col("rank"))).alias("score"), F.min(F.struct("arm", "rank")).alias("seen"))
     return fused.orderBy(F.desc(F.round("score", 12)), "seen", key).limit(top)
 
 

@@ -91,6 +91,17 @@ def build_index(spark: SparkSession, messages: DataFrame, out: str, models: Mode
     return w.publish()
 
 
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A bounded list as a table of one partition, on which windows and groups need no shuffle."""
+    kind = "array<struct<" + ", ".join(x.replace(" ", ":", 1) for x in schema.split(", ")) + ">>"
+    names = [x.split()[0] for x in schema.split(", ")]
+    body = json.dumps([dict(zip(names, r, strict=True)) for r in rows], default=str)
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(body), kind)))
+
+
+SESSION = "chat_id long, day date, score double, latest double, chunk_ids array<long>, place int"
+
+
 @dataclass
 class Engine:
     """Searches an index; ``messages`` is the source as it is now, perhaps newer than the index. ``names``: (handle, display_name).
@@ -128,7 +139,7 @@ class Engine:
         if q.is_group is not None:
             base = self.chats if self.chats is not None else self.messages.select("chat_id").distinct().withColumn("style", F.lit(None).cast("int"))
             kinds = filters.chat_kinds(base, self.roster).filter(F.col("is_group") == q.is_group)
-        listed = self.spark.createDataFrame([(c,) for c in q.chat_ids], "chat_id long") if q.chat_ids is not None else None
+        listed = local(self.spark, [(c,) for c in q.chat_ids], "chat_id long") if q.chat_ids is not None else None
         return filters.chat_filter(people, kinds, listed)
 
     def candidates(self, q: ParsedQuery, by_sender: bool = True, at: Snapshot | None = None) -> DataFrame | None:
@@ -178,13 +189,14 @@ class Engine:
         """(chunk_id, place, lexical): at most 50, from vectors, words, the verbatim phrase and further phrasings."""
         at = at or self.at()
         ranked, verbatim = self.arms(q, expansions, at)
-        lists = self.spark.createDataFrame(ranked, "arm int, chunk_id long, rank int")
-        arms = [lists.filter(F.col("arm") == a).select("chunk_id", "rank") for a in range(3 + len(expansions))]
-        fused = ranking.arm(ranking.rrf(arms, "chunk_id"), "chunk_id", F.desc(F.round("score", 12)), F.col("seen"), F.col("chunk_id"))
+        lists = local(self.spark, ranked, "arm int, chunk_id long, rank int")
+        fused = [(r["chunk_id"], i + 1) for i, r in enumerate(ranking.rrf_rows(lists, "chunk_id").collect())]
+        fused = local(self.spark, fused, "chunk_id long, rank int")
         found = sorted({c for a, c, _ in ranked if a > 0})
-        times = self.some_chunks(at, found).select("chunk_id", F.col("start_ts").alias("ts"))
+        newest = self.some_chunks(at, found).select("chunk_id", F.col("start_ts").alias("ts")).collect()
+        times = local(self.spark, [tuple(r) for r in newest], "chunk_id long, ts double")
         places = ranking.reserve_recent(fused, times, "chunk_id")
-        return self.spark.createDataFrame([(r["chunk_id"], r["place"], r["chunk_id"] in verbatim) for r in places.collect()], "chunk_id long, place int, lexical boolean")
+        return local(self.spark, [(r["chunk_id"], r["place"], r["chunk_id"] in verbatim) for r in places.collect()], "chunk_id long, place int, lexical boolean")
 
     def some_chunks(self, at: Snapshot, ids: list[int]) -> DataFrame:
         """Rows of a bounded list of windows; the filter on literal ids reaches the file."""
@@ -200,7 +212,7 @@ class Engine:
             ids = [r["chunk_id"] for r in places.collect()]
             top = self.some_chunks(at, ids).select("chunk_id", "chat_id", "start_ts", "body_semantic").join(F.broadcast(places), "chunk_id")
             scored = ranking.rerank(q.semantic, top, "body_semantic", self.models.pair_score).drop("body_semantic").collect()
-            marked = self.spark.createDataFrame(scored, "chunk_id long, chat_id long, start_ts double, place int, lexical boolean, logit double")
+            marked = local(self.spark, scored, "chunk_id long, chat_id long, start_ts double, place int, lexical boolean, logit double")
             now = self.now or time.time()
             columns = ["chat_id", "day", "score", "latest", "chunk_ids"]
             best = ranking.reserve_sessions(ranking.sessions(ranking.head(marked, "chunk_id"), now)).select(*columns, "place")
@@ -209,7 +221,7 @@ class Engine:
             rest = sorted((r for r in every.collect() if (r["chat_id"], r["day"]) not in first), key=lambda r: (-r["score"], r["chat_id"], r["day"]))
             ordered = [*sorted(first.values(), key=lambda r: r["place"]), *rest]
             self.pages[key] = [(*(r[c] for c in columns), i + 1) for i, r in enumerate(ordered)]
-        return self.spark.createDataFrame(self.pages[key], "chat_id long, day date, score double, latest double, chunk_ids array<long>, place int")
+        return local(self.spark, self.pages[key], SESSION)
 
     def _rows(self, page: DataFrame, at: Snapshot) -> DataFrame:
         chunks = at.read("chunks")
@@ -222,7 +234,8 @@ class Engine:
 
     def _local(self, page: DataFrame) -> DataFrame:
         """A page, a few rows, as a table on the driver: what is read for it needs no earlier step again."""
-        return self.spark.createDataFrame(page.collect(), page.schema)
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in page.schema)
+        return local(self.spark, [tuple(r) for r in page.collect()], schema)
 
     def search(self, q: ParsedQuery, offset: int = 0, max_sessions: int = ranking.SESSIONS, redact: bool = False, expansions: tuple[str, ...] = ()) -> DataFrame:
         """One row a session of the page: chat_id, day, place, score, messages, confidence, payload, filters, has_more, next_offset. A question without content browses."""

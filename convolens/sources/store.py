@@ -19,9 +19,13 @@ class Snapshot:
 
     def __init__(self, spark: SparkSession, root: str, number: int, version: str):
         self.spark, self.root, self.number, self.version = spark, root, number, version
+        self.tables: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{self.version}/{name}")
+        """A table; its files are listed once in a snapshot."""
+        if name not in self.tables:
+            self.tables[name] = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{self.version}/{name}")
+        return self.tables[name]
 
     @cached_property
     def meta(self) -> dict[str, str]:
