@@ -13,6 +13,8 @@ from convolens.llm.examples import id_remainder, labelled_sample
 
 #: Bytes that a filter sees, step of a filter, bytes of a block; a chunk is 4 blocks, and starts every 3.
 WIDTH, STEP, BLOCK, CHUNK, HOP = 8, 2, 64, 4, 3
+#: Chunks of a long text that are evaluated at once.
+RUN = 8192
 
 
 def lay_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,11 +60,28 @@ class ByteCNN:
         return z.reshape(-1, BLOCK // STEP, z.shape[1])
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
+        if len(texts) == 1 and len(texts[0]) > RUN * HOP * BLOCK:
+            return self.pooled_in_runs(texts[0])
         x, first = lay_out(texts)
         top = self.conv(x).max(1) + self.b
         spans, n = chunks_of(first)
         return self.document(np.maximum(by_chunk(top, spans), 0), n)
 
+    def pooled_in_runs(self, text: bytes) -> np.ndarray:
+        """The same of one long text, ``RUN`` chunks at a time, so that memory does not grow with the text."""
+        blocks = (len(text) + WIDTH) // BLOCK + 1
+        spans, n = chunks_of(np.array([0, blocks]))
+        total, most, least = 0.0, -np.inf, np.inf
+        for a in range(0, len(spans), RUN):
+            own = spans[a : a + RUN]
+            start, end = int(own[0, 0]), int(own[-1, 1])
+            x = np.zeros((end - start) * BLOCK + WIDTH, np.uint8)
+            part = np.frombuffer(text, np.uint8, min(len(x), len(text) - start * BLOCK), start * BLOCK) if start * BLOCK < len(text) else x[:0]
+            x[: len(part)] = part
+            h = np.maximum(by_chunk(self.conv(x).max(1) + self.b, own - start), 0)
+            total, most, least = total + h.sum(0, dtype=np.float64), np.maximum(most, h.max(0)), np.minimum(least, h.min(0))
+        return np.concatenate([total / n[0], most, least])[None].astype(np.float32)
+
     @staticmethod
     def document(h: np.ndarray, n: np.ndarray) -> np.ndarray:
         at = np.cumsum(n) - n
@@ -137,9 +156,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, max_bytes: in
 def score(docs: DataFrame, model: ByteCNN, cut: float = 0.3, batch_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, held_out, score, predicted. Chunks cover every whole text; a null or empty text is one chunk of zeros. Equal texts get equal scores."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            texts = [t.encode("utf-8", "replace") for t in b.text]
+            texts = [t.encode("utf-8", "replace") for t in b]
             out, a = [], 0
             while a < len(texts):
                 e, size = a, 0
@@ -148,8 +167,8 @@ def score(docs: DataFrame, model: ByteCNN, cut: float = 0.3, batch_bytes: int =
                     e += 1
                 out.append(model.probability(texts[a:e]))
                 a = e
-            p = np.concatenate(out) if out else np.zeros(0)
-            yield pd.DataFrame({"doc_id": b.doc_id, "held_out": b.held_out, "score": p, "predicted": (p >= cut).astype("int32")})
+            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    slim = docs.select("doc_id", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    return slim.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    held_out = (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out")
+    found = docs.select("doc_id", held_out, F.pandas_udf(run, "double")(F.coalesce("text", F.lit(""))).alias("score"))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= cut).cast("int").alias("predicted"))

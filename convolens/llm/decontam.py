@@ -1,46 +1,79 @@
-"""Benchmark decontamination by a distributed positional inverted index, in DataFrame operations."""
+"""Benchmark decontamination by a distributed positional inverted index, in DataFrame operations.
+
+The corpus is read once, into postings (document, place, term) of the benchmark's terms,
+written in segments that are sorted by term. Everything else is asked of these postings:
+how common a term is, where the rarest neighbouring terms of each window stand one after the
+other (their lists, intersected with an offset of one), and which of an item's other terms
+stand at the offsets that such a place implies. Texts are not read again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convolens.llm.shared import ascii_lower, keep, let, small, words_of
+from convolens.llm.shared import BROADCAST_BYTES, ascii_lower, aside, keep, let, small, words_of
 
-#: What stands between words, after lower-casing A-Z, and before it.
+#: What stands between words, after lower-casing A-Z.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BETWEEN_CASED = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Lists of terms and of places of up to so many rows are broadcast; longer ones are joined by a shuffle.
-BROADCAST_TERMS = 200_000
 
 
 def tokens(text: Column) -> Column:
     return words_of(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN)
 
 
-def _occurrences(docs: DataFrame, terms: DataFrame, neighbours: bool = False) -> DataFrame:
-    """A posting (id, mark, pos, term) for each place of one of ``terms``, with the words beside it if asked for."""
-    few = small(terms, BROADCAST_TERMS)
-    held = docs.select("id", "mark", tokens(F.col("text")).alias("ws"))
-    if not neighbours:
-        return held.select(F.explode("ws").alias("term")).join(few, "term")
-    if few is terms:  # a shuffle must not carry whole texts
-        pairs = held.select("id", "mark", F.posexplode(F.transform("ws", lambda w, i: F.struct(w.alias("term"), F.get("ws", i - 1).alias("before"), F.get("ws", i + 1).alias("after")))).alias("pos", "x"))
-        return pairs.select("id", "mark", "pos", "x.*").join(few, "term")
-    return held.select("id", "mark", "ws", F.posexplode("ws").alias("pos", "term")).join(few, "term").select("id", "mark", "pos", "term", F.get("ws", F.col("pos") - 1).alias("before"), F.get("ws", F.col("pos") + 1).alias("after"))
+def tag(word: Column) -> Column:
+    """15 bits of a word's hash: enough to pass over nearly all places where another word follows."""
+    return F.xxhash64(word).bitwiseAND(0x7FFF).cast("short")
+
+
+def postings(docs: DataFrame, bench: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, pos, tid, nxt, id, mark) and (term, tid): a posting for each place of each of ``bench``'s terms, ``nxt`` the tag of the word after it.
+
+    A row of ``docs`` (id, mark, text) is a document of its own, numbered by its place in the
+    input. Its own posting has tid -1, its number of words as ``pos``, and alone id and mark.
+    Terms are broadcast in slices of bounded size, so no token is ever shuffled.
+    """
+    found = bench.select(F.explode("ws").alias("term")).distinct().withColumn("tid", F.monotonically_increasing_id())
+    terms = keep(found.unionByName(bench.sparkSession.createDataFrame([("", -1)], "term string, tid long")), "terms")
+    slices = 1 + (terms.agg(F.sum(F.octet_length("term") + 40)).first()[0] or 0) // BROADCAST_BYTES
+    held = docs.select(F.monotonically_increasing_id().alias("doc"), "id", "mark", tokens(F.col("text")).alias("ws"))
+    own = F.struct(F.size("ws").alias("pos"), F.lit("").alias("term"), F.lit(0).cast("short").alias("nxt"))
+    each = F.transform("ws", lambda w, i: F.struct(i.alias("pos"), w.alias("term"), tag(F.get("ws", i + 1)).alias("nxt")))
+    places = held.select("doc", "id", "mark", F.explode(F.concat(F.array(own), each)).alias("x")).select("doc", "id", "mark", "x.*")
+    index = None
+    for s in range(slices):
+        some = F.broadcast(terms.filter(F.pmod(F.xxhash64("term"), F.lit(slices)) == s))
+        part = places.join(some, "term").select("doc", "pos", "tid", "nxt", *[F.when(F.col("tid") == -1, F.col(c)).alias(c) for c in ("id", "mark")])
+        index = part if index is None else index.unionByName(part)
+    return keep(index.sortWithinPartitions("tid"), "postings"), terms
 
 
 def anchors(items: DataFrame, counts: DataFrame, n: int, near: int) -> DataFrame:
-    """(item, at, term, before, after, m): the places of the rarest term of each window of ``n`` words that any document has.
+    """(item, at, tid, nxt, m): of each window of ``n`` words ``near + 1`` pairs of neighbours that have no word in common, the rarest first.
 
-    A window with more than ``near`` words that no document has can't nearly occur, and has none.
+    ``near`` other words can't change all of them, so a place of one of the pairs is found
+    for every occurrence. Items of fewer than ``n`` words give all of their pairs, and one of a
+    single word that word, with a null ``nxt``. ``items``: item, ws, tids.
     """
-    places = items.select("item", F.posexplode("ws").alias("at", "term")).join(counts, "term", "left")
-    weighed = places.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))).alias("c"))
-    width = F.least(F.lit(n), F.size("c"))
-    rarest = F.transform(F.sequence(F.lit(0), F.size("c") - width), lambda s: let(F.filter(F.slice(F.col("c"), s + 1, width), lambda x: x["n"] > 0), lambda own: F.when(F.size(own) >= width - near, F.array_min(F.transform(own, lambda x: F.struct(x["n"], x["at"]))))))
-    picked = weighed.select("item", F.explode(F.array_distinct(F.filter(rarest, lambda x: x.isNotNull()))).alias("x")).select("item", F.col("x.at").alias("at"))
-    return picked.join(items, "item").select("item", "at", F.get("ws", F.col("at")).alias("term"), F.get("ws", F.col("at") - 1).alias("i_before"), F.get("ws", F.col("at") + 1).alias("i_after"), F.size("ws").alias("m"))
+    places = items.select("item", F.posexplode("tids").alias("at", "tid")).join(counts, "tid", "left")
+    listed = F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).cast("double").alias("n"))))
+    weighed = places.groupBy("item").agg(listed.alias("c")).withColumn("m", F.size("c"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("m") - 2), lambda p: F.struct((F.get("c", p)["n"] * F.get("c", p + 1)["n"]).alias("cost"), p.alias("p")))
+
+    def rarest(own: Column) -> Column:
+        def pick(held: Column, _: Column) -> Column:
+            free = F.filter(own, lambda x: F.forall(held, lambda y: F.abs(x["p"] - y["p"]) >= 2))
+            return F.when(F.size(free) > 0, F.concat(held, F.array(F.array_min(free)))).otherwise(held)
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(near)), F.slice(own, 1, 0), pick)
+
+    windows = let(pairs, lambda ps: F.flatten(F.transform(F.sequence(F.lit(0), F.col("m") - n), lambda s: rarest(F.slice(ps, s + 1, n - 1)))))
+    chosen = F.when(F.col("m") >= n, windows).when(F.col("m") > 1, pairs) if n > 1 else F.when(F.lit(False), pairs)
+    at = F.when((F.col("m") == 1) | F.lit(n == 1), F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.transform(chosen, lambda x: x["p"]))
+    picked = weighed.select("item", "m", F.explode(F.array_distinct(at)).alias("at")).join(items, "item")
+    nxt = F.when((F.col("m") > 1) & F.lit(n > 1), tag(F.get("ws", F.col("at") + 1)))
+    return picked.select("item", "at", F.get("tids", F.col("at")).alias("tid"), nxt.alias("nxt"), "m")
 
 
 def _covered(equal: Column, n: Column, least: Column) -> Column:
@@ -50,64 +83,83 @@ def _covered(equal: Column, n: Column, least: Column) -> Column:
     return let(good, lambda g: F.filter(F.sequence(F.lit(0), m - 1), lambda o: F.exists(F.slice(g, F.greatest(o - n + 2, F.lit(1)), F.least(n, o + 1)), lambda x: x)))
 
 
-def find_passages(docs: DataFrame, items: DataFrame, n: int = 10, near: int = 2) -> DataFrame:
-    """(id, mark, item_id, hits, near_hits): the word places of each document that lie in windows of each item.
+def find_passages(docs: DataFrame, items: DataFrame, n: int = 10, near: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(doc, item_id, hits, near_hits), the word places of documents that lie in windows of items; and (doc, id, mark, n_words) of all documents.
 
     ``docs``: id, mark, text. ``items``: item_id, text. ``hits`` are the places in windows that
-    occur word for word; ``near_hits`` those in windows on the same alignment of which all
-    but ``near`` words agree. Postings of the rarest terms are met first; one whose
-    neighbour does not agree with the item's is dropped; the others' texts are compared.
+    occur word for word; ``near_hits`` those in windows of which all but ``near`` words stand at
+    their places. A window of m < 2 * ``near`` + 2 words may have m // 2 - 1 others, and none below 4.
+    All such occurrences are found; words that are put in or left out end one.
     """
     bench = items.select("item_id", tokens(F.col("text")).alias("ws")).filter(F.size("ws") > 0).distinct()
     bench = keep(bench.withColumn("item", F.xxhash64("item_id", "ws")), "items")
-    vocabulary = bench.select(F.explode("ws").alias("term")).distinct()
-    counts = keep(_occurrences(docs, vocabulary).groupBy("term").agg(F.count("*").alias("n")), "counts")
+    index, terms = postings(docs, bench)
+    counts = keep(index.filter("tid >= 0").groupBy("tid").agg(F.count("*").alias("n")), "counts")
+    numbers = bench.select("item", F.posexplode("ws").alias("at", "term")).join(small(terms), "term")
+    tids = numbers.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "tid"))), lambda x: x["tid"]).alias("tids"))
+    bench = keep(bench.join(tids, "item"), "items")
     wanted = keep(anchors(bench, counts, n, near), "anchors")
-    postings = keep(_occurrences(docs, wanted.select("term").distinct(), neighbours=True), "postings")
-    beside = (F.col("before") == F.col("i_before")) | (F.col("after") == F.col("i_after"))
-    met = postings.join(wanted, "term").filter(F.coalesce(beside, F.lit(False)) | (F.least(F.col("m"), F.lit(n)) == 1))
-    lines = met.groupBy("id", "mark").agg(F.collect_set(F.struct("item", (F.col("pos") - F.col("at")).alias("shift"), "m")).alias("lines"))
-    lines = keep(lines.select(F.col("id").alias("l_id"), F.col("mark").alias("l_mark"), "lines"), "lines")
-
-    on = F.col("id").eqNullSafe(F.col("l_id")) & (F.col("mark") == F.col("l_mark"))
-    texts = docs.join(small(lines, BROADCAST_TERMS), on).select("id", "mark", "lines", tokens(F.col("text")).alias("ws"))
-    part = lambda x: F.struct(x["item"].alias("item"), x["shift"].alias("shift"), F.slice("ws", F.greatest(x["shift"], F.lit(0)) + 1, x["m"] + F.least(x["shift"], F.lit(0))).alias("own"))
-    cut = texts.select("id", "mark", F.explode(F.transform("lines", part)).alias("x")).select("id", "mark", "x.*")
-    both = cut.join(bench, "item")
-    equal = F.transform("ws", lambda w, o: F.coalesce(F.get("own", o + F.least(F.col("shift"), F.lit(0))) == w, F.lit(False)))
-    width = F.least(F.lit(n), F.size("ws"))
-    both = both.withColumn("equal", equal).withColumn("width", width)
-    place = lambda c: F.transform(c, lambda o: o + F.col("shift"))
-    found = both.select("id", "mark", "item_id", place(_covered(F.col("equal"), F.col("width"), F.col("width"))).alias("hits"), place(_covered(F.col("equal"), F.col("width"), F.greatest(F.col("width") - near, F.lit(1)))).alias("near_hits"))
-    return found.filter(F.size("near_hits") > 0)
+
+    # the rarest lists first: a place of one pair puts an item at one offset of a document
+    i = index.select("doc", "pos", F.col("tid").alias("i_tid"), F.col("nxt").alias("i_nxt")).filter("i_tid >= 0")
+    pairs, single = (wanted.filter(c) for c in ("nxt is not null", "nxt is null"))
+    met = i.join(small(keep(pairs, "pairs")), (F.col("i_tid") == F.col("tid")) & (F.col("i_nxt") == F.col("nxt")))
+    alone = i.join(small(keep(single, "single")), F.col("i_tid") == F.col("tid"))
+    place = ["doc", "item", (F.col("pos") - F.col("at")).alias("shift")]
+    held = keep(met.select(*place).unionByName(alone.select(*place)).distinct(), "held")
+
+    # then the item's other terms at their offsets from there
+    few = small(keep(held.select(F.col("doc").alias("h_doc")).distinct(), "docs"))
+    here = i.join(few, F.col("doc") == F.col("h_doc"), "left_semi")
+    asked = held.join(bench.select("item", "tids"), "item").select("doc", "item", "shift", F.posexplode("tids").alias("o", "tid"))
+    asked = asked.select(F.col("doc").alias("a_doc"), "item", "shift", "o", "tid", (F.col("shift") + F.col("o")).alias("a_pos"))
+    both = asked.join(here, (F.col("a_doc") == F.col("doc")) & (F.col("a_pos") == F.col("pos")) & (F.col("tid") == F.col("i_tid")))
+    every = index.filter("tid = -1").select("doc", "id", "mark", F.col("pos").cast("long").alias("n_words"))
+    lists = both.groupBy("doc", "item", "shift").agg(F.collect_set("o").alias("os")).join(bench.select("item", "item_id", F.size("tids").alias("m")), "item")
+    lists = lists.join(every.select("doc", "n_words"), "doc")
+    equal = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.array_contains("os", o))
+    width = F.least(F.lit(n), F.col("m"))
+    others = F.greatest(F.least(F.lit(near), F.floor(width / 2).cast("int") - 1), F.lit(0))
+    lists = lists.withColumn("equal", equal).withColumn("width", width).withColumn("least", width - others)
+    inside = lambda p: (p >= 0) & (p < F.col("n_words"))
+    at = lambda least: F.filter(F.transform(_covered(F.col("equal"), F.col("width"), least), lambda o: o + F.col("shift")), inside)
+    found = lists.select("doc", "item_id", at(F.col("width")).alias("hits"), at(F.col("least")).alias("near_hits")).filter(F.size("near_hits") > 0)
+    return keep(found, "found"), every
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, near: int = 2) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_near, n_items, item_ids (sorted as strings), contaminated.
 
-    Null and empty texts have no words and no hits; an item without words hits nothing,
-    and one of fewer than ``n`` words is one window. Rows with one id and one text are
-    found together and each get the row's result. Empty tables give empty or clean results.
+    Null and empty texts have no words and no hits; an item without words hits nothing, and one
+    of fewer than ``n`` words is one window. Texts of any length are indexed whole. Equal rows
+    are each found by themselves, with equal results; null ids are kept. Several items with one
+    id count once. Other columns are not looked at. Empty tables give empty or clean results.
     """
-    d = docs.select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
-    found = find_passages(d, items.select("item_id", "text"), n, near)
-    flat = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
-    result = found.groupBy(F.col("id").alias("f_id"), F.col("mark").alias("f_mark")).agg(
-        flat("hits").alias("n_hit"), flat("near_hits").alias("n_near"), F.array_sort(F.collect_set(F.when(F.size("hits") > 0, F.coalesce(F.col("item_id").cast("string"), F.lit(""))))).alias("item_ids")
-    )
-    n_words = F.size(words_of(F.col("text"), BETWEEN_CASED)).cast("long")
-    counted = d.select("id", "mark", n_words.alias("n_words"))
-    joined = counted.join(result, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("mark") == F.col("f_mark")), "left")
+    d = docs.select(F.col("doc_id").alias("id"), F.lit(0).alias("mark"), "text")
+    found, every = find_passages(d, items.select("item_id", "text"), n, near)
+    places = lambda c: found.select("doc", F.explode(c).alias("p")).distinct().groupBy("doc").agg(F.count("*").alias(f"n_{c}"))
+    name = F.when(F.size("hits") > 0, F.coalesce(F.col("item_id").cast("string"), F.lit("")))
+    named = found.groupBy("doc").agg(F.array_sort(F.collect_set(name)).alias("item_ids"))
+    result = named.join(places("hits"), "doc", "left").join(places("near_hits"), "doc", "left").withColumnRenamed("doc", "f_doc")
+    joined = every.join(result, F.col("doc") == F.col("f_doc"), "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return joined.select(F.col("id").alias("doc_id"), "n_words", zero("n_hit"), zero("n_near"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    n_hit = F.coalesce("n_hits", F.lit(0)).cast("long")
+    return joined.select(
+        F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.coalesce("n_near_hits", F.lit(0)).cast("long").alias("n_near"),
+        F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), (n_hit > 0).alias("contaminated"),
+    )
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
-    """``docs`` without the rows that hold a window of an item word for word."""
+    """``docs`` without the rows that hold a window of an item word for word.
+
+    Rows with one id and one text go together. Null and empty texts stay, columns of any name
+    are kept, an empty table on either side gives ``docs`` as it is.
+    """
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    found = find_passages(docs.select(F.col("doc_id").alias("id"), mark.alias("mark"), "text"), items.select("item_id", "text"), n)
-    gone = found.filter(F.size("hits") > 0).select(F.col("id").alias("__id"), F.col("mark").alias("__gone")).distinct()
-    gone = keep(gone, "gone")
+    found, every = find_passages(docs.select(F.col("doc_id").alias("id"), mark.alias("mark"), "text"), items.select("item_id", "text"), n, 0)
+    gone = found.filter(F.size("hits") > 0).select(F.col("doc").alias("f_doc")).distinct()
+    gone = keep(every.join(small(keep(gone, "hit")), F.col("doc") == F.col("f_doc")).select(F.col("id").alias("__id"), F.col("mark").alias("__gone")).distinct(), "gone")
+    packed, back = aside(docs, "doc_id", "text")
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__gone"))
-    return docs.withColumn("__mark", mark).join(small(gone), on, "left_anti").select(*docs.columns)
+    return back(packed.withColumn("__mark", mark).join(small(gone), on, "left_anti"))

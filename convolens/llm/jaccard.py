@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convolens.llm.components import connected_components
-from convolens.llm.shared import keep, small
+from convolens.llm.shared import aside, keep, small
 
 #: Odd multipliers of the places in a shingle.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -97,11 +97,11 @@ def frequent_shingles(docs: DataFrame, one_in: int = 16, least: int = 3, most: i
 def digests(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
     """(doc_id, mark, n, cid, gkey, prefix): set size, class, least hash and prefix shingles; a class's prefix stands with its first row in a task only."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes, told = WordHashes(), set()
-        for b in batches:
+        for texts in batches:
             n, cid, gkey, prefix = [], [], [], []
-            for t in b.text:
+            for t in texts:
                 s = shingles(t or "", hashes)
                 c = xxhash.xxh3_64_intdigest(s.tobytes())
                 n.append(len(s))
@@ -114,9 +114,11 @@ def digests(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
                     prefix.append(prefix_of(s, frequent, percent).view(np.int64))
                 else:
                     prefix.append(np.zeros(0, np.int64))
-            yield pd.DataFrame({"doc_id": b.doc_id, "mark": b.mark, "n": n, "cid": cid, "gkey": gkey, "prefix": prefix})
+            yield pd.DataFrame({"n": n, "cid": cid, "gkey": gkey, "prefix": prefix})
 
-    return docs.select("doc_id", "mark", "text").mapInPandas(run, "doc_id long, mark long, n long, cid long, gkey long, prefix array<long>")
+    # ids stay on the JVM's side: a null among them would make floats of the others in a batch
+    found = F.pandas_udf(run, "n long, cid long, gkey long, prefix array<long>")
+    return docs.select("doc_id", "mark", found("text").alias("x")).select("doc_id", "mark", "x.*")
 
 
 def group_pairs(postings: DataFrame) -> DataFrame:
@@ -331,16 +333,23 @@ def jaccard_join(docs: DataFrame, percent: int = 75, group_size: int = 8192, que
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """``docs`` with one row of each component: that of the least (doc_id, hash of the text), null ids last. Rows without words all stay."""
+    """``docs`` with one row of each component: that of the least (doc_id, hash of the text), null ids last. Rows without words all stay.
+
+    Of rows with one id and one text that of the least other columns, as JSON, stays. Columns
+    of any name and type are kept; an empty table gives an empty one.
+    """
     rows = keep(linked_rows(docs, percent).filter("n > 0").select("doc_id", "mark", "root"), "rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     first = rows.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("rows"))
     several = first.filter("rows > 1").select(F.col("root").alias("r"), "first")
     copies = rows.join(several, F.col("root") == F.col("r")).withColumn("stays", order == F.col("first"))
     gone = keep(copies.filter(~F.col("stays")).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__gone")).distinct(), "gone")
+    packed, back = aside(docs, "doc_id", "text")
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    left = docs.withColumn("__mark", mark).join(small(gone), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__gone")), "left_anti")
+    left = packed.withColumn("__mark", mark).join(small(gone), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__gone")), "left_anti")
     if not copies.filter("stays").groupBy("root").agg(F.count("*").alias("k")).filter("k > 1").isEmpty():  # equal rows
         worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-        left = left.filter(worded).dropDuplicates(["doc_id", "__mark"]).unionByName(left.filter(~worded))
-    return left.select(*docs.columns)
+        least = F.coalesce(F.to_json("__rest"), F.lit("")) if len(docs.columns) > 2 else F.lit("")
+        one = left.filter(worded).groupBy("doc_id", "__mark").agg(F.min_by(F.struct("text", "__rest"), least).alias("x"))
+        left = one.select("doc_id", "x.*").unionByName(left.filter(~worded).select("doc_id", "text", "__rest"))
+    return back(left)

@@ -144,7 +144,20 @@ def frequent(docs: DataFrame, shards: int, one_in: int = 32, listed: int = RARE
 
     counts = keep(some.mapInPandas(run, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")), "frequent")
     total = counts.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
-    top = lambda kind, k, share: counts.filter((F.col("kind") == kind) & (F.col("n") * share >= total)).orderBy(F.desc("n"), "h").limit(k).toPandas()["h"].to_numpy(I64).view(U64)
+    counts = counts.withColumn("bin", F.floor(16 * F.log2("n")))
+    bins = counts.groupBy("kind", "bin").agg(F.count("*").alias("k")).collect()  # a few hundred rows
+
+    def top(kind: int, most: int, share: int) -> np.ndarray:
+        """At most ``most`` of those with 1 / ``share`` of the tokens: whole bins of like counts from above, so that nothing is sorted on the driver."""
+        least, held = 1 << 60, 0
+        for b, k in sorted(((r["bin"], r["k"]) for r in bins if r["kind"] == kind), reverse=True):
+            held += k
+            if held > most:
+                break
+            least = b
+        rows = counts.filter((F.col("kind") == kind) & (F.col("bin") >= least) & (F.col("n") * share >= total)).select("h")
+        return rows.toPandas()["h"].to_numpy(I64).view(U64)
+
     start = np.array([START], U64)
     words, pairs = (top(kind, most, 4 * shards) for kind in (0, 1))
     return Frequent(np.unique(top(0, listed, total + 1)), np.unique(np.concatenate([words, start])), np.unique(np.concatenate([pairs, pair_hash(start, start)])))
@@ -500,7 +513,7 @@ def block_rows(known: DataFrame, fr: Frequent, t: Totals, discount: float) -> Da
     return rows.mapInPandas(run, "joint long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
-def lm_scores(docs: DataFrame, discount: float = DISCOUNT, shard_bytes: int = 10 << 20, block_tokens: int = 700_000) -> DataFrame:
+def lm_scores(docs: DataFrame, discount: float = DISCOUNT, shard_bytes: int = 8 << 20, block_tokens: int = 700_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learned from rows whose crc32(doc_id) modulo 10 is not 0.
 
     score: sum of log10 P(word | the two words before). P of an n-gram seen in training is

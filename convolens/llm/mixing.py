@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from convolens.llm.shared import keep, number_rows, small
+from convolens.llm.shared import aside, keep, number_rows, small
 
 
 def tempered_units(df: DataFrame, source: str = "source", alpha: float = 0.5, resolution: int = 1000) -> DataFrame:
@@ -60,10 +60,11 @@ def mix(df: DataFrame, weights: DataFrame | None = None, source: str = "source",
     ``block_rows``; block k takes turn k of its source's endless Pfair schedule. All
     rows are kept: once a source has no block left its slots stay empty, and the
     others go on in their order. A null source is a source; a source without a weight
-    has weight 1 unit. Columns of those names that ``df`` has are replaced. Empty in, empty out.
+    has weight 1 unit. Columns of those names that ``df`` has are replaced, other columns
+    are kept whatever their names. Texts are not looked at. Empty in, empty out.
     """
     added = ["block", "slot", "release", "deadline", "position"]
-    base = df.drop(*added)
+    base, back = aside(df.drop(*added), source, key, *ties)
     weights = tempered_units(base, source) if weights is None else weights
     present = base.select(F.col(source).alias("__p")).distinct()
     known = present.join(weights, F.col("__p").eqNullSafe(F.col("source")), "left").select(F.col("__p").alias("source"), F.greatest(F.coalesce("units", F.lit(1)), F.lit(1)).alias("units"))
@@ -78,9 +79,10 @@ def mix(df: DataFrame, weights: DataFrame | None = None, source: str = "source",
     placed = placed.select(*base.columns, "block", (first + F.col("offset")).alias("slot"), (first + F.col("__r")).alias("release"), (first + F.col("__d")).alias("deadline"), (F.col("__n") % block_rows).alias("__in"))
 
     # where each slot starts: sums in ranges of slots, then over the ranges
-    filled = placed.groupBy("slot").agg(F.count("*").alias("__n")).withColumn("__range", F.floor(F.col("slot") / 1024).cast("long"))
+    filled = placed.groupBy("slot").agg(F.count("*").alias("__n")).withColumn("__range", F.floor(F.col("slot") / 128).cast("long"))
     ranges = filled.groupBy("__range").agg(F.sum("__n").alias("__all"))
     ahead = ranges.select("__range", F.coalesce(F.sum("__all").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
     inside = F.coalesce(F.sum("__n").over(W.partitionBy("__range").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = keep(filled.withColumn("__inside", inside).join(ahead, "__range").select(F.col("slot").alias("__slot"), (F.col("__ahead") + F.col("__inside")).alias("__start")), "starts")
-    return placed.join(small(starts), F.col("slot") == F.col("__slot")).select(*base.columns, "block", "slot", "release", "deadline", (F.col("__start") + F.col("__in")).cast("long").alias("position"))
+    out = placed.join(small(starts), F.col("slot") == F.col("__slot"))
+    return back(out, "block", "slot", "release", "deadline", (F.col("__start") + F.col("__in")).cast("long").alias("position"))

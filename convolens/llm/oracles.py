@@ -54,6 +54,11 @@ DECONTAMINATE = rf"""with d as (select doc_id, {_TOKENS} as w from documents), b
  dw as (select doc_id, i, n, array_to_string(w[i:i+n-1], ' ') as s from d, sizes, unnest(range(1, len(w) - n + 2)) as u(i)),
  h as (select doc_id, i, dw.n, item_id from dw join win on win.n = dw.n and win.s = dw.s),
  r as (select doc_id, count(distinct i + k) as n_hit from h, unnest(range(n)) as u(k) group by doc_id),
- it as (select doc_id, count(distinct item_id) as n_items, array_to_string(list_sort(list(distinct item_id::varchar)), ',') as ids from h group by doc_id)
- select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
- from d left join r on r.doc_id = d.doc_id left join it on it.doc_id = d.doc_id"""
+ it as (select doc_id, count(distinct item_id) as n_items, array_to_string(list_sort(list(distinct item_id::varchar)), ',') as ids from h group by doc_id),
+ dt as (select doc_id, len(w) as n_words, i - 1 as p, w[i] as t from d, unnest(range(1, len(w) + 1)) as u(i)),
+ bt as (select distinct w as k, len(w) as m, o - 1 as o, w[o] as t from b, unnest(range(1, len(w) + 1)) as u(o)),
+ al as (select doc_id, n_words, k, m, least(m, 10) as n, greatest(least(2, least(m, 10) // 2 - 1), 0) as others, p - o as shift, list(o) as os from dt join bt using (t) group by all having count(*) >= least(m, 10) - others),
+ wn as (select doc_id, n_words, n, shift + s as p0 from al, unnest(range(0, m - n + 1)) as u(s) where len(list_filter(os, lambda x: x >= s and x < s + n)) >= n - others),
+ nr as (select doc_id, count(distinct p0 + k) as n_near from wn, unnest(range(n)) as u(k) where p0 + k between 0 and n_words - 1 group by doc_id)
+ select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_near, 0)::bigint as n_near, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+ from d left join r on r.doc_id = d.doc_id left join it on it.doc_id = d.doc_id left join nr on nr.doc_id = d.doc_id"""

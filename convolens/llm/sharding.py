@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from convolens.llm.shared import let, number_rows
+from convolens.llm.shared import aside, let, number_rows
 
 #: The multiplier of the published generator, as its upper 32, middle 16 and lower 16 bits.
 A_HIGH, A_MID, A_LOW = 2862933555777941757 >> 32, (2862933555777941757 >> 16) & 0xFFFF, 2862933555777941757 & 0xFFFF
 M16, M32 = 0xFFFF, 0xFFFFFFFF
+#: Steps of a walk that all but a vanishing share of keys end in, for any number of shards.
+STEPS = 64
 
 
 def _next_key(hi: Column, lo: Column) -> tuple[Column, Column]:
@@ -27,8 +30,9 @@ def jump_shards(key: Column, shards: int) -> Column:
     """struct(shard, grown): the shard of a 64-bit key among ``shards``, and among one more.
 
     A key's jumps do not depend on the number of shards; it stays at the last jump
-    below that number. So one walk gives both. A null key counts as 0. A walk of
-    ``shards + 1`` steps is always enough, as every jump goes up.
+    below that number. So one walk gives both. A null key counts as 0. A key has about
+    log(shards) jumps; the walk has ``STEPS`` and, for a key that is still under way, as
+    many more as there are shards, which is always enough, as every jump goes up.
     """
     k = F.coalesce(key.cast("long"), F.lit(0).cast("long"))
     state = F.struct(
@@ -58,7 +62,10 @@ def jump_shards(key: Column, shards: int) -> Column:
         go = let(F.struct(hi.alias("hi"), lo.alias("lo")), lambda p: moved(p, s))
         return F.when(s["j"] > shards, s).otherwise(go)
 
-    walk = F.aggregate(F.sequence(F.lit(0), F.lit(shards + 1)), state, step)
+    walk = F.aggregate(F.sequence(F.lit(0), F.lit(min(STEPS, shards + 1))), state, step)
+    if STEPS < shards + 1:
+        rest = lambda s: F.aggregate(F.sequence(F.lit(0), F.lit(shards + 1)), s, step)
+        walk = let(walk, lambda s: F.when(s["j"] > shards, s).otherwise(rest(s)))
     return let(walk, lambda s: F.struct(s["at"].cast("int").alias("shard"), s["grown"].cast("int").alias("grown")))
 
 
@@ -67,10 +74,12 @@ def shard_rows(df: DataFrame, key: str = "doc_id", shards: int = 40, ties: list[
 
     The key alone decides the shard: rows with one key, nulls too, stay together, and
     a further shard takes rows only into itself. An empty table stays empty. Columns
-    of those names that ``df`` has are replaced. Slots are in the order of a hash of the
+    of those names that ``df`` has are replaced, others kept whatever their names; a key that
+    is no whole number is hashed first. Texts are not looked at. Slots are in the order of a hash of the
     key, or of the column ``order``, which numbers all rows from 0.
     """
-    base = df.drop("shard", "grown_shard", "slot")
-    placed = base.withColumn("__jump", jump_shards(F.col(key), shards))
+    base, back = aside(df.drop("shard", "grown_shard", "slot"), key, *ties, *([order] if order else []))
+    number = F.col(key) if isinstance(base.schema[key].dataType, T.IntegralType) else F.when(F.col(key).isNotNull(), F.xxhash64(key))
+    placed = base.withColumn("__jump", jump_shards(number, shards))
     placed = placed.select(*base.columns, F.col("__jump.shard").alias("shard"), F.col("__jump.grown").alias("grown_shard"))
-    return number_rows(placed, ["shard"], key, "slot", ties, order=order)
+    return back(number_rows(placed, ["shard"], key, "slot", ties, order=order), "shard", "grown_shard", "slot")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 #: White space that ends a word, as a Java pattern.
 BLANK = r"[\x20\x09-\x0D]+"
@@ -19,12 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set."""
+    """The folder that all executors share. Where none is set: one of our own on a local master, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='convolens-')}"
         spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    return f"{base.rstrip('/')}/convolens-{spark.sparkContext.applicationId}"
+
+
+def discard_kept(spark: SparkSession) -> None:
+    """Delete all tables that ``keep`` wrote in this application; results that are still to be read need them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -33,18 +43,47 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage, so that what is used twice is computed once and a lost
     executor costs a read and not the work before it.
     """
-    path = f"{shared_folder(df.sparkSession)}/convolens-{uuid.uuid4().hex}/{name}"
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Tables of up to so many narrow rows are broadcast; longer ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Tables of up to so many bytes are broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
+
+
+def width_of(column: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value has."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 8
+    if isinstance(kind, T.StructType):
+        return reduce(lambda a, f: a + width_of(column[f.name], f.dataType), kind.fields, F.lit(8))
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(column, F.lit(8).cast("long"), lambda a, x: a + width_of(x, kind.elementType)), F.lit(8))
+    return F.lit(8)
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, a written table, with a hint to broadcast it if its rows have no more than ``most`` bytes."""
+    size = reduce(lambda a, f: a + width_of(F.col(f.name), f.dataType), df.schema.fields, F.lit(16).cast("long"))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df
+
+
+def aside(df: DataFrame, *needed: str):
+    """(df with its other columns in one struct, a function that gives them back): so no name of theirs meets one of an operator's own.
+
+    ``back(out, *added)`` selects the columns of ``df`` in their order, and ``added``.
+    """
+    own = list(dict.fromkeys(needed))
+    rest = [c for c in df.columns if c not in own]
+    held = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(None).cast("string")
+    packed = df.select(*own, held.alias("__rest"))
 
+    def back(out: DataFrame, *added: str | Column, **changed: Column) -> DataFrame:
+        give = lambda c: changed[c].alias(c) if c in changed else F.col("__rest")[c].alias(c) if c in rest else F.col(c)
+        return out.select(*[give(c) for c in df.columns], *added)
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a hint to broadcast it, if it has no more than ``most`` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return packed, back
 
 
 def let(value: Column, body) -> Column:

@@ -179,13 +179,14 @@ def score(docs: DataFrame, model: ToxicityModel, cut: float = 0.7) -> DataFrame:
     of the model, get the share of toxic rows. Equal texts get equal scores.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [model.score(t) for t in b.text]
-            yield pd.DataFrame({"doc_id": b.doc_id, "held_out": b.held_out, "score": [s for s, _ in out], "predicted": [int(s >= cut) for s, _ in out], "evidence": [e for _, e in out]})
-
-    slim = docs.select("doc_id", (id_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    return slim.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            out = [model.score(t) for t in texts]
+            yield pd.DataFrame({"score": [s for s, _ in out], "evidence": [e for _, e in out]})
+
+    held_out = (id_remainder(F.col("doc_id"), 3) == 1).alias("held_out")
+    found = docs.select("doc_id", held_out, F.pandas_udf(run, "score double, evidence array<long>")(F.coalesce("text", F.lit(""))).alias("x"))
+    return found.select("doc_id", "held_out", "x.score", (F.col("x.score") >= cut).cast("int").alias("predicted"), "x.evidence")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, cut: float = 0.7) -> DataFrame:

@@ -64,6 +64,24 @@ def contamination(docs, items, n=10):
     return out
 
 
+def near_contamination(docs, items, n=10, near=2):
+    """(id, words in windows that stand at one offset but for a few words), every offset tried."""
+    out = []
+    listed = [TOKEN.findall((t or "").translate(LOW)) for _, t in items]
+    for d, t in docs:
+        w, hit = TOKEN.findall((t or "").translate(LOW)), set()
+        for item in listed:
+            k = min(n, len(item))
+            others = max(0, min(near, k // 2 - 1))
+            for shift in range(-len(item) + 1, len(w)):
+                equal = [0 <= shift + o < len(w) and w[shift + o] == x for o, x in enumerate(item)]
+                for s in range(len(item) - k + 1 if item else 0):
+                    if sum(equal[s : s + k]) >= k - others:
+                        hit.update(p for p in range(shift + s, shift + s + k) if 0 <= p < len(w))
+        out.append((d, len(hit)))
+    return out
+
+
 def spark_xxhash(*values):
     seed = 42
     for v in values:

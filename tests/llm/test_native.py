@@ -107,14 +107,27 @@ def test_contamination(all_docs, items, empty):
 
 
 def test_near_passages(spark):
-    words = [f"w{i}" for i in range(30)]
-    near = words[5:15].copy()
-    near[2] = "other"
-    df = spark.createDataFrame([(1, " ".join(["aa", *near, "bb"])), (2, "nothing here")], "doc_id long, text string")
-    item = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
-    r = {x.doc_id: x for x in decontaminate(df, item).collect()}
-    assert (r[1].n_hit, r[1].n_near, r[1].contaminated) == (0, 10, False) or r[1].n_near >= 10
-    assert r[2].n_near == 0
+    """Ten-word items of common words with any two words replaced, at every place; long and short items; truncated texts."""
+    import itertools
+    import random
+
+    r = random.Random(3)
+    common = [f"c{i}" for i in range(12)]
+    items = [(i, " ".join(r.choices(common, k=k))) for i, k in enumerate([10, 10, 13, 25, 1, 2, 4, 5, 6, 7, 9])]
+    rows = []
+    for a, b in itertools.combinations(range(10), 2):
+        w = items[0][1].split()
+        w[a], w[b] = "other", r.choice(common)
+        rows.append(" ".join(r.choices(common, k=8)) + " " + " ".join(w) + " " + " ".join(r.choices(common, k=4)))
+    for _, t in items:
+        w = t.split()
+        rows += [t, " ".join(w[1:]), " ".join(w[:-2]), t + " " + t, " ".join(r.choices(common, k=40)) + " " + " ".join(w[2:])]
+    docs = [(i, t) for i, t in enumerate([*rows, None, ""])]
+    got = decontaminate(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((x.doc_id, x.n_near) for x in got) == brute.near_contamination(docs, items)
+    want = {x[0]: x for x in brute.contamination(docs, items)}
+    assert all((x.n_words, x.n_hit, x.n_items) == want[x.doc_id][1:4] for x in got)
+    assert all(x.n_near >= 10 for x in got if x.doc_id < 45)
 
 
 def test_line_dedup(all_docs, empty):
