@@ -9,18 +9,17 @@ QUALITY = r"""with d as (select *, coalesce(text, '') as t, list_filter(string_s
  m as (select *, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, word_chars * 100 // greatest(n_words, 1) as word_length, n_symbols * 10000 // greatest(word_chars, 1) as symbol_rate, n_repeat_words * 10000 // greatest(n_words, 1) as repeat_rate,
    (len(lines) - len(list_distinct(lines))) * 10000 // greatest(len(lines), 1) as dup_line_rate from f),
  long as (select doc_id, lang, source, 'word_length' as rule, word_length as v from m union all select doc_id, lang, source, 'symbol_rate', symbol_rate from m union all select doc_id, lang, source, 'dup_line_rate', dup_line_rate from m union all select doc_id, lang, source, 'repeat_rate', repeat_rate from m),
- sh as (select *, greatest(length(bin(v)) - 6, 0) as s from long), b as (select *, 32 * s + (v >> s) as bin from sh),
+ sh as (select *, greatest(length(bin(v)) - 6, 0) as s from long where doc_id not in (select doc_id from m where n_words < 10 or 100 * n_repeat_words > 20 * n_words)), b as (select *, 32 * s + (v >> s) as bin from sh),
  sk as (select lang, source, rule, bin, count(*) as n from b group by all),
- run1 as (select *, sum(n) over (partition by lang, source, rule order by bin) as upto, sum(n) over (partition by lang, source, rule) as rows from sk),
- own as (select lang, source, rule, max(rows) as rows, min(case when upto * 100 >= rows * 25 then bin end) as q1, min(case when upto * 100 >= rows * 75 then bin end) as q3 from run1 group by all),
- sk2 as (select lang, rule, bin, sum(n) as n from sk group by all), run2 as (select *, sum(n) over (partition by lang, rule order by bin) as upto, sum(n) over (partition by lang, rule) as rows from sk2),
- own2 as (select lang, rule, max(rows) as rows, min(case when upto * 100 >= rows * 25 then bin end) as q1, min(case when upto * 100 >= rows * 75 then bin end) as q3 from run2 group by all),
- sk3 as (select rule, bin, sum(n) as n from sk group by all), run3 as (select *, sum(n) over (partition by rule order by bin) as upto, sum(n) over (partition by rule) as rows from sk3),
- own3 as (select rule, min(case when upto * 100 >= rows * 25 then bin end) as q1, min(case when upto * 100 >= rows * 75 then bin end) as q3 from run3 group by all),
- pick as (select own.lang, own.source, own.rule, case when own.rows >= 100 then own.q1 when own2.rows >= 100 then own2.q1 else own3.q1 end as b1, case when own.rows >= 100 then own.q3 when own2.rows >= 100 then own2.q3 else own3.q3 end as b3
-   from own join own2 on own2.lang is not distinct from own.lang and own2.rule = own.rule join own3 on own3.rule = own.rule),
- v as (select lang, source, rule, ((b1 - 32 * greatest(b1 // 32 - 1, 0)) * pow(2, greatest(b1 // 32 - 1, 0)))::bigint as q1, ((b3 - 32 * greatest(b3 // 32 - 1, 0)) * pow(2, greatest(b3 // 32 - 1, 0)))::bigint as q3 from pick),
- lim as (select lang, source, rule, case when rule = 'word_length' then q1 - 3 * (q3 - q1) - 100 end as low, q3 + 3 * (q3 - q1) + case rule when 'word_length' then 100 when 'symbol_rate' then 300 when 'dup_line_rate' then 4000 else 1500 end as high from v),
+ lev as (select 0 as lev, lang, source, rule, bin, sum(n) as n from sk group by all union all select 1, lang, null, rule, bin, sum(n) from sk group by all union all select 2, null, null, rule, bin, sum(n) from sk group by all),
+ run as (select *, (bin - 32 * greatest(bin // 32 - 1, 0)) * pow(2, greatest(bin // 32 - 1, 0)) as v, sum(n) over w as upto, sum(n) over (partition by lev, lang, source, rule) as rows from lev where bin > 0 or rule in ('word_length', 'symbol_rate') window w as (partition by lev, lang, source, rule order by bin)),
+ nx as (select *, lead(v) over (partition by lev, lang, source, rule order by bin) as nxt from run),
+ q as (select lev, lang, source, rule, max(rows) as rows, min(v) filter (upto * 100 >= rows * 25) as q1, min(v) filter (upto * 100 >= rows * 75) as q3, min({'a': v, 'b': nxt}) filter (upto * 100 >= rows * 75 and nxt > 2 * v + 100) as gap from nx group by lev, lang, source, rule),
+ sides as (select *, case when rule = 'word_length' then q1 - greatest(3 * (q3 - q1), floor(q3 / 3)) end as low,
+   case when rule = 'word_length' then q3 + greatest(3 * (q3 - q1), floor(q3 / 3)) when rule = 'symbol_rate' then floor((gap.a + gap.b) / 2) else floor(q3 * q3 / q1) end as high from q),
+ lim as (select g.lang, g.source, r.rule, case when x.rows >= 100 then x.low when y.rows >= 100 then y.low else z.low end as low, case when x.rows >= 100 then x.high when y.rows >= 100 then y.high else z.high end as high
+   from (select distinct lang, source from sk) g cross join (select distinct rule from sk) r left join sides x on x.lev = 0 and x.rule = r.rule and x.lang is not distinct from g.lang and x.source is not distinct from g.source
+   left join sides y on y.lev = 1 and y.rule = r.rule and y.lang is not distinct from g.lang left join sides z on z.lev = 2 and z.rule = r.rule),
  bad as (select distinct doc_id from long join lim on lim.lang is not distinct from long.lang and lim.source is not distinct from long.source and lim.rule = long.rule where long.v > high or long.v < low)
  select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed,
    not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and doc_id not in (select doc_id from bad) as kept from m"""

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from convolens.llm.shared import BLANK, keep, let, words_of
+from convolens.llm.shared import BLANK, keep, let, small, words_of
 
-SYMBOLS = "#*$%&|<>"
-#: Rules: name, whether the low side fails too, and the margin beyond the fence.
-RULES = [("word_length", True, 100), ("symbol_rate", False, 300), ("dup_line_rate", False, 4000), ("repeat_rate", False, 1500)]
+#: Rules by how their limits follow from a group's sketch: ``fence``, three interquartile ranges beyond the quartiles,
+#: on both sides; ``gap``, the middle of the first gap above the bulk of the rows; ``ratio``, of the rows that have the
+#: fault at all, the upper quartile as far again as it lies above the lower one, on a logarithmic scale.
+RULES = {"word_length": "fence", "symbol_rate": "gap", "dup_line_rate": "ratio", "repeat_rate": "ratio"}
+#: The guard: a gap counts above twice the value before it and this share, in tenths of a thousandth.
+GUARD = 100
 
 
 def _repeat_words(words: Column, n: int = 5) -> Column:
@@ -71,7 +74,7 @@ def sketch(measured: DataFrame, groups: list[str]) -> DataFrame:
     Counts in fixed log-linear bins: two sketches merge by adding counts, in any order
     and with the same result, and a quantile is off by at most 1/32 of its value.
     """
-    long = measured.select(*groups, F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), _bin(F.col(r)).alias("bin")) for r, _, _ in RULES])).alias("x"))
+    long = measured.select(*groups, F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), _bin(F.col(r)).alias("bin")) for r in RULES])).alias("x"))
     return long.groupBy(*groups, "x.rule", "x.bin").agg(F.count("*").alias("n"))
 
 
@@ -79,49 +82,64 @@ def merge(sketches: DataFrame, groups: list[str]) -> DataFrame:
     return sketches.groupBy(*groups, "rule", "bin").agg(F.sum("n").alias("n"))
 
 
-def quantiles(sketches: DataFrame, groups: list[str], share: dict[str, int]) -> DataFrame:
-    """One row for each group and rule: the group's rows and its quantiles, given in hundredths."""
-    over = W.partitionBy(*groups, "rule")
-    run = sketches.withColumn("upto", F.sum("n").over(over.orderBy("bin"))).withColumn("rows", F.sum("n").over(over))
-    return run.groupBy(*groups, "rule").agg(F.max("rows").alias("rows"), *[_bin_floor(F.min(F.when(F.col("upto") * 100 >= F.col("rows") * q, F.col("bin")))).alias(name) for name, q in share.items()])
-
+def limits(sketches: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, rule, rows, low, high): a group's limits, null where a side has none, and how many rows they are drawn from.
 
-def thresholds(measured: DataFrame, min_rows: int = 100, fence: int = 3) -> DataFrame:
-    """(lang, source, rule, low, high): Tukey fences at ``fence`` interquartile ranges.
-
-    A group of fewer than ``min_rows`` rows says little; it takes the merged sketch of
-    its language, and if that is small too, the one of all rows.
+    All limits are made of the sketch's own values: twice the values give twice the limits.
+    """
+    kind = F.create_map(*[F.lit(x) for kv in RULES.items() for x in kv])[F.col("rule")]
+    over = W.partitionBy(*groups, "rule")
+    some = sketches.withColumn("kind", kind).filter((F.col("kind") != "ratio") | (F.col("bin") > 0)).withColumn("value", _bin_floor(F.col("bin")))
+    run = some.withColumn("upto", F.sum("n").over(over.orderBy("bin"))).withColumn("rows", F.sum("n").over(over)).withColumn("next", F.lead("value").over(over.orderBy("bin")))
+    at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("rows") * q, F.col("value")))
+    gap = F.when((F.col("upto") * 100 >= F.col("rows") * 75) & (F.col("next") > 2 * F.col("value") + GUARD), F.struct("value", "next"))
+    sides = run.groupBy(*groups, "rule", "kind").agg(F.max("rows").alias("rows"), at(25).alias("q1"), at(75).alias("q3"), F.min(gap).alias("gap"))
+    q1, q3 = F.col("q1"), F.col("q3")
+    reach = F.greatest(3 * (q3 - q1), F.floor(q3 / 3))
+    middle = F.floor((F.col("gap.value") + F.col("gap.next")) / 2)
+    far = F.floor(q3 * q3 / q1)
+    high = F.when(F.col("kind") == "fence", q3 + reach).when(F.col("kind") == "gap", middle).otherwise(far).cast("long")
+    return sides.select(*groups, "rule", "rows", F.when(F.col("kind") == "fence", q1 - reach).cast("long").alias("low"), high.alias("high"))
+
+
+def thresholds(measured: DataFrame, min_rows: int = 100) -> DataFrame:
+    """(lang, source, rule, low, high), from the sketch of the language and source.
+
+    Limits that are drawn from fewer than ``min_rows`` rows say little; the group then takes those
+    of the merged sketch of its language, and if these are too, those of all rows.
     """
-    share = {"q1": 25, "q3": 75}
     fine = keep(sketch(measured, ["lang", "source"]), "sketch")
-    own = quantiles(fine, ["lang", "source"], share)
-    lang = quantiles(merge(fine, ["lang"]), ["lang"], share).select(F.col("lang").alias("l2"), F.col("rule").alias("rule2"), F.col("rows").alias("rows2"), F.col("q1").alias("q12"), F.col("q3").alias("q32"))
-    every = quantiles(merge(fine, []), [], share).select(F.col("rule").alias("rule3"), F.col("q1").alias("q13"), F.col("q3").alias("q33"))
-    all_ = own.join(lang, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("rule") == F.col("rule2"))).join(every, F.col("rule") == F.col("rule3"))
-    pick = lambda q: F.when(F.col("rows") >= min_rows, F.col(q)).when(F.col("rows2") >= min_rows, F.col(q + "2")).otherwise(F.col(q + "3"))
-    chosen = all_.select("lang", "source", "rule", pick("q1").alias("q1"), pick("q3").alias("q3"))
-    margin = F.create_map(*[x for r, _, m in RULES for x in (F.lit(r), F.lit(m))])[F.col("rule")]
-    reach = fence * (F.col("q3") - F.col("q1")) + margin
-    two = F.col("rule").isin([r for r, both, _ in RULES if both])
-    return chosen.select("lang", "source", "rule", F.when(two, F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
+    groups = fine.select("lang", "source").distinct().crossJoin(F.broadcast(fine.select("rule").distinct()))  # at most four rules
+    levels = []
+    for i, by in enumerate((["lang", "source"], ["lang"], [])):
+        own = limits(fine if i == 0 else merge(fine, by), by)
+        levels.append((i, by, own.select(*[F.col(c).alias(f"{c}{i}") for c in own.columns])))
+    chosen = groups
+    for i, by, own in levels:
+        on = F.col("rule") == F.col(f"rule{i}")
+        for c in by:
+            on = on & F.col(c).eqNullSafe(F.col(f"{c}{i}"))
+        chosen = chosen.join(own, on, "left")
+    pick = lambda side: F.when(F.col("rows0") >= min_rows, F.col(side + "0")).when(F.col("rows1") >= min_rows, F.col(side + "1")).otherwise(F.col(side + "2"))
+    return chosen.select("lang", "source", "rule", pick("low").alias("low"), pick("high").alias("high"))
 
 
 def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per document its counts, ``base_failed`` and ``kept``; columns as the query op1 has them, and lang, source, n_lines.
 
-    Empty and null texts have zero words and fail the base rule. A null language or
-    source is a group of its own. Rows with equal ids are judged each by itself. An
+    A text is kept if the base rule passes it and each rule's value lies within the limits of
+    its language and source, which come from the texts that the base rule passes. Empty and null texts have zero words and fail the base rule.
+    Texts of any length are counted whole. A null language or source is a group of its own;
+    they may be of any type that has equality. Rows with equal ids are judged each by itself. An
     empty table gives an empty one. Other columns of ``docs`` are not looked at.
     """
     measured = keep(features(docs, text).withColumns(_rates()), "features")
-    limits = thresholds(measured)
-    wide = limits.groupBy(F.col("lang").alias("__l"), F.col("source").alias("__s")).agg(*[F.max(F.when(F.col("rule") == r, F.col(side))).alias(f"{r}_{side}") for r, _, _ in RULES for side in ("low", "high")])
-    joined = measured.join(wide, F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s")), "left")
-    good = F.lit(True)
-    for r, both, _ in RULES:
-        good = good & (F.col(r) <= F.col(f"{r}_high"))
-        good = good & (F.col(r) >= F.col(f"{r}_low")) if both else good
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(good, F.lit(True))).select(
+    wide = thresholds(measured.filter(~failed)).groupBy(F.col("lang").alias("__l"), F.col("source").alias("__s")).agg(*[F.max(F.when(F.col("rule") == r, F.col(side))).alias(f"{r}_{side}") for r in RULES for side in ("low", "high")])
+    joined = measured.join(small(keep(wide, "limits")), F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s")), "left")
+    good = F.lit(True)
+    for r in RULES:
+        good = good & F.coalesce(F.col(r) <= F.col(f"{r}_high"), F.lit(True)) & F.coalesce(F.col(r) >= F.col(f"{r}_low"), F.lit(True))
+    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & good).select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", "kept"
     )

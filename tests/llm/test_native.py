@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 from convolens.llm.decontam import decontaminate, drop_contaminated
 from convolens.llm.linededup import dedup_lines
 from convolens.llm.mixing import mix, pfair_pattern
-from convolens.llm.quality import quality_rules, quantiles, sketch
+from convolens.llm.quality import limits, merge, quality_rules, sketch, thresholds
 from convolens.llm.secrets import scan_secrets, span_digest
 from convolens.llm.sharding import shard_rows
 from tests.llm import brute
@@ -25,11 +25,31 @@ def test_quality_verdicts(all_docs, empty):
     assert quality_rules(empty).count() == 0
 
 
+def measured(spark, source, rows):
+    return spark.createDataFrame([("en", source, *r) for r in rows], "lang string, source string, word_length long, symbol_rate long, dup_line_rate long, repeat_rate long")
+
+
 def test_sketches_merge_and_bound_the_error(spark):
-    df = spark.range(1, 5001).selectExpr("'a' g", *[f"id * id word_length" if r == "word_length" else f"id {r}" for r in ("word_length", "symbol_rate", "dup_line_rate", "repeat_rate")])
-    q = {r.rule: r for r in quantiles(sketch(df.repartition(7), ["g"]), ["g"], {"q1": 25, "q3": 75}).collect()}
-    for rule, exact in (("word_length", 3750**2), ("symbol_rate", 3750)):
-        assert exact * (1 - 1 / 31) <= q[rule].q3 <= exact and q[rule].rows == 5000
+    rows = [(400 + i % 100, 100 + i % 150, i % 50 * 20, 0) for i in range(400)]
+    whole, parts = measured(spark, "a", rows), [measured(spark, "a", rows[i::3]) for i in range(3)]
+    said = lambda df: sorted(map(tuple, df.collect()))
+    halves = sketch(parts[0], ["lang"]).unionByName(sketch(parts[1], ["lang"])).unionByName(sketch(parts[2], ["lang"]))
+    assert said(merge(halves, ["lang"])) == said(sketch(whole, ["lang"]))
+    fence = {r.rule: r for r in limits(sketch(whole, ["lang"]), ["lang"]).collect()}
+    low, high = 425 - 475 // 3, 475 + 475 // 3
+    assert low * 31 / 32 - 16 <= fence["word_length"].low <= low + 16 and high * 31 / 32 <= fence["word_length"].high <= high
+    assert fence["word_length"].rows == 400 and fence["repeat_rate" if "repeat_rate" in fence else "dup_line_rate"].rows == 392
+
+
+def test_limits_follow_a_source(spark):
+    """A source with twice the symbols and longer words gets twice the limit; its junk goes and its ordinary rows stay."""
+    rows = [(480 + i % 40, 40 + i % 30, 0, 0) for i in range(300)] + [(500, 2000, 0, 0)] * 20
+    twice = [(a * 2, b * 2, c, d) for a, b, c, d in rows]
+    got = {(r.source, r.rule): r for r in thresholds(measured(spark, "a", rows).unionByName(measured(spark, "b", twice))).collect()}
+    for rule in ("word_length", "symbol_rate"):
+        a, b = got["a", rule].high, got["b", rule].high
+        assert abs(b / a - 2) < 0.07 and a > max(r[0 if rule == "word_length" else 1] for r in rows[:300])
+    assert 69 < got["a", "symbol_rate"].high < 2000 and got["a", "repeat_rate"].high is None
 
 
 def test_pfair_windows(spark):
