@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convolens.llm.shared import keep, let, small, words_of
+from convolens.llm.shared import aside, keep, let, small, words_of
 
 
 def chunk_ends(lines: Column, window: int = 2, divisor: int = 4) -> Column:
@@ -47,7 +47,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_li
     are lines; a null key sorts first. Columns with the added names are replaced.
     """
     added = ["n_lines", "n_chunks", "removed_lines", "removed_chunks"]
-    base = docs.drop(*added)
+    base, back = aside(docs.drop(*added), key, text)
     mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     lines = F.split(F.col(text), "\n")
     many = base.filter(F.col(text).contains("\n")).select(F.col(key).alias("id"), mark.alias("mark"), F.col(text).alias("t"))
@@ -72,12 +72,13 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_li
     stays = F.filter("__c", lambda c: ~F.array_contains(F.col("__gone"), c["k"]))
     removed = F.aggregate(F.filter("__c", lambda c: F.array_contains(F.col("__gone"), c["k"])), F.lit(0).cast("long"), lambda a, c: a + c["n"])
     n_chunks = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(chunk_ends(lines)))
-    return out.select(
-        *[c if c != text else F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stays, lambda c: c["text"]), "\n")).alias(text) for c in base.columns],
+    return back(
+        out,
         F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         n_chunks.cast("long").alias("n_chunks"),
         F.coalesce(removed, F.lit(0)).cast("long").alias("removed_lines"),
         F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long").alias("removed_chunks"),
+        **{text: F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stays, lambda c: c["text"]), "\n"))},
     )
 
 
@@ -104,7 +105,7 @@ def dedup_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", lon
     Nulls, blanks and equal rows are as in ``dedup_lines``.
     """
     added = ["n_lines", "n_chunks", "removed_lines", "removed_chunks"]
-    base = docs.drop(*added)
+    base, back = aside(docs.drop(*added), key, text)
     mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     full = base.filter(F.col(text).isNotNull()).select(F.col(key).alias("id"), mark.alias("mark"), F.split(F.col(text), "\n").alias("l"))
 
@@ -124,6 +125,7 @@ def dedup_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", lon
     texts = held.select("id", "mark", F.explode(bytes_of).alias("x")).select(F.struct("id", "mark", "x.i").alias("place"), "x.n", "x.hash", "x.first", "x.bytes")
     texts = keep(texts, "bytes")
     kept = texts.filter(F.col("place") == F.col("first")).groupBy(F.col("hash").alias("h")).agg(F.first("bytes").alias("kept"))
+    kept = small(keep(kept, "kept"))
     apart = ~(F.col("place.id").eqNullSafe(F.col("first.id")) & (F.col("place.mark") == F.col("first.mark")) & (F.col("place.i") < F.col("first.i") + F.col("n")))
     copies = texts.filter((F.col("place") != F.col("first")) & apart).join(kept, F.col("hash") == F.col("h")).filter(F.col("bytes") == F.col("kept"))
     gone = copies.groupBy(F.col("place.id").alias("__id"), F.col("place.mark").alias("__mark")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("place.i"), F.col("place.i") + F.col("n") - 1))))).alias("__gone"))
@@ -137,10 +139,11 @@ def dedup_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", lon
     whole = let(F.struct(ends.alias("ends"), stay.alias("stay")), lambda p: F.size(p["ends"]) - F.size(F.filter(p["ends"], lambda end, k: F.exists(p["stay"], lambda i: (i <= end) & (i > F.coalesce(F.get(p["ends"], k - 1), F.lit(-1)))))))
     left = let(lines, lambda x: F.array_join(F.transform(stay, lambda i: F.get(x, i)), "\n"))
     found = F.col("__gone").isNotNull()
-    return joined.select(
-        *[c if c != text else F.when(found, left).otherwise(F.col(text)).alias(text) for c in base.columns],
+    return back(
+        joined,
         F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(ends)).cast("long").alias("n_chunks"),
         F.when(found, F.size("__gone")).otherwise(F.lit(0)).cast("long").alias("removed_lines"),
         F.when(found, whole).otherwise(F.lit(0)).cast("long").alias("removed_chunks"),
+        **{text: F.when(found, left).otherwise(F.col(text))},
     )

@@ -61,3 +61,24 @@ DECONTAMINATE = rf"""with d as (select doc_id, {_TOKENS} as w from documents), b
  nr as (select doc_id, count(distinct p0 + k) as n_near from wn, unnest(range(n)) as u(k) where p0 + k between 0 and n_words - 1 group by doc_id)
  select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_near, 0)::bigint as n_near, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
  from d left join r on r.doc_id = d.doc_id left join it on it.doc_id = d.doc_id left join nr on nr.doc_id = d.doc_id"""
+
+#: The published generator in numbers of 128 bits; a text's CRC-32 byte by byte from its hexadecimal form.
+SHARD = """with recursive crc as (select i as n, i::bigint as c, 0 as k from range(256) t(i) union all select n, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from crc where k < 8),
+ tab as (select list(c order by n) as t from crc where k = 8),
+ d as (select doc_id, coalesce(text, '') as x from documents),
+ s as (select doc_id, octet_length(encode(x))::bigint + 16 as size, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda p: ('0x' || p)::bigint)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) as text_crc32 from d, tab),
+ w as (select doc_id, doc_id::hugeint as key, 0::bigint as j, 0::bigint as at, 0::bigint as grown from d
+  union all select doc_id, nk, nj, case when nj < 40 then nj else at end, case when nj < 41 then nj else grown end
+   from (select *, floor((grown + 1) * (2147483648.0::double / ((nk // 8589934592) + 1)::double))::bigint as nj from (select *, (key * 2862933555777941757 + 1) % 18446744073709551616 as nk from w where j < 41))),
+ e as (select doc_id, at, grown from w where j >= 41)
+ select s.doc_id, size, text_crc32, 'key' as law, at::int as shard, row_number() over (partition by at order by ('0x' || substr(md5(s.doc_id::varchar), 1, 15))::bigint, s.doc_id) - 1 as slot, grown::int as grown_shard from s join e on e.doc_id = s.doc_id"""
+
+LINES = r"""with d as (select doc_id, text, string_split(text, chr(10)) as l from documents),
+ p as (select doc_id, i - 1 as i, 2 as n, l[i] || chr(10) || l[i + 1] as b from d, unnest(range(1, len(l))) as u(i) where text is not null
+  union all select doc_id, i - 1, 1, l[i] from d, unnest(range(1, len(l) + 1)) as u(i) where text is not null and len(list_filter(string_split_regex(l[i], '[\x20\x09-\x0D]+'), lambda x: x <> '')) > 50),
+ f as (select *, min({'d': doc_id, 'i': i}) over (partition by n, b) as first from p),
+ g as (select distinct doc_id, i + k as line from f, unnest(range(n)) as u(k) where (first.d <> doc_id or first.i <> i) and not (first.d = doc_id and i < first.i + n)),
+ r as (select doc_id, list(line) as gone from g group by doc_id)
+ select d.doc_id, coalesce(len(l), 0)::bigint as n_lines, coalesce(len(gone), 0)::bigint as removed_lines,
+  sha256(coalesce(case when gone is null then text else array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: not list_contains(gone, i - 1)), lambda i: l[i]), chr(10)) end, '')) as text_sha256
+ from d left join r on r.doc_id = d.doc_id"""

@@ -63,7 +63,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cut.select("doc_id", "n_lines", "n_chunks", "removed_lines", "removed_chunks", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return cut.select("doc_id", "n_lines", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -82,5 +82,7 @@ ORACLE: dict[str, str] = {
     "op1_quality_rules": oracles.QUALITY,
     "op2_mix_sources": oracles.MIX,
     "op6_ngram_jaccard": oracles.JACCARD,
+    "op4_shard": oracles.SHARD,
     "op9_decontaminate": oracles.DECONTAMINATE,
+    "op10_line_dedup": oracles.LINES,
 }

@@ -37,6 +37,7 @@ class BlockMaxIndex:
     def __init__(self, terms: list[bytes], vectors: list[dict[int, float]], ids: list[int], y: list[int], weight: list[float], block: int = 64):
         # examples with the same strongest term stand together, so that a block's bounds are tight
         order = sorted(range(len(vectors)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], -t), default=-1), ids[i]))
+        self.order = order
         self.ids, self.y, self.weight = (np.array([x[i] for i in order], dtype) for x, dtype in ((ids, np.int64), (y, np.float64), (weight, np.float64)))
         self.block, self.blocks, self.n = block, max(1, -(-len(order) // block)), len(order)
         self.term = {t: i for i, t in enumerate(terms)}
@@ -52,16 +53,18 @@ class BlockMaxIndex:
             self.start[i] = a + np.searchsorted(self.doc[a:b], np.arange(self.blocks + 1) * block)
             np.maximum.at(self.top[i], self.doc[a:b] // block, self.w[a:b])
 
-    def _scores(self, terms: list[int], q: list[float], opened: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines above 0 of the examples in the opened blocks."""
-        score = np.zeros(self.n)
-        for t, x in zip(terms, q, strict=True):
-            s, e = self.start[t, 0], self.start[t, -1]
-            doc, w = self.doc[s:e], self.w[s:e]
-            own = opened[doc // self.block]
-            score[doc[own]] += x * w[own]
-        at = np.flatnonzero(score > 0)
-        return at, score[at]
+    def _scores(self, terms: np.ndarray, q: np.ndarray, opened: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines above 0 of the examples in the opened blocks; of a term's postings only theirs are read."""
+        start, end = self.start[terms][:, opened], self.start[terms][:, opened + 1]
+        size = end - start
+        own = size > 0
+        first, size = start[own], size[own]
+        ends = np.cumsum(size)
+        at = np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+        weight = np.repeat(np.broadcast_to(q[:, None], own.shape)[own], size)
+        score = np.bincount(self.doc[at], weight * self.w[at], self.n)
+        hit = np.flatnonzero(score > 0)
+        return hit, score[hit]
 
     def nearest(self, query: dict[int, float], k: int, first: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k examples of greatest cosine above 0, ties by place.
@@ -75,19 +78,34 @@ class BlockMaxIndex:
         opened = np.zeros(self.blocks, bool)
         opened[np.argsort(-bound, kind="stable")[:first]] = True
         opened &= bound > 0
-        at, score = self._scores(terms.tolist(), q.tolist(), opened)
+        at, score = self._scores(terms, q, np.flatnonzero(opened))
         least = np.partition(score, -k)[-k] - 1e-9 if len(score) >= k else 0.0
         more = (bound > 0) & (bound >= least) & ~opened
         if more.any():
-            at2, score2 = self._scores(terms.tolist(), q.tolist(), more)
+            at2, score2 = self._scores(terms, q, np.flatnonzero(more))
             at, score = np.concatenate([at, at2]), np.concatenate([score, score2])
         best = np.lexsort((at, -np.round(score, 12)))[:k]
         return at[best], score[best]
 
 
+def rising(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points of the rising curve that is nearest to ``y`` over ``x``: neighbours that fall are pooled to their mean."""
+    pools: list[list[float]] = []
+    for i in np.lexsort((y, x)).tolist():
+        pools.append([x[i] * weight[i], y[i] * weight[i], weight[i]])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    p = np.array(pools).reshape(-1, 3)
+    return p[:, 0] / p[:, 2], p[:, 1] / p[:, 2]
+
+
 class ToxicityModel:
+    """``curve``: votes and the shares of toxic examples that they stand for; ``alone``: the share among examples without a term of the model."""
+
     def __init__(self, index: BlockMaxIndex, idf: np.ndarray, prior: float, k: int, trust: float):
         self.index, self.idf, self.prior, self.k, self.trust = index, idf, prior, k, trust
+        self.curve, self.alone = (np.array([0.0, 1.0]), np.array([0.0, 1.0])), prior
         self.seen: dict[bytes, tuple[bytes, ...]] = {}
         self.features = {t[1:] for t in index.term}
         self.heads = {f[1 : 1 + PREFIXES[0]] for f in self.features}
@@ -114,18 +132,34 @@ class ToxicityModel:
         at = {term[k]: n - i for x, n in Counter(hits).items() for i in range(min(n, PLACES)) if (k := bytes([48 + i]) + x) in term}
         return unit({t: (1 + math.log(n)) * self.idf[t] for t, n in at.items()})
 
+    def votes(self, v: dict[int, float], without: int = -1) -> tuple[float, np.ndarray]:
+        """Votes weigh the squared cosine; a prior of weight ``trust`` keeps far neighbours from deciding. ``without``: an example that does not vote."""
+        at, cosine = self.index.nearest(v, self.k + (without >= 0))
+        own = at != without
+        at, cosine = at[own][: self.k], cosine[own][: self.k]
+        w = cosine**2 * self.index.weight[at]
+        return float((w @ self.index.y[at] + self.trust * self.prior) / (w.sum() + self.trust)), at
+
+    def calibrate(self, vectors: list[dict[int, float]], others: tuple[float, float]) -> None:
+        """Learn what votes stand for from the fitted examples, each judged by the others. ``vectors``: in the index's order; ``others``: weight and toxic weight of those without a term."""
+        if vectors:
+            raw = np.array([self.votes(v, i)[0] for i, v in enumerate(vectors)])
+            x, p = rising(raw, self.index.y, self.index.weight)
+            # a pool of few examples is less sure than it says
+            self.curve = x, np.clip(p, 0.5 / (len(raw) + 1), 1 - 0.5 / (len(raw) + 1))
+        total, toxic = others
+        self.alone = (toxic + self.prior) / (total + 1) if total else self.prior
+
     def score(self, text: str) -> tuple[float, list[int]]:
-        """Votes weigh the squared cosine; a prior of weight ``trust`` keeps far neighbours from deciding."""
         v = self.vector(text)
         if not v:
-            return self.prior, []
+            return self.alone, []
         key = tuple(sorted((t, round(x, 9)) for t, x in v.items()))
         if key not in self.known:
             if len(self.known) > 50_000:
                 self.known.clear()
-            at, cosine = self.index.nearest(v, self.k)
-            w = cosine**2 * self.index.weight[at]
-            self.known[key] = float((w @ self.index.y[at] + self.trust * self.prior) / (w.sum() + self.trust)), self.index.ids[at[:3]].tolist()
+            raw, at = self.votes(v)
+            self.known[key] = float(np.interp(raw, *self.curve)), self.index.ids[at[:3]].tolist()
         return self.known[key]
 
 
@@ -134,11 +168,14 @@ def unit(v: dict[int, float]) -> dict[int, float]:
     return {t: x / n for t, x in v.items()} if n else {}
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_terms: int = 4096, least_chi2: float = 35.0, k: int = 25, trust: float = 0.1, max_bytes: int = 1 << 20) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_terms: int = 4096, k: int = 25, trust: float = 0.1, max_bytes: int = 1 << 20) -> ToxicityModel:
     """Learn from rows whose crc32(doc_id) modulo 3 is not 1.
 
     The index has up to ``per_class`` examples of each class and the ``max_terms`` terms
     that tell the classes apart best by chi-square, all bounds that do not grow with the corpus.
+    Votes are then calibrated on the examples, each judged by the others. Labels that are null,
+    and ids without a text, teach nothing; of several rows with an id one is taken; with no
+    usable label every score is 0. Texts of more than ``max_bytes`` are scored but not learned from.
     """
     sample = keep(labelled_sample(docs, labels, "toxic", id_remainder(F.col("doc_id"), 3) != 1, per_class, max_bytes), "examples")
 
@@ -155,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_terms: in
     a, b = F.col("a"), F.col("b")
     df = counted.groupBy("term").agg(F.sum((F.col("y") == 1).cast("double")).alias("a"), F.sum((F.col("y") == 0).cast("double")).alias("b")).filter(a + b >= 2)
     chi2 = n * F.pow(a * used0 - b * used1, F.lit(2)) / F.greatest((a + b) * (n - a - b) * max(1, used0) * max(1, used1), F.lit(1.0))
-    chosen = df.withColumn("chi2", chi2).filter(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "term").limit(max_terms)
+    chosen = df.withColumn("chi2", chi2).orderBy(F.desc("chi2"), "term").limit(max_terms)
     picked = [(bytes(r["term"]), r["a"] + r["b"]) for r in chosen.collect()]
     names = [t for t, _ in picked]
     idf = np.array([math.log((1 + n) / (1 + d)) + 1 for _, d in picked])
@@ -167,16 +204,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_terms: in
         held.setdefault(r["doc_id"], {})[t] = (1 + math.log(r["n"])) * idf[t]
     rows = sorted((r["doc_id"], r["y"]) for r in sample.select("doc_id", "y").collect())
     share = {0: rows0 / max(1, used0), 1: rows1 / max(1, used1)}  # classes are drawn unevenly; votes undo that
+    share = {y: x / max(max(share.values()), 1e-9) for y, x in share.items()}
+    bare = [y for i, y in rows if i not in held]
     rows = [(i, y) for i, y in rows if i in held]
-    index = BlockMaxIndex(names, [unit(held[i]) for i, _ in rows], [i for i, _ in rows], [y for _, y in rows], [share[y] / max(share.values()) for _, y in rows])
-    return ToxicityModel(index, idf, prior, k, trust)
+    known = [unit(held[i]) for i, _ in rows]
+    index = BlockMaxIndex(names, known, [i for i, _ in rows], [y for _, y in rows], [share[y] for _, y in rows])
+    model = ToxicityModel(index, idf, prior, k, trust)
+    model.calibrate([known[i] for i in index.order], (sum(share[y] for y in bare), sum(share[y] * y for y in bare)))
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, cut: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (ids of the nearest examples).
 
-    Every whole text is scored by itself: null and empty texts, and those with no term
-    of the model, get the share of toxic rows. Equal texts get equal scores.
+    Every whole text, of any length, is scored by itself: null and empty texts, and those with
+    no term of the model, get the share of toxic rows among examples like them. Equal texts
+    get equal scores; ids are kept, null or repeated; an empty table gives an empty one.
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -147,6 +147,63 @@ def test_block_max_index_is_exact():
         assert np.allclose(sorted(-cosine), all_, atol=1e-8)
 
 
+def test_toxicity_scores_against_a_dense_search(docs, labels):
+    """Vectors, cosines with all examples, votes, the curve: a score as plain Python has it."""
+    import math
+
+    model = toxicity.fit(docs, labels)
+    ix, terms = model.index, {i: t for t, i in model.index.term.items()}
+    dense = np.zeros((len(terms), ix.n))
+    for t in terms:
+        a, e = ix.start[t, 0], ix.start[t, -1]
+        dense[t, ix.doc[a:e]] = ix.w[a:e]
+    assert ix.n > 10 and np.allclose(np.linalg.norm(dense, axis=0), 1)
+    for text in [r.text or "" for r in docs.collect()] + ["no known term ###"]:
+        counts = toxicity.terms_of(text)
+        q = np.array([(1 + math.log(counts[terms[t]])) * model.idf[t] if counts[terms[t]] else 0.0 for t in range(len(terms))])
+        got, evidence = model.score(text)
+        if not q.any():
+            assert got == model.alone and not evidence
+            continue
+        cosine = q @ dense / np.linalg.norm(q)
+        best = sorted(range(ix.n), key=lambda i: (-round(cosine[i], 12), i))[: model.k]
+        best = [i for i in best if cosine[i] > 1e-12]
+        w = cosine[best] ** 2 * ix.weight[best]
+        raw = (w @ ix.y[best] + model.trust * model.prior) / (w.sum() + model.trust)
+        assert abs(got - np.interp(raw, *model.curve)) < 1e-6 and 0 <= got <= 1
+        assert np.allclose(sorted(cosine[[ix.ids.tolist().index(i) for i in evidence]]), sorted(cosine[best[:3]]), atol=1e-9)
+
+
+def test_votes_are_calibrated_by_a_rising_curve():
+    x, p = toxicity.rising(np.array([0.1, 0.2, 0.3, 0.8, 0.9]), np.array([0.0, 1.0, 0.0, 1.0, 1.0]), np.array([1.0, 1.0, 1.0, 1.0, 2.0]))
+    assert np.allclose(p, [0, 0.5, 1]) and np.allclose(x, [0.1, 0.25, 2.6 / 3])
+
+
+@pytest.mark.parametrize("operator", ["toxicity", "quality", "jaccard"])
+def test_large_ids_beside_null_ones(spark, operator, labels, docs):
+    big = [2**60 + 1, 2**60 + 3, None, -(2**62) - 1]
+    df = spark.createDataFrame([(i, f"some words that stand in text number {k} and no other") for k, i in enumerate(big)], "doc_id long, text string").coalesce(1)
+    out = {"toxicity": lambda: toxicity.score(df, toxicity.fit(docs, labels)), "quality": lambda: bytecnn.score(df, bytecnn.fit(docs, labels, epochs=1)), "jaccard": lambda: jaccard_join(df)}[operator]()
+    assert {r.doc_id for r in out.collect()} == set(big)
+
+
+def test_cnn_long_texts_in_runs(monkeypatch):
+    """A text in runs of chunks as at once, and pools as plain loops have them."""
+    m, r = bytecnn.ByteCNN(filters=3), np.random.default_rng(4)
+    for size in (bytecnn.HOP * bytecnn.BLOCK * 2 + 1, 1500, 4097):
+        text = r.integers(1, 256, size, dtype=np.uint8).tobytes()
+        whole = m.pooled([text])
+        monkeypatch.setattr(bytecnn, "RUN", 2)
+        assert np.allclose(m.pooled([text]), whole, atol=1e-5)
+        monkeypatch.undo()
+        blocks = (size + bytecnn.WIDTH) // bytecnn.BLOCK + 1
+        x = text + bytes(blocks * bytecnn.BLOCK + bytecnn.WIDTH)
+        z = lambda p: sum(m.t[k, x[p + k]] for k in range(bytecnn.WIDTH)) + m.b  # noqa: E731, B023
+        spans = [(s, min(s + bytecnn.CHUNK, blocks)) for s in range(0, max(1, blocks - 1), bytecnn.HOP)]
+        chunks = np.array([np.maximum(np.max([z(p) for p in range(a * bytecnn.BLOCK, e * bytecnn.BLOCK, bytecnn.STEP)], 0), 0) for a, e in spans])
+        assert np.allclose(whole[0], np.concatenate([chunks.mean(0), chunks.max(0), chunks.min(0)]), atol=1e-4)
+
+
 def test_toxicity(docs, labels, empty, spark):
     model = toxicity.fit(docs, labels)
     out = toxicity.score(docs, model).collect()
