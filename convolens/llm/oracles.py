@@ -67,11 +67,11 @@ SHARD = """with recursive crc as (select i as n, i::bigint as c, 0 as k from ran
  tab as (select list(c order by n) as t from crc where k = 8),
  d as (select doc_id, coalesce(text, '') as x from documents),
  s as (select doc_id, octet_length(encode(x))::bigint + 16 as size, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda p: ('0x' || p)::bigint)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) as text_crc32 from d, tab),
- w as (select doc_id, doc_id::hugeint as key, 0::bigint as j, 0::bigint as at, 0::bigint as grown from d
-  union all select doc_id, nk, nj, case when nj < 40 then nj else at end, case when nj < 41 then nj else grown end
+ w as (select doc_id, doc_id::hugeint as key, 0::bigint as j, 0::bigint as near, 0::bigint as grown from d
+  union all select doc_id, nk, nj, case when nj < 40 then nj else near end, case when nj < 41 then nj else grown end
    from (select *, floor((grown + 1) * (2147483648.0::double / ((nk // 8589934592) + 1)::double))::bigint as nj from (select *, (key * 2862933555777941757 + 1) % 18446744073709551616 as nk from w where j < 41))),
- e as (select doc_id, at, grown from w where j >= 41)
- select s.doc_id, size, text_crc32, 'key' as law, at::int as shard, row_number() over (partition by at order by ('0x' || substr(md5(s.doc_id::varchar), 1, 15))::bigint, s.doc_id) - 1 as slot, grown::int as grown_shard from s join e on e.doc_id = s.doc_id"""
+ e as (select doc_id, near, grown from w where j >= 41)
+ select s.doc_id, size, text_crc32, 'key' as law, near::int as shard, row_number() over (partition by near order by ('0x' || substr(md5(s.doc_id::varchar), 1, 15))::bigint, s.doc_id) - 1 as slot, grown::int as grown_shard from s join e on e.doc_id = s.doc_id"""
 
 LINES = r"""with d as (select doc_id, text, string_split(text, chr(10)) as l from documents),
  p as (select doc_id, i - 1 as i, 2 as n, l[i] || chr(10) || l[i + 1] as b from d, unnest(range(1, len(l))) as u(i) where text is not null
