@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from convolens.functions import text as T
-from convolens.functions.names import fold_name, weighted_ratio_udf
+from convolens.functions.names import fold_name, fold_name_udf, weighted_ratio_udf
 from convolens.operators.ranking import day_of
 
 TAIL_CAP = 2000
@@ -118,7 +118,7 @@ def chat_metadata(chats: DataFrame, roster: DataFrame, names: DataFrame) -> Data
 def suggest_contacts(contacts: DataFrame, prefix: str, limit: int = 8, least: float = 60.0) -> DataFrame:
     """Contacts whose name or one of its words begins so, then similar ones."""
     p = fold_name(prefix)
-    low = F.lower("display_name")
+    low = fold_name_udf("display_name")
     starts = low.startswith(p) | low.contains(" " + p)
     scored = contacts.withColumn("starts", starts).withColumn("score", F.when(starts, 100.0).otherwise(weighted_ratio_udf("display_name", F.lit(prefix))))
     return scored.filter(F.col("starts") | (F.col("score") >= least)).orderBy(F.desc("starts"), F.desc("score"), "display_name", "identifier").limit(limit).select("identifier", "display_name")

@@ -53,15 +53,14 @@ def bm25(index: DataFrame, stats: DataFrame, terms: list[str], key: str, k: int
     Only the postings of the terms are read; candidates restrict them before scoring,
     at any size, while the term weights are those of the whole corpus. No terms, no rows.
     """
-    spark = index.sparkSession
-    asked = spark.createDataFrame([(t,) for t in terms], "term string")
-    hit = index.join(F.broadcast(asked), "term").select("term", key, "tf")
+    hit = index.filter(F.col("term").isin(*terms)).select("term", key, "tf", *(["dl"] if "dl" in index.columns else []))
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     corpus = stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     if candidates is not None:
         hit = hit.join(candidates.select(key).distinct(), key, "left_semi")
     weights = df.crossJoin(F.broadcast(corpus)).select("term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
-    scored = hit.join(F.broadcast(weights), "term").join(stats, key).groupBy(key).agg(F.sum(F.col("idf") * _weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"), F.count("*").alias("found"))
+    hit = hit if "dl" in hit.columns else hit.join(stats, key)
+    scored = hit.join(F.broadcast(weights), "term").groupBy(key).agg(F.sum(F.col("idf") * _weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"), F.count("*").alias("found"))
     out = scored.filter(F.col("found") == len(terms)).select(key, "score")
     return out.orderBy(F.desc(F.round("score", 9)), key).limit(k) if k else out
 
@@ -70,7 +69,7 @@ def phrase_places(index: DataFrame, phrase: list[str], key: str) -> DataFrame:
     """(key, tf): documents where the words stand one after the other, and how often."""
     spark = index.sparkSession
     asked = spark.createDataFrame([(t, i) for i, t in enumerate(phrase)], "term string, i int")
-    hit = index.join(F.broadcast(asked), "term").select(key, "i", F.transform("positions", lambda p: p - F.col("i")).alias("starts"))
+    hit = index.filter(F.col("term").isin(*phrase)).join(F.broadcast(asked), "term").select(key, "i", F.transform("positions", lambda p: p - F.col("i")).alias("starts"))
     lists = hit.groupBy(key).agg(F.collect_list("starts").alias("s")).filter(F.size("s") == len(phrase))
     common = F.aggregate(F.slice("s", 2, 1_000_000), F.col("s")[0], F.array_intersect)
     return lists.select(key, F.size(common).alias("tf")).filter("tf > 0")

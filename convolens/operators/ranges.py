@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 PARTS = 64
 
 
 def cut(df: DataFrame, by: str, parts: int = PARTS, out: str = "__part") -> DataFrame:
     """Add the range that ``by`` (a number, a date or a time) falls in; equal values share one, nulls are in the first."""
-    number = F.col(by).cast("double")
+    kind = df.schema[by].dataType
+    number = F.col(by) if isinstance(kind, T.NumericType) else F.col(by).cast("timestamp")
+    number = number.cast("double")
     marks = df.select(number.alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.002)
     bounds = F.array(*[F.lit(float(b)) for b in sorted(set(marks))]).cast("array<double>")
     return df.withColumn(out, F.size(F.filter(bounds, lambda b: b <= number)))

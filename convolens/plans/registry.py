@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -117,10 +118,10 @@ def attachments(spark, sf):
     return attachments_by_message(source_tables(spark, sf)).select("msg_id", F.array_join(F.transform("attachments", lambda a: a["filename"]), ",").alias("filenames"))
 
 
-@query("attachments_collect", """with a as (select user_id, event_type, case event_type when 'purchase' then 'Photo' when 'click' then 'Video' when 'view' then 'PDF' else 'Attachment' end as label from events where event_id % 5 = 0)
+@query("attachments_collect", """with a as (select user_id, event_type, case event_type when 'purchase' then 'Photo' when 'click' then 'Video' when 'view' then 'PDF' else 'Attachment' end as label from events)
   select user_id, case when count(*) = 1 then min(label) when count(distinct label) = 1 then count(*) || ' ' || lower(min(label)) || 's' else count(*) || ' attachments' end as kind from a group by user_id""")
 def attachments_collect(spark, sf):
-    return collected(table(spark, sf, "events").filter("event_id % 5 = 0"))
+    return collected(table(spark, sf, "events"))
 
 
 def collected(e):
@@ -393,16 +394,17 @@ def hybrid_search(spark, sf):
     return ranking.rrf(two_arms(spark, sf), "doc_id", top=10).select("doc_id", r6("score", digits=9))
 
 
-@query("recency_slots", f"""with {EV}, fused as (select msg_id, row_number() over (order by msg_id * 7919 % 10007, msg_id) as rank from ev where msg_id % 11 = 0 qualify rank <= 60),
-  matched as (select msg_id, ts from ev where msg_id % 22 = 0), best as (select msg_id, 0 as part, rank::double as o from fused where rank <= 40),
+@query("recency_slots", f"""with {EV}, fused as (select msg_id, row_number() over (order by msg_id * 7919 % 10007, msg_id) as rank from ev qualify rank <= 60),
+  matched as (select msg_id, ts from ev), best as (select msg_id, 0 as part, rank::double as o from fused where rank <= 40),
   fresh as (select msg_id, 1 as part, -ts as o from matched where msg_id not in (select msg_id from best) order by ts desc, msg_id limit 10), rest as (select msg_id, 2 as part, rank::double as o from fused where rank > 40),
   one as (select msg_id, min((part, o)) as x from (select * from best union all select * from fresh union all select * from rest) group by msg_id)
   select msg_id, row_number() over (order by x, msg_id)::int as place from one qualify place <= 50""")
 def recency_slots(spark, sf):
     m = event_messages(spark, sf)
-    rank = F.row_number().over(W.orderBy(F.col("msg_id") * 7919 % 10007, "msg_id"))
-    fused = m.filter("msg_id % 11 = 0").withColumn("rank", rank).filter("rank <= 60").select("msg_id", "rank")
-    return ranking.reserve_recent(fused, m.filter("msg_id % 22 = 0").select("msg_id", "ts"), "msg_id")
+    order = (F.col("msg_id") * 7919 % 10007, "msg_id")
+    first = m.orderBy(*order).limit(60)  # a list of results, as an arm gives it
+    fused = first.select("msg_id", F.row_number().over(W.orderBy(*order)).alias("rank"))
+    return ranking.reserve_recent(fused, m.select("msg_id", "ts"), "msg_id")
 
 
 @query("recency_order", f"with {SESSIONS} select chunk_id, start_ts from chunks order by start_ts desc, chunk_id limit 30")
@@ -411,15 +413,11 @@ def recency_order(spark, sf):
 
 
 LOGIT = "(chunk_id * 37 % 101 - 80) / 10.0"
-SCORED = f"{SESSIONS}, sc as (select *, {LOGIT} as logit, chunk_id % 5 = 0 as lexical from chunks where chunk_id % 13 = 0)"
-
-
-def all_scored(spark, sf):
-    return event_chunks(spark, sf).withColumn("logit", (F.col("chunk_id") * 37 % 101 - 80) / 10.0).withColumn("lexical", F.col("chunk_id") % 5 == 0)
+SCORED = f"{SESSIONS}, sc as (select *, {LOGIT} as logit, chunk_id % 5 = 0 as lexical from chunks)"
 
 
 def scored_chunks(spark, sf):
-    return all_scored(spark, sf).filter("chunk_id % 13 = 0")
+    return event_chunks(spark, sf).withColumn("logit", (F.col("chunk_id") * 37 % 101 - 80) / 10.0).withColumn("lexical", F.col("chunk_id") % 5 == 0)
 
 
 @query("rerank_head", f"""with {SCORED}, r as (select *, row_number() over (order by logit desc, chunk_id) as a from sc), t as (select *, row_number() over (partition by a > 9 order by start_ts desc, chunk_id) as b from r)
@@ -462,65 +460,6 @@ def session_expand(spark, sf):
     return out.select("chat_id", F.col("day").cast("string").alias("day"), F.array_join(F.col("context_ids").cast("array<string>"), ",").alias("context_ids"))
 
 
-# the same operators over every chunk, message and event
-
-
-def whole(sql: str) -> str:
-    return sql.replace(" where chunk_id % 13 = 0", "")
-
-
-@query("rerank_head_all", whole(ORACLE["rerank_head"]))
-def rerank_head_all(spark, sf):
-    return ranking.head(all_scored(spark, sf), "chunk_id").select("chunk_id", r6("logit"))
-
-
-@query("session_scores_all", whole(ORACLE["session_scores"]))
-def session_scores_all(spark, sf):
-    s = ranking.sessions(all_scored(spark, sf), NOW)
-    return s.select("chat_id", F.col("day").cast("string").alias("day"), r6("score"), "latest", "is_lexical", F.array_join(F.col("chunk_ids").cast("array<string>"), ",").alias("chunk_ids"))
-
-
-@query("session_reserve_all", whole(ORACLE["session_reserve"]))
-def session_reserve_all(spark, sf):
-    return ranking.reserve_sessions(ranking.sessions(all_scored(spark, sf), NOW)).select("chat_id", F.col("day").cast("string").alias("day"), "place")
-
-
-@query("paginate_all", whole(ORACLE["paginate"]))
-def paginate_all(spark, sf):
-    placed = ranking.reserve_sessions(ranking.sessions(all_scored(spark, sf), NOW))
-    return ranking.page(placed, 8, 8).select("chat_id", F.col("day").cast("string").alias("day"), "place", "has_more", "next_offset")
-
-
-@query("session_expand_all", whole(ORACLE["session_expand"]))
-def session_expand_all(spark, sf):
-    hits = all_scored(spark, sf).select("chat_id", ranking.day_of(F.col("start_ts")).alias("day"), "chunk_id")
-    out = ranking.expand(hits, event_chunks(spark, sf))
-    return out.select("chat_id", F.col("day").cast("string").alias("day"), F.array_join(F.col("context_ids").cast("array<string>"), ",").alias("context_ids"))
-
-
-@query("recency_slots_all", ORACLE["recency_slots"].replace(" where msg_id % 11 = 0 qualify rank <= 60", "").replace(" where msg_id % 22 = 0", ""))
-def recency_slots_all(spark, sf):
-    m = event_messages(spark, sf)
-    fused = m.withColumn("rank", F.row_number().over(W.orderBy(F.col("msg_id") * 7919 % 10007, "msg_id"))).select("msg_id", "rank")
-    return ranking.reserve_recent(fused, m.select("msg_id", "ts"), "msg_id")
-
-
-@query("attachments_collect_all", ORACLE["attachments_collect"].replace(" where event_id % 5 = 0", ""))
-def attachments_collect_all(spark, sf):
-    return collected(table(spark, sf, "events"))
-
-
-@query("browse_recent", f"""with {SESSIONS}, t as (select * from chunks order by start_ts desc, chunk_id desc limit 50)
-  select chat_id, cast(to_timestamp(start_ts) at time zone 'UTC' as date)::varchar as day, max(start_ts) as latest, array_to_string(list_sort(list(chunk_id)), ',') as chunk_ids from t group by all""")
-def browse_recent(spark, sf):
-    return ranking.browse(event_chunks(spark, sf)).select("chat_id", F.col("day").cast("string").alias("day"), "latest", F.array_join(F.col("chunk_ids").cast("array<string>"), ",").alias("chunk_ids"))
-
-
-@query("newest_budget", f"with {EV}, h as (select *, msg_id % 3 = 0 as hit from ev) select msg_id, hit and row_number() over (partition by hit order by ts desc, msg_id desc) <= 80 as is_hit from h")
-def newest_budget(spark, sf):
-    return ranking.newest_hits(event_messages(spark, sf).withColumn("is_hit", F.col("msg_id") % 3 == 0)).select("msg_id", "is_hit")
-
-
 # filters
 
 
@@ -603,12 +542,12 @@ def conversation_around(spark, sf):
 
 
 @query("live_tail_merge", f"""with {EV}, h as (select quantile_disc(ts, 0.9) as h from ev), t as (select * from ev order by msg_id desc limit 500), tail as (select chat_id, msg_id, ts, true as hit from t, h where ts > h),
-  old as (select chat_id, msg_id, ts, false as hit from ev where msg_id % 50 = 0) select chat_id, cast(to_timestamp(ts) at time zone 'UTC' as date)::varchar as day, msg_id, max(hit::int) = 1 as is_hit from (select * from tail union all select * from old) group by all""")
+  old as (select chat_id, msg_id, ts, false as hit from ev) select chat_id, cast(to_timestamp(ts) at time zone 'UTC' as date)::varchar as day, msg_id, max(hit::int) = 1 as is_hit from (select * from tail union all select * from old) group by all""")
 def live_tail_merge(spark, sf):
     m = event_messages(spark, sf)
     horizon = m.agg(F.expr("percentile_disc(0.9) within group (order by ts)").alias("h")).first()["h"]
     tail = hydrate.live_tail(m, horizon, 500)
-    old = m.filter("msg_id % 50 = 0").withColumn("day", ranking.day_of(F.col("ts"))).withColumn("is_hit", F.lit(False))
+    old = m.withColumn("day", ranking.day_of(F.col("ts"))).withColumn("is_hit", F.lit(False))
     return hydrate.merge_rows(tail, old).select("chat_id", F.col("day").cast("string").alias("day"), "msg_id", "is_hit")
 
 
@@ -618,9 +557,12 @@ def status_counts(spark, sf):
     return hydrate.status(c, sessionize.membership(c), event_messages(spark, sf))
 
 
-@query("freshness", f"with {SESSIONS}, h as (select max(end_ts) as horizon from chunks where chat_id % 10 = 0) select horizon, count(distinct msg_id) as n_behind, count(distinct msg_id) > 0 as stale from h left join ev on ts > horizon group by horizon")
+@query("freshness", f"with {SESSIONS}, h as (select max(end_ts) as horizon from chunks where end_ts <= (select quantile_disc(ts, 0.9) from ev)) select horizon, count(distinct msg_id) as n_behind, count(distinct msg_id) > 0 as stale from h left join ev on ts > horizon group by horizon")
 def freshness(spark, sf):
-    return hydrate.freshness(event_messages(spark, sf), event_chunks(spark, sf).filter("chat_id % 10 = 0"))
+    """The index as it was when nine tenths of the messages were there."""
+    m = event_messages(spark, sf)
+    then = m.agg(F.expr("percentile_disc(0.9) within group (order by ts)").alias("h")).first()["h"]
+    return hydrate.freshness(m, event_chunks(spark, sf).filter(F.col("end_ts") <= then))
 
 
 @query("inversions", f"with {EV} select count(*) as pairs, count(*) filter (b.ts < a.ts) as inverted from ev a join ev b on b.msg_id = a.msg_id + 1")
@@ -671,8 +613,7 @@ def name_wratio(spark, sf):
 @query("suggest_prefix", "select 'c' || c_custkey as identifier, c_name as display_name from customer where lower(c_name) like 'customer#00000001%' order by c_name, identifier limit 8")
 def suggest_prefix(spark, sf):
     c = table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("identifier"), F.col("c_name").alias("display_name"))
-    low = F.lower("display_name")
-    return c.filter(low.startswith("customer#00000001")).orderBy("display_name", "identifier").limit(8)
+    return hydrate.suggest_contacts(c, "customer#00000001")
 
 
 @query("chat_titles", f"with {EV}, p as (select distinct chat_id, handle, case handle when 'purchase' then 'Shop' else handle end as name from ev where handle is not null), t as (select chat_id, string_agg(name, ', ' order by handle) as title, count(*) as n from p group by chat_id) select c.chat_id, coalesce(n, 0) as participant_count, coalesce(title, 'Unknown conversation') as title from (select distinct chat_id from ev) c left join t using (chat_id)")
@@ -853,10 +794,18 @@ def question_filter(spark, sf):
 # the whole engine
 
 
+def shared_base(spark, name: str) -> str:
+    """A new folder in the one that all executors share; in a temporary one only on a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or f"file://{tempfile.mkdtemp(prefix='convolens-')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def demo_engine(spark, sf) -> Engine:
     m = conversation_messages(spark, sf)
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='convolens-')}"
-    root = f"{base.rstrip('/')}/index-{abs(hash((sf, id(spark))))}-{datetime.now().timestamp()}"
+    root = shared_base(spark, "index")
     build_index(spark, m, root)
     return Engine(spark, IndexStore(spark, root), m, now=NOW)
 
@@ -877,15 +826,18 @@ def engine_browse(spark, sf):
     return demo_engine(spark, sf).browse(parse_query("latest messages", datetime.fromtimestamp(NOW, UTC))).select("chat_id", F.col("day").cast("string").alias("day"), F.size("hit_messages").alias("n_hits"), "payload")
 
 
-@query("stateful_chunks_stream")
+@query("stateful_chunks_stream", f"""with {SESSIONS}, w as (select chat_id, case when n > 40 then 1 + ceil((n - 40) / 38.0) else 1 end as n from chunks0) select chat_id, sum(n)::bigint as n_windows from w group by chat_id""")
 def stateful_chunks_stream(spark, sf):
-    """The stateful operator over a stream of files, to its end."""
+    """The stateful operator over a stream of files in the order of time, to its end; a window that grew counts once."""
     from convolens.streaming.sync import window_stream
 
-    base = tempfile.mkdtemp(prefix="convolens-stream-")
-    event_messages(spark, sf).select("chat_id", "msg_id", "ts", F.lit(1).alias("tokens")).repartition(2).write.parquet(f"{base}/in")
+    m = event_messages(spark, sf).select("chat_id", "msg_id", "ts", F.lit(1).alias("tokens"))
+    half = m.agg(F.expr("percentile_disc(0.5) within group (order by ts)").alias("h")).first()["h"]
+    base = shared_base(spark, "stream")
+    m.filter(F.col("ts") <= half).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    m.filter(F.col("ts") > half).coalesce(1).write.mode("append").parquet(f"{base}/in")
     stream = spark.readStream.schema("chat_id long, msg_id long, ts double, tokens int").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     name = f"windows_{datetime.now().strftime('%H%M%S%f')}"
     q = window_stream(stream).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).groupBy("chat_id").agg(F.count("*").alias("n_windows"))
+    return spark.table(name).groupBy("chat_id").agg(F.count_distinct("start_ts").alias("n_windows"))
