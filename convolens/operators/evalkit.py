@@ -159,3 +159,80 @@ def compare_targets(a: DataFrame, b: DataFrame, on: str, value: str) -> DataFram
     x = a.select(on, F.col(value).cast("int").alias("a")).join(b.select(on, F.col(value).cast("int").alias("b")), on)
     n = x.agg(F.count("*").alias("n"), F.sum("a").alias("a_hits"), F.sum("b").alias("b_hits"), F.count_if((F.col("a") == 1) & (F.col("b") == 0)).alias("only_a"), F.count_if((F.col("a") == 0) & (F.col("b") == 1)).alias("only_b"))
     return n.withColumn("delta", (F.col("b_hits") - F.col("a_hits")) / F.col("n")).withColumn("chi2", mcnemar(F.col("only_a"), F.col("only_b")))
+
+
+def answer_checks(answer: DataFrame, parsed, expected: dict | None = None) -> DataFrame:
+    """One row of checks of a whole answer (its sessions), each true, false or null where it does not apply.
+
+    ``parsed``: the ParsedQuery that was answered. ``expected``: what the question was made to
+    have, as far as it is known: handles, sender (a name), date, from_me, media, results, words.
+    """
+    e, hits = expected or {}, F.col("hit_messages")
+    every = lambda ok: F.bool_and(F.forall(hits, ok))
+    given = lambda key, ok: F.lit(bool(ok)) if e.get(key) else F.lit(None).cast("boolean")
+    where = lambda applies, c: c if applies else F.lit(None).cast("boolean")
+    name = lambda m: F.lower(F.coalesce(m["sender"], F.lit("")))
+    low = (e.get("sender") or "").lower()
+    others = F.flatten(F.collect_list(F.transform(F.filter(hits, lambda m: ~m["is_from_me"]), name)))
+    texts = F.concat(hits, F.col("context_messages"))
+    newest = F.array_max(F.transform(hits, lambda m: m["ts"]))
+    order = F.array_sort(F.collect_list(F.struct(F.col("place") if "place" in answer.columns else F.lit(0), newest.alias("newest"))))
+    falling = F.forall(F.sequence(F.lit(1), F.greatest(F.size(order) - 1, F.lit(1))), lambda i: F.coalesce(F.get(order, i - 1)["newest"] >= F.get(order, i)["newest"], F.lit(True)))
+    dated = parsed.date_from is not None or parsed.date_to is not None
+    inside = lambda m: (m["ts"] >= (parsed.date_from if parsed.date_from is not None else float("-inf"))) & (m["ts"] <= (parsed.date_to if parsed.date_to is not None else float("inf")))
+    people = {h.lower() for h in (*parsed.senders, *parsed.participants)}
+    recent = F.bool_and(F.col("ordering") == "recent")
+    return answer.agg(
+        given("handles", people & {h.lower() for h in e.get("handles", [])}).alias("person_filter_applied"),
+        where(low, every(lambda m: m["is_from_me"] | name(m).contains(low) | F.lit(low).contains(name(m)))).alias("sender_is_expected"),
+        given("date", dated).alias("date_filter_applied"),
+        given("from_me", parsed.from_me).alias("self_filter_applied"),
+        given("media", parsed.has_media).alias("media_filter_applied"),
+        where(e.get("results"), F.count("*") > 0).alias("nonempty"),
+        F.bool_and(F.size(hits) > 0).alias("no_empty_sessions"),
+        where(parsed.senders, every(lambda m: ~m["is_from_me"])).alias("no_self_in_sender"),
+        where(parsed.senders, F.size(F.array_distinct(others)) <= 1).alias("sender_purity"),
+        where(dated, every(inside)).alias("date_containment"),
+        F.when(recent & (F.count("*") > 1) & F.lit("place" in answer.columns), falling).alias("recency_session_order"),
+        F.bool_and(F.size(F.array_distinct(F.transform(hits, lambda m: m["msg_id"]))) == F.size(hits)).alias("hits_distinct"),
+        where(e.get("words"), F.bool_or(F.exists(texts, lambda m: F.lower(F.coalesce(m["text"], F.lit(""))).contains(str(e.get("words")).lower())))).alias("lexical_presence"),
+        F.bool_and((F.col("n_messages_since_index") >= 0) & ((F.col("n_messages_since_index") > 0) == F.col("index_stale"))).alias("freshness_declared"),
+        F.bool_and(F.col("ordering").isin("recent", "relevance")).alias("ordering_declared"),
+    )
+
+
+def newest_metrics(found: DataFrame, truth: DataFrame, members: DataFrame, horizon: float | None = None, head: int = 20) -> DataFrame:
+    """(case_id, precision, recall_top, newest_present, newest_is_indexed, indexed_coverage) of questions whose answer can be computed.
+
+    ``found``: (case_id, msg_id). ``truth``: (case_id, msg_id, ts), all that a perfect answer may
+    have. ``members``: msg_id of indexed messages. Recall is over the newest ``head`` that the
+    index has, as older ones are on later pages and others can't be ranked; with ``horizon`` truth
+    beyond it only counts for newest_is_indexed. Cases without truth have no row.
+    """
+    by = W.partitionBy("case_id").orderBy(F.desc("ts"), F.desc("msg_id"))
+    t = truth.distinct().withColumn("first", F.row_number().over(by))
+    indexed = (F.col("ts") <= horizon).cast("double") if horizon is not None else F.lit(None).cast("double")
+    newest = t.filter("first = 1").select("case_id", indexed.alias("newest_is_indexed"))
+    t = t.filter(F.col("ts") <= horizon).withColumn("first", F.row_number().over(by)) if horizon is not None else t
+    known = t.join(members.select("msg_id").distinct().withColumn("held", F.lit(1)), "msg_id", "left")
+    got = found.select("case_id", "msg_id").distinct().withColumn("got", F.lit(1))
+    both = known.join(got, ["case_id", "msg_id"], "left")
+    top = F.col("first") <= head
+    held = F.count_if(top & F.col("held").isNotNull())
+    sums = both.groupBy("case_id").agg(
+        F.count("got").alias("right"),
+        (held / F.count_if(top)).alias("indexed_coverage"),
+        F.when(held > 0, F.count_if(top & F.col("held").isNotNull() & F.col("got").isNotNull()) / held).otherwise(F.count_if(top & F.col("got").isNotNull()) / F.count_if(top)).alias("recall_top"),
+        F.max(F.when(F.col("first") == 1, F.coalesce("got", F.lit(0)))).cast("double").alias("newest_present"),
+    )
+    n = got.groupBy("case_id").agg(F.count("*").alias("n"))
+    out = newest.join(sums, "case_id", "left").join(n, "case_id", "left")
+    precision = F.when(F.coalesce("n", F.lit(0)) > 0, F.coalesce("right", F.lit(0)) / F.col("n")).otherwise(0.0)
+    return out.select("case_id", precision.alias("precision"), "recall_top", "newest_present", "newest_is_indexed", "indexed_coverage")
+
+
+def filter_kill(entries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(n, killed, rate): questions none of whose positives the filters let through. ``entries``: entry_id, positives; ``candidates``: (entry_id, chunk_id)."""
+    left = entries.select("entry_id", F.explode("positives").alias("chunk_id")).join(candidates, ["entry_id", "chunk_id"], "left_semi").select("entry_id").distinct()
+    lost = entries.join(left.withColumn("kept", F.lit(1)), "entry_id", "left")
+    return lost.agg(F.count("*").alias("n"), F.count_if(F.col("kept").isNull()).alias("killed")).withColumn("rate", F.when(F.col("n") > 0, F.col("killed") / F.col("n")))

@@ -20,6 +20,8 @@ from convolens.sources.store import IndexStore, Snapshot
 CALIBRATION_SAMPLE = 2000
 #: Results of an arm: by words or vectors, and by the verbatim phrase.
 ARM, PHRASE_ARM = 200, 20
+#: For how long the number of messages that the index lacks is taken as known.
+FRESH_SECONDS = 30.0
 
 
 @dataclass
@@ -124,6 +126,7 @@ class Engine:
         self.roster = self.roster if self.roster is not None else self.messages.filter(F.col("handle").isNotNull()).select("chat_id", "handle").distinct()
         self.pages: dict = {}
         self.snapshot: Snapshot | None = None
+        self.fresh: tuple | None = None
 
     def at(self) -> Snapshot:
         """The index as it is now; tables and settings of a version that is known are not looked up again."""
@@ -132,6 +135,19 @@ class Engine:
             self.snapshot = fresh
         return self.snapshot
 
+    def freshness(self, at: Snapshot) -> tuple[float | None, int]:
+        """The index's last time and how many messages are newer, looked up again after ``FRESH_SECONDS`` or with another version."""
+        if self.fresh is None or self.fresh[0] != at.version or time.monotonic() - self.fresh[1] > FRESH_SECONDS:
+            row = hydrate.freshness(self.messages, at.read("chunks")).first()
+            self.fresh = at.version, time.monotonic(), (row["horizon"], row["n_behind"])
+        return self.fresh[2]
+
+    def declared(self, nested: DataFrame, q: ParsedQuery, ordering: str, at: Snapshot) -> DataFrame:
+        """What an answer says of itself: the filters that were used, its order, and how far the index is behind."""
+        behind = self.freshness(at)[1]
+        said = {"filters": json.dumps(effective_filters(q)), "ordering": ordering, "n_messages_since_index": behind, "index_stale": behind > 0}
+        return nested.withColumns({k: F.lit(v) for k, v in said.items()})
+
     def chat_set(self, q: ParsedQuery) -> DataFrame | None:
         """Chats that the question's people, kinds and list of chats leave; None if it has none of these."""
         people = filters.participant_chats(self.roster, self.messages, list(q.participants)) if q.participants else None
@@ -238,14 +254,14 @@ class Engine:
         return local(self.spark, [tuple(r) for r in page.collect()], schema)
 
     def search(self, q: ParsedQuery, offset: int = 0, max_sessions: int = ranking.SESSIONS, redact: bool = False, expansions: tuple[str, ...] = ()) -> DataFrame:
-        """One row a session of the page: chat_id, day, place, score, messages, confidence, payload, filters, has_more, next_offset. A question without content browses."""
+        """One row a session of the page: chat_id, day, place, score, messages, confidence, payload, what ``declared`` adds, has_more, next_offset. A question without content browses."""
         if not q.semantic:
             return self.browse(q, offset, max_sessions, redact)
         at = self.at()
         page = self._local(ranking.page(self.ranked_sessions(q, expansions, at), offset, max_sessions))
         rows = filters.demote(self._rows(page, at), list(q.senders) or None, q.from_me, q.has_media)
         terms = [w for w in q.semantic.lower().split() if w not in TERM_STOPWORDS and len(w) > 1]
-        nested = hydrate.payload(hydrate.nest(rows), terms, redact).withColumn("filters", F.lit(json.dumps(effective_filters(q))))
+        nested = self.declared(hydrate.payload(hydrate.nest(rows), terms, redact), q, "relevance", at)
         return nested.join(page.select("chat_id", "day", "place", "score", "has_more", "next_offset"), ["chat_id", "day"]).orderBy("place")
 
     def browse(self, q: ParsedQuery, offset: int = 0, max_sessions: int = ranking.SESSIONS, redact: bool = False) -> DataFrame:
@@ -257,13 +273,13 @@ class Engine:
         page = self._local(ranking.page(newest.withColumn("place", F.row_number().over(order)).withColumn("score", F.col("latest")), offset, max_sessions))
         rows = self._rows(page, at)
         if offset == 0:
-            fresh = hydrate.freshness(self.messages, chunks).first()
-            if fresh["n_behind"]:
+            horizon, behind = self.freshness(at)
+            if behind:
                 named = hydrate.with_sender(self.messages, self.names)
-                tail = hydrate.live_tail(named, fresh["horizon"], hydrate.tail_limit(fresh["n_behind"]), q.date_to, self.chat_set(q), q.date_from)
+                tail = hydrate.live_tail(named, horizon, hydrate.tail_limit(behind), q.date_to, self.chat_set(q), q.date_from)
                 rows = hydrate.merge_rows(tail, rows)
         rows = ranking.newest_hits(filters.demote(rows, list(q.senders) or None, q.from_me, q.has_media), max_sessions)
-        nested = hydrate.payload(hydrate.nest(rows), (), redact).filter(F.size("hit_messages") > 0).withColumn("filters", F.lit(json.dumps(effective_filters(q))))
+        nested = self.declared(hydrate.payload(hydrate.nest(rows), (), redact).filter(F.size("hit_messages") > 0), q, "recent", at)
         return nested.join(page.select("chat_id", "day", "has_more", "next_offset"), ["chat_id", "day"], "left").orderBy(F.desc(F.element_at("hit_messages", -1)["ts"]), "chat_id")
 
     def conversation(self, chat_id: int, around_ts: float | None = None, limit: int = 50) -> DataFrame:
