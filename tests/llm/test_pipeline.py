@@ -44,3 +44,21 @@ def test_empty_tables(spark, empty, labels, items, tmp_path):
     sf = str(tmp_path / "in")
     write(empty, labels, items, sf)
     assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_stages_on_rows_that_break_things(spark, all_docs, labels, items, tmp_path):
+    """Null ids, repeated rows, nulls and blanks, columns whose names the operators use themselves."""
+    sf = str(tmp_path / "in")
+    write(all_docs, labels, items, sf)
+    extra = ["block", "mark", "term", "position"]
+    out = all_docs.drop("slot", "shard")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, out = out, stage(spark, out, sf).cache()
+        assert out.columns == before.columns and out.count() <= before.count()
+        assert all(r.term == "t" and r.position == 1.5 for r in out.select(*extra).collect()), name
+    assert out.filter("text is null or trim(text) = ''").count() == all_docs.filter("text is null or trim(text) = ''").count()
+    last = corpus_pipeline.sharding_stage(spark, out, sf)
+    rows = last.collect()
+    assert last.columns == [*out.columns, "shard", "grown_shard", "slot"] and len(rows) == out.count()
+    for s in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
