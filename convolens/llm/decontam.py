@@ -2,13 +2,15 @@
 
 The corpus is read once, into postings (document, place, term) of the benchmark's terms,
 written in segments that are sorted by term. Everything else is asked of these postings:
-how common a term is, where the rarest neighbouring terms of each window stand one after the
-other (their lists, intersected with an offset of one), and which of an item's other terms
+how common a term is, where the rarest runs of each window stand (a posting has tags of the
+two words after it, so a run's lists are intersected where they are read), and which of an item's other terms
 stand at the offsets that such a place implies. Texts are not read again.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +26,16 @@ def tokens(text: Column) -> Column:
 
 def tag(word: Column) -> Column:
     """15 bits of a word's hash: enough to pass over nearly all places where another word follows."""
-    return F.xxhash64(word).bitwiseAND(0x7FFF).cast("short")
+    return F.xxhash64(word).bitwiseAND(0x7FFF).cast("int")
+
+
+def tags(words: Column, at: Column) -> Column:
+    """The tags of the next word and of the one after it."""
+    return tag(F.get(words, at + 1)).bitwiseOR(F.shiftleft(tag(F.get(words, at + 2)), 15))
 
 
 def postings(docs: DataFrame, bench: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc, pos, tid, nxt, id, mark) and (term, tid): a posting for each place of each of ``bench``'s terms, ``nxt`` the tag of the word after it.
+    """(doc, pos, tid, nxt, id, mark) and (term, tid): a posting for each place of each of ``bench``'s terms, ``nxt`` the tags of the two words after it.
 
     A row of ``docs`` (id, mark, text) is a document of its own, numbered by its place in the
     input. Its own posting has tid -1, its number of words as ``pos``, and alone id and mark.
@@ -38,8 +45,8 @@ def postings(docs: DataFrame, bench: DataFrame) -> tuple[DataFrame, DataFrame]:
     terms = keep(found.unionByName(bench.sparkSession.createDataFrame([("", -1)], "term string, tid long")), "terms")
     slices = 1 + (terms.agg(F.sum(F.octet_length("term") + 40)).first()[0] or 0) // BROADCAST_BYTES
     held = docs.select(F.monotonically_increasing_id().alias("doc"), "id", "mark", tokens(F.col("text")).alias("ws"))
-    own = F.struct(F.size("ws").alias("pos"), F.lit("").alias("term"), F.lit(0).cast("short").alias("nxt"))
-    each = F.transform("ws", lambda w, i: F.struct(i.alias("pos"), w.alias("term"), tag(F.get("ws", i + 1)).alias("nxt")))
+    own = F.struct(F.size("ws").alias("pos"), F.lit("").alias("term"), F.lit(0).alias("nxt"))
+    each = F.transform("ws", lambda w, i: F.struct(i.alias("pos"), w.alias("term"), tags(F.col("ws"), i).alias("nxt")))
     places = held.select("doc", "id", "mark", F.explode(F.concat(F.array(own), each)).alias("x")).select("doc", "id", "mark", "x.*")
     index = None
     for s in range(slices):
@@ -49,31 +56,37 @@ def postings(docs: DataFrame, bench: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keep(index.sortWithinPartitions("tid"), "postings"), terms
 
 
+def layouts(n: int, pieces: int, size: int) -> list[tuple[int, ...]]:
+    """All ways to lay ``pieces`` runs of ``size`` words into ``n`` words without overlap, as first places."""
+    if not pieces:
+        return [()]
+    return [(a, *(a + size + x for x in rest)) for a in range(n - pieces * size + 1) for rest in layouts(n - a - size, pieces - 1, size)]
+
+
 def anchors(items: DataFrame, counts: DataFrame, n: int, near: int) -> DataFrame:
-    """(item, at, tid, nxt, m): of each window of ``n`` words ``near + 1`` pairs of neighbours that have no word in common, the rarest first.
+    """(item, at, tid, nxt, words, m): of each window of ``n`` words the rarest ``near + 1`` runs of ``words`` words that do not overlap.
 
-    ``near`` other words can't change all of them, so a place of one of the pairs is found
-    for every occurrence. Items of fewer than ``n`` words give all of their pairs, and one of a
-    single word that word, with a null ``nxt``. ``items``: item, ws, tids.
+    ``near`` other words can't change all of the runs, so a place of one of them is found for
+    every occurrence. A run has three words, or fewer where so many do not fit. Items of fewer
+    than ``n`` words give all their pairs, and one of a single word that word. ``items``: item, ws, tids.
     """
+    size = max(1, min(3, n // (near + 1)))
     places = items.select("item", F.posexplode("tids").alias("at", "tid")).join(counts, "tid", "left")
     listed = F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).cast("double").alias("n"))))
     weighed = places.groupBy("item").agg(listed.alias("c")).withColumn("m", F.size("c"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("m") - 2), lambda p: F.struct((F.get("c", p)["n"] * F.get("c", p + 1)["n"]).alias("cost"), p.alias("p")))
-
-    def rarest(own: Column) -> Column:
-        def pick(held: Column, _: Column) -> Column:
-            free = F.filter(own, lambda x: F.forall(held, lambda y: F.abs(x["p"] - y["p"]) >= 2))
-            return F.when(F.size(free) > 0, F.concat(held, F.array(F.array_min(free)))).otherwise(held)
+    often = lambda p: reduce(lambda a, k: a * F.get("c", p + k)["n"], range(1, size), F.get("c", p)["n"])
+    costs = F.transform(F.sequence(F.lit(0), F.col("m") - size), often)
 
-        return F.aggregate(F.sequence(F.lit(0), F.lit(near)), F.slice(own, 1, 0), pick)
+    def rarest(cs: Column, s: Column) -> Column:
+        options = [F.struct(reduce(lambda a, b: a + b, [F.get(cs, s + p) for p in x]).alias("cost"), F.array(*[s + p for p in x]).alias("at")) for x in layouts(n, near + 1, size)]
+        return F.array_min(F.array(*options))["at"]
 
-    windows = let(pairs, lambda ps: F.flatten(F.transform(F.sequence(F.lit(0), F.col("m") - n), lambda s: rarest(F.slice(ps, s + 1, n - 1)))))
-    chosen = F.when(F.col("m") >= n, windows).when(F.col("m") > 1, pairs) if n > 1 else F.when(F.lit(False), pairs)
-    at = F.when((F.col("m") == 1) | F.lit(n == 1), F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.transform(chosen, lambda x: x["p"]))
-    picked = weighed.select("item", "m", F.explode(F.array_distinct(at)).alias("at")).join(items, "item")
-    nxt = F.when((F.col("m") > 1) & F.lit(n > 1), tag(F.get("ws", F.col("at") + 1)))
-    return picked.select("item", "at", F.get("tids", F.col("at")).alias("tid"), nxt.alias("nxt"), "m")
+    windows = let(costs, lambda cs: F.flatten(F.transform(F.sequence(F.lit(0), F.col("m") - n), lambda s: rarest(cs, s))))
+    short = F.sequence(F.lit(0), F.greatest(F.col("m") - 2, F.lit(0)))
+    picked = weighed.select("item", "m", F.explode(F.array_distinct(F.when(F.col("m") >= n, windows).otherwise(short))).alias("at")).join(items, "item")
+    words = F.when(F.col("m") >= n, size).otherwise(F.least(F.col("m"), F.lit(2)))
+    nxt = tags(F.col("ws"), F.col("at"))
+    return picked.select("item", "at", F.get("tids", F.col("at")).alias("tid"), nxt.alias("nxt"), words.alias("words"), "m")
 
 
 def _covered(equal: Column, n: Column, least: Column) -> Column:
@@ -100,13 +113,16 @@ def find_passages(docs: DataFrame, items: DataFrame, n: int = 10, near: int = 2)
     bench = keep(bench.join(tids, "item"), "items")
     wanted = keep(anchors(bench, counts, n, near), "anchors")
 
-    # the rarest lists first: a place of one pair puts an item at one offset of a document
+    # the rarest lists first: a place of one run puts an item at one offset of a document
     i = index.select("doc", "pos", F.col("tid").alias("i_tid"), F.col("nxt").alias("i_nxt")).filter("i_tid >= 0")
-    pairs, single = (wanted.filter(c) for c in ("nxt is not null", "nxt is null"))
-    met = i.join(small(keep(pairs, "pairs")), (F.col("i_tid") == F.col("tid")) & (F.col("i_nxt") == F.col("nxt")))
-    alone = i.join(small(keep(single, "single")), F.col("i_tid") == F.col("tid"))
+    met = None
+    for words in (1, 2, 3):
+        some = small(keep(wanted.filter(F.col("words") == words), "runs"))
+        key = F.lit((0, 0x7FFF, 0x3FFFFFFF)[words - 1])
+        found = i.join(some, (F.col("i_tid") == F.col("tid")) & (F.col("i_nxt").bitwiseAND(key) == F.col("nxt").bitwiseAND(key)))
+        met = found if met is None else met.unionByName(found)
     place = ["doc", "item", (F.col("pos") - F.col("at")).alias("shift")]
-    held = keep(met.select(*place).unionByName(alone.select(*place)).distinct(), "held")
+    held = keep(met.select(*place).distinct(), "held")
 
     # then the item's other terms at their offsets from there
     few = small(keep(held.select(F.col("doc").alias("h_doc")).distinct(), "docs"))
@@ -120,7 +136,7 @@ def find_passages(docs: DataFrame, items: DataFrame, n: int = 10, near: int = 2)
     equal = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.array_contains("os", o))
     width = F.least(F.lit(n), F.col("m"))
     others = F.greatest(F.least(F.lit(near), F.floor(width / 2).cast("int") - 1), F.lit(0))
-    lists = lists.withColumn("equal", equal).withColumn("width", width).withColumn("least", width - others)
+    lists = lists.withColumn("width", width).withColumn("least", width - others).filter(F.size("os") >= F.col("least")).withColumn("equal", equal)
     inside = lambda p: (p >= 0) & (p < F.col("n_words"))
     at = lambda least: F.filter(F.transform(_covered(F.col("equal"), F.col("width"), least), lambda o: o + F.col("shift")), inside)
     found = lists.select("doc", "item_id", at(F.col("width")).alias("hits"), at(F.col("least")).alias("near_hits")).filter(F.size("near_hits") > 0)
