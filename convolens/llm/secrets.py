@@ -16,7 +16,7 @@ BASE = {
 #: Parts that say nothing alone.
 WEAK = {
     "ident": (3, "identity", r"(?i)(?:user(?:name)?|login|account|client_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.@-]+)", 1, 3),
-    "opaque": (4, "secret", r"(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{20,}={0,2}(?![A-Za-z0-9+/=_.-])", 0, 20),
+    "opaque": (4, "secret", r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_.-])", 0, 20),
     "endpoint": (5, "endpoint", r"(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x00-\x20\"'<>]+", 0, 10),
 }
 #: What must stand in a weak part's scope for it to be reported.
@@ -27,7 +27,7 @@ HINTS = {
     "access": lambda t, low: t.contains("AKIA"),
     "hex": lambda t, low: t.rlike("[0-9a-f]{32}"),
     "ident": lambda t, low: low.contains("user") | low.contains("login") | low.contains("account") | low.contains("client"),
-    "opaque": lambda t, low: t.rlike("[A-Za-z0-9+/]{20}"),
+    "opaque": lambda t, low: t.rlike("[A-Za-z0-9+/_-]{20}"),
     "endpoint": lambda t, low: t.contains("://"),
 }
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,role:string>>"
@@ -87,6 +87,9 @@ def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", scope
     raw = docs.select(F.col(key), F.xxhash64(t).alias("mark"), t.alias("t"), F.lower(t).alias("low"))
     found = raw.select(key, "mark", *[_spans(F.col("t"), F.col("low"), k).alias(k) for k in BASE | WEAK])
     merged = lambda kinds: F.array_sort(F.concat(*kinds))
+    # an opaque value inside a base span, as after "secret=", is that span's
+    own = F.filter("opaque", lambda w: ~F.exists(F.concat(*BASE), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    found = found.withColumn("opaque", own)
     found = keep(found.select(key, "mark", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], merged(BASE).alias("base"), merged(WEAK).alias("weak")), "spans")
     parts = found.filter(F.size("weak") > 0).select(key, "mark", F.explode(F.concat("base", "weak")).alias("s")).distinct()
     linked = link_parts(parts.select(key, "mark", "s.*"), [key, "mark"], scope)

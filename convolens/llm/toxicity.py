@@ -198,10 +198,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_terms: in
     idf = np.array([math.log((1 + n) / (1 + d)) + 1 for _, d in picked])
     place = {t: i for i, t in enumerate(names)}
     held: dict[int, dict[int, float]] = {}
-    wanted = counted.join(chosen.select("term"), "term", "left_semi").select("doc_id", "term", "n")
-    for r in wanted.collect():  # at most per_class * 2 examples of max_terms terms
-        t = place[bytes(r["term"])]
-        held.setdefault(r["doc_id"], {})[t] = (1 + math.log(r["n"])) * idf[t]
+    wanted = counted.join(chosen.select("term"), "term", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("term", "n")).alias("terms"))
+    for r in wanted.toLocalIterator():  # a row for each of at most per_class * 2 examples
+        held[r["doc_id"]] = {place[bytes(x["term"])]: (1 + math.log(x["n"])) * idf[place[bytes(x["term"])]] for x in r["terms"]}
     rows = sorted((r["doc_id"], r["y"]) for r in sample.select("doc_id", "y").collect())
     share = {0: rows0 / max(1, used0), 1: rows1 / max(1, used1)}  # classes are drawn unevenly; votes undo that
     share = {y: x / max(max(share.values()), 1e-9) for y, x in share.items()}

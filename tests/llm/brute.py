@@ -44,6 +44,29 @@ def secrets_base(text):
     return (*n, hashlib.sha256(said.encode()).hexdigest(), said)
 
 
+def secrets_linked(text, scope=200):
+    """All spans, base ones and the weak ones beside which what they need stands, as kind:start:end by start."""
+    t, parts = text or "", []
+    for said in secrets_base(t)[4].split(","):
+        if said:
+            kind, a, b = said.split(":")
+            parts.append((int(a), {"assign": 0, "access": 1, "hex": 2}[kind], int(b), kind, "identity" if kind == "access" else "secret"))
+    base, weak = list(parts), []
+    for m in re.finditer(r"(?:user(?:name)?|login|account|client_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.@-]+)", t, re.I | re.A):
+        weak += [(m.start(), 3, m.end(), "ident", "identity")] * (len(m[1]) >= 3)
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_.-])", t):
+        if not any(b[0] < m.end() and m.start() < b[2] for b in base):
+            weak.append((m.start(), 4, m.end(), "opaque", "secret"))
+    for m in re.finditer(r"(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x00-\x20\"'<>]+", t):
+        weak += [(m.start(), 5, m.end(), "endpoint", "endpoint")] * (len(m[0]) >= 10)
+    needs = {"ident": {"secret"}, "opaque": {"identity"}, "endpoint": {"identity", "secret"}}
+    for w in weak:
+        near = {o[4] for o in base + weak if o[4] != w[4] and o[0] <= w[2] + scope and o[2] >= w[0] - scope}
+        if needs[w[3]] <= near:
+            parts.append(w)
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k, _ in sorted(parts))
+
+
 def contamination(docs, items, n=10):
     """docs, items: lists of (id, text)."""
     windows = defaultdict(set)
