@@ -34,25 +34,43 @@ def terms_of(text: str) -> Counter[bytes]:
 class BlockMaxIndex:
     """Unit TF-IDF vectors of examples, as postings by term in blocks of examples, each with its greatest weight."""
 
-    def __init__(self, terms: list[bytes], vectors: list[dict[int, float]], ids: list[int], y: list[int], weight: list[float], block: int = 64):
+    def __init__(self, terms: list[bytes], at: np.ndarray, term: np.ndarray, w: np.ndarray, ids: np.ndarray, y: np.ndarray, weight: np.ndarray, block: int = 64):
+        """``at``, ``term``, ``w``: the example, term and weight of each entry of the vectors; ``ids``, ``y``, ``weight``: of each example."""
+        n = len(ids)
         # examples with the same strongest term stand together, so that a block's bounds are tight
-        order = sorted(range(len(vectors)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], -t), default=-1), ids[i]))
-        self.order = order
-        self.ids, self.y, self.weight = (np.array([x[i] for i in order], dtype) for x, dtype in ((ids, np.int64), (y, np.float64), (weight, np.float64)))
-        self.block, self.blocks, self.n = block, max(1, -(-len(order) // block)), len(order)
+        strongest = np.full(n, -1)
+        by = np.lexsort((-term, w, at))
+        strongest[at[by]] = term[by]
+        order = np.lexsort((ids, strongest))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.ids, self.y, self.weight = ids[order].astype(np.int64), y[order].astype(np.float64), weight[order].astype(np.float64)
+        self.block, self.blocks, self.n = block, max(1, -(-n // block)), n
         self.term = {t: i for i, t in enumerate(terms)}
-        triples = sorted((t, at, w) for at, i in enumerate(order) for t, w in vectors[i].items())
-        self.doc = np.array([x[1] for x in triples], np.int32)
-        self.w = np.array([x[2] for x in triples], np.float64)
+        by = np.lexsort((place[at], term))
+        self.doc, self.w, t = place[at][by].astype(np.int32), w[by], term[by]
         self.start = np.zeros((len(terms), self.blocks + 1), np.int32)
         self.top = np.zeros((len(terms), self.blocks))
-        t = np.array([x[0] for x in triples], np.int64)
         begin = np.searchsorted(t, np.arange(len(terms) + 1))
         for i in range(len(terms)):
             a, b = begin[i], begin[i + 1]
             self.start[i] = a + np.searchsorted(self.doc[a:b], np.arange(self.blocks + 1) * block)
             np.maximum.at(self.top[i], self.doc[a:b] // block, self.w[a:b])
 
+    @classmethod
+    def of(cls, terms: list[bytes], vectors: list[dict[int, float]], ids: list[int], y: list[int], weight: list[float], block: int = 64) -> BlockMaxIndex:
+        """The same from vectors as dictionaries."""
+        at = np.repeat(np.arange(len(vectors)), [len(v) for v in vectors]) if vectors else np.zeros(0, np.int64)
+        term, w = (np.array([x for v in vectors for x in part(v)], kind) for part, kind in ((dict.keys, np.int64), (dict.values, np.float64)))
+        return cls(terms, at, term, w, np.array(ids, np.int64), np.array(y), np.array(weight), block)
+
+    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(terms, weights) of each example, in the index's order."""
+        t = np.repeat(np.arange(len(self.start)), self.start[:, -1] - self.start[:, 0])
+        by = np.argsort(self.doc, kind="stable")
+        edges = np.searchsorted(self.doc[by], np.arange(self.n + 1))
+        return [(t[by[a:b]], self.w[by[a:b]]) for a, b in zip(edges, edges[1:], strict=False)]
+
     def _scores(self, terms: np.ndarray, q: np.ndarray, opened: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines above 0 of the examples in the opened blocks; of a term's postings only theirs are read."""
         start, end = self.start[terms][:, opened], self.start[terms][:, opened + 1]
@@ -66,14 +84,12 @@ class BlockMaxIndex:
         hit = np.flatnonzero(score > 0)
         return hit, score[hit]
 
-    def nearest(self, query: dict[int, float], k: int, first: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, terms: np.ndarray, q: np.ndarray, k: int, first: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k examples of greatest cosine above 0, ties by place.
 
         The ``first`` blocks by bound are opened; then those whose bound reaches the k-th
         best so far. No other block can hold one of the k.
         """
-        terms = np.fromiter(query, np.int64, len(query))
-        q = np.array([query[t] for t in terms.tolist()])
         bound = q @ self.top[terms]
         opened = np.zeros(self.blocks, bool)
         opened[np.argsort(-bound, kind="stable")[:first]] = True
@@ -132,18 +148,18 @@ class ToxicityModel:
         at = {term[k]: n - i for x, n in Counter(hits).items() for i in range(min(n, PLACES)) if (k := bytes([48 + i]) + x) in term}
         return unit({t: (1 + math.log(n)) * self.idf[t] for t, n in at.items()})
 
-    def votes(self, v: dict[int, float], without: int = -1) -> tuple[float, np.ndarray]:
+    def votes(self, terms: np.ndarray, q: np.ndarray, without: int = -1) -> tuple[float, np.ndarray]:
         """Votes weigh the squared cosine; a prior of weight ``trust`` keeps far neighbours from deciding. ``without``: an example that does not vote."""
-        at, cosine = self.index.nearest(v, self.k + (without >= 0))
+        at, cosine = self.index.nearest(terms, q, self.k + (without >= 0))
         own = at != without
         at, cosine = at[own][: self.k], cosine[own][: self.k]
         w = cosine**2 * self.index.weight[at]
         return float((w @ self.index.y[at] + self.trust * self.prior) / (w.sum() + self.trust)), at
 
-    def calibrate(self, vectors: list[dict[int, float]], others: tuple[float, float]) -> None:
-        """Learn what votes stand for from the fitted examples, each judged by the others. ``vectors``: in the index's order; ``others``: weight and toxic weight of those without a term."""
-        if vectors:
-            raw = np.array([self.votes(v, i)[0] for i, v in enumerate(vectors)])
+    def calibrate(self, others: tuple[float, float]) -> None:
+        """Learn what votes stand for from the fitted examples, each judged by the others. ``others``: weight and toxic weight of those without a term."""
+        if self.index.n:
+            raw = np.array([self.votes(t, q, i)[0] for i, (t, q) in enumerate(self.index.vectors())])
             x, p = rising(raw, self.index.y, self.index.weight)
             # a pool of few examples is less sure than it says
             self.curve = x, np.clip(p, 0.5 / (len(raw) + 1), 1 - 0.5 / (len(raw) + 1))
@@ -158,7 +174,7 @@ class ToxicityModel:
         if key not in self.known:
             if len(self.known) > 50_000:
                 self.known.clear()
-            raw, at = self.votes(v)
+            raw, at = self.votes(np.fromiter(v, np.int64, len(v)), np.fromiter(v.values(), np.float64, len(v)))
             self.known[key] = float(np.interp(raw, *self.curve)), self.index.ids[at[:3]].tolist()
         return self.known[key]
 
@@ -168,7 +184,7 @@ def unit(v: dict[int, float]) -> dict[int, float]:
     return {t: x / n for t, x in v.items()} if n else {}
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_terms: int = 4096, k: int = 25, trust: float = 0.1, max_bytes: int = 1 << 20) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_terms: int = 256, k: int = 25, trust: float = 0.1, max_bytes: int = 1 << 20) -> ToxicityModel:
     """Learn from rows whose crc32(doc_id) modulo 3 is not 1.
 
     The index has up to ``per_class`` examples of each class and the ``max_terms`` terms
@@ -196,20 +212,21 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_terms: in
     picked = [(bytes(r["term"]), r["a"] + r["b"]) for r in chosen.collect()]
     names = [t for t, _ in picked]
     idf = np.array([math.log((1 + n) / (1 + d)) + 1 for _, d in picked])
-    place = {t: i for i, t in enumerate(names)}
-    held: dict[int, dict[int, float]] = {}
-    wanted = counted.join(chosen.select("term"), "term", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("term", "n")).alias("terms"))
-    for r in wanted.toLocalIterator():  # a row for each of at most per_class * 2 examples
-        held[r["doc_id"]] = {place[bytes(x["term"])]: (1 + math.log(x["n"])) * idf[place[bytes(x["term"])]] for x in r["terms"]}
-    rows = sorted((r["doc_id"], r["y"]) for r in sample.select("doc_id", "y").collect())
-    share = {0: rows0 / max(1, used0), 1: rows1 / max(1, used1)}  # classes are drawn unevenly; votes undo that
-    share = {y: x / max(max(share.values()), 1e-9) for y, x in share.items()}
-    bare = [y for i, y in rows if i not in held]
-    rows = [(i, y) for i, y in rows if i in held]
-    known = [unit(held[i]) for i, _ in rows]
-    index = BlockMaxIndex(names, known, [i for i, _ in rows], [y for _, y in rows], [share[y] for _, y in rows])
+    numbers = docs.sparkSession.createDataFrame([(t, i) for i, t in enumerate(names)], "term binary, t int")
+    # at most per_class * 2 examples of max_terms terms, as columns of numbers
+    got = counted.join(F.broadcast(numbers), "term").select("doc_id", "t", "n").toArrow()
+    doc, t, times = (got[c].to_numpy() for c in ("doc_id", "t", "n"))
+    rows = sample.select("doc_id", "y").orderBy("doc_id").toArrow()
+    ids, y = rows["doc_id"].to_numpy(), rows["y"].to_numpy()
+    share = np.array([rows0 / max(1, used0), rows1 / max(1, used1)])  # classes are drawn unevenly; votes undo that
+    weight = (share / max(share.max(), 1e-9))[y]
+    known = np.isin(ids, doc)
+    at = np.searchsorted(ids[known], doc)
+    w = (1 + np.log(times)) * (idf[t] if len(t) else 1.0)
+    w = w / np.sqrt(np.bincount(at, w * w, int(known.sum())))[at]
+    index = BlockMaxIndex(names, at, t.astype(np.int64), w, ids[known], y[known], weight[known])
     model = ToxicityModel(index, idf, prior, k, trust)
-    model.calibrate([known[i] for i in index.order], (sum(share[y] for y in bare), sum(share[y] * y for y in bare)))
+    model.calibrate((float(weight[~known].sum()), float((weight * y)[~known].sum())))
     return model
 
 

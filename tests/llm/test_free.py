@@ -140,9 +140,9 @@ def test_block_max_index_is_exact():
     r = np.random.default_rng(3)
     for trial in range(20):
         vec = [unit({int(t): float(r.random() + 0.1) for t in r.choice(40, r.integers(1, 6), replace=False)}) for _ in range(300)]
-        index = BlockMaxIndex([bytes([t]) for t in range(40)], vec, list(range(300)), [0] * 300, [1.0] * 300, block=8)
+        index = BlockMaxIndex.of([bytes([t]) for t in range(40)], vec, list(range(300)), [0] * 300, [1.0] * 300, block=8)
         q = unit({int(t): float(r.random() + 0.1) for t in r.choice(40, 4, replace=False)})
-        at, cosine = index.nearest(q, 10)
+        at, cosine = index.nearest(np.array(list(q)), np.array(list(q.values())), 10)
         all_ = sorted(((-round(sum(q.get(t, 0) * w for t, w in vec[i].items()), 9)) for i in range(300)))[:10]
         assert np.allclose(sorted(-cosine), all_, atol=1e-8)
 
