@@ -82,3 +82,14 @@ LINES = r"""with d as (select doc_id, text, string_split(text, chr(10)) as l fro
  select d.doc_id, coalesce(len(l), 0)::bigint as n_lines, coalesce(len(gone), 0)::bigint as removed_lines,
   sha256(coalesce(case when gone is null then text else array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: not list_contains(gone, i - 1)), lambda i: l[i]), chr(10)) end, '')) as text_sha256
  from d left join r on r.doc_id = d.doc_id"""
+
+AUDIT = r"""with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+ f as (select doc_id, part, (len(w) < 50)::int + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::int + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t))::int
+   + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * (doc_id > min(doc_id) over (partition by t))::int as m from d),
+ l as (select f.*, coalesce(quality = 1, false) as good, coalesce(toxic = 1, false) as toxic from f left join labels on labels.doc_id = f.doc_id),
+ b as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) as x(c, bit)),
+ o as (select p.c || q.c || r.c || s.c || t.c as filter_order from b p, b q, b r, b s, b t where len(list_distinct([p.c, q.c, r.c, s.c, t.c])) = 5),
+ st as (select filter_order, i::int as step, substr(filter_order, i, 1) as letter, bit, (select coalesce(sum(y.bit), 0)::int from b y where instr(filter_order, y.c) < i) as before from o, unnest(range(1, 6)) as u(i) join b on b.c = substr(filter_order, i, 1)),
+ g as (select part, filter_order, step, letter, count(*) filter (m & (bit | before) = 0) as kept, count(*) filter (m & bit <> 0 and m & before = 0) as removed, count(*) filter (m & bit <> 0 and m & before <> 0) as redundant,
+   count(*) filter (m = bit) as unique_fails, count(*) filter (m & bit <> 0 and m & before = 0 and good) as good_lost, count(*) filter (m & bit <> 0 and m & before = 0 and toxic) as toxic_lost from l, st group by all)
+ select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) over (partition by part, letter)::bigint as shapley from g"""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convolens.llm import bytecnn, oracles, toxicity
+from convolens.llm import bytecnn, oracles, pieces, toxicity
+from convolens.llm.audit import audit
 from convolens.llm.decontam import decontaminate
 from convolens.llm.jaccard import jaccard_join
 from convolens.llm.linededup import dedup_passages
@@ -66,6 +67,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    read = pieces.read_model(model or pieces.public_model("piece_bpe_32k.model"))
+    out = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), read), read)
+    digest = lambda c: F.sha2(c, 256)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
@@ -77,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 ORACLE: dict[str, str] = {
     "op1_quality_rules": oracles.QUALITY,
@@ -85,4 +99,5 @@ ORACLE: dict[str, str] = {
     "op4_shard": oracles.SHARD,
     "op9_decontaminate": oracles.DECONTAMINATE,
     "op10_line_dedup": oracles.LINES,
+    "op12_filter_audit": oracles.AUDIT,
 }
