@@ -93,3 +93,16 @@ AUDIT = r"""with d as (select doc_id, coalesce(source, '') as part, coalesce(tex
  g as (select part, filter_order, step, letter, count(*) filter (m & (bit | before) = 0) as kept, count(*) filter (m & bit <> 0 and m & before = 0) as removed, count(*) filter (m & bit <> 0 and m & before <> 0) as redundant,
    count(*) filter (m = bit) as unique_fails, count(*) filter (m & bit <> 0 and m & before = 0 and good) as good_lost, count(*) filter (m & bit <> 0 and m & before = 0 and toxic) as toxic_lost from l, st group by all)
  select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) over (partition by part, letter)::bigint as shapley from g"""
+
+COLLOCATIONS = r"""with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as s from documents),
+ w as (select lang, list_filter(string_split_regex(s, '[\x20\x09]+'), lambda x: x <> '') as w from p),
+ f as (select lang, k, array_to_string(w[i:i+k-1], ' ') as phrase, count(*) as f from w, unnest(range(1, 6)) as a(k), unnest(range(1, len(w) - k + 2)) as u(i) group by all),
+ t as (select lang, sum(f)::hugeint as n from f where k = 1 group by lang),
+ c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from f where k > 1 and f >= 100),
+ inner_ as (select lang, array_to_string(w[i:i+m-1], ' ') as phrase, max(a) as most from c, unnest(range(2, k)) as x(m), unnest(range(1, k - m + 2)) as u(i) group by all),
+ left_ as (select c.* from c left join inner_ i on i.lang = c.lang and i.phrase = c.phrase where i.most is null or 100 * i.most < 100 * c.a),
+ cut as (select c.lang, c.phrase, c.a, x.f as l, y.f as r, t.n, q.cut, (1000 * c.a::hugeint * t.n // (x.f::hugeint * y.f::hugeint))::bigint as score from left_ c, unnest(range(1, k)) as q(cut)
+   join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:q.cut], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[q.cut+1:], ' ') join t on t.lang = c.lang),
+ best as (select * from cut qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+ rk as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from best)
+ select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score from rk where rank <= 2000"""

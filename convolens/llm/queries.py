@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from convolens.llm import bytecnn, oracles, pieces, toxicity
 from convolens.llm.audit import audit
+from convolens.llm.collocations import collocations
 from convolens.llm.decontam import decontaminate
 from convolens.llm.jaccard import jaccard_join
 from convolens.llm.linededup import dedup_passages
@@ -67,6 +68,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
+    "op11_collocations": op11_collocations,
     "op12_filter_audit": op12_filter_audit,
     "op13_sentencepiece": op13_sentencepiece,
 }
@@ -99,5 +105,6 @@ ORACLE: dict[str, str] = {
     "op4_shard": oracles.SHARD,
     "op9_decontaminate": oracles.DECONTAMINATE,
     "op10_line_dedup": oracles.LINES,
+    "op11_collocations": oracles.COLLOCATIONS,
     "op12_filter_audit": oracles.AUDIT,
 }
