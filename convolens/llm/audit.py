@@ -54,8 +54,9 @@ def duplicate_ids(docs: DataFrame) -> DataFrame:
     left = rows.join(small(refined(rows)), PART, "left_semi")
     found = None
     while True:
-        first = left.groupBy(*PART).agg(F.min_by("__text", "doc_id").alias("__first_text"), F.min("doc_id").alias("__first"))
-        beside = left.join(first, PART)
+        # written, so that the join doesn't share the sums' partitioning and a part with many rows can be split
+        first = keep(left.groupBy(*PART).agg(F.min_by("__text", "doc_id").alias("__first_text"), F.min("doc_id").alias("__first")), "first")
+        beside = left.join(small(first), PART)
         compared = keep(beside.select("doc_id", *PART, "__first", (F.col("__text") == F.col("__first_text")).alias("__same")), "compared")
         same = compared.filter("__same and doc_id > __first").select("doc_id", *PART)
         found = same if found is None else found.unionByName(same)
