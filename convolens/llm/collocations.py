@@ -26,11 +26,11 @@ from convolens.llm.shared import keep, small
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 SEPARATORS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
-#: Distinct words that a task counts or knows at a time; pairs that it counts at a time; words of an automaton.
-HELD_WORDS, HELD_PAIRS, SHARD_WORDS = 400_000, 4 << 20, 1 << 17
-#: A bitmap has 16 bits for each of its members, as a power of two within these bounds (16 MiB at most).
-BITS = (16, 27)
-#: Words of the corpus for each slice of the pairs' hashes, and bits of a slice's number.
+#: Distinct words that a task counts or knows at a time; words that it reads, and pairs that it counts, at a time; words of an automaton.
+HELD_WORDS, READ_WORDS, HELD_PAIRS, SHARD_WORDS = 400_000, 1 << 20, 4 << 20, 1 << 17
+#: A bitmap has 64 bits for each of its members, as a power of two within these bounds (32 MiB at most).
+BITS = (16, 28)
+#: Words of the corpus for each slice of the hashes of pairs or triples, and bits of a slice's number.
 SLICE_WORDS, SLICE_BITS = 1 << 18, (4, 20)
 NO_LANG = "und"
 
@@ -85,7 +85,7 @@ def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 def bitmap(keys: DataFrame, key: str, n: int) -> np.ndarray:
     """Bits at the low bits of ``n`` keys; only as many numbers as the bitmap has come to the driver."""
-    bits = min(max(math.ceil(math.log2(16 * max(n, 1))), BITS[0]), BITS[1])
+    bits = min(max(math.ceil(math.log2(64 * max(n, 1))), BITS[0]), BITS[1])
     place = F.col(key).bitwiseAND(F.lit((1 << bits) - 1))
     rows = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("w"))
     out = np.zeros(1 << (bits - 6), "<u8")
@@ -127,7 +127,7 @@ def numbered(batches: Iterable[pa.RecordBatch], bits: np.ndarray) -> Iterator[tu
             for p in pieces_of(text.as_py()):
                 seq += [words[w] for w in p]
                 seq.append(0)
-            if len(seq) >= HELD_PAIRS:
+            if len(seq) >= READ_WORDS:
                 yield np.array(seq, np.int64), known
                 seq = []
         yield np.array(seq, np.int64), known
@@ -135,16 +135,33 @@ def numbered(batches: Iterable[pa.RecordBatch], bits: np.ndarray) -> Iterator[tu
             known, of = [None], {}
 
 
-def adjacent(seq: np.ndarray, known: list) -> tuple[np.ndarray, np.ndarray]:
-    """(places i where words i and i + 1 may both be frequent, hashes of these pairs)."""
+def grams(seq: np.ndarray, known: list, bits: Iterable[np.ndarray], slice_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For pairs, then triples, one level for each bitmap and one more: (places, hashes) of those whose words, or two pairs, may be frequent."""
     hashes = np.array([0, *(h for *_, h in known[1:])], np.uint64)
     at = np.flatnonzero((seq[:-1] > 0) & (seq[1:] > 0))
-    return at, pair_hashes(hashes[seq[at]], hashes[seq[at + 1]])
-
-
-def frequent_pairs(docs: DataFrame, bits: np.ndarray, least: int, slice_bits: int) -> DataFrame:
-    """(key) of pairs of words that occur ``least`` times or more: the upper bits of their hashes, 32 more than a slice's number has."""
-    shipped = docs.sparkSession.sparkContext.broadcast(bits)
+    levels = [(at, pair_hashes(hashes[seq[at]], hashes[seq[at + 1]]))]
+    for level, held in enumerate(bits, 2):
+        at, h = levels[-1]
+        kept = has(held, h >> np.uint64(32 - slice_bits))
+        at, h = at[kept], h[kept]
+        levels[-1] = at, h
+        both = np.flatnonzero(np.diff(at) == 1)
+        levels.append((at[both], pair_hashes(h[both], hashes[seq[at[both] + level]])))
+    return levels
+
+
+def runs_of(seq: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> Iterator[tuple[int, ...]]:
+    """The runs of words whose pairs, and triples, may all be frequent. Two runs can share the word at which a triple was too rare, so each pair is in one run."""
+    inside = (np.diff(pairs) == 1) & np.isin(pairs[:-1], triples, assume_unique=True)
+    ends = np.flatnonzero(np.append(~inside, True)) if len(pairs) else np.zeros(0, np.int64)
+    starts = np.append(0, ends[:-1] + 1)
+    for a, b in zip(pairs[starts].tolist() if len(ends) else [], pairs[ends].tolist(), strict=True):
+        yield tuple(seq[a : b + 2].tolist())
+
+
+def frequent(docs: DataFrame, words: np.ndarray, bits: list[np.ndarray], least: int, slice_bits: int) -> DataFrame:
+    """(key) of the pairs of words that occur ``least`` times or more, or with the bitmap of pairs in ``bits`` of the triples: the upper bits of their hashes, 32 more than a slice's number has."""
+    shipped = docs.sparkSession.sparkContext.broadcast((words, bits))
 
     def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
         hashes, n = np.unique(np.concatenate(parts) >> np.uint64(32 - slice_bits), return_counts=True)
@@ -157,8 +174,9 @@ def frequent_pairs(docs: DataFrame, bits: np.ndarray, least: int, slice_bits: in
 
     def count(batches):
         held: list[np.ndarray] = []
-        for seq, known in numbered(batches, shipped.value):
-            held.append(adjacent(seq, known)[1])
+        words, bits = shipped.value
+        for seq, known in numbered(batches, words):
+            held.append(grams(seq, known, bits, slice_bits)[-1][1])
             if sum(map(len, held)) >= HELD_PAIRS:
                 yield counted(held)
                 held = []
@@ -232,9 +250,9 @@ class Automaton:
             yield symbols[end[states][:, None] + np.arange(1 - n, 1)], times[states]
 
 
-def phrase_counts(docs: DataFrame, words: np.ndarray, pairs: np.ndarray, slice_bits: int, longest: int) -> DataFrame:
-    """(lang, phrase, n): sums over all shards, exact for every phrase whose words and pairs the bitmaps hold."""
-    shipped = docs.sparkSession.sparkContext.broadcast((words, pairs))
+def phrase_counts(docs: DataFrame, words: np.ndarray, bits: list[np.ndarray], slice_bits: int, longest: int) -> DataFrame:
+    """(lang, phrase, n): sums over all shards, exact for every phrase whose words, pairs and triples the bitmaps hold."""
+    shipped = docs.sparkSession.sparkContext.broadcast((words, bits))
 
     def listed(runs: Counter, known: list):
         automaton = Automaton()
@@ -247,19 +265,15 @@ def phrase_counts(docs: DataFrame, words: np.ndarray, pairs: np.ndarray, slice_b
                 yield pa.RecordBatch.from_pydict({"lang": [known[x[0]][0] for x in part], "phrase": phrases, "n": pa.array(times[a : a + 50_000])})
 
     def count(batches):
-        words, pairs = shipped.value
+        words, bits = shipped.value
         runs, size, meaning = Counter(), 0, None
         for seq, known in numbered(batches, words):
-            if runs and (known is not meaning or size >= SHARD_WORDS):
+            if runs and known is not meaning:
                 yield from listed(runs, meaning)
                 runs, size = Counter(), 0
             meaning = known
-            at, hashes = adjacent(seq, known)
-            at = at[has(pairs, hashes >> np.uint64(32 - slice_bits))]
-            firsts = np.flatnonzero(np.diff(at, prepend=-9) > 1)
-            lasts = [*(firsts[1:] - 1).tolist(), len(at) - 1]
-            for a, b in zip(at[firsts].tolist(), at[lasts].tolist() if len(at) else [], strict=True):
-                run = tuple(seq[a : b + 2].tolist())
+            (pairs, _), (triples, h), *_ = grams(seq, known, bits[:1], slice_bits)
+            for run in runs_of(seq, pairs, triples[has(bits[1], h >> np.uint64(32 - slice_bits))]):
                 size += 0 if run in runs else len(run)
                 runs[run] += 1
                 if size >= SHARD_WORDS:
@@ -277,9 +291,11 @@ def candidates(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> t
     sums = words.agg(F.sum("n").alias("all"), F.count(F.when(F.col("n") >= least, 1)).alias("often")).first()
     word_bits = bitmap(often.select("lang", "word").mapInArrow(hashed, "key long"), "key", sums["often"])
     slice_bits = min(max(math.ceil(math.log2(max((sums["all"] or 0) / SLICE_WORDS, 1))), SLICE_BITS[0]), SLICE_BITS[1])
-    pairs = keep(frequent_pairs(docs, word_bits, least, slice_bits), "pairs")
-    pair_bits = bitmap(pairs, "key", pairs.count())
-    return words, keep(phrase_counts(docs, word_bits, pair_bits, slice_bits, longest).filter(F.col("n") >= least), "phrases")
+    bits: list[np.ndarray] = []
+    for name in ("pairs", "triples"):
+        often_together = keep(frequent(docs, word_bits, bits, least, slice_bits), name)
+        bits = [*bits, bitmap(often_together, "key", often_together.count())]
+    return words, keep(phrase_counts(docs, word_bits, bits, slice_bits, longest).filter(F.col("n") >= least), "phrases")
 
 
 def unsubsumed(phrases: DataFrame) -> DataFrame:
