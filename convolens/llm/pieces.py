@@ -3,9 +3,10 @@
 Where no piece has a white space marker behind another character, a text falls apart before each
 run of markers, and each such word is segmented by itself. Documents are packed into blocks. A block
 sends its distinct words, dealt by a hash of the word, to the buckets of one table; a bucket segments
-each of its words once and answers every block in the order of its request; the block then puts the
-ids of its words together by position. Requests and answers grow with a block's distinct words, and no
-word is asked for more than once by a block, so a frequent word makes no task larger.
+each of its words once, decodes it once, and answers every block in the order of its request; the block
+then puts the ids, and the decoded text, of its words together by position. Requests and answers grow with
+a block's distinct words, and no word is asked for more than once by a block, so a frequent word makes no
+task larger.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ from pyspark.sql import functions as F
 
 #: SentencePiece's mark for white space.
 MARK = "▁"
-WORD = re.compile(f"{MARK}+[^{MARK}]*")
-#: A block has so many characters of text (or one longer text), or so many distinct words.
-BLOCK_CHARS, BLOCK_WORDS = 8 << 20, 400_000
+WORD = re.compile(" +[^ ]*")
+#: A block has so many characters of text, or one longer text.
+BLOCK_CHARS = 6 << 20
+#: Says that a word's ids decode to the word; no text has this byte.
+SAME = b"\xff"
 #: Characters of text for each bucket of the table, and how many buckets there are at least and at most.
 BUCKET_CHARS, BUCKETS = 16 << 20, (16, 1 << 16)
 
@@ -49,7 +52,7 @@ def read_model(path: str) -> bytes:
     if any(MARK in p.lstrip(MARK) for p in pieces):
         raise ValueError("a piece crosses a white space marker")
     probe = "  a ﬁ  b "
-    if "".join(sp.encode(probe, out_type=str)) != marked(probe):
+    if "".join(sp.encode(probe, out_type=str)) != MARK + probe.replace(" ", MARK):
         raise ValueError("the model changes texts before it segments them, or adds no marker")
     return model
 
@@ -61,28 +64,25 @@ def processor(model: bytes):
     return sentencepiece.SentencePieceProcessor(model_proto=model)
 
 
-def marked(text: str) -> str:
-    """The text as the model sees it; an empty one stays empty."""
-    return MARK + text.replace(" ", MARK) if text else ""
-
-
 def words(text: str) -> list[str]:
-    """Marked words in their order; together they are the marked text."""
-    return WORD.findall(marked(text))
+    """The words that a text falls into, each without its first marker, which the model adds to what it gets. Joined by blanks they are the text again; a marker in it counts as a blank."""
+    text = text.replace(MARK, " ")
+    if "  " not in text and text[:1] != " ":
+        return text.split(" ") if text else []
+    return [w[1:] for w in WORD.findall(" " + text)]
 
 
-def segment(sp, asked: list[str]) -> list[np.ndarray]:
-    """The ids of marked words. The model puts a marker before what it gets, so a word is given without its first one."""
-    out = sp.encode([w[1:].replace(MARK, " ") for w in asked], num_threads=1)
-    alone = [sp.piece_to_id(MARK)]  # of nothing the model makes no ids
-    return [np.array(ids if w != MARK else alone, "<u4") for w, ids in zip(asked, out, strict=True)]
+def segment(sp, asked: list[str]) -> list[list[int]]:
+    """The ids of words. Of nothing the model makes no ids, but a marker alone is a piece."""
+    alone = [sp.piece_to_id(MARK)]
+    return [ids or alone for ids in sp.encode(asked, num_threads=1)]
 
 
-def packed(items: Iterable[bytes]) -> bytes:
+def packed(items: Iterable[bytes], level: int = 1) -> bytes:
     """Lengths and bytes of a list, compressed."""
     items = list(items)
     lengths = np.array([len(x) for x in items], "<u4").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(len(items).to_bytes(8, "little") + lengths + b"".join(items))
+    return zstandard.ZstdCompressor(level=level).compress(len(items).to_bytes(8, "little") + lengths + b"".join(items))
 
 
 def unpacked(data: bytes) -> list[bytes]:
@@ -98,20 +98,18 @@ class Block:
     def __init__(self):
         self.keys: list[bytes] = []
         self.texts: list[str] = []
-        self.distinct: set[str] = set()
         self.chars = 0
 
-    def full(self) -> bool:
-        return self.chars >= BLOCK_CHARS or len(self.distinct) >= BLOCK_WORDS
-
     def add(self, key: bytes, text: str) -> None:
         self.keys.append(key)
         self.texts.append(text)
-        self.distinct.update(words(text))
         self.chars += len(text) + 16
 
+    def distinct(self) -> set[str]:
+        return {w for t in self.texts for w in words(t)}
+
     def payload(self) -> bytes:
-        return packed(x for k, t in zip(self.keys, self.texts, strict=True) for x in (k, t.encode()))
+        return packed((x for k, t in zip(self.keys, self.texts, strict=True) for x in (k, t.encode())), level=3)
 
     def key(self) -> bytes:
         h = hashlib.blake2b(digest_size=16)
@@ -134,7 +132,7 @@ def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[Block]:
     for batch in batches:
         for key, text in zip(batch.column(0), batch.column(1), strict=True):
             now.add(key.as_py(), text.as_py())
-            if now.full():
+            if now.chars >= BLOCK_CHARS:
                 yield now
                 now = Block()
     if now.keys:
@@ -142,7 +140,7 @@ def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[Block]:
 
 
 def encode(docs: DataFrame, model: bytes, key: str = "doc_id") -> DataFrame:
-    """(key, ids): each row's whole text as the model encodes it, without begin or end ids.
+    """(key, ids, decoded): each row's whole text as the model encodes it, without begin or end ids, and the text that it decodes these ids to.
 
     A null text is empty and has no ids. Rows with equal or null keys stay rows of their own.
     Empty in, empty out; columns of other names are left out. Words have any length; a task
@@ -156,9 +154,15 @@ def encode(docs: DataFrame, model: bytes, key: str = "doc_id") -> DataFrame:
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = min(max(chars // BUCKET_CHARS, BUCKETS[0]), BUCKETS[1])
 
+    def answers_to(sp, asked: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        """(ids, what they are decoded to if it is another word, else SAME) of words."""
+        ids = segment(sp, asked)
+        for w, i, text in zip(asked, ids, sp.decode(ids, num_threads=1) if ids else [], strict=True):
+            yield np.array(i, "<i4").tobytes(), SAME if text == w else text.encode()
+
     def requests(batches):
         for block in blocks(batches):
-            lists = asked_by(block.distinct, buckets)
+            lists = asked_by(block.distinct(), buckets)
             held = [i for i, x in enumerate(lists) if x]
             yield pa.RecordBatch.from_pydict({"block": [block.key()] * len(held), "bucket": pa.array(held, pa.int32()), "words": [packed(w.encode() for w in lists[i]) for i in held]})
 
@@ -166,45 +170,52 @@ def encode(docs: DataFrame, model: bytes, key: str = "doc_id") -> DataFrame:
         """Rows come sorted by bucket; the table of one bucket is held at a time."""
         sp, bucket, known = processor(shipped.value), None, {}
         for batch in batches:
-            answers = []
+            ids, texts = [], []
             for b, request in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if b != bucket:
                     bucket, known = b, {}
                 asked = unpacked(request.as_py())
                 new = [w for w in asked if w not in known]
-                known.update(zip(new, (x.tobytes() for x in segment(sp, [w.decode() for w in new])), strict=True))
-                answers.append(packed(known[w] for w in asked))
-            yield pa.RecordBatch.from_pydict({"block": batch.column(0), "bucket": batch.column(1), "ids": pa.array(answers, pa.binary())})
+                known.update(zip(new, answers_to(sp, [w.decode() for w in new]), strict=True))
+                ids.append(packed(known[w][0] for w in asked))
+                texts.append(packed(known[w][1] for w in asked))
+            yield pa.RecordBatch.from_pydict({"block": batch.column(0), "bucket": batch.column(1), "ids": pa.array(ids, pa.binary()), "texts": pa.array(texts, pa.binary())})
 
     def payloads(batches):
         for block in blocks(batches):
             yield pa.RecordBatch.from_pydict({"block": [block.key()], "docs": [block.payload()]})
 
-    def put_together(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        by_bucket = {b: unpacked(x) for b, x in zip(answers["bucket"], answers["ids"], strict=True)}
-        out: list[tuple[str, list]] = []
-        for data in texts["docs"]:
+    def put_together(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        by_bucket = {b: (i, t) for b, i, t in zip(answers["bucket"], answers["ids"], answers["texts"], strict=True)}
+        out: list[tuple] = []
+        for data in docs["docs"]:
             held = unpacked(data)
             split = [words(t.decode()) for t in held[1::2]]
-            table: dict[str, bytes] = {}
+            ids: dict[str, bytes] = {}
+            others: dict[str, str] = {}
             for i, asked in enumerate(asked_by({w for ws in split for w in ws}, buckets)):
-                answer = by_bucket.get(i)
-                if answer is None and asked:
-                    answer = [x.tobytes() for x in segment(processor(shipped.value), asked)]
-                table.update(zip(asked, answer or (), strict=True))
+                if i in by_bucket:
+                    pairs = zip(*map(unpacked, by_bucket[i]), strict=True)
+                else:
+                    pairs = answers_to(processor(shipped.value), asked)
+                for w, (a, text) in zip(asked, pairs, strict=True):
+                    ids[w] = a
+                    if text != SAME:
+                        others[w] = text.decode()
             for k, ws in zip(held[::2], split, strict=True):
-                out.append((k.decode(), np.frombuffer(b"".join([table[w] for w in ws]), "<u4").astype("<i4")))
-        return pd.DataFrame(out, columns=["k", "ids"])
+                decoded = " ".join([others.get(w, w) for w in ws] if others else ws)
+                out.append((k.decode(), np.frombuffer(b"".join([ids[w] for w in ws]), "<i4"), decoded))
+        return pd.DataFrame(out, columns=["k", "ids", "decoded"])
 
     asked = rows.mapInArrow(requests, "block binary, bucket int, words binary")
-    answered = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(segmented, "block binary, bucket int, ids binary")
+    answered = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(segmented, "block binary, bucket int, ids binary, texts binary")
     held = rows.mapInArrow(payloads, "block binary, docs binary")
-    joined = held.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(put_together, "k string, ids array<int>")
-    return joined.select(F.from_json("k", f"k {kind}")["k"].alias(key), "ids")
+    joined = held.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(put_together, "k string, ids array<int>, decoded string")
+    return joined.select(F.from_json("k", f"k {kind}")["k"].alias(key), "ids", "decoded")
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
-    """``encoded`` with ``decoded``, the text that the model makes of ``ids``; null and empty ids make an empty text."""
+    """Any ids, not only those of texts: ``encoded`` with ``decoded``, the text that the model makes of ``ids``; null and empty ids make an empty text."""
     shipped = encoded.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("string")

@@ -78,7 +78,7 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     read = pieces.read_model(model or pieces.public_model("piece_bpe_32k.model"))
-    out = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), read), read)
+    out = pieces.encode(table(spark, sf_dir, "documents"), read)
     digest = lambda c: F.sha2(c, 256)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
 

@@ -26,7 +26,7 @@ def test_equals_whole_encoding(spark, path):
     sp, model = sentencepiece.SentencePieceProcessor(model_file=path), pieces.read_model(path)
     rows = [(None if i % 50 == 7 else i // 2, t, "clash", "clash") for i, t in enumerate(texts())]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    got = pieces.decode(pieces.encode(docs, model), model)
+    got = pieces.encode(docs, model)
     assert got.columns == ["doc_id", "ids", "decoded"]
     want = [(k, sp.encode(t or "")) for k, t, *_ in rows]
     order = lambda x: (x[0] is None, x[0] or 0, x[1:])
@@ -47,13 +47,23 @@ def test_each_word_is_segmented_once(spark, path):
     block = pieces.Block()
     for i in range(100):
         block.add(b"%d" % i, "to be or not to be")
-    assert sum(map(len, pieces.asked_by(block.distinct, 7))) == len(block.distinct) == 4
+    assert sum(map(len, pieces.asked_by(block.distinct(), 7))) == len(block.distinct()) == 4
+    assert all(" ".join(pieces.words(t or "")) == (t or "").replace("▁", " ") for t in texts())
+
+
+def test_any_ids_are_decoded(spark, path):
+    """Also ids that no text is encoded to: bytes out of order, specials, none."""
+    sp, model = sentencepiece.SentencePieceProcessor(model_file=path), pieces.read_model(path)
+    r = random.Random(4)
+    ids = [[r.randrange(sp.get_piece_size()) for _ in range(r.randint(0, 30))] for _ in range(200)] + [[0, 1, 2], [200, 201, 5], None]
+    got = pieces.decode(spark.createDataFrame(list(enumerate(ids)), "k long, ids array<int>"), model)
+    assert {x.k: x.decoded for x in got.collect()} == {i: sp.decode(x) if x else "" for i, x in enumerate(ids)}
 
 
 def test_empty_and_refused(spark, path, tmp_path):
     model = pieces.read_model(path)
     empty = spark.createDataFrame([], SCHEMA)
-    assert pieces.decode(pieces.encode(empty, model), model).collect() == []
+    assert pieces.encode(empty, model).collect() == []
     lists = pieces.unpacked(pieces.packed([b"", b"a", b"\x00" * 9]))
     assert lists == [b"", b"a", b"\x00" * 9] and pieces.unpacked(pieces.packed([])) == []
     (tmp_path / "no.model").write_bytes(b"no model")
