@@ -101,38 +101,3 @@ def knn(vectors: DataFrame, query: list[float] | DataFrame, key: str, vector: st
     kind = vectors.schema[key].dataType.simpleString()
     near = vectors.select(key, vector).mapInArrow(run, f"key {kind}, distance double").withColumnRenamed("key", key)
     return near.orderBy(F.round("distance", 9), key).limit(k)
-
-
-def nearest_other(vectors: DataFrame, key: str, vector: str, shared: DataFrame | None = None, block: int = 2048) -> DataFrame:
-    """(key, nn_key, nn_distance): for each vector the nearest other one that shares nothing with it, exactly.
-
-    A blocked matrix product: vectors are packed into blocks of up to ``block``, every
-    block of queries meets every block of vectors once, and each meeting gives one row a
-    query, so no pairs of vectors are ever rows. ``shared``: (key, other) pairs to leave out.
-    """
-    n = max(1, -(-vectors.count() // block))
-    packed = vectors.select(key, F.col(vector).cast("array<float>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).alias("b"))
-    out_of = (shared.groupBy(key).agg(F.collect_set("other").alias("skip")) if shared is not None else None)
-    queries = packed.join(out_of, key, "left") if out_of is not None else packed.withColumn("skip", F.lit(None).cast("array<long>"))
-    left = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("b2"), "b", F.lit(0).alias("side"), key, "v", "skip")
-    right = packed.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("b"), F.col("b").alias("b2"), F.lit(1).alias("side"), key, "v", F.lit(None).cast("array<long>").alias("skip"))
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, x = pdf[pdf.side == 0], pdf[pdf.side == 1].sort_values(key)
-        if not len(q) or not len(x):
-            return pd.DataFrame({key: [], "nn_key": [], "nn_distance": []})
-        a, c = (np.stack([np.asarray(v, np.float64) for v in s.v]) for s in (q, x))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            d = 1 - (a @ c.T) / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(c, axis=1))
-        d = np.where(np.isnan(d), np.inf, d)
-        ids = x[key].to_numpy()
-        for i, (own, skip) in enumerate(zip(q[key], q["skip"], strict=True)):
-            d[i, np.isin(ids, [own, *(skip if skip is not None else [])])] = np.inf
-        best = np.round(d, 9).argmin(1)
-        got = d[np.arange(len(d)), best]
-        keep = np.isfinite(got)
-        return pd.DataFrame({key: q[key].to_numpy()[keep], "nn_key": ids[best][keep], "nn_distance": got[keep]})
-
-    met = left.unionByName(right).groupBy("b", "b2").applyInPandas(meet, f"{key} long, nn_key long, nn_distance double")
-    order = F.struct(F.round("nn_distance", 9), "nn_key")
-    return met.groupBy(key).agg(F.min_by("nn_key", order).alias("nn_key"), F.min_by("nn_distance", order).alias("nn_distance"))

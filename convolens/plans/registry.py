@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -13,11 +11,12 @@ from pyspark.sql import Window as W
 
 from convolens.functions import names as N
 from convolens.functions import text as T
-from convolens.operators import evalkit, filters, hydrate, lexical, ranking, render, sessionize, suites, vectors
+from convolens.operators import evalkit, filters, hydrate, lexical, pivots, ranking, render, sessionize, suites, vectors
 from convolens.plans.parse import Contacts, parse_table
 from convolens.plans.search import Engine, build_index
 from convolens.sources import contacts as C
 from convolens.sources.messages import attachments_by_message, clean_messages, conversation_messages, event_messages
+from convolens.sources.scratch import shared_base
 from convolens.sources.store import IndexStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -357,7 +356,7 @@ def knn_filtered(spark, sf):
 def nn_distance(spark, sf):
     e = table(spark, sf, "embeddings")
     pairs = e.select("vec_id", (F.col("vec_id") + F.when(F.col("vec_id") % 2 == 0, 1).otherwise(-1)).alias("other"))
-    return vectors.nearest_other(e, "vec_id", "embedding", pairs, 128).select("vec_id", "nn_key", r6("nn_distance"))
+    return pivots.nearest_other(e, "vec_id", "embedding", pairs, 128).select("vec_id", "nn_key", r6("nn_distance"))
 
 
 # fusion and ranking
@@ -794,15 +793,6 @@ def question_filter(spark, sf):
 # the whole engine
 
 
-def shared_base(spark, name: str) -> str:
-    """A new folder in the one that all executors share; in a temporary one only on a local master."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    base = base or f"file://{tempfile.mkdtemp(prefix='convolens-')}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def demo_engine(spark, sf) -> Engine:
     m = conversation_messages(spark, sf)
     root = shared_base(spark, "index")
