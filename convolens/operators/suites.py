@@ -78,3 +78,17 @@ def question_filter(questions: DataFrame, reject_above: float = 0.40, hard_from:
     overlap = T.vocabulary_overlap(F.col("query"), F.col("source_text"))
     verdict = F.when(overlap > reject_above, "copied").when(F.col("source_rank").isNull(), "not_found").when(F.col("source_rank") > hard_from, "hard").otherwise("kept")
     return questions.withColumn("overlap", overlap).withColumn("verdict", verdict)
+
+
+def with_ranks(questions: DataFrame, fused: DataFrame, words: DataFrame, qid: str, source: str, key: str, others: int = 5) -> DataFrame:
+    """Add to questions what batch retrieval found: source_rank (null if not found), sparse_first (whether words alone put the source first), and top_others (the best few that are not the source).
+
+    ``fused`` and ``words``: (qid, key, rank).
+    """
+    own = questions.select(F.col(qid).alias("qid"), F.col(source).alias("__source"))
+    mine = F.col(key) == F.col("__source")
+    best = fused.join(own, "qid").groupBy("qid").agg(F.min(F.when(mine, F.col("rank"))).alias("source_rank"), F.array_sort(F.collect_list(F.when(~mine & (F.col("rank") <= others), F.struct("rank", key)))).alias("o"))
+    first = words.filter("rank = 1").join(own, "qid").select("qid", mine.alias("sparse_first"))
+    found = best.select("qid", "source_rank", F.transform("o", lambda x: x[key]).alias("top_others")).join(first, "qid", "left")
+    out = questions.join(found, F.col(qid) == found["qid"], "left") if qid != "qid" else questions.join(found, "qid", "left")
+    return out.select(*questions.columns, "source_rank", F.coalesce("sparse_first", F.lit(False)).alias("sparse_first"), F.coalesce("top_others", F.array().cast(f"array<{fused.schema[key].dataType.simpleString()}>")).alias("top_others"))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from convolens.functions import names as N
 from convolens.functions import text as T
-from convolens.operators import evalkit, filters, hydrate, lexical, pivots, ranking, render, sessionize, suites, vectors
+from convolens.operators import batch, evalkit, filters, hydrate, lexical, pivots, ranking, render, sessionize, suites, vectors
 from convolens.plans.parse import Contacts, parse_table
 from convolens.plans.search import Engine, build_index
 from convolens.sources import contacts as C
@@ -783,11 +783,58 @@ def parser_probe(spark, sf):
     return suites.parser_probe(spark, Contacts.collect(people(spark)), datetime(2024, 6, 12, 15, tzinfo=UTC))
 
 
-@query("question_filter", """select item_id, case when item_id % 4 = 0 then 'copied' when item_id % 4 = 1 then 'not_found' when item_id % 4 = 2 then 'hard' else 'kept' end as verdict from benchmark""")
+ASKED = f"""{POSTINGS}, said as (select doc_id, {TERMS} as w from documents), ask as (select doc_id as qid, list_filter(w[5:7], lambda x, i: list_position(w[5:7], x) = i) as words from said where doc_id % 50 = 0),
+  qt as (select qid, len(words) as n_words, unnest(words) as term from ask), dfs as (select term, count(*) as df from post group by term),
+  met as (select qid, post.doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score from qt join post using (term) join dfs using (term) join stats on stats.doc_id = post.doc_id cross join corpus
+    group by qid, post.doc_id, n_words having count(*) = n_words),
+  many as (select qid, doc_id, score, row_number() over (partition by qid order by round(score, 9) desc, doc_id) as rank from met)"""
+
+
+def document_questions(spark, sf):
+    """(qid, words): three words from the beginning of each 50th document as questions against all documents."""
+    d = table(spark, sf, "documents").filter("doc_id % 50 = 0")
+    words = T.index_terms(F.coalesce("text", F.lit("")))
+    return d.select(F.col("doc_id").alias("qid"), F.array_distinct(F.slice(words, 5, 3)).alias("words"), "text")
+
+
+@query("bm25_many", f"with {ASKED} select qid, doc_id, round(score, 6) as score, rank::int as rank from many where rank <= 20")
+def bm25_many(spark, sf):
+    index, stats = doc_index(spark, sf)
+    return batch.bm25_many(index, stats, document_questions(spark, sf).select("qid", "words"), "doc_id", 20).select("qid", "doc_id", r6("score"), "rank")
+
+
+@query("phrase_many", f"""with {ASKED}, t as (select doc_id, ' ' || replace(array_to_string(w, ' '), ' ', '  ') || ' ' as x from said), a2 as (select qid, ' ' || array_to_string(words, '  ') || ' ' as p from ask where len(words) > 1),
+  h as (select qid, t.doc_id, (len(x) - len(replace(x, p, ''))) // len(p) as tf from a2 join t on contains(x, p)), d as (select qid, count(*) as df from h group by qid),
+  s as (select qid, h.doc_id, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) as score from h join d using (qid) join stats on stats.doc_id = h.doc_id cross join corpus),
+  r as (select *, row_number() over (partition by qid order by round(score, 9) desc, doc_id) as rank from s)
+  select qid, doc_id, round(score, 6) as score, rank::int as rank from r where rank <= 20""")
+def phrase_many(spark, sf):
+    index, stats = doc_index(spark, sf)
+    return batch.phrase_many(index, stats, document_questions(spark, sf).select("qid", "words"), "doc_id").select("qid", "doc_id", r6("score"), "rank")
+
+
+@query("knn_many", """with p as (select a.vec_id as qid, b.vec_id, 1 - list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as d from embeddings a, embeddings b where a.vec_id % 50 = 0),
+  r as (select *, row_number() over (partition by qid order by round(d, 9), vec_id) as rank from p) select qid, vec_id, round(d, 6) as distance, rank::int as rank from r where rank <= 10""")
+def knn_many(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return batch.knn_many(e, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), "vec_id", "embedding", 10).select("qid", "vec_id", r6("distance"), "rank")
+
+
+STOPPED = "['the','a','an','and','or','but','is','are','was','were','be','been','to','of','in','on','at','for','with','about','we','us','i','you','did','do','does','what','where','when','who','how','that','this','it','our','their','them','he','she','his','her','me']"
+
+
+@query("question_filter", f"""with {ASKED}, q as (select qid, array_to_string(words, ' ') as query, text from ask join documents on documents.doc_id = qid),
+  c as (select qid, list_distinct(list_filter(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+'), lambda w: len(w) > 2 and not list_contains({STOPPED}, w))) as q, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) as s from q),
+  f as (select qid, min(case when doc_id = qid then rank end) as source_rank, coalesce(bool_or(rank = 1 and doc_id = qid), false) as sparse_first, string_agg(case when doc_id <> qid and rank <= 5 then doc_id::varchar end, ',' order by rank) as others from many where rank <= 300 group by qid)
+  select c.qid, source_rank::int as source_rank, coalesce(sparse_first, false) as sparse_first, coalesce(others, '') as others,
+   case when len(q) > 0 and len(list_intersect(q, s)) / len(q) > 0.4 then 'copied' when source_rank is null then 'not_found' when source_rank > 200 then 'hard' else 'kept' end as verdict from c left join f on f.qid = c.qid""")
 def question_filter(spark, sf):
-    k = F.col("item_id") % 4
-    q = table(spark, sf, "benchmark").select("item_id", F.when(k == 0, F.col("text")).otherwise("zzzz qqqq").alias("query"), F.col("text").alias("source_text"), F.when(k == 2, 300).when(k == 3, 10).alias("source_rank"))
-    return suites.question_filter(q).select("item_id", "verdict")
+    index, stats = doc_index(spark, sf)
+    q = document_questions(spark, sf)
+    found = batch.bm25_many(index, stats, q.select("qid", "words"), "doc_id", 300).select("qid", "doc_id", "rank")
+    asked = q.select("qid", F.array_join("words", " ").alias("query"), F.col("text").alias("source_text"), F.col("qid").alias("source"))
+    out = suites.question_filter(suites.with_ranks(asked, found, found, "qid", "source", "doc_id"))
+    return out.select("qid", "source_rank", "sparse_first", F.array_join(F.col("top_others").cast("array<string>"), ",").alias("others"), "verdict")
 
 
 # the whole engine

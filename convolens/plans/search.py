@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from convolens.functions.text import TERM_STOPWORDS
-from convolens.operators import filters, hydrate, lexical, ranges, ranking, render, sessionize, vectors
+from convolens.operators import batch, filters, hydrate, lexical, ranges, ranking, render, sessionize, vectors
 from convolens.plans.parse import ParsedQuery, effective_filters
+from convolens.sources.scratch import keep
 from convolens.sources.store import IndexStore, Snapshot
 
 CALIBRATION_SAMPLE = 2000
@@ -214,6 +215,22 @@ class Engine:
         places = ranking.reserve_recent(fused, times, "chunk_id")
         return local(self.spark, [(r["chunk_id"], r["place"], r["chunk_id"] in verbatim) for r in places.collect()], "chunk_id long, place int, lexical boolean")
 
+    def retrieve_many(self, questions: DataFrame, qid: str, text: str, at: Snapshot | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """((qid, chunk_id, place), (qid, chunk_id, rank) of the fused list of 200, and of words alone): for many questions without filters what ``retrieve`` gives for each."""
+        at = at or self.at()
+        if "int8_absmax" not in at.meta:
+            raise RuntimeError("the index is not calibrated")
+        asked = keep(batch.asked(questions, qid, text, stem=True), "asked")
+        prefixed = questions.filter(F.trim(F.coalesce(text, F.lit(""))) != "").select(F.col(qid).alias("qid"), F.concat(F.lit(vectors.QUERY_PREFIX), text).alias("t"))
+        coded = vectors.quantize_int8(F.col("embedding"), F.lit(max(float(at.meta["int8_absmax"]), 1e-12)))
+        dense = batch.knn_many(at.read("vectors"), vectors.embed(prefixed, "t", make=self.models.make_embedder).select("qid", coded.cast("array<double>").alias("q")), "chunk_id", "embedding", ARM)
+        words = keep(batch.bm25_many(at.read("postings"), at.read("doc_stats"), asked, "chunk_id", ARM), "words")
+        phrases = keep(batch.phrase_many(at.read("postings"), at.read("doc_stats"), asked, "chunk_id", PHRASE_ARM), "phrases")
+        fused = keep(batch.fuse_many([dense, words, phrases], "chunk_id", most=ARM), "fused")
+        matched = words.select("qid", "chunk_id").union(phrases.select("qid", "chunk_id")).distinct().join(at.read("chunks").select("chunk_id", F.col("start_ts").alias("ts")), "chunk_id")
+        places = batch.reserve_recent_many(fused.filter(F.col("rank") <= ranking.FUSED), matched, "chunk_id")
+        return places, fused.select("qid", "chunk_id", "rank"), words.select("qid", "chunk_id", "rank")
+
     def some_chunks(self, at: Snapshot, ids: list[int]) -> DataFrame:
         """Rows of a bounded list of windows; the filter on literal ids reaches the file."""
         return at.read("chunks").filter(F.col("chunk_id").isin(*ids)) if ids else at.read("chunks").limit(0)
