@@ -59,21 +59,30 @@ def chunk_messages(messages: DataFrame, gap: float = GAP, token_target: int = TO
     return each.select("chat_id", position.alias("position"), F.col("m")[0]["ts"].alias("start_ts"), F.element_at("m", -1)["ts"].alias("end_ts"), F.transform("m", lambda x: x["msg_id"]).alias("msg_ids"), F.exists("m", lambda x: x["has_attachment"]).alias("has_attachment"))
 
 
+def chat_states(messages: DataFrame) -> DataFrame:
+    """(chat_id, n, h): how many messages a chat has, and a hash of all that its windows are made of, in any order."""
+    columns = [c for c in ("msg_id", "ts", "is_from_me", "handle", "text", "date_edited", "date_retracted", "has_attachment", "files") if c in messages.columns]
+    return messages.groupBy("chat_id").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*columns)).alias("h"))
+
+
 def membership(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.explode("msg_ids").alias("msg_id"), "chunk_id")
 
 
-def with_content_hash(chunks: DataFrame, messages: DataFrame) -> DataFrame:
-    """Add a hash of the messages' texts, which tells an edit that keeps all ids."""
-    texts = chunks.select("chat_id", "position", F.explode("msg_ids").alias("msg_id")).join(messages.select("chat_id", "msg_id", F.xxhash64("text", "date_edited").alias("h") if "date_edited" in messages.columns else F.xxhash64("text").alias("h")), ["chat_id", "msg_id"])
+def with_content_hash(chunks: DataFrame, messages: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Add a hash of the messages' texts, and of the names of their ``files``, which tells an edit that keeps all ids."""
+    messages = messages.join(files, "msg_id", "left") if files is not None else messages
+    columns = [c for c in ("text", "date_edited") if c in messages.columns] + (["files"] if files is not None else [])
+    texts = chunks.select("chat_id", "position", F.explode("msg_ids").alias("msg_id")).join(messages.select("chat_id", "msg_id", F.xxhash64(*columns).alias("h")), ["chat_id", "msg_id"])
     return chunks.join(texts.groupBy("chat_id", "position").agg(F.bit_xor(F.xxhash64("msg_id", "h")).alias("content_hash")), ["chat_id", "position"])
 
 
-def positional_diff(fresh: DataFrame, existing: DataFrame) -> DataFrame:
+def positional_diff(fresh: DataFrame, existing: DataFrame, top: int | None = None) -> DataFrame:
     """chat_id, position, action (same, rewrite, insert, delete), chunk_id, and the fresh msg_ids.
 
     The k-th window of a chat is held against the k-th there is. A rewrite keeps the id;
     new ids go on from the greatest, by chat and place, so that order of ids stays order in time.
+    ``top``: the greatest id there is, where ``existing`` has only some chats.
     """
     old = existing.select("chat_id", F.row_number().over(W.partitionBy("chat_id").orderBy("chunk_id")).alias("k"), F.col("chunk_id").alias("old_id"), F.array_sort("msg_ids").alias("old_ids"), *([F.col("content_hash").alias("old_hash")] if "content_hash" in existing.columns else []))
     new = fresh.select("chat_id", (F.col("position") + 1).alias("k"), F.array_sort("msg_ids").alias("new_ids"), *([F.col("content_hash").alias("new_hash")] if "content_hash" in fresh.columns else []))
@@ -83,7 +92,7 @@ def positional_diff(fresh: DataFrame, existing: DataFrame) -> DataFrame:
         equal = equal & F.col("new_hash").eqNullSafe(F.col("old_hash"))
     action = F.when(F.col("new_ids").isNull(), "delete").when(F.col("old_ids").isNull(), "insert").when(equal, "same").otherwise("rewrite")
     marked = both.withColumn("action", action)
-    top = existing.agg(F.coalesce(F.max("chunk_id"), F.lit(0)).alias("top"))
+    top = existing.agg(F.coalesce(F.max("chunk_id"), F.lit(0)).alias("top")) if top is None else existing.sparkSession.range(1).select(F.lit(top).cast("long").alias("top"))
     # ids of new windows: chats one after the other, so a chat's first id is what chats before it need
     need = marked.filter("action = 'insert'").groupBy("chat_id").agg(F.count("*").alias("n"))
     before = ranges.summed_before(need, "chat_id", F.col("n"), "before").select("chat_id", "before")

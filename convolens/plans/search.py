@@ -41,19 +41,29 @@ def window_rows(chunks: DataFrame, messages: DataFrame) -> DataFrame:
 def build_index(spark: SparkSession, messages: DataFrame, out: str, models: Models | None = None, files: DataFrame | None = None, prune: bool = True, limit_chunks: int | None = None, **cut) -> str:
     """Index ``messages`` at ``out``, or bring the index there up to date, as a new version; returns its name.
 
-    Windows that are as before keep their ids and vectors; only new and changed ones are
-    embedded. The calibration of the first build stays, so that old and new vectors compare.
-    ``files``: (msg_id, files). ``limit_chunks``: build only the first so many windows by chat
-    and place, and prune nothing. ``cut``: parameters of sessionize.chunk_messages. What a
-    later table needs is written and read back, so nothing is computed twice.
+    Only chats whose messages (or ``files``: msg_id, files) have changed are cut anew. Windows that are as
+    before keep their ids, and nothing of theirs is written; new and changed ones are embedded and
+    make one segment, with tombstones of those that they replace and of those that are gone. The
+    calibration of the first build stays, so that old and new vectors compare. ``limit_chunks``:
+    build only the first so many windows by chat and place, and prune nothing. ``cut``: parameters
+    of sessionize.chunk_messages. What a later table needs is written and read back.
     """
     models, store = models or Models(), IndexStore(spark, out)
-    before, w = store.snapshot(missing_ok=True), store.writer()
-    fresh = w.put("fresh", sessionize.with_content_hash(sessionize.chunk_messages(messages, **cut), messages))
+    before, how = store.snapshot(missing_ok=True), json.dumps(sorted(cut.items()))
+    w = store.writer(before.segments if before else ())
+    some, existing = messages, before.read("chunks") if before else None
+    state = sessionize.chat_states(messages.join(files, "msg_id", "left") if files is not None else messages)
+    state = w.put("chat_state", state if limit_chunks is None else state.limit(0))
+    if before and limit_chunks is None and before.meta.get("cut") == how:
+        old = before.read("chat_state").select("chat_id", F.col("n").alias("old_n"), F.col("h").alias("old_h"))
+        changed = ~(F.col("n").eqNullSafe(F.col("old_n")) & F.col("h").eqNullSafe(F.col("old_h")))
+        touched = w.put("touched", state.join(old, "chat_id", "full").filter(changed).select("chat_id"))
+        some, existing = (x.join(touched, "chat_id", "left_semi") for x in (some, existing))
+    fresh = w.put("fresh", sessionize.with_content_hash(sessionize.chunk_messages(some, **cut), some, files))
     if limit_chunks is not None:
         fresh, prune = fresh.orderBy("chat_id", "position").limit(limit_chunks), False
     if before:
-        diff = sessionize.positional_diff(fresh, before.read("chunks"))
+        diff = sessionize.positional_diff(fresh, existing, int(before.meta.get("top_id", 0)))
         diff = diff if prune else diff.withColumn("action", F.when(F.col("action") == "delete", "same").otherwise(F.col("action")))
     else:
         sizes = fresh.groupBy("chat_id").agg(F.count("*").alias("n"))
@@ -61,37 +71,38 @@ def build_index(spark: SparkSession, messages: DataFrame, out: str, models: Mode
         diff = fresh.join(starts, "chat_id").select("chat_id", "position", F.lit("insert").alias("action"), (F.col("start") + F.col("position") + 1).alias("chunk_id"))
     diff = w.put("diff", diff)
     changed = diff.filter(F.col("action").isin("insert", "rewrite")).select("chat_id", "position", "chunk_id").join(fresh, ["chat_id", "position"])
-    rows = window_rows(changed, messages)
+    rows = window_rows(changed, some)
     rows = rows.join(files, "msg_id", "left") if files is not None else rows
     rows = w.put("rows", rows)
     texts = render.semantic_text(rows, ["chunk_id"]).join(render.lexical_text(rows, ["chunk_id"]), "chunk_id")
     bodies = [F.coalesce(c, F.lit("")).alias(c) for c in ("body_semantic", "body_lexical")]
     new = changed.join(texts, "chunk_id", "left").select("chunk_id", "chat_id", "position", "start_ts", "end_ts", "has_attachment", "msg_ids", "content_hash", *bodies)
-    kept = diff.filter("action = 'same'").select("chunk_id")
-    keep = lambda name: before.read(name).join(kept, "chunk_id", "left_semi")
-    chunks = w.put("chunks", keep("chunks").unionByName(new) if before else new)
-    ids = diff.filter(F.col("action").isin("insert", "rewrite")).select("chunk_id")
-    written = chunks.join(ids, "chunk_id", "left_semi") if before else chunks
-    raw = w.put("raw", vectors.embed(written.select("chunk_id", "body_semantic"), "body_semantic", make=models.make_embedder).drop("body_semantic"))
+    chunks = w.put("chunks", new)
+    dead = w.put("tombstones", diff.filter(F.col("action").isin("rewrite", "delete")).select("chunk_id"))
+    raw = w.put("raw", vectors.embed(chunks.select("chunk_id", "body_semantic"), "body_semantic", make=models.make_embedder).drop("body_semantic"))
     if before and "int8_absmax" in before.meta:
         most = float(before.meta["int8_absmax"])
     else:
         most = vectors.absmax(raw, "embedding", sample=CALIBRATION_SAMPLE, key="chunk_id").first()["absmax"]
     coded = raw.select("chunk_id", vectors.quantize_int8(F.col("embedding"), F.lit(max(most or 0.0, 1e-12))).alias("embedding"))
-    coded = coded.select("chunk_id", vectors.norm(F.col("embedding")).alias("norm"), "embedding")
-    w.put("vectors", keep("vectors").unionByName(coded) if before else coded)
+    w.put("vectors", coded.select("chunk_id", vectors.norm(F.col("embedding")).alias("norm"), "embedding"))
     w.put("chunk_message", sessionize.membership(chunks))
     index = w.put("postings", lexical.postings(chunks, "chunk_id", "body_lexical", stem=True))
-    w.put("terms", index.groupBy("term").agg(F.count("*").alias("docs")))
+    terms = index.select("term", F.lit(1).alias("docs"))
     stats = w.put("doc_stats", lexical.doc_stats(chunks, "chunk_id", "body_lexical"))
-    total = stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    total = stats.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
+    n, dl, top = total["n"], total["dl"], chunks.agg(F.max("chunk_id")).first()[0] or 0
+    if before:
+        gone = before.read("chunks").select("chunk_id", "body_lexical").join(dead, "chunk_id", "left_semi")
+        terms = terms.unionByName(lexical.postings(gone, "chunk_id", "body_lexical", stem=True).select("term", F.lit(-1).alias("docs")))
+        less = before.read("doc_stats").join(dead, "chunk_id", "left_semi").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
+        n, dl, top = n + int(before.meta["n_docs"]) - less["n"], dl + int(before.meta["sum_dl"]) - less["dl"], max(top, int(before.meta["top_id"]))
+    w.put("terms", terms.groupBy("term").agg(F.sum("docs").alias("docs")).filter("docs != 0"))
     last = messages.agg(F.max("msg_id")).first()[0]
-    meta = {
-        "int8_absmax": None if most is None else str(most), "n_docs": str(total["n"]), "avgdl": str(total["avgdl"] or 0.0), "last_msg_id": None if last is None else str(last),
+    return w.publish({
+        "int8_absmax": None if most is None else str(most), "n_docs": str(n), "sum_dl": str(dl), "avgdl": str(dl / n if n else 0.0), "top_id": str(top), "cut": how, "last_msg_id": None if last is None else str(last),
         "semantic_format_version": "1", "lexical_format_version": "1", "embed_version": "1",
-    }
-    w.put("meta", spark.createDataFrame([(k, v) for k, v in meta.items() if v is not None], "key string, value string"))
-    return w.publish()
+    })
 
 
 def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

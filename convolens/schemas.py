@@ -25,6 +25,8 @@ _DDL = {
     "terms": "term string, docs long",
     "doc_stats": "chunk_id long, dl int",
     "vectors": "chunk_id long, norm double, embedding array<tinyint>",
+    "tombstones": "chunk_id long",
+    "chat_state": "chat_id long, n long, h long",
     "attachment_place": "attachment_id long, place string",
     "attachment_retry": "attachment_id long, chunk_id long",
     "meta": "key string, value string",
