@@ -11,6 +11,7 @@ of bounded size tell tasks which are not. A bitmap only errs by keeping too much
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -28,6 +29,8 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 SEPARATORS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 #: Distinct words that a task counts or knows at a time; words that it reads, and pairs that it counts, at a time; words of an automaton.
 HELD_WORDS, READ_WORDS, HELD_PAIRS, SHARD_WORDS = 400_000, 1 << 20, 4 << 20, 1 << 17
+#: Phrases whose counts a task adds up before they leave it.
+HELD_PHRASES = 400_000
 #: A bitmap has 64 bits for each of its members, as a power of two within these bounds (32 MiB at most).
 BITS = (16, 28)
 #: Words of the corpus for each slice of the hashes of pairs or triples, and bits of a slice's number.
@@ -250,26 +253,38 @@ class Automaton:
             yield symbols[end[states][:, None] + np.arange(1 - n, 1)], times[states]
 
 
-def phrase_counts(docs: DataFrame, words: np.ndarray, bits: list[np.ndarray], slice_bits: int, longest: int) -> DataFrame:
-    """(lang, phrase, n): sums over all shards, exact for every phrase whose words, pairs and triples the bitmaps hold."""
+def phrase_counts(docs: DataFrame, words: np.ndarray, bits: list[np.ndarray], least: int, slice_bits: int, longest: int) -> DataFrame:
+    """(lang, phrase, n) of phrases with ``least`` occurrences or more: sums over all shards, exact for every phrase whose words, pairs and triples the bitmaps hold.
+
+    A task adds up the counts of its automata; what leaves it is one row for each slice of the phrases' hashes, with the slice's phrases and counts.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast((words, bits))
 
-    def listed(runs: Counter, known: list):
+    def add(held: dict[str, Counter], runs: Counter, known: list) -> None:
         automaton = Automaton()
         for run, weight in runs.items():
             automaton.add(run, weight)
         for strings, times in automaton.strings(2, longest):
-            for a in range(0, len(times), 50_000):
-                part = strings[a : a + 50_000].tolist()
-                phrases = pa.array([b" ".join([known[i][1] for i in x]) for x in part], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_pydict({"lang": [known[x[0]][0] for x in part], "phrase": phrases, "n": pa.array(times[a : a + 50_000])})
+            for x, n in zip(strings.tolist(), times.tolist(), strict=True):
+                held.setdefault(known[x[0]][0], Counter())[b" ".join([known[i][1] for i in x])] += n
+
+    def packed(held: dict[str, Counter]) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        for lang, own in held.items():
+            slices: dict[int, list[bytes]] = {}
+            for phrase in own:
+                slices.setdefault(zlib.crc32(phrase) & ((1 << slice_bits) - 1), []).append(phrase)
+            # a line feed ends a piece, so no phrase has one
+            rows += [(lang, i, b"\n".join(x), np.array([own[p] for p in x], "<i8").tobytes()) for i, x in slices.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary(), pa.binary()))], ["lang", "slice", "phrases", "times"])
 
     def count(batches):
         words, bits = shipped.value
         runs, size, meaning = Counter(), 0, None
+        held: dict[str, Counter] = {}
         for seq, known in numbered(batches, words):
             if runs and known is not meaning:
-                yield from listed(runs, meaning)
+                add(held, runs, meaning)
                 runs, size = Counter(), 0
             meaning = known
             (pairs, _), (triples, h), *_ = grams(seq, known, bits[:1], slice_bits)
@@ -277,11 +292,25 @@ def phrase_counts(docs: DataFrame, words: np.ndarray, bits: list[np.ndarray], sl
                 size += 0 if run in runs else len(run)
                 runs[run] += 1
                 if size >= SHARD_WORDS:
-                    yield from listed(runs, known)
+                    add(held, runs, known)
                     runs, size = Counter(), 0
-        yield from listed(runs, meaning)
+            if sum(map(len, held.values())) >= HELD_PHRASES:
+                yield packed(held)
+                held = {}
+        add(held, runs, meaning)
+        if held:
+            yield packed(held)
+
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:
+        total: Counter = Counter()
+        for phrases, times in zip(rows["phrases"], rows["times"], strict=True):
+            for p, n in zip(phrases.split(b"\n"), np.frombuffer(times, "<i8").tolist(), strict=True):
+                total[p] += n
+        often = [(rows["lang"].iloc[0], p.decode(), n) for p, n in total.items() if n >= least]
+        return pd.DataFrame(often, columns=["lang", "phrase", "n"])
 
-    return sources(docs).mapInArrow(count, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    parts = sources(docs).mapInArrow(count, "lang string, slice int, phrases binary, times binary")
+    return parts.groupBy("lang", "slice").applyInPandas(summed, "lang string, phrase string, n long")
 
 
 def candidates(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -295,7 +324,7 @@ def candidates(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> t
     for name in ("pairs", "triples"):
         often_together = keep(frequent(docs, word_bits, bits, least, slice_bits), name)
         bits = [*bits, bitmap(often_together, "key", often_together.count())]
-    return words, keep(phrase_counts(docs, word_bits, bits, slice_bits, longest).filter(F.col("n") >= least), "phrases")
+    return words, keep(phrase_counts(docs, word_bits, bits, least, slice_bits, longest), "phrases")
 
 
 def unsubsumed(phrases: DataFrame) -> DataFrame:

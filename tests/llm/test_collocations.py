@@ -54,7 +54,7 @@ def test_against_brute_force(docs, least, top):
 
 def test_small_shards_and_few_bits(docs, monkeypatch):
     """Many automata, one forgetful dictionary and full bitmaps change nothing."""
-    for k, v in {"SHARD_WORDS": 50, "READ_WORDS": 100, "HELD_PAIRS": 300, "HELD_WORDS": 20, "BITS": (6, 7), "SLICE_BITS": (1, 2)}.items():
+    for k, v in {"SHARD_WORDS": 50, "READ_WORDS": 100, "HELD_PAIRS": 300, "HELD_WORDS": 20, "HELD_PHRASES": 30, "BITS": (6, 7), "SLICE_BITS": (1, 2)}.items():
         monkeypatch.setattr(c, k, v)
     assert sorted(map(tuple, c.collocations(docs, least=4).collect())) == brute([(t, g) for _, t, g, *_ in rows()], 4)
 
