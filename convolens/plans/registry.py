@@ -17,6 +17,7 @@ from convolens.plans.search import Engine, build_index
 from convolens.sources import contacts as C
 from convolens.sources.messages import attachments_by_message, clean_messages, conversation_messages, event_messages
 from convolens.sources.scratch import shared_base
+from convolens.sources.snapshots import changes, replayed
 from convolens.sources.store import IndexStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -459,6 +460,17 @@ def session_expand(spark, sf):
     return out.select("chat_id", F.col("day").cast("string").alias("day"), F.array_join(F.col("context_ids").cast("array<string>"), ",").alias("context_ids"))
 
 
+@query("browse_recent", f"""with {SESSIONS}, t as (select * from chunks order by start_ts desc, chunk_id desc limit 50)
+  select chat_id, cast(to_timestamp(start_ts) at time zone 'UTC' as date)::varchar as day, max(start_ts) as latest, array_to_string(list_sort(list(chunk_id)), ',') as chunk_ids from t group by all""")
+def browse_recent(spark, sf):
+    return ranking.browse(event_chunks(spark, sf)).select("chat_id", F.col("day").cast("string").alias("day"), "latest", F.array_join(F.col("chunk_ids").cast("array<string>"), ",").alias("chunk_ids"))
+
+
+@query("newest_budget", f"with {EV}, h as (select *, coalesce(handle = 'purchase', false) as hit from ev) select msg_id, hit and row_number() over (partition by hit order by ts desc, msg_id desc) <= 80 as is_hit from h")
+def newest_budget(spark, sf):
+    return ranking.newest_hits(event_messages(spark, sf).withColumn("is_hit", F.coalesce(F.col("handle") == "purchase", F.lit(False)))).select("msg_id", "is_hit")
+
+
 # filters
 
 
@@ -837,6 +849,28 @@ def question_filter(spark, sf):
     return out.select("qid", "source_rank", "sparse_first", F.array_join(F.col("top_others").cast("array<string>"), ",").alias("others"), "verdict")
 
 
+# changes of the source
+
+OLD_NEW = f"{EV}, v as (select ev.*, value from ev join events on event_id = msg_id), a as (select msg_id, chat_id, ts, text from v where value < 60), b as (select msg_id, chat_id, ts, case when is_from_me then upper(text) else text end as text from v where value >= 20)"
+
+
+def two_versions(spark, sf):
+    """Events of small values, then those of greater ones with an edit of some: rows that come, go, change and stay."""
+    m = event_messages(spark, sf).join(table(spark, sf, "events").select(F.col("event_id").alias("msg_id"), "value"), "msg_id")
+    edited = F.when(F.col("is_from_me"), F.upper("text")).otherwise(F.col("text")).alias("text")
+    return m.filter("value < 60").select("msg_id", "chat_id", "ts", "text"), m.filter("value >= 20").select("msg_id", "chat_id", "ts", edited)
+
+
+@query("change_feed", f"with {OLD_NEW} select case when a.msg_id is null then 'insert' when b.msg_id is null then 'delete' else 'update' end as change, coalesce(a.msg_id, b.msg_id) as msg_id, coalesce(a.chat_id, b.chat_id) as chat_id, b.ts, b.text from a full join b on a.msg_id = b.msg_id and a.chat_id = b.chat_id where a.msg_id is null or b.msg_id is null or a.text is distinct from b.text")
+def change_feed(spark, sf):
+    return changes(*two_versions(spark, sf))
+
+
+@query("snapshot_replay", f"with {OLD_NEW} select msg_id, chat_id, ts, text from b")
+def snapshot_replay(spark, sf):
+    return replayed(spark, shared_base(spark, "versions"), list(two_versions(spark, sf)))
+
+
 # the whole engine
 
 

@@ -38,15 +38,15 @@ def window_rows(chunks: DataFrame, messages: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "chat_id", F.posexplode("msg_ids").alias("pos", "msg_id")).join(messages, ["chat_id", "msg_id"])
 
 
-def build_index(spark: SparkSession, messages: DataFrame, out: str, models: Models | None = None, files: DataFrame | None = None, prune: bool = True, limit_chunks: int | None = None, **cut) -> str:
+def build_index(spark: SparkSession, messages: DataFrame, out: str, models: Models | None = None, files: DataFrame | None = None, prune: bool = True, limit_chunks: int | None = None, source_version: int | None = None, **cut) -> str:
     """Index ``messages`` at ``out``, or bring the index there up to date, as a new version; returns its name.
 
     Only chats whose messages (or ``files``: msg_id, files) have changed are cut anew. Windows that are as
     before keep their ids, and nothing of theirs is written; new and changed ones are embedded and
     make one segment, with tombstones of those that they replace and of those that are gone. The
     calibration of the first build stays, so that old and new vectors compare. ``limit_chunks``:
-    build only the first so many windows by chat and place, and prune nothing. ``cut``: parameters
-    of sessionize.chunk_messages. What a later table needs is written and read back.
+    build only the first so many windows by chat and place, and prune nothing. ``source_version``: which
+    version of SourceSnapshots ``messages`` are; it is noted in the index. ``cut``: parameters of sessionize.chunk_messages. What a later table needs is written and read back.
     """
     models, store = models or Models(), IndexStore(spark, out)
     before, how = store.snapshot(missing_ok=True), json.dumps(sorted(cut.items()))
@@ -100,7 +100,7 @@ def build_index(spark: SparkSession, messages: DataFrame, out: str, models: Mode
     w.put("terms", terms.groupBy("term").agg(F.sum("docs").alias("docs")).filter("docs != 0"))
     last = messages.agg(F.max("msg_id")).first()[0]
     return w.publish({
-        "int8_absmax": None if most is None else str(most), "n_docs": str(n), "sum_dl": str(dl), "avgdl": str(dl / n if n else 0.0), "top_id": str(top), "cut": how, "last_msg_id": None if last is None else str(last),
+        "int8_absmax": None if most is None else str(most), "n_docs": str(n), "sum_dl": str(dl), "avgdl": str(dl / n if n else 0.0), "top_id": str(top), "cut": how, "last_msg_id": None if last is None else str(last), "source_version": None if source_version is None else str(source_version),
         "semantic_format_version": "1", "lexical_format_version": "1", "embed_version": "1",
     })
 
@@ -132,8 +132,17 @@ class Engine:
     chats: DataFrame | None = None
     models: Models | None = None
     now: float | None = None
+    #: Newer messages than ``messages``, where these are the version that the index was built from.
+    live: DataFrame | None = None
+
+    @classmethod
+    def of_versions(cls, spark: SparkSession, index: IndexStore, held, **more) -> Engine:
+        """An engine that reads the messages of its sessions from the version that the index was built from, and what is newer from the newest one. ``held``: SourceSnapshots."""
+        number = int(index.snapshot().meta["source_version"])
+        return cls(spark, index, held.read(number), live=held.read(), **more)
 
     def __post_init__(self):
+        self.live = self.live if self.live is not None else self.messages
         self.models = self.models or Models()
         self.roster = self.roster if self.roster is not None else self.messages.filter(F.col("handle").isNotNull()).select("chat_id", "handle").distinct()
         self.pages: dict = {}
@@ -150,7 +159,7 @@ class Engine:
     def freshness(self, at: Snapshot) -> tuple[float | None, int]:
         """The index's last time and how many messages are newer, looked up again after ``FRESH_SECONDS`` or with another version."""
         if self.fresh is None or self.fresh[0] != at.version or time.monotonic() - self.fresh[1] > FRESH_SECONDS:
-            row = hydrate.freshness(self.messages, at.read("chunks")).first()
+            row = hydrate.freshness(self.live, at.read("chunks")).first()
             self.fresh = at.version, time.monotonic(), (row["horizon"], row["n_behind"])
         return self.fresh[2]
 
@@ -303,7 +312,7 @@ class Engine:
         if offset == 0:
             horizon, behind = self.freshness(at)
             if behind:
-                named = hydrate.with_sender(self.messages, self.names)
+                named = hydrate.with_sender(self.live, self.names)
                 tail = hydrate.live_tail(named, horizon, hydrate.tail_limit(behind), q.date_to, self.chat_set(q), q.date_from)
                 rows = hydrate.merge_rows(tail, rows)
         rows = ranking.newest_hits(filters.demote(rows, list(q.senders) or None, q.from_me, q.has_media), max_sessions)

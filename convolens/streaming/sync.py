@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from convolens.operators.sessionize import GAP, MESSAGES, OVERLAP, TOKENS, fold
+from convolens.sources.snapshots import SourceSnapshots
 
 
 def sync_batches(stream: DataFrame, read_all: Callable[[], DataFrame], append: Callable[[DataFrame, int], None], rebuild: Callable[[DataFrame, int], None], checkpoint: str):
@@ -27,6 +28,24 @@ def sync_batches(stream: DataFrame, read_all: Callable[[], DataFrame], append: C
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
 
 
+def follow(stream: DataFrame, held: SourceSnapshots, build: Callable[[DataFrame, int], None], built: Callable[[], int | None], name: str, checkpoint: str):
+    """A query, still to be started, that applies a feed of changes (``snapshots.changes``) and brings an index up to date after each batch.
+
+    Deletes take their windows along, as chats are compared with what the index has. ``build`` gets the messages and
+    their version, ``built`` says of which version the index is. A batch that comes again is in the ledger and changes nothing;
+    if the job ended between the batch and the index, the index is built then.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        held.apply(batch.persist(), name, batch_id)
+        batch.unpersist()
+        number = held.manifest()["number"]
+        if built() != number:
+            build(held.read(number), number)
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+
+
 def latest_version(messages: DataFrame) -> DataFrame:
     """One row a (chat, message) of a log of versions: the last by ``version``."""
     return messages.groupBy("chat_id", "msg_id").agg(F.max_by(F.struct(*[c for c in messages.columns if c not in ("chat_id", "msg_id")]), "version").alias("m")).select("chat_id", "msg_id", "m.*")
