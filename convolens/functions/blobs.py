@@ -6,7 +6,7 @@ import struct
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import StringType
 
 
 def decode_rich_text(blob: bytes | None) -> str | None:
@@ -58,9 +58,3 @@ def exif_position(data: bytes | None) -> tuple[float, float] | None:
 @F.pandas_udf(StringType())
 def decode_rich_text_udf(s: pd.Series) -> pd.Series:
     return s.map(decode_rich_text)
-
-
-@F.pandas_udf(StructType([StructField("lat", DoubleType()), StructField("lon", DoubleType())]))
-def exif_position_udf(s: pd.Series) -> pd.DataFrame:
-    found = [exif_position(x) or (None, None) for x in s]
-    return pd.DataFrame(found, columns=["lat", "lon"])

@@ -124,14 +124,6 @@ def suggest_contacts(contacts: DataFrame, prefix: str, limit: int = 8, least: fl
     return scored.filter(F.col("starts") | (F.col("score") >= least)).orderBy(F.desc("starts"), F.desc("score"), "display_name", "identifier").limit(limit).select("identifier", "display_name")
 
 
-def suggest_chats(metadata: DataFrame, chunks: DataFrame, part: str, limit: int = 8) -> DataFrame:
-    """Chats with the part in title or in a participant, with their windows and last time."""
-    p = part.lower()
-    hit = F.lower("title").contains(p) | F.exists("participants", lambda x: F.lower(x).contains(p))
-    sizes = chunks.groupBy("chat_id").agg(F.count("*").alias("n_chunks"), F.max("end_ts").alias("last_ts"))
-    return metadata.filter(hit).join(sizes, "chat_id", "left").orderBy(F.desc_nulls_last("last_ts"), "chat_id").limit(limit).select("chat_id", "title", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), "last_ts")
-
-
 def inversions(messages: DataFrame) -> DataFrame:
     """(pairs, inverted): ids that follow each other, and how many of them do not follow in time."""
     nxt = messages.select((F.col("msg_id") - 1).alias("msg_id"), F.col("ts").alias("next_ts"))

@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from convolens.functions.text import TERM_STOPWORDS
 from convolens.operators import batch, filters, hydrate, lexical, ranges, ranking, render, sessionize, vectors
 from convolens.plans.parse import ParsedQuery, effective_filters
+from convolens.schemas import SCHEMAS
+from convolens.sources import places
 from convolens.sources.scratch import keep
 from convolens.sources.store import IndexStore, Snapshot
 
@@ -38,7 +40,7 @@ def window_rows(chunks: DataFrame, messages: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "chat_id", F.posexplode("msg_ids").alias("pos", "msg_id")).join(messages, ["chat_id", "msg_id"])
 
 
-def build_index(spark: SparkSession, messages: DataFrame, out: str, models: Models | None = None, files: DataFrame | None = None, prune: bool = True, limit_chunks: int | None = None, source_version: int | None = None, **cut) -> str:
+def build_index(spark: SparkSession, messages: DataFrame, out: str, models: Models | None = None, files: DataFrame | None = None, prune: bool = True, limit_chunks: int | None = None, source_version: int | None = None, attachments: DataFrame | None = None, gazetteer: DataFrame | None = None, home: str = "~", **cut) -> str:
     """Index ``messages`` at ``out``, or bring the index there up to date, as a new version; returns its name.
 
     Only chats whose messages (or ``files``: msg_id, files) have changed are cut anew. Windows that are as
@@ -46,12 +48,20 @@ def build_index(spark: SparkSession, messages: DataFrame, out: str, models: Mode
     make one segment, with tombstones of those that they replace and of those that are gone. The
     calibration of the first build stays, so that old and new vectors compare. ``limit_chunks``:
     build only the first so many windows by chat and place, and prune nothing. ``source_version``: which
-    version of SourceSnapshots ``messages`` are; it is noted in the index. ``cut``: parameters of sessionize.chunk_messages. What a later table needs is written and read back.
+    version of SourceSnapshots ``messages`` are; it is noted in the index. ``attachments`` (msg_id,
+    attachment_id, filename) puts file names into the words in place of ``files``, and with a ``gazetteer`` names of
+    places too: files not yet looked at, and those that failed, are opened. ``cut``: parameters of sessionize.chunk_messages. What a later table needs is written and read back.
     """
     models, store = models or Models(), IndexStore(spark, out)
     before, how = store.snapshot(missing_ok=True), json.dumps(sorted(cut.items()))
     w = store.writer(before.segments if before else ())
     some, existing = messages, before.read("chunks") if before else None
+    if attachments is not None:
+        if gazetteer is not None:
+            seen, known = places.update_places(w, before, attachments, gazetteer, home)
+        else:
+            known = before.read("attachment_place") if before else spark.createDataFrame([], SCHEMAS["attachment_place"])
+        files = w.put("words", places.attachment_words(attachments, known))
     state = sessionize.chat_states(messages.join(files, "msg_id", "left") if files is not None else messages)
     state = w.put("chat_state", state if limit_chunks is None else state.limit(0))
     if before and limit_chunks is None and before.meta.get("cut") == how:
@@ -86,7 +96,9 @@ def build_index(spark: SparkSession, messages: DataFrame, out: str, models: Mode
         most = vectors.absmax(raw, "embedding", sample=CALIBRATION_SAMPLE, key="chunk_id").first()["absmax"]
     coded = raw.select("chunk_id", vectors.quantize_int8(F.col("embedding"), F.lit(max(most or 0.0, 1e-12))).alias("embedding"))
     w.put("vectors", coded.select("chunk_id", vectors.norm(F.col("embedding")).alias("norm"), "embedding"))
-    w.put("chunk_message", sessionize.membership(chunks))
+    members = w.put("chunk_message", sessionize.membership(chunks))
+    if attachments is not None and gazetteer is not None:
+        places.update_retries(w, before, attachments, seen, members)
     index = w.put("postings", lexical.postings(chunks, "chunk_id", "body_lexical", stem=True))
     terms = index.select("term", F.lit(1).alias("docs"))
     stats = w.put("doc_stats", lexical.doc_stats(chunks, "chunk_id", "body_lexical"))
