@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +12,11 @@ from pyspark.sql import Window as W
 
 from convolens.functions import names as N
 from convolens.functions import text as T
-from convolens.operators import batch, evalkit, filters, hydrate, lexical, pivots, ranking, render, sessionize, suites, vectors
+from convolens.operators import batch, evalkit, filters, hydrate, lexical, pivots, ranking, render, sessionize, suggest, suites, vectors
 from convolens.plans.parse import Contacts, parse_table
 from convolens.plans.search import Engine, build_index
 from convolens.sources import contacts as C
+from convolens.sources import places
 from convolens.sources.messages import attachments_by_message, clean_messages, conversation_messages, event_messages
 from convolens.sources.scratch import shared_base
 from convolens.sources.snapshots import changes, replayed
@@ -627,6 +629,44 @@ def suggest_prefix(spark, sf):
     return hydrate.suggest_contacts(c, "customer#00000001")
 
 
+NAMED = """named as (select 'c' || c_custkey as owner, c_name as shown from customer union all select 's' || s_suppkey, s_name from supplier union all select 'p' || p_partkey, p_name from part),
+  folded as (select distinct owner, shown, trim(regexp_replace(lower(shown), '[^a-z0-9]+', ' ', 'g')) as text from named)"""
+#: Asked with typing errors: letters changed round, a letter left out, two wrong figures, two words.
+MISTYPED = ["wigdet", "anvl", "000000312", "larg anvli", "custommer"]
+
+
+def name_index(spark: SparkSession, sf: str) -> suggest.NameIndex:
+    """Customers, suppliers and parts by name."""
+    named = lambda t, k, n: table(spark, sf, t).select(F.concat(F.lit(t[0]), k).alias("owner"), F.col(n).alias("shown"))
+    every = named("customer", "c_custkey", "c_name").unionByName(named("supplier", "s_suppkey", "s_name")).unionByName(named("part", "p_partkey", "p_name"))
+    return suggest.write_names(every, shared_base(spark, "names"))
+
+
+@query("suggest_containing", f"with {NAMED} select part, owner, shown from folded join (select unnest(['widg', 'er 00000001', 'd', 'no such name']) as part) on contains(text, part)")
+def suggest_containing(spark, sf):
+    index = name_index(spark, sf)
+    return reduce(DataFrame.unionByName, [index.containing(p).select(F.lit(p).alias("part"), "owner", "shown") for p in ("widg", "ER#00000001", "d", "no such name")]).withColumn("part", F.regexp_replace(F.lower("part"), "#", " "))
+
+
+@query("suggest_mistyped", f"""with {NAMED}, words as (select distinct text, unnest(list_append(string_split(text, ' '), text)) as word from folded), asked as (select unnest({MISTYPED}) as asked),
+  close as (select asked, text, min(damerau_levenshtein(word, asked)) as distance from words join asked on abs(len(word) - len(asked)) <= 2 where damerau_levenshtein(word, asked) <= case when len(asked) < 8 then 1 else 2 end group by all)
+  select asked, owner, shown, distance::int as distance from close join folded using (text)""")
+def suggest_mistyped(spark, sf):
+    index = name_index(spark, sf)
+    return reduce(DataFrame.unionByName, [index.misspelt(a).select(F.lit(a).alias("asked"), "owner", "shown", "distance") for a in MISTYPED])
+
+
+@query("suggest_chats", f"""with {SESSIONS}, p as (select distinct chat_id, handle, case handle when 'purchase' then 'Shop' else handle end as name from ev where handle is not null),
+  t as (select chat_id, string_agg(name, ', ' order by handle) as title, count(*)::int as participant_count from p group by chat_id)
+  select t.chat_id, title, participant_count, count(*) as n_chunks, max(end_ts) as last_ts from t join chunks using (chat_id) where contains(lower(title), 'shop') group by all order by last_ts desc, chat_id limit 20""")
+def suggest_chats(spark, sf):
+    m = event_messages(spark, sf)
+    names = spark.createDataFrame([("purchase", "Shop")], "handle string, display_name string")
+    meta = hydrate.chat_metadata(m.select("chat_id").distinct(), m.filter("handle is not null").select("chat_id", "handle"), names)
+    index = suggest.write_names(suggest.chat_names(meta), shared_base(spark, "names"))
+    return suggest.suggest_chats(index, meta, event_chunks(spark, sf), "SHOP")
+
+
 @query("chat_titles", f"with {EV}, p as (select distinct chat_id, handle, case handle when 'purchase' then 'Shop' else handle end as name from ev where handle is not null), t as (select chat_id, string_agg(name, ', ' order by handle) as title, count(*) as n from p group by chat_id) select c.chat_id, coalesce(n, 0) as participant_count, coalesce(title, 'Unknown conversation') as title from (select distinct chat_id from ev) c left join t using (chat_id)")
 def chat_titles(spark, sf):
     m = event_messages(spark, sf)
@@ -647,6 +687,29 @@ def nearest_place(spark, sf):
     return C.nearest_place(p, g, "c_custkey")
 
 
+def position_block(south: Column, west: Column, lat: tuple[Column, ...], lon: tuple[Column, ...]) -> Column:
+    """The least TIFF that has a position: a header, a directory that points to four fields, and degrees, minutes and seconds as fractions."""
+    four = lambda x: F.lpad(F.hex(x.cast("long")), 8, "0")
+    sides = [F.when(south, "53").otherwise("4E"), F.when(west, "57").otherwise("45")]
+    whole = [F.concat(four(x), F.lit("00000001")) for x in (*lat, *lon)]
+    head = "4D4D002A00000008" "0001" "8825" "0004" "00000001" "0000001A" "00000000"
+    fields = [F.lit("0004" "0001000200000002"), sides[0], F.lit("000000" "000200050000000300000050" "0003000200000002"), sides[1], F.lit("000000" "000400050000000300000068" "00000000")]
+    return F.unhex(F.concat(F.lit(head), *fields, *whole))
+
+
+@query("image_places", """with g as (select n_name as city, -60 + n_nationkey * 5.0 as lat, -170 + n_nationkey * 13.0 as lon from nation),
+  p as (select c_custkey, case when c_custkey % 10 in (0, 2) then 'failed' when c_custkey % 10 = 1 then 'no-gps' else 'ok' end as outcome, (case when c_custkey % 2 = 0 then 1 else -1 end) * (c_custkey % 60 + c_custkey % 59 / 60 + 30 / 3600) as lat, (case when c_custkey % 3 = 0 then -1 else 1 end) * (c_custkey * 7 % 170 + c_custkey % 47 / 60 + 15 / 3600) as lon from customer),
+  d as (select c_custkey, arg_min(city, pow(sin((radians(g.lat) - radians(p.lat)) / 2), 2) + cos(radians(p.lat)) * cos(radians(g.lat)) * pow(sin((radians(g.lon) - radians(p.lon)) / 2), 2)) || ' Reg United States' as place from p cross join g where outcome = 'ok' group by c_custkey)
+  select c_custkey, outcome, case when outcome = 'ok' then round(lat, 6) end as lat, case when outcome = 'ok' then round(lon, 6) end as lon, place from p left join d using (c_custkey)""")
+def image_places(spark, sf):
+    g = table(spark, sf, "nation").select((F.col("n_nationkey") * 5.0 - 60).alias("lat"), (F.col("n_nationkey") * 13.0 - 170).alias("lon"), F.col("n_name").alias("city"), F.lit("Reg").alias("admin"), F.lit("US").alias("country_code"))
+    k, kind = F.col("c_custkey"), F.col("c_custkey") % 10
+    block = position_block(k % 2 != 0, k % 3 == 0, (k % 60, k % 59, F.lit(30)), (k * 7 % 170, k % 47, F.lit(15)))
+    content = F.when(kind == 0, F.encode(F.lit("no image"), "utf-8")).when(kind == 1, F.unhex(F.lit("89504E470D0A1A0A"))).when(kind > 2, block)
+    seen = table(spark, sf, "customer").select("c_custkey", places.image_position_udf(content).alias("p")).select("c_custkey", "p.outcome", "p.lat", "p.lon")
+    return seen.join(C.nearest_place(seen, g, "c_custkey"), "c_custkey", "left").select("c_custkey", "outcome", r6("lat"), r6("lon"), "place")
+
+
 @query("parse_queries")
 def parse_queries(spark, sf):
     asked = ["what did Kaya say about dinner last week", "latest from sam", "photos from José in March", "may I borrow the car", "messages I sent yesterday", "lunch on 2024-05-03"]
