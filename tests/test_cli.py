@@ -1,5 +1,7 @@
 """The command line over a small source: build with places, suggest, search with filters."""
 
+import json
+
 from convolens.cli import main
 from convolens.schemas import REQUIRED, SCHEMAS
 from tests.test_image_places import GAZETTEER, jpeg
@@ -27,3 +29,5 @@ def test_build_suggest_search(spark, tmp_path, capsys):
     assert "Noor Haddad" in out and "kit@x.org" in out, out
     assert "Noor Haddad" not in run("suggest", "haddad zz")
     assert "the lease is signed" in run("search", "lease", "--chat", "1")
+    hits = [h["message_id"] for line in run("search", "lease", "--before", "2023-12-01", "--chat", "2").splitlines() for h in json.loads(line)["hits"]]
+    assert hits == [2]  # the later message is context
