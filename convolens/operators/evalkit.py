@@ -37,15 +37,16 @@ def rank_share(df: DataFrame, value: str, out: str, skip: float | None = None) -
     return df.join(below, F.col(value) == F.col("__v"), "left").withColumn(out, F.coalesce(F.col("__b") / F.col("__all"), F.lit(1.0))).drop("__v", "__b", "__all")
 
 
-def quartile_bands(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Add the band 0 to 3 by the values that stand at n//4, n//2 and 3n//4 of the sorted ones; nulls have none."""
+def quartile_bands(df: DataFrame, value: str, out: str, closed: bool = False) -> DataFrame:
+    """Add the band 0 to 3 by the values that stand at n//4, n//2 and 3n//4 of the sorted ones; nulls have none. ``closed``: such a value is in the band below."""
     sizes = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
     every = sizes.agg(F.sum("n").alias("all"))
     run = ranges.summed_before(sizes, "v", F.col("n"), "before").crossJoin(F.broadcast(every)).withColumn("upto", F.col("before") + F.col("n"))
     at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.col("all") * q / 4), F.col("v")))
     cuts = run.agg(at(1).alias("__q1"), at(2).alias("__q2"), at(3).alias("__q3"))
     v = F.col(value)
-    band = F.when(v.isNull(), None).when(v < F.col("__q1"), 0).when(v < F.col("__q2"), 1).when(v < F.col("__q3"), 2).otherwise(3)
+    below = (lambda q: v <= F.col(q)) if closed else (lambda q: v < F.col(q))
+    band = F.when(v.isNull(), None).when(below("__q1"), 0).when(below("__q2"), 1).when(below("__q3"), 2).otherwise(3)
     return df.crossJoin(F.broadcast(cuts)).withColumn(out, band).drop("__q1", "__q2", "__q3")
 
 
@@ -74,13 +75,29 @@ def category() -> Column:
             .when(F.col("n_24h") >= 3, "multi_session").otherwise("topical"))
 
 
+def middle(df: DataFrame, value: str) -> float | None:
+    """The median without a task that holds all values: counts by value, summed over ranges."""
+    sizes = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    n = sizes.agg(F.sum("n")).first()[0]
+    if not n:
+        return None
+    upto = F.col("before") + F.col("n")
+    run = ranges.summed_before(sizes, "v", F.col("n"), "before")
+    low, high = run.agg(F.min(F.when(upto > (n - 1) // 2, F.col("v"))), F.min(F.when(upto > n // 2, F.col("v")))).first()
+    return (low + high) / 2
+
+
 def prefilter(df: DataFrame, target: int = 5000, low: int = 40, high: int = 900) -> DataFrame:
-    """chunk_id of windows worth a costly signal: of fit length, with idf from the median on and two names; filled up by idf if they are too few."""
+    """chunk_id of windows worth a costly signal, of fit length: all if they are few; the first by idf with idf from the median on and two names; the first by idf alone if such are too few."""
     band = df.filter(F.col("token_count").between(low, high))
-    mid = band.agg(F.median("idf_mean").alias("mid"))
-    good = (F.col("idf_mean") >= F.col("mid")) & (F.col("entity_count") >= 2)
-    ranked = band.crossJoin(F.broadcast(mid)).withColumn("good", good)
-    return ranked.orderBy(F.desc("good"), F.desc("idf_mean"), F.desc(F.when(F.col("good"), F.col("entity_count"))), "chunk_id").limit(target).select("chunk_id")
+    mid = middle(band, "idf_mean")
+    good = (F.col("idf_mean") >= F.lit(mid)) & (F.col("entity_count") >= 2)
+    n, fit = band.agg(F.count("*"), F.count_if(good)).first()
+    if n <= target:
+        return band.select("chunk_id")
+    if fit >= target:
+        return band.filter(good).orderBy(F.desc("idf_mean"), F.desc("entity_count"), "chunk_id").limit(target).select("chunk_id")
+    return band.orderBy(F.desc("idf_mean"), "chunk_id").limit(target).select("chunk_id")
 
 
 def stratified(df: DataFrame, target: int = 300, shares: dict[int, float] | None = None) -> DataFrame:

@@ -122,11 +122,22 @@ def phrase_count(phrase: list[str]) -> Column:
     return F.when(F.size(common) > 0, F.size(common))
 
 
-def mean_top_idf(docs: DataFrame, index: DataFrame, key: str, text: str, top: int = 5) -> DataFrame:
-    """(key, idf_mean): mean of the greatest ln(N / df) among a text's distinct terms that the index knows; 0 without any."""
-    n = docs.agg(F.countDistinct(key).alias("n"))
-    df = index.groupBy("term").agg(F.countDistinct(key).alias("df"))
+def document_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(term, df): in how many texts a term is, without places."""
+    terms = docs.select(key, F.explode(F.array_distinct(T.index_terms(F.coalesce(text, F.lit(""))))).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def top_idf(docs: DataFrame, df: DataFrame, n: Column, key: str, text: str, top: int = 5) -> DataFrame:
+    """(key, idf_mean): mean of the greatest ln(n / df) among a text's distinct terms that ``df`` (term, df) knows; 0 without any."""
     terms = docs.select(key, F.explode(F.array_distinct(T.index_terms(F.coalesce(text, F.lit(""))))).alias("term"))
-    known = terms.join(df, "term").crossJoin(F.broadcast(n)).groupBy(key).agg(F.slice(F.sort_array(F.collect_list(F.log(F.col("n") / F.col("df"))), False), 1, top).alias("v"))
+    known = terms.join(df, "term").groupBy(key).agg(F.slice(F.sort_array(F.collect_list(F.log(n / F.col("df"))), False), 1, top).alias("v"))
     mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v")
     return docs.select(key).join(known, key, "left").select(key, F.coalesce(mean, F.lit(0.0)).alias("idf_mean"))
+
+
+def mean_top_idf(docs: DataFrame, index: DataFrame, key: str, text: str, top: int = 5) -> DataFrame:
+    """``top_idf`` over the texts themselves, by their postings."""
+    n = docs.agg(F.countDistinct(key)).first()[0]
+    df = index.groupBy("term").agg(F.countDistinct(key).alias("df"))
+    return top_idf(docs, df, F.lit(n), key, text, top)

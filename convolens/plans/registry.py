@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from convolens.functions import names as N
 from convolens.functions import text as T
-from convolens.operators import batch, evalkit, filters, hydrate, lexical, pivots, ranking, render, sessionize, suggest, suites, vectors
+from convolens.operators import batch, evalkit, filters, harvest, hydrate, lexical, pivots, ranking, render, sessionize, suggest, suites, vectors
 from convolens.plans.parse import Contacts, parse_table
 from convolens.plans.search import Engine, build_index
 from convolens.sources import contacts as C
@@ -766,7 +766,8 @@ def stratified_sample(spark, sf):
     return evalkit.stratified(scored, 100).select("chunk_id", "stratum")
 
 
-@query("eval_prefilter", f"with {SCORES}, b as (select *, median(idf_mean) over () as m from cand where token_count between 40 and 900), g as (select *, idf_mean >= m and entity_count >= 2 as good from b) select chunk_id from g order by good desc, idf_mean desc, case when good then entity_count end desc nulls last, chunk_id limit 200")
+@query("eval_prefilter", f"""with {SCORES}, b as (select *, median(idf_mean) over () as m from cand where token_count between 40 and 900), g as (select *, idf_mean >= m and entity_count >= 2 as good from b), c as (select *, count(*) filter (good) over () >= 200 as enough from g)
+  select chunk_id from c where good or not enough order by idf_mean desc, case when enough then entity_count end desc nulls last, chunk_id limit 200""")
 def eval_prefilter(spark, sf):
     return evalkit.prefilter(candidate_frame(spark, sf), 200)
 
@@ -778,6 +779,64 @@ def category(spark, sf):
     return flags.select("doc_id", evalkit.category().alias("category"))
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+WINDOWS = MSGS + """, mg as (select *, case when ts - lag(ts) over (partition by chat_id order by ts, msg_id) > 2700 then 1 else 0 end as g from msgs),
+  ms as (select *, sum(g) over (partition by chat_id order by ts, msg_id rows unbounded preceding)::bigint as session from mg),
+  sl as (select chat_id, session, list({'m': msg_id, 't': ts, 'f': has_attachment, 'x': coalesce(text, '')} order by ts, msg_id) as l from ms group by chat_id, session),
+  wl as (select chat_id, unnest(range(0, greatest(1, len(l) - 1), 2)) as s, l from sl), ww as (select chat_id, l[s + 1:s + 3] as w from wl),
+  win as (select w[1].m as chunk_id, chat_id, w[1].t as start_ts, list_bool_or(list_transform(w, lambda x: x.f))::int as has_attachment, list_transform(w, lambda x: x.m) as msg_ids, array_to_string(list_transform(w, lambda x: x.x), chr(10)) as body from ww)"""
+HARVESTED = WINDOWS + rf""", ft as (select chunk_id, len(list_filter(regexp_extract_all(body, '[^\p{{L}}\p{{N}}_]{{0,2}}[\p{{L}}\p{{N}}_]+'), lambda x, i: regexp_matches(x, '^[^\p{{L}}\p{{N}}_]*[A-Z][a-z]+$') and not regexp_matches(x, '^[.!?]\s') and not (i = 1 and regexp_matches(x, '^[A-Z]')))) as entity_count,
+    regexp_matches(body, '\[link:')::int as has_url, regexp_matches(body, '[\p{{L}}\p{{N}}_]{{15,}}')::int as has_long_token, len(regexp_extract_all(body, '[\p{{L}}\p{{N}}_]+')) as token_count from win),
+  tm as (select distinct chunk_id, unnest({TERMS.replace("coalesce(text, '')", "body")}) as term from win), dm as (select term, count(*) as df from tm group by term),
+  im as (select chunk_id, list_avg(list_sort(list(ln((select count(*) from win) / df)), 'DESC')[1:5]) as idf from tm join dm using (term) group by chunk_id),
+  iso as (select chunk_id, coalesce(least(start_ts - lag(start_ts) over w, lead(start_ts) over w - start_ts) / 86400, 9999) as isolation, count(*) over (partition by chat_id order by start_ts range between 86400 preceding and 86400 following) as n_24h from win window w as (partition by chat_id order by start_ts, chunk_id)),
+  pc as (select chat_id, count(distinct handle) as people from msgs where handle is not null group by chat_id),
+  sig as (select win.chunk_id, has_attachment, len(msg_ids) as msg_count, entity_count, has_url, has_long_token, token_count, coalesce(idf, 0) as idf_mean, isolation, n_24h, coalesce(people, 0) as participant_count, (coalesce(people, 0) > 1)::int as is_group
+    from win join ft using (chunk_id) join iso using (chunk_id) left join im using (chunk_id) left join pc using (chat_id)),
+  vec as (select chunk_id, msg_ids, list_transform(string_split('{",".join(LETTERS)}', ','), lambda c: (len(lower(body)) - len(replace(lower(body), c, '')))::double) as v from win),
+  bnd as (select *, median(idf_mean) over () as m, count(*) over () as n from sig where token_count between 40 and 900), gd as (select *, idf_mean >= m and entity_count >= 2 as good from bnd),
+  en as (select *, count(*) filter (good) over () >= 100 as enough from gd), pre as (select chunk_id from en where n <= 100 or good or not enough order by idf_mean desc, case when enough then entity_count end desc nulls last, chunk_id limit 100),
+  pr as (select a.chunk_id, b.chunk_id as other, round(1 - list_cosine_similarity(a.v, b.v), 9) as d from vec a join pre using (chunk_id) join vec b on a.chunk_id <> b.chunk_id and not list_has_any(a.msg_ids, b.msg_ids) where list_sum(a.v) > 0 and list_sum(b.v) > 0),
+  nn as (select chunk_id, min(d) as nn_distance, arg_min(other, (d, other)) as nn_chunk_id from pr group by chunk_id),
+  kn as (select *, row_number() over (order by nn_distance) - 1 as i, count(*) over () as n from sig join nn using (chunk_id)),
+  qs as (select max(nn_distance) filter (i = n // 4) as q1, max(nn_distance) filter (i = n // 2) as q2, max(nn_distance) filter (i = 3 * n // 4) as q3 from kn),
+  bd as (select kn.*, case when nn_distance <= q1 then 0 when nn_distance <= q2 then 1 when nn_distance <= q3 then 2 else 3 end as nn_band,
+    case when isolation < 9999 then (select count(*) from kn k2 where k2.isolation < kn.isolation) / (select count(*) from kn k3 where k3.isolation < 9999) end as share from kn, qs),
+  hv as (select *, case when has_attachment = 1 then 'media_geo' when has_url = 1 or has_long_token = 1 then 'exact_string' when is_group = 1 and participant_count >= 3 then 'person_filtered' when share >= 0.8 then 'time_filtered' when n_24h >= 3 then 'multi_session' else 'topical' end as category,
+    nn_band / 3 + case when max(idf_mean) over () = min(idf_mean) over () then 0.5 else (idf_mean - min(idf_mean) over ()) / (max(idf_mean) over () - min(idf_mean) over ()) end
+     + case when max(entity_count) over () = min(entity_count) over () then 0.5 else (entity_count - min(entity_count) over ()) / (max(entity_count) over () - min(entity_count) over ()) end
+     - case when token_count < 150 then (150 - token_count) / 150 when token_count > 600 then (token_count - 600) / 600 else 0 end as score from bd)"""
+
+
+def conversation_windows(spark, sf) -> DataFrame:
+    """Windows of up to three turns, each beginning with the last turn of the one before, with their texts."""
+    m = conversation_messages(spark, sf)
+    w = sessionize.chunk_messages(m, token_target=1 << 30, max_messages=3, overlap=1).withColumn("chunk_id", F.col("msg_ids")[0])
+    said = w.select("chunk_id", F.posexplode("msg_ids").alias("i", "msg_id")).join(m.select("msg_id", F.coalesce("text", F.lit("")).alias("x")), "msg_id")
+    body = said.groupBy("chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda y: y["x"]), "\n").alias("body"))
+    return w.join(body, "chunk_id")
+
+
+def harvested(spark, sf) -> DataFrame:
+    """Signals of all windows of the conversations. Counts of letters stand in for an embedding, so that SQL can say the same."""
+    w = conversation_windows(spark, sf)
+    low = F.lower("body")
+    counts = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("float") for c in LETTERS])
+    vecs = w.select("chunk_id", counts.alias("embedding")).filter(F.exists("embedding", lambda x: x > 0))
+    members = conversation_messages(spark, sf).filter("handle is not null").select("chat_id", "handle").distinct()
+    return harvest.harvest(w, vecs, members, shared_base(spark, "harvest"), target=100)
+
+
+@query("harvest_candidates", f"with {HARVESTED} select sig.chunk_id, sig.entity_count, sig.token_count, sig.msg_count, round(sig.idf_mean, 6) as idf_mean, round(sig.isolation, 6) as isolation, sig.n_24h, round(hv.nn_distance, 6) as nn_distance, hv.nn_chunk_id, hv.nn_band, hv.category, round(hv.score, 6) + 0 as score from sig left join hv using (chunk_id)")
+def harvest_candidates(spark, sf):
+    return harvested(spark, sf).select("chunk_id", "entity_count", "token_count", "msg_count", r6("idf_mean"), r6("isolation"), "n_24h", r6("nn_distance"), "nn_chunk_id", "nn_band", "category", (F.round("score", 6) + 0).alias("score"))
+
+
+@query("harvest_sample", f"with {HARVESTED}, st as (select chunk_id, category, case nn_band when 0 then 0 when 3 then 2 else 1 end as stratum, round(score, 9) as score from hv), rk as (select *, row_number() over (partition by stratum order by score desc, chunk_id) as r from st) select chunk_id, category, stratum from rk where r <= case stratum when 1 then 20 else 15 end")
+def harvest_sample(spark, sf):
+    return harvest.sample(harvested(spark, sf).withColumn("score", F.round("score", 9)), 50).select("chunk_id", "category", "stratum")
+
+
 WILSON = "greatest(0, (p + 1.96*1.96/(2*n) - 1.96*sqrt(p*(1-p)/n + 1.96*1.96/(4*n*n))) / (1 + 1.96*1.96/n))", "least(1, (p + 1.96*1.96/(2*n) + 1.96*sqrt(p*(1-p)/n + 1.96*1.96/(4*n*n))) / (1 + 1.96*1.96/n))"
 
 
