@@ -142,6 +142,61 @@ def recall_summary(scored: DataFrame, by: str, columns: list[str]) -> DataFrame:
     return out
 
 
+def recall_report(scored: DataFrame, by: str, depths: list[str], value: str | None = None, killed: str | None = None) -> DataFrame:
+    """(facet, label, n, a column a depth with its interval, gaps, kill_rate): recall by category, by quartile band and over all, in one pass.
+
+    ``depths``: 0/1 columns, in the order of the steps of a search; gap1 is the second's recall less the
+    first's, and so on. ``value``: what the bands Q1 to Q4 are of, its quartiles in the band below; rows
+    without it are in no band. ``killed``: 0/1, whether filters left no right answer (null: not).
+    """
+    rows = quartile_bands(scored, value, "__band", closed=True) if value else scored.withColumn("__band", F.lit(None).cast("int"))
+    hits = [F.coalesce(F.sum(F.col(c).cast("int")), F.lit(0)).alias(f"{c}_hits") for c in depths]
+    kills = F.coalesce(F.sum(F.col(killed).cast("int")), F.lit(0)) if killed else F.lit(0)
+    label = F.col(by).cast("string")
+    sets = rows.select(label.alias("__by"), "__band", *depths, *([killed] if killed else [])).groupingSets([["__by"], ["__band"], []], "__by", "__band")
+    g = sets.agg(F.grouping("__by").alias("no_by"), F.grouping("__band").alias("no_band"), F.count("*").alias("n"), *hits, kills.alias("kills"))
+    facet = F.when(F.col("no_by") == 0, "category").when(F.col("no_band") == 0, "band").otherwise("overall")
+    name = F.when(F.col("no_by") == 0, F.col("__by")).when(F.col("no_band") == 0, F.concat(F.lit("Q"), F.col("__band") + 1)).otherwise("OVERALL")
+    out = g.withColumn("facet", facet).withColumn("label", name).filter("facet != 'band' or label is not null")
+    for c in depths:
+        low, high = wilson(F.col(f"{c}_hits"), F.col("n"))
+        out = out.withColumn(c, F.when(F.col("n") > 0, F.col(f"{c}_hits") / F.col("n"))).withColumn(f"{c}_low", low).withColumn(f"{c}_high", high)
+    gaps = [(F.col(b) - F.col(a)).alias(f"gap{i}") for i, (a, b) in enumerate(zip(depths, depths[1:], strict=False), 1)]
+    shares = [x for c in depths for x in (c, f"{c}_low", f"{c}_high")]
+    return out.select("facet", "label", "n", *shares, *gaps, F.when(F.col("n") > 0, F.col("kills") / F.col("n")).alias("kill_rate"))
+
+
+def outcomes(results: DataFrame, by: str, outcome: str, kinds: list[str]) -> DataFrame:
+    """(by, a column a kind, n, rate): how often each outcome came, one row a class; the rate is of the first kind among those of ``kinds``. Other outcomes, nulls too, count nowhere."""
+    counts = results.filter(F.col(outcome).isin(kinds)).groupBy(by).pivot(outcome, kinds).count().na.fill(0, kinds)
+    n = sum((F.col(k) for k in kinds), F.lit(0))
+    return counts.withColumn("n", n).withColumn("rate", F.col(kinds[0]) / F.col("n"))
+
+
+def compare_metrics(a: DataFrame, b: DataFrame, on: list[str], metrics: list[str], by: str | None = None) -> DataFrame:
+    """(metric, label, n, mean_a, mean_b, delta, low, high, a_better, b_better, chi2): two targets on the same cases, all metrics in one pass.
+
+    ``a``, ``b``: the columns ``on`` (together a case), a column a metric (number or boolean; greater is
+    better) and in ``a`` also ``by``. A case counts for a metric if both targets have a value. The interval is
+    of the mean paired difference, null for one case; chi2 is McNemar's over the cases that differ, null without any.
+    Rows by ``by``, and OVERALL.
+    """
+    group = F.col(by).cast("string") if by else F.lit(None).cast("string")
+    x = a.select(*on, group.alias("label"), *[F.col(m).cast("double").alias(f"__a{i}") for i, m in enumerate(metrics)])
+    y = b.select(*on, *[F.col(m).cast("double").alias(f"__b{i}") for i, m in enumerate(metrics)])
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"__a{i}").alias("a"), F.col(f"__b{i}").alias("b")) for i, m in enumerate(metrics)])
+    long = x.join(y, on).select("label", F.inline(pairs)).filter("a is not null and b is not null")
+    sets = [["metric", "label"], ["metric"]] if by else [["metric"]]
+    d = F.col("b") - F.col("a")
+    g = long.groupingSets(sets, "metric", "label").agg(
+        F.grouping("label").alias("all"), F.count("*").alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg(d).alias("delta"),
+        (F.stddev_samp(d) / F.sqrt(F.count("*"))).alias("se"), F.count_if(d < 0).alias("a_better"), F.count_if(d > 0).alias("b_better"),
+    )
+    label = F.when(F.col("all") == 1, "OVERALL").otherwise(F.col("label"))
+    low, high = F.col("delta") - Z * F.col("se"), F.col("delta") + Z * F.col("se")
+    return g.select("metric", label.alias("label"), "n", "mean_a", "mean_b", "delta", low.alias("low"), high.alias("high"), "a_better", "b_better", mcnemar(F.col("a_better"), F.col("b_better")).alias("chi2"))
+
+
 def latency_summary(runs: DataFrame) -> DataFrame:
     """(class, n, p50, p95, longest, rate): ``runs`` has class, seconds and passed (null: not judged)."""
     return runs.groupBy("class").agg(F.count("*").alias("n"), F.median("seconds").alias("p50"), F.percentile("seconds", F.lit(0.95)).alias("p95"), F.max("seconds").alias("longest"), F.avg(F.col("passed").cast("int")).alias("rate"))

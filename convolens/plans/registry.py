@@ -16,7 +16,7 @@ from convolens.operators import batch, evalkit, filters, harvest, hydrate, lexic
 from convolens.plans.parse import Contacts, parse_table
 from convolens.plans.search import Engine, build_index
 from convolens.sources import contacts as C
-from convolens.sources import places
+from convolens.sources import phones, places
 from convolens.sources.messages import attachments_by_message, clean_messages, conversation_messages, event_messages
 from convolens.sources.scratch import shared_base
 from convolens.sources.snapshots import changes, replayed
@@ -971,6 +971,99 @@ def question_filter(spark, sf):
     return out.select("qid", "source_rank", "sparse_first", F.array_join(F.col("top_others").cast("array<string>"), ",").alias("others"), "verdict")
 
 
+# reports
+
+RECALLED = f"""{ASKED}, f as (select qid, min(rank) as rank from many where doc_id = qid and rank <= 50 group by qid),
+  sc as (select ask.qid, lang, n_chars, (coalesce(rank, 99) <= 50)::int as r50, (coalesce(rank, 99) <= 12)::int as r12, (coalesce(rank, 99) <= 4)::int as r4, (len(words) < 3)::int as killed from ask join documents on doc_id = ask.qid left join f on f.qid = ask.qid),
+  ln as (select *, row_number() over (order by n_chars) - 1 as i, count(*) over () as n from sc), qs as (select max(n_chars) filter (i = n // 4) as q1, max(n_chars) filter (i = n // 2) as q2, max(n_chars) filter (i = 3 * n // 4) as q3 from ln),
+  bd as (select sc.*, case when n_chars <= q1 then 'Q1' when n_chars <= q2 then 'Q2' when n_chars <= q3 then 'Q3' else 'Q4' end as band from sc, qs),
+  g as (select case when grouping(lang) = 0 then 'category' when grouping(band) = 0 then 'band' else 'overall' end as facet, case when grouping(lang) = 0 then lang when grouping(band) = 0 then band else 'OVERALL' end as label, count(*) as n, avg(r50) as p, avg(r12) as p12, avg(r4) as p4, avg(killed) as kill_rate
+    from bd group by grouping sets ((lang), (band), ()))"""
+
+
+@query("recall_report", f"with {RECALLED} select facet, label, n, round(p, 6) as r50, round({WILSON[0]}, 6) as r50_low, round({WILSON[1]}, 6) as r50_high, round(p12, 6) as r12, round(p4, 6) as r4, round(p12 - p, 6) + 0 as gap1, round(p4 - p12, 6) + 0 as gap2, round(kill_rate, 6) as kill_rate from g")
+def recall_report(spark, sf):
+    """Three words of each 50th document as a question: how far up its document is, by language and by quartile of length; questions of fewer words count as killed."""
+    index, stats = doc_index(spark, sf)
+    q = document_questions(spark, sf)
+    found = batch.bm25_many(index, stats, q.select("qid", "words"), "doc_id", 50).filter("qid = doc_id").select("qid", "rank")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("qid"), "lang", "n_chars")
+    at = lambda n: F.coalesce(F.col("rank") <= n, F.lit(False)).cast("int")
+    scored = q.join(d, "qid").join(found, "qid", "left").select("lang", "n_chars", at(50).alias("r50"), at(12).alias("r12"), at(4).alias("r4"), (F.size("words") < 3).cast("int").alias("killed"))
+    out = evalkit.recall_report(scored, "lang", ["r50", "r12", "r4"], "n_chars", "killed")
+    return out.select("facet", "label", "n", r6("r50"), r6("r50_low"), r6("r50_high"), r6("r12"), r6("r4"), (F.round("gap1", 6) + 0).alias("gap1"), (F.round("gap2", 6) + 0).alias("gap2"), r6("kill_rate"))
+
+
+def outcome_sql(hits: str, out: str) -> str:
+    return f"""{out} as (select ask.qid, coalesce(max(1.0::double / rank) filter (doc_id = ask.qid), 0) as reciprocal, coalesce(bool_or(doc_id = ask.qid and rank = 1), false)::int as first, count(doc_id) as hits
+      from ask left join (select * from {hits} where rank <= 20) h on h.qid = ask.qid group by ask.qid)"""
+
+
+# the terms of phrase_many's SQL, without what it selects
+PHRASED = ORACLE["phrase_many"].rsplit("\n", 1)[0]
+
+
+@query("compare_arms", f"""{PHRASED}, {outcome_sql("many", "am")}, {outcome_sql("r", "bm")},
+  lo as (select m.metric, lang, case m.metric when 'reciprocal' then am.reciprocal when 'first' then am.first else am.hits end::double as a, case m.metric when 'reciprocal' then bm.reciprocal when 'first' then bm.first else bm.hits end::double as b
+    from am join bm using (qid) join documents on doc_id = qid cross join (select unnest(['reciprocal', 'first', 'hits']) as metric) m),
+  g as (select metric, case when grouping(lang) = 1 then 'OVERALL' else lang end as label, count(*) as n, avg(a) as mean_a, avg(b) as mean_b, avg(b - a) as delta, stddev_samp(b - a) / sqrt(count(*)) as se, count(*) filter (b < a) as x, count(*) filter (b > a) as y from lo group by grouping sets ((metric, lang), (metric)))
+  select metric, label, n, round(mean_a, 6) as mean_a, round(mean_b, 6) as mean_b, round(delta, 6) + 0 as delta, round(delta - 1.96 * se, 6) + 0 as low, round(delta + 1.96 * se, 6) + 0 as high, x as a_better, y as b_better, round(case when x + y > 0 then (x - y) * (x - y) / (x + y) end, 6) as chi2 from g""")
+def compare_arms(spark, sf):
+    """Words against phrases on the same questions: reciprocal rank of the document, whether it comes first, and how many are found."""
+    index, stats = doc_index(spark, sf)
+    q = document_questions(spark, sf).select("qid", "words")
+    lang = table(spark, sf, "documents").select(F.col("doc_id").alias("qid"), "lang")
+
+    def measured(found: DataFrame) -> DataFrame:
+        own = F.col("doc_id") == F.col("qid")
+        per = found.filter("rank <= 20").groupBy("qid").agg(F.max(F.when(own, 1 / F.col("rank"))).alias("reciprocal"), F.max(own & (F.col("rank") == 1)).alias("first"), F.count("*").alias("hits"))
+        return q.join(per, "qid", "left").join(lang, "qid").select("qid", "lang", F.coalesce("reciprocal", F.lit(0.0)).alias("reciprocal"), F.coalesce("first", F.lit(False)).alias("first"), F.coalesce("hits", F.lit(0)).alias("hits"))
+
+    a, b = measured(batch.bm25_many(index, stats, q, "doc_id", 20)), measured(batch.phrase_many(index, stats, q, "doc_id"))
+    out = evalkit.compare_metrics(a, b, ["qid"], ["reciprocal", "first", "hits"], "lang")
+    zero = lambda c: (F.round(c, 6) + 0).alias(c)
+    return out.select("metric", "label", "n", r6("mean_a"), r6("mean_b"), zero("delta"), zero("low"), zero("high"), "a_better", "b_better", r6("chi2"))
+
+
+@query("verdict_pivot", "with v as (" + ORACLE["question_filter"] + ") select lang, count(*) filter (verdict = 'kept') as kept, count(*) filter (verdict = 'copied') as copied, count(*) filter (verdict = 'hard') as hard, count(*) filter (verdict = 'not_found') as not_found, count(*) as n, round(count(*) filter (verdict = 'kept') / count(*), 6) as rate from v join documents on doc_id = qid group by lang")
+def verdict_pivot(spark, sf):
+    v = question_filter(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("qid"), "lang"), "qid")
+    return evalkit.outcomes(v, "lang", "verdict", ["kept", "copied", "hard", "not_found"]).withColumn("n", F.col("n").cast("long")).withColumn("rate", F.round("rate", 6))
+
+
+# numbers and negatives
+
+REGIONS = {"en": "US", "fr": "FR", "de": "DE", "es": "ES"}
+PLAN_SQL = "plan as (select * from (values " + ", ".join(f"('{r}', '{c}', '{t}', {lo}, {hi}, '^{first}')" for r, c, t, lo, hi, first in phones.PLAN) + ") t(region, code, trunk, least, most, first))"
+VALID = "exists(select 1 from plan where plan.code = left({d}, {n}) and regexp_matches(substr({d}, {n} + 1), plan.first) and len({d}) - {n} between plan.least and plan.most)"
+
+
+def international_sql(d: str) -> str:
+    by = " ".join(f"when exists(select 1 from plan where code = left({d}, {n})) then {VALID.format(d=d, n=n)}" for n in (3, 2, 1))
+    return f"case when len({d}) <= 15 and (case {by} else false end) then '+' || {d} end"
+
+
+@query("phone_numbers", rf"""with {PLAN_SQL}, found as (select doc_id, trim(unnest(regexp_extract_all(text, '\+?\d[\d\-\s().]{{7,}}\d'))) as raw, case lang {' '.join(f"when '{k}' then '{v}'" for k, v in REGIONS.items())} end as region from documents),
+  u as (select distinct doc_id, raw, found.region, code, trunk, case when found.region = 'US' then '011' else '00' end as abroad, regexp_replace(raw, '[^0-9]', '', 'g') as d from found left join plan using (region)),
+  c as (select *, case when starts_with(d, trunk) and trunk <> '' then code || substr(d, len(trunk) + 1) end as d1, code || d as d2, case when code is not null and starts_with(d, abroad) then substr(d, len(abroad) + 1) end as d3, case when starts_with(d, code) then d end as d4 from u),
+  x as (select *, case when starts_with(raw, '+') then {international_sql("d")} else coalesce({international_sql("d1")}, {international_sql("d2")}, {international_sql("d3")}, {international_sql("d4")}) end as number from c)
+  select doc_id, raw, coalesce(number, raw) as handle, number is not null as valid from x""")
+def phone_numbers(spark, sf):
+    """What looks like a telephone number in each document, read by the numbering plan of its language's region; cards and addresses of machines stay as they are."""
+    d = table(spark, sf, "documents")
+    region = F.create_map(*[F.lit(x) for kv in REGIONS.items() for x in kv])[F.col("lang")]
+    found = d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(T.PHONE), F.lit(0))).alias("raw"), region.alias("region"))
+    rows = found.select("doc_id", F.trim("raw").alias("raw"), "region").distinct().withColumn("handle", phones.normalised(F.col("raw"), F.col("region")))
+    return rows.select("doc_id", "raw", "handle", (F.startswith("handle", F.lit("+")) & ~F.rlike("handle", F.lit("[^+0-9]"))).alias("valid"))
+
+
+@query("corpus_negatives", rf"""with f as (select lower(unnest(regexp_extract_all(text, '(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:from|with)\s+((?:the\s+)?[a-z][a-z''-]+)', 1))) as p from conversations where len(text) >= 20),
+  c as (select regexp_replace(p, '\s+', ' ', 'g') as phrase, count(*) as n from f group by 1 having len(phrase) >= 3), n as (select distinct trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) as name from customer)
+  select phrase, n from c where not exists (select 1 from n as k where k.name = regexp_replace(phrase, '^the ', '') or string_split(k.name, ' ')[1] = regexp_replace(phrase, '^the ', '')) order by n desc, phrase limit 60""")
+def corpus_negatives(spark, sf):
+    return suites.corpus_negatives(conversation_messages(spark, sf), table(spark, sf, "customer").select(F.col("c_name").alias("display_name")), longest=None)
+
+
 # changes of the source
 
 OLD_NEW = f"{EV}, v as (select ev.*, value from ev join events on event_id = msg_id), a as (select msg_id, chat_id, ts, text from v where value < 60), b as (select msg_id, chat_id, ts, case when is_from_me then upper(text) else text end as text from v where value >= 20)"

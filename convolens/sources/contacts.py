@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from convolens.functions import text as T
 from convolens.functions.names import fold_name_udf
+from convolens.sources.phones import normalised
 
 # Names of countries by code; others show their code.
 COUNTRIES = {
@@ -15,11 +16,14 @@ COUNTRIES = {
 }
 
 
-def normalise_contacts(raw: DataFrame) -> DataFrame:
-    """``raw``: identifier, nickname, given, family, handles. The nickname or the full name shows; nameless rows go."""
+def normalise_contacts(raw: DataFrame, region: str | None = None) -> DataFrame:
+    """``raw``: identifier, nickname, given, family, handles. The nickname or the full name shows; nameless rows go.
+
+    With a ``region`` numbers are read by its numbering plan and must be valid; without one by their number of digits.
+    """
     full = F.trim(F.concat_ws(" ", "given", "family"))
     name = F.coalesce(F.when(F.trim("nickname") != "", F.trim("nickname")), F.when(full != "", full))
-    return raw.select("identifier", name.alias("display_name"), F.transform("handles", lambda h: T.e164(h)).alias("handles")).filter("display_name is not null")
+    return raw.select("identifier", name.alias("display_name"), F.transform("handles", lambda h: normalised(h, F.lit(region)) if region else T.e164(h)).alias("handles")).filter("display_name is not null")
 
 
 def handle_names(contacts: DataFrame) -> DataFrame:
