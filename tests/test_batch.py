@@ -71,3 +71,35 @@ def test_vectors_in_blocks(spark, monkeypatch):
         assert got == want
     assert batch.knn_many(v, q.filter("false"), "id", "vec").count() == 0
     assert batch.knn_many(v.filter("false"), q, "id", "vec").agg(F.count("*")).first()[0] == 0
+
+
+def test_blocks_of_documents(spark, monkeypatch):
+    """Many blocks, some of which bound the others, and parts of the questions change nothing; ties go by key, which may be a string."""
+    monkeypatch.setattr(batch, "PLACES", 40)
+    monkeypatch.setattr(batch, "CLASSES", 2)
+    docs = spark.createDataFrame([(f"d{i % 97:03}{i}", " ".join(w for j, w in enumerate("abcde") if (i * 7 + j * j) % (j + 2) < 2) + " a b" * (i % 3)) for i in range(300)], "id string, text string")
+    index, stats = lexical.postings(docs, "id", "text").cache(), lexical.doc_stats(docs, "id", "text")
+    asked = [(0, ["a", "b"]), (1, ["b", "a"]), (2, ["c", "d"]), (3, ["a", "b"]), (4, ["e", "a", "b"])]
+    words = spark.createDataFrame(asked, "qid long, words array<string>")
+    for many, one in ((batch.bm25_many, lexical.bm25), (batch.phrase_many, lexical.phrase_search)):
+        got = {(r.qid, r["rank"]): (r.id, round(r.score, 9)) for r in many(index, stats, words, "id", 7).collect()}
+        assert got == {(i, k + 1): (r.id, round(r.score, 9)) for i, w in asked for k, r in enumerate(one(index, stats, w, "id", 7).collect())}
+
+
+def test_equal_questions_are_asked_once(spark, monkeypatch):
+    """What is written and what leaves a task does not grow with questions times documents."""
+    written = {}
+
+    def counted(df, name, f=batch.keep):
+        out = f(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(batch, "keep", counted)
+    docs = spark.range(400).selectExpr("id", "'a b c' as text")
+    index, stats = lexical.postings(docs, "id", "text"), lexical.doc_stats(docs, "id", "text")
+    words = spark.range(50).selectExpr("id as qid", "array('a', 'b') as words")
+    for many in (batch.bm25_many, batch.phrase_many):
+        assert many(index, stats, words, "id", 5).count() == 250
+    assert max(written.values()) <= 800
+    assert written["words-probed"] == 5 and written["phrase-hits"] == 400
