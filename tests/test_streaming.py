@@ -35,3 +35,13 @@ def test_late_messages_rewrite_history(spark, tmp_path):
     for (n, chat), ids in sorted(out.items()):
         final[chat] = ids
     assert final == {1: [1, 2], 2: [9]}
+
+
+def test_windows_of_a_stream_stay_off_the_driver(spark):
+    """The query's batches are written; no table of the driver's memory holds them."""
+    from convolens.plans.registry import QUERIES
+
+    before = {t.name for t in spark.catalog.listTables()}
+    out = QUERIES["stateful_chunks_stream"](spark, "/root/testdata/sf0.001")
+    assert out.count() > 0 and out.agg(F.min("n_windows")).first()[0] >= 1
+    assert {t.name for t in spark.catalog.listTables()} == before
