@@ -1,5 +1,9 @@
 """Retrieval of many questions against one question after the other."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +107,18 @@ def test_equal_questions_are_asked_once(spark, monkeypatch):
         assert many(index, stats, words, "id", 5).count() == 250
     assert max(written.values()) <= 800
     assert written["words-probed"] == 5 and written["phrase-hits"] == 400
+
+
+def test_memory_of_many_questions():
+    """Distances are made piece by piece, so a task's memory does not follow questions times vectors; the best are those of a plain sort."""
+    rng = np.random.default_rng(3)
+    x, q = rng.integers(-3, 4, (3000, 4)) + 0.5, rng.integers(-3, 4, (10_000, 4)) + 0.25
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.array(x.astype(np.float32).tolist(), pa.list_(pa.float32()))], ["id", "v"])
+    tracemalloc.start()
+    out = pa.Table.from_batches(batch.nearest(iter([rows]), {4: (list(range(len(q))), q)}, 5)).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    for i in (0, 17, 9999):
+        d = np.round(1 - x @ q[i] / np.linalg.norm(x, axis=1) / np.linalg.norm(q[i]), 9)
+        assert out[out.qid == i].id.tolist() == np.lexsort((np.arange(3000), d))[:5].tolist()
