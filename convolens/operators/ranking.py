@@ -69,11 +69,11 @@ def rerank(query: str, chunks: DataFrame, text: str, score: Callable[[str, list[
 
 def head(scored: DataFrame, key: str, top: int = HEAD, recent: int = HEAD_RECENT) -> DataFrame:
     """The best ``top - recent`` by logit, and the newest ``recent`` of the others."""
-    by_score = F.row_number().over(W.orderBy(F.desc("logit"), key))
-    ranked = scored.withColumn("by_score", by_score)
-    left = F.when(F.col("by_score") > top - recent, 1).otherwise(0)
-    ranked = ranked.withColumn("by_time", F.when(left == 1, F.row_number().over(W.partitionBy(left).orderBy(F.desc("start_ts"), key))))
-    return ranked.filter((F.col("by_score") <= top - recent) | (F.col("by_time") <= recent)).drop("by_score", "by_time")
+    first = scored.orderBy(F.desc("logit"), key).limit(top - recent)
+    # of the ``top`` newest, so many can't be among the best that too few are left
+    known = F.broadcast(first.select(F.col(key).alias("__known")))
+    others = scored.orderBy(F.desc("start_ts"), key).limit(top).join(known, F.col(key).eqNullSafe(F.col("__known")), "left_anti")
+    return first.unionByName(others.orderBy(F.desc("start_ts"), key).limit(recent))
 
 
 def sigmoid(x: Column) -> Column:
