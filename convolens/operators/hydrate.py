@@ -116,11 +116,14 @@ def chat_metadata(chats: DataFrame, roster: DataFrame, names: DataFrame) -> Data
 
 
 def suggest_contacts(contacts: DataFrame, prefix: str, limit: int = 8, least: float = 60.0) -> DataFrame:
-    """Contacts whose name or one of its words begins so, then similar ones."""
+    """Contacts whose name or one of its words begins so, then similar ones; these are looked for only if the first are too few."""
     p = fold_name(prefix)
     low = fold_name_udf("display_name")
-    starts = low.startswith(p) | low.contains(" " + p)
-    scored = contacts.withColumn("starts", starts).withColumn("score", F.when(starts, 100.0).otherwise(weighted_ratio_udf("display_name", F.lit(prefix))))
+    named = contacts.withColumn("starts", low.startswith(p) | low.contains(" " + p))
+    begin = named.filter("starts").orderBy("display_name", "identifier").limit(limit).select("identifier", "display_name")
+    if begin.count() == limit:
+        return begin
+    scored = named.withColumn("score", F.when(F.col("starts"), 100.0).otherwise(weighted_ratio_udf("display_name", F.lit(prefix))))
     return scored.filter(F.col("starts") | (F.col("score") >= least)).orderBy(F.desc("starts"), F.desc("score"), "display_name", "identifier").limit(limit).select("identifier", "display_name")
 
 
