@@ -5,8 +5,12 @@ inequality. Vectors are dealt to the nearest of some pivots and, inside a pivot'
 shells by their distance from it. A vector first looks into its own shell; what it finds there bounds
 how far another shell may be to be opened. Equal vectors are one class and are searched for once.
 
+Neighbouring shells make a block. A vector that opens shells of a block is sent to the block once, and not
+once for each of them; vectors of one shell are compared there with all shells that one of them opens.
+
 Worst case: vectors that are all about equally far from each other open every shell, which is all
-pairs of classes in blocks of bounded size. The number of pivots changes costs and never results.
+pairs of classes in blocks of bounded size: as many distances as pairs, and each vector is sent as often as
+there are blocks. The number of pivots changes costs and never results.
 """
 
 from __future__ import annotations
@@ -22,8 +26,10 @@ from pyspark.sql import functions as F
 
 from convolens.sources.scratch import keep
 
-#: Pivots at most; vectors of a shell, and shells at most; requests that meet a shell in one task; marks that cut a part.
-PIVOTS, SHELL, SHELLS, REQUESTS, MARKS = 1024, 2048, 1 << 16, 4096, 255
+#: Pivots at most; vectors of a shell, and shells at most; marks that cut a part.
+PIVOTS, SHELL, SHELLS, MARKS = 1024, 2048, 1 << 16, 255
+#: Vectors of a block, and about so many that meet it in one task; fewer if they have more than so many components.
+BLOCK, COMPONENTS = 1 << 14, 1 << 22
 #: What rounding to 9 digits, and the square root near 0, may hide of a distance.
 COSINE_SLACK, STRAIGHT_SLACK = 2e-9, 1e-7
 BEST = "array<struct<rounded:double,id:long,distance:double>>"
@@ -44,8 +50,8 @@ def best_of(queries: np.ndarray, found: np.ndarray, classes: np.ndarray, ids: li
     The best ids come from the best classes by their least id, as each of these gives one at least.
     """
     out = []
-    for a in range(0, len(queries), 512):
-        d = 1 - queries[a : a + 512] @ found.T
+    for a in range(0, len(queries), 256):
+        d = 1 - queries[a : a + 256] @ found.T
         rounded = np.round(d, 9)
         few = min(most, len(found))
         limit = np.partition(rounded, few - 1, axis=1)[:, few - 1]
@@ -59,7 +65,7 @@ def best_of(queries: np.ndarray, found: np.ndarray, classes: np.ndarray, ids: li
 
 @dataclass
 class Search:
-    """``best``: (class, best); ``requests``: (shell, n) how many vectors open a shell that is not theirs; ``shells``: (shell, n) how many it has."""
+    """``best``: (class, best); ``requests``: (class, block, n) to which blocks a class is sent, and with how many vectors it is compared there; ``shells``: (shell, n) how many it has."""
 
     best: DataFrame
     requests: DataFrame
@@ -68,9 +74,8 @@ class Search:
 
     def distances(self) -> int:
         """How many distances are computed, those to pivots included."""
-        both = self.shells.join(self.requests.withColumnRenamed("n", "asked"), "shell", "left")
-        row = both.agg(F.sum(F.col("n") * (F.col("n") + F.coalesce("asked", F.lit(0)))).alias("d"), F.sum("n").alias("n")).first()
-        return (row["d"] or 0) + 2 * (row["n"] or 0) * self.pivots
+        row = self.shells.agg(F.sum(F.col("n") * F.col("n")).alias("d"), F.sum("n").alias("n")).first()
+        return (row["d"] or 0) + (self.requests.agg(F.sum("n")).first()[0] or 0) + 2 * (row["n"] or 0) * self.pivots
 
 
 def search(classes: DataFrame, most: int, shell: int = SHELL) -> Search:
@@ -98,8 +103,23 @@ def search(classes: DataFrame, most: int, shell: int = SHELL) -> Search:
     subs = cut.join(F.broadcast(parts), ["pivot", "part"]).withColumn("sub", F.pmod(F.xxhash64("class"), F.col("subs")))
     placed = keep(subs.withColumn("shell", F.xxhash64("pivot", "part", "sub")).drop("part", "sub", "subs"), "placed")
     shells = keep(placed.groupBy("shell", "pivot").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.count("*").alias("n")), "shells")
-    table = shells.toPandas()
-    bounds = spark.sparkContext.broadcast((table["shell"].to_numpy(np.int64), table["pivot"].to_numpy(np.int64), table["low"].to_numpy(), table["high"].to_numpy()))
+    # neighbouring shells make a block of bounded size
+    table = shells.toPandas().sort_values(["pivot", "low", "shell"], ignore_index=True)
+    held = max(1, min(BLOCK, COMPONENTS // max(1, pivots.shape[1])))
+    table["block"] = (table["n"].cumsum() - table["n"]) // held
+    bounds = spark.sparkContext.broadcast({c: table[c].to_numpy() for c in ("shell", "pivot", "low", "high", "n", "block")})
+    rows = [(int(r.shell), int(r.block)) for r in table.itertuples()]
+    blocks = keep(spark.createDataFrame(rows, "shell long, block long"), "blocks")
+
+    def opened(x: np.ndarray, limit: np.ndarray, own: int, among: np.ndarray) -> np.ndarray:
+        """Which of the shells ``among`` (their places in ``bounds``) vectors of the shell ``own`` open."""
+        t = {c: v[among] for c, v in bounds.value.items()}
+        out = np.zeros((len(x), len(among)), bool)
+        for a in range(0, len(x), 256):
+            far = straight(x[a : a + 256] @ shipped.value.T)[:, t["pivot"]]
+            least = np.maximum(0, np.maximum(far - t["high"], t["low"] - far) - STRAIGHT_SLACK)
+            out[a : a + 256] = (least**2 / 2 <= limit[a : a + 256, None] + COSINE_SLACK) & (t["shell"] != own)
+        return out
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         x = unit(pdf["v"])
@@ -109,31 +129,41 @@ def search(classes: DataFrame, most: int, shell: int = SHELL) -> Search:
 
     own = keep(placed.groupBy("shell").applyInPandas(inside, f"class long, v array<float>, shell long, best {BEST}, limit double"), "own")
 
-    def ask(batches):
-        shell, pivot, low, high = bounds.value
-        for b in batches:
-            for a in range(0, len(b), 256):
-                some = b.iloc[a : a + 256]
-                far = straight(unit(some["v"]) @ shipped.value.T)[:, pivot]
-                least = np.maximum(0, np.maximum(far - high, low - far) - STRAIGHT_SLACK)
-                opened = least**2 / 2 <= some["limit"].to_numpy()[:, None] + COSINE_SLACK
-                i, j = np.nonzero(opened & (shell[None, :] != some["shell"].to_numpy()[:, None]))
-                yield pd.DataFrame({"class": some["class"].to_numpy()[i], "v": some["v"].to_numpy()[i], "shell": shell[j]})
-
-    asked = keep(own.select("class", "v", "shell", "limit").mapInPandas(ask, "class long, v array<float>, shell long"), "asked")
-    requests = keep(asked.groupBy("shell").agg(F.count("*").alias("n")), "requests")
-    blocks = F.broadcast(requests.select("shell", F.ceil(F.col("n") / REQUESTS).alias("blocks")))
-    left = asked.join(blocks, "shell").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks"))).drop("blocks")
-    right = placed.select("class", "v", "ids", "shell").join(blocks, "shell").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, x, limit, shell = bounds.value, unit(pdf["v"]), pdf["limit"].to_numpy(), int(pdf["shell"].iloc[0])
+        out = []
+        for block in np.unique(t["block"]):
+            among = np.flatnonzero(t["block"] == block)
+            wanted = opened(x, limit, shell, among)
+            some = wanted.any(1)
+            if some.any():
+                n = int(t["n"][among[wanted.any(0)]].sum())
+                out.append(pdf.loc[some, ["class", "v", "shell", "limit"]].assign(block=block, n=n))
+        return pd.concat(out) if out else pdf[["class", "v", "shell", "limit"]].head(0).assign(block=0, n=0)
+
+    asked = keep(own.groupBy("shell").applyInPandas(ask, "class long, v array<float>, shell long, limit double, block long, n long"), "asked")
+    # the vectors of a shell go to one part of a block, as they are compared together
+    parts = F.broadcast(keep(asked.groupBy("block").agg(F.ceil(F.count("*") / held).alias("parts")), "parts"))
+    left = asked.drop("n").join(parts, "block").withColumn("part", F.pmod(F.xxhash64("shell"), F.col("parts"))).drop("parts")
+    right = placed.select("class", "v", "ids", "shell").join(F.broadcast(blocks), "shell").join(parts, "block")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
 
     def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
             return pd.DataFrame({"class": [], "best": []})
-        return pd.DataFrame({"class": q["class"], "best": best_of(unit(q["v"]), unit(x["v"]), x["class"].to_numpy(), x["ids"].tolist(), most)})
-
-    others = left.groupBy("shell", "block").cogroup(right.groupBy("shell", "block")).applyInPandas(meet, f"class long, best {BEST}")
+        among = np.flatnonzero(bounds.value["block"] == x["block"].iloc[0])
+        names, vectors, classes, ids, shells = bounds.value["shell"][among], unit(x["v"]), x["class"].to_numpy(), x["ids"].to_numpy(), x["shell"].to_numpy()
+        out = []
+        for shell, some in q.groupby("shell"):
+            y = unit(some["v"])
+            own = np.flatnonzero(np.isin(shells, names[opened(y, some["limit"].to_numpy(), shell, among).any(0)]))
+            if len(own):
+                out.append(pd.DataFrame({"class": some["class"], "best": best_of(y, vectors[own], classes[own], ids[own].tolist(), most)}))
+        return pd.concat(out) if out else pd.DataFrame({"class": [], "best": []})
+
+    others = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(meet, f"class long, best {BEST}")
     every = own.select("class", "best").unionByName(others).groupBy("class").agg(F.flatten(F.collect_list("best")).alias("best"))
-    return Search(every.select("class", F.slice(F.array_sort("best"), 1, most).alias("best")), requests, shells.select("shell", "n"), len(pivots))
+    return Search(every.select("class", F.slice(F.array_sort("best"), 1, most).alias("best")), asked.select("class", "block", "n"), shells.select("shell", "n"), len(pivots))
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:

@@ -58,3 +58,16 @@ def test_fewer_distances_on_clusters(spark):
     done = pivots.search(classes, 2, 64)
     done.best.agg(F.count("*")).first()
     assert done.distances() < n * n / 10
+
+
+def test_a_vector_is_sent_once_to_a_block(spark, monkeypatch):
+    """Vectors without clusters open nearly all shells; what is sent grows with the blocks and not with the shells."""
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(size=12).astype(np.float32).tolist()) for i in range(900)]
+    df = vectors(spark, rows)
+    _, classes = pivots.classes_of(pivots.usable(df, "id", "vec"), 2)
+    monkeypatch.setattr(pivots, "BLOCK", 300, raising=False)
+    done = pivots.search(classes, 2, 16)
+    n, shells = done.requests.agg(F.count("*")).first()[0], done.shells.count()
+    assert shells > 40 and n <= 900 * 4
+    assert found(pivots.nearest_other(df, "id", "vec", shell=16)) == brute(rows)
