@@ -1,5 +1,7 @@
 """Stages that are taken up again, and what a harvest leaves out."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +97,27 @@ def test_prefilter_falls_back_on_idf(spark):
     ids = lambda n: sorted(r[0] for r in evalkit.prefilter(df, n).collect())
     assert ids(10) == list(range(10)) and ids(3) == [7, 8, 9] and ids(2) == [8, 9] and ids(1) == [9]
     assert evalkit.middle(df, "idf_mean") == 4.5 and evalkit.middle(df.filter("chunk_id < 3"), "idf_mean") == 1.0 and evalkit.middle(df.limit(0), "idf_mean") is None
+
+
+def test_windows_and_vectors_are_made_once(spark, tmp_path):
+    """Many steps read the windows and the vectors; each row is made once."""
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    @F.udf("string")
+    def noted(i):
+        (seen / f"{i}-{uuid.uuid4().hex}").touch()
+        return f"In Paris with Anna Number {i} " + "word " * 50
+
+    @F.udf("array<float>")
+    def vector(i):
+        (seen / f"v{i}-{uuid.uuid4().hex}").touch()
+        return [1.0, float(i)]
+
+    ids = spark.range(6).select(F.col("id").alias("chunk_id"))
+    body = noted.asNondeterministic()("chunk_id")
+    windows = ids.select("chunk_id", F.lit(1).cast("long").alias("chat_id"), (F.col("chunk_id") * 9000.0).alias("start_ts"), F.lit(False).alias("has_attachment"), F.array("chunk_id").alias("msg_ids"), body.alias("body"))
+    roster = spark.createDataFrame([(1, "a")], "chat_id long, handle string")
+    out = harvest.harvest(windows, ids.select("chunk_id", vector.asNondeterministic()("chunk_id").alias("embedding")), roster, f"file://{tmp_path}/root")
+    assert out.filter("nn_distance is not null").count() == 6
+    assert sorted(p.name.split("-")[0] for p in seen.iterdir()) == sorted([str(i) for i in range(6)] + [f"v{i}" for i in range(6)])
