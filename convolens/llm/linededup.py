@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convolens.llm.shared import aside, keep, let, small, words_of
+from convolens.llm.shared import aside, keep, let, sieve, small, words_of
 
 
 def chunk_ends(lines: Column, window: int = 2, divisor: int = 4) -> Column:
@@ -98,7 +98,8 @@ def dedup_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", lon
     The rolling hash over two lines is compared at every line and not only at the ends
     of chunks, so a passage of two lines or more that also stands before goes from its
     first line to its last, whatever the text around it; so does a single line of more
-    than ``long_words`` words. The piece with the least (key, text, line) stays, and a
+    than ``long_words`` words. What is shuffled of a piece that stands once is a hash, and of a text
+    without repeated pieces nothing: bitmaps of bounded size tell which may have some. The piece with the least (key, text, line) stays, and a
     piece that overlaps it is no copy. A line that goes stands before, so no line is
     lost from the table. Equal 64-bit hashes only nominate; the bytes are compared.
     Chunks are those of ``chunk_ends``; removed_chunks are those with no line left.
@@ -115,24 +116,30 @@ def dedup_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", lon
 
     pieces = full.select("id", "mark", F.explode(hashed(F.col("l"))).alias("p"))
     marked = keep(pieces.select(F.struct("id", "mark", "p.i").alias("place"), "p.n", "p.hash"), "pieces")
+    twice = sieve(keep(marked.groupBy("hash").agg(F.count("*").alias("times")).filter("times > 1").select("hash"), "twice"))
+    marked = twice(marked, F.col("hash"), "again").filter("again").drop("again")
     repeated = marked.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first != last").select(F.col("hash").alias("h"), "first")
     named = marked.join(repeated, F.col("hash") == F.col("h")).select("hash", "first", "place", "n")
 
     # only pieces whose hash repeats bring their bytes
     wanted = keep(named.groupBy(F.col("place.id").alias("w_id"), F.col("place.mark").alias("w_mark")).agg(F.collect_set(F.struct(F.col("place.i").alias("i"), "n", "hash", "first")).alias("named")), "named")
-    held = full.join(small(wanted), F.col("id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark")))
+    key_of = lambda i, m: F.xxhash64(i, m)
+    may_have = sieve(keep(wanted.select(key_of("w_id", "w_mark").alias("key")), "holders"))
+    held = may_have(full, key_of("id", "mark"), "has").filter("has").join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark")))
     bytes_of = F.transform("named", lambda x: F.struct(x["i"].alias("i"), x["n"].alias("n"), x["hash"].alias("hash"), x["first"].alias("first"), F.array_join(F.slice("l", x["i"] + 1, x["n"]), "\n").alias("bytes")))
     texts = held.select("id", "mark", F.explode(bytes_of).alias("x")).select(F.struct("id", "mark", "x.i").alias("place"), "x.n", "x.hash", "x.first", "x.bytes")
     texts = keep(texts, "bytes")
     kept = texts.filter(F.col("place") == F.col("first")).groupBy(F.col("hash").alias("h")).agg(F.first("bytes").alias("kept"))
-    kept = small(keep(kept, "kept"))
     apart = ~(F.col("place.id").eqNullSafe(F.col("first.id")) & (F.col("place.mark") == F.col("first.mark")) & (F.col("place.i") < F.col("first.i") + F.col("n")))
     copies = texts.filter((F.col("place") != F.col("first")) & apart).join(kept, F.col("hash") == F.col("h")).filter(F.col("bytes") == F.col("kept"))
     gone = copies.groupBy(F.col("place.id").alias("__id"), F.col("place.mark").alias("__mark")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("place.i"), F.col("place.i") + F.col("n") - 1))))).alias("__gone"))
-    gone = small(keep(gone, "gone"))
+    gone = keep(gone, "gone")
 
     lines = F.split(F.col(text), "\n")
-    joined = base.withColumn("__m", mark).join(gone, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark")), "left")
+    may_lose = sieve(keep(gone.select(key_of("__id", "__mark").alias("key")), "losers"))
+    some = may_lose(base.withColumn("__m", mark), key_of(key, "__m"), "__has")
+    cut = some.filter("__has").join(gone, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark")), "left")
+    joined = cut.select(*base.columns, "__gone").unionByName(some.filter("not __has").select(*base.columns, F.lit(None).cast("array<int>").alias("__gone")))
     ends = F.when(F.col(text).isNotNull(), chunk_ends(lines))
     # the lines that stay, by number, and the chunks that hold one of them
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
