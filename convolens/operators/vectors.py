@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+#: Texts that a model gets at once, and components of vectors that are numbers of eight bytes at once.
+TEXTS, PIECE = 512, 1 << 20
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 
 
@@ -38,7 +40,8 @@ def embed(df: DataFrame, text: str, out: str = "embedding", make: Callable[[], C
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()
         for s in batches:
-            yield pd.Series(list(model([t or "" for t in s])))
+            for a in range(0, len(s), TEXTS):
+                yield pd.Series(list(model([t or "" for t in s.iloc[a : a + TEXTS]])))
 
     return df.withColumn(out, F.pandas_udf(run, ArrayType(FloatType()))(F.col(text)))
 
@@ -90,9 +93,11 @@ def knn(vectors: DataFrame, query: list[float] | DataFrame, key: str, vector: st
             lists = b.column(1)
             fit = (pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False) == len(q)) & (len(q) > 0)
             some = b.filter(pa.array(fit))
-            x = some.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, max(1, len(q)))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                d = 1 - (x @ q if len(x) else np.zeros(0)) / (np.linalg.norm(x, axis=1) * size)
+            d, step = np.zeros(some.num_rows), max(1, PIECE // max(1, len(q)))
+            for a in range(0, some.num_rows, step):
+                x = some.slice(a, step).column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, len(q))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    d[a : a + step] = 1 - (x @ q) / (np.linalg.norm(x, axis=1) * size)
             own = np.flatnonzero(np.isfinite(d))
             keys = some.column(0).to_numpy(zero_copy_only=False)
             best = own[np.lexsort((keys[own], np.round(d[own], 9)))][:k]

@@ -1,9 +1,10 @@
 from datetime import UTC, datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from convolens.operators import evalkit, filters, hydrate, lexical, ranking, vectors
+from convolens.operators import evalkit, filters, hydrate, lexical, ranking, sessionize, vectors
 from convolens.plans.parse import Contacts, ParsedQuery, merge_parse, parse_query, with_filters
 from convolens.plans.search import Engine, build_index
 from convolens.schemas import SchemaDriftError, require_columns
@@ -161,3 +162,21 @@ def test_rebuild_keeps_and_changes(spark, engine, tmp_path):
     assert (5, 0) not in after and after[0, 0] == (before[0, 0][0], (999,)) and after[0, 1][1] == before[0, 0][1]
     with pytest.raises(FileNotFoundError):
         IndexStore(spark, str(tmp_path / "none")).read("chunks")
+
+
+def test_python_gets_little_at_once(spark):
+    """A model gets few texts at once; of a message its number of tokens alone goes to Python, and stems are asked word by word."""
+
+    def make():
+        def model(texts):
+            assert len(texts) <= 512
+            return np.ones((len(texts), 2), np.float32) * [[len(t)] for t in texts]
+
+        return model
+
+    df = spark.range(0, 2000, 1, 1).select("id", F.repeat(F.lit("a"), F.col("id").cast("int") % 7).alias("text"))
+    assert {(r.id % 7, r.embedding[1]) for r in vectors.embed(df, "text", make=make).collect()} == {(i, float(i)) for i in range(7)}
+    m = df.select(F.col("id").alias("msg_id"), F.lit(1).alias("chat_id"), F.col("id").cast("double").alias("ts"), "text", F.lit(False).alias("has_attachment"))
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan(sessionize.chunk_messages(m))
+    assert "[stem_udf(term" in plan(lexical.postings(df, "id", "text", stem=True))
