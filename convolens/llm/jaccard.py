@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convolens.llm.components import connected_components
-from convolens.llm.shared import aside, keep, small
+from convolens.llm.shared import aside, given_back, keep, small
 
 #: Odd multipliers of the places in a shingle.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -97,6 +97,7 @@ def frequent_shingles(docs: DataFrame, one_in: int = 16, least: int = 3, most: i
 def digests(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
     """(doc_id, mark, n, cid, gkey, prefix): set size, class, least hash and prefix shingles; a class's prefix stands with its first row in a task only."""
 
+    @given_back
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes, told = WordHashes(), set()
         for texts in batches:
@@ -124,6 +125,7 @@ def digests(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
 def group_pairs(postings: DataFrame) -> DataFrame:
     """(g1, g2, n), g1 < g2: how many prefix shingles groups share. ``postings``: (t, gid)."""
 
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.zeros(0, np.int64)] * 2
         held: list[np.ndarray] = []
@@ -222,6 +224,7 @@ def open_groups(dealt: DataFrame, percent: int) -> DataFrame:
     (open, salt) in one partition, members first.
     """
 
+    @given_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: dict = {"key": None}
 
@@ -296,6 +299,7 @@ def linked_rows(docs: DataFrame, percent: int = 75, group_size: int = 8192, quer
     needed = keep(as_member.unionByName(as_query).groupBy("cid", "rep").agg(F.collect_list("to").alias("to")), "needed")
     texts = slim.join(small(needed), F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "to", "text")
 
+    @given_back
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for b in batches:

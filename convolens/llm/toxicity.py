@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convolens.llm.examples import id_remainder, labelled_sample
-from convolens.llm.shared import keep
+from convolens.llm.shared import given_back, keep
 
 #: Lengths of a word's beginnings, in bytes, and how many places of a feature count apart.
 PREFIXES, PLACES = (3, 4, 5, 6), 4
@@ -238,6 +238,7 @@ def score(docs: DataFrame, model: ToxicityModel, cut: float = 0.7) -> DataFrame:
     get equal scores; ids are kept, null or repeated; an empty table gives an empty one.
     """
 
+    @given_back
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             out = [model.score(t) for t in texts]
@@ -251,6 +252,7 @@ def score(docs: DataFrame, model: ToxicityModel, cut: float = 0.7) -> DataFrame:
 def drop_toxic(docs: DataFrame, model: ToxicityModel, cut: float = 0.7) -> DataFrame:
     """``docs`` without the rows whose whole text scores ``cut`` or more."""
 
+    @given_back
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series([model.score(t)[0] for t in s], dtype="float64")
