@@ -1,6 +1,7 @@
 """Phrases that occur together more often than their parts would by chance.
 
-Texts are cut into pieces at punctuation. Every shard of pieces gets a generalised suffix automaton
+Texts are cut into pieces at punctuation and their words are numbered, block by block and once; all
+further passes read the numbers. Every shard of pieces gets a generalised suffix automaton
 over its words; a state's strings end at the same places, so one number, the size of that set, counts
 them all. The strings of two to five words of each automaton are listed with their counts, and the
 counts of all shards are added. So that a shard doesn't list what can't be frequent, words and then
@@ -11,25 +12,31 @@ of bounded size tell tasks which are not. A bitmap only errs by keeping too much
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from convolens.llm.shared import keep, small
+from convolens.llm.shared import given_back, keep, small
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-SEPARATORS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
-#: Distinct words that a task counts or knows at a time; words that it reads, and pairs that it counts, at a time; words of an automaton.
-HELD_WORDS, READ_WORDS, HELD_PAIRS, SHARD_WORDS = 400_000, 1 << 20, 4 << 20, 1 << 17
-#: Phrases whose counts a task adds up before they leave it.
+#: Each byte with A-Z lowered and the ends of pieces made one, and what each is then.
+LOWERED = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else c for c in bytes(range(256)).lower())
+BLANK, END, WORD = range(3)
+KINDS = bytes(BLANK if c in b" \t" else END if c == 10 else WORD for c in range(256))
+KEPT = (pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary())
+#: Blocks are written so that few of them are in memory at a time: row groups of 8 MiB, which are looked at after each row and not after a hundred.
+ROW_GROUPS = {"compression": "zstd", "parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1}
+#: About how many words a block has, and bytes of a word; distinct words that a task knows at a time; pairs that it counts at a time; words of an automaton.
+READ_WORDS, LETTERS, HELD_WORDS, HELD_PAIRS, SHARD_WORDS = 1 << 20, 6, 400_000, 4 << 20, 1 << 17
+#: Phrases of a task's automata whose counts it adds up before they leave it.
 HELD_PHRASES = 400_000
 #: A bitmap has 64 bits for each of its members, as a power of two within these bounds (32 MiB at most).
 BITS = (16, 28)
@@ -38,44 +45,63 @@ SLICE_WORDS, SLICE_BITS = 1 << 18, (4, 20)
 NO_LANG = "und"
 
 
-def pieces_of(text: str) -> list[list[bytes]]:
-    """The words of each piece; A-Z are lowered, and no other letter is."""
-    return [p.split() for p in text.encode().lower().translate(SEPARATORS).split(b"\n")]
-
-
 def sources(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, word, n) of all words."""
-
-    def count(batches):
-        held: dict[str, Counter] = {}
+def block_of(lang: str, texts: list[bytes]) -> tuple[str, pa.Array, np.ndarray, bytes]:
+    """(lang, distinct words, how often each occurs, the words' numbers from 1 in their order with a 0 between pieces). Only A-Z are lowered."""
+    low = b"\n".join([*texts, b"\n"]).translate(LOWERED)
+    kinds = np.frombuffer(low.translate(KINDS), np.uint8)
+    starts = np.append(0, np.flatnonzero(kinds[1:] != kinds[:-1]) + 1)
+    what, lengths = kinds[starts], np.diff(starts, append=len(kinds))
+    is_word = what == WORD
+    ends = np.append(0, np.cumsum(lengths[is_word])).astype("<i4")
+    letters = np.frombuffer(low, np.uint8)[kinds == WORD]
+    found = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(letters)]).dictionary_encode()
+    numbers = np.zeros(len(what), "<i4")
+    numbers[is_word] = found.indices.to_numpy() + 1
+    return lang, found.dictionary.cast(pa.string()), np.bincount(found.indices), numbers[what != BLANK].tobytes()
+
+
+def blocks_of(docs: DataFrame) -> DataFrame:
+    """(lang, words, times, numbers): what ``block_of`` makes of a block of a language's texts. Texts are cut into words here, once."""
+    most = LETTERS * READ_WORDS
+
+    def read(batches):
+        held: dict[str, list[bytes]] = {}
+        size = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = held.setdefault(lang, Counter())
-                for p in pieces_of(text.as_py()):
-                    own.update(p)
-                if len(own) >= HELD_WORDS:
-                    yield from listed(held)
-                    held = {}
-        yield from listed(held)
+                held.setdefault(lang, []).append(text.as_py().encode())
+                size += len(held[lang][-1]) + 1
+                if size >= most:
+                    yield from packed(held)
+                    held, size = {}, 0
+        yield from packed(held)
 
-    def listed(held):
-        for lang, own in held.items():
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(own), "word": pa.array(list(own), pa.binary()).cast(pa.string()), "n": pa.array(list(own.values()), pa.int64())})
+    def packed(held):
+        for lang, texts in held.items():
+            block = block_of(lang, texts)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(block, KEPT, strict=True)], names=["lang", "words", "times", "numbers"])
 
-    return sources(docs).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return sources(docs).mapInArrow(given_back(read), "lang string, words array<string>, times array<int>, numbers binary")
 
 
-def word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(lang.encode() + b"\0" + word)
+def word_counts(blocks: DataFrame) -> DataFrame:
+    """(lang, word, n) of all words."""
+    each = blocks.select("lang", F.explode(F.arrays_zip("words", "times")).alias("w"))
+    return each.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.times").alias("n"))
+
+
+def word_hashes(lang: str, words: Iterable[bytes]) -> Iterator[int]:
+    start, digest = lang.encode() + b"\0", xxhash.xxh64_intdigest
+    return (digest(start + w) for w in words)
 
 
 def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hashes = [word_hash(a, b.encode()) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        hashes = [next(word_hashes(a, [b.encode()])) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_pydict({"key": np.array(hashes, np.uint64).view(np.int64)})
 
 
@@ -102,45 +128,21 @@ def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
-class Words(dict):
-    """Numbers of words that may be frequent, from 1; 0 stands for all others. One for each language."""
-
-    def __init__(self, lang: str, known: list, bits: np.ndarray):
-        self.lang, self.known, self.bits = lang, known, bits
-
-    def __missing__(self, word: bytes) -> int:
-        h = word_hash(self.lang, word)
-        place = h & (64 * len(self.bits) - 1)
-        number = 0
-        if int(self.bits[place >> 6]) >> (place & 63) & 1:
-            number = len(self.known)
-            self.known.append((self.lang, word, h))
-        self[word] = number
-        return number
+def numbered(batches: Iterable[pa.RecordBatch], bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """(numbers of a block's words in their order, 0 for the end of a piece and words that can't be frequent; hashes by number; the block)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            # a line feed ends a piece, so no word has one, and one long string is cut faster than many are read
+            words = pc.binary_join(row["words"], "\n")[0].as_py().encode().split(b"\n")
+            hashes = np.array([0, *word_hashes(row["lang"][0].as_py(), words)][: len(row["words"][0]) + 1], np.uint64)
+            numbers = np.where(has(bits, hashes), np.arange(len(hashes), dtype=np.int32), np.int32(0))
+            numbers[0] = 0
+            yield numbers[np.frombuffer(row["numbers"][0].as_buffer(), "<i4")], hashes, row
 
 
-def numbered(batches: Iterable[pa.RecordBatch], bits: np.ndarray) -> Iterator[tuple[np.ndarray, list]]:
-    """(numbers of the words in their order with a 0 after each piece, what the numbers mean). The meaning starts anew when too much is known."""
-    known: list = [None]
-    of: dict[str, Words] = {}
-    for batch in batches:
-        seq: list[int] = []
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            words = of.get(lang) or of.setdefault(lang, Words(lang, known, bits))
-            for p in pieces_of(text.as_py()):
-                seq += [words[w] for w in p]
-                seq.append(0)
-            if len(seq) >= READ_WORDS:
-                yield np.array(seq, np.int64), known
-                seq = []
-        yield np.array(seq, np.int64), known
-        if sum(map(len, of.values())) >= 2 * HELD_WORDS:
-            known, of = [None], {}
-
-
-def grams(seq: np.ndarray, known: list, bits: Iterable[np.ndarray], slice_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def grams(seq: np.ndarray, hashes: np.ndarray, bits: Iterable[np.ndarray], slice_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For pairs, then triples, one level for each bitmap and one more: (places, hashes) of those whose words, or two pairs, may be frequent."""
-    hashes = np.array([0, *(h for *_, h in known[1:])], np.uint64)
     at = np.flatnonzero((seq[:-1] > 0) & (seq[1:] > 0))
     levels = [(at, pair_hashes(hashes[seq[at]], hashes[seq[at + 1]]))]
     for level, held in enumerate(bits, 2):
@@ -153,18 +155,31 @@ def grams(seq: np.ndarray, known: list, bits: Iterable[np.ndarray], slice_bits:
     return levels
 
 
-def runs_of(seq: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> Iterator[tuple[int, ...]]:
-    """The runs of words whose pairs, and triples, may all be frequent. Two runs can share the word at which a triple was too rare, so each pair is in one run."""
+def runs_of(pairs: np.ndarray, triples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, lengths) of the runs of words whose pairs, and triples, may all be frequent. Two runs can share the word at which a triple was too rare, so each pair is in one run."""
+    if not len(pairs):
+        return pairs, pairs
     inside = (np.diff(pairs) == 1) & np.isin(pairs[:-1], triples, assume_unique=True)
-    ends = np.flatnonzero(np.append(~inside, True)) if len(pairs) else np.zeros(0, np.int64)
+    ends = np.flatnonzero(np.append(~inside, True))
     starts = np.append(0, ends[:-1] + 1)
-    for a, b in zip(pairs[starts].tolist() if len(ends) else [], pairs[ends].tolist(), strict=True):
-        yield tuple(seq[a : b + 2].tolist())
+    return pairs[starts], pairs[ends] - pairs[starts] + 2
+
 
+def distinct_runs(seq: np.ndarray, places: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[bytes, int]]:
+    """(the numbers of a run, 4 bytes each, how often it occurs) of the runs of a block."""
+    order = np.argsort(lengths, kind="stable")
+    of_length, starts = np.unique(lengths[order], return_index=True)
+    ends = np.append(starts, len(order))[1:]
+    for n, a, b in zip(of_length.tolist(), starts, ends, strict=True):
+        own = places[order[a:b]]
+        rows = np.ascontiguousarray(seq[own[:, None] + np.arange(n)], "<i4")
+        counts = pa.Array.from_buffers(pa.binary(4 * n), len(own), [None, pa.py_buffer(rows)]).value_counts()
+        yield from zip(counts.field(0).to_pylist(), counts.field(1).to_pylist(), strict=True)
 
-def frequent(docs: DataFrame, words: np.ndarray, bits: list[np.ndarray], least: int, slice_bits: int) -> DataFrame:
+
+def frequent(blocks: DataFrame, words: np.ndarray, bits: list[np.ndarray], least: int, slice_bits: int) -> DataFrame:
     """(key) of the pairs of words that occur ``least`` times or more, or with the bitmap of pairs in ``bits`` of the triples: the upper bits of their hashes, 32 more than a slice's number has."""
-    shipped = docs.sparkSession.sparkContext.broadcast((words, bits))
+    shipped = blocks.sparkSession.sparkContext.broadcast((words, bits))
 
     def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
         hashes, n = np.unique(np.concatenate(parts) >> np.uint64(32 - slice_bits), return_counts=True)
@@ -178,8 +193,8 @@ def frequent(docs: DataFrame, words: np.ndarray, bits: list[np.ndarray], least:
     def count(batches):
         held: list[np.ndarray] = []
         words, bits = shipped.value
-        for seq, known in numbered(batches, words):
-            held.append(grams(seq, known, bits, slice_bits)[-1][1])
+        for seq, hashes, _ in numbered(batches, words):
+            held.append(grams(seq, hashes, bits, slice_bits)[-1][1])
             if sum(map(len, held)) >= HELD_PAIRS:
                 yield counted(held)
                 held = []
@@ -193,7 +208,7 @@ def frequent(docs: DataFrame, words: np.ndarray, bits: list[np.ndarray], least:
         often = np.bincount(back, times) >= least
         return pd.DataFrame({"key": (np.int64(rows["slice"].iloc[0]) << 32) | tags[often].astype(np.int64)})
 
-    return sources(docs).mapInArrow(count, "slice int, tags binary, times binary").groupBy("slice").applyInPandas(add, "key long")
+    return blocks.drop("times").mapInArrow(given_back(count), "slice int, tags binary, times binary").groupBy("slice").applyInPandas(add, "key long")
 
 
 class Automaton:
@@ -253,51 +268,86 @@ class Automaton:
             yield symbols[end[states][:, None] + np.arange(1 - n, 1)], times[states]
 
 
-def phrase_counts(docs: DataFrame, words: np.ndarray, bits: list[np.ndarray], least: int, slice_bits: int, longest: int) -> DataFrame:
+class Known:
+    """Numbers, from 1, of the words that the runs of a task have, in all blocks and languages."""
+
+    def __init__(self):
+        self.of: dict[tuple[str, bytes], int] = {}
+        self.hashes: list[int] = [0]
+
+    def numbers(self, lang: str, words: pa.Array, hashes: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """The task's number for each of a block's; only ``asked`` ones have one."""
+        out = np.zeros(len(hashes), np.int32)
+        for i, word, h in zip(asked.tolist(), words.take(pa.array(asked - 1)).cast(pa.binary()).to_pylist(), hashes[asked].tolist(), strict=True):
+            out[i] = number = self.of.setdefault((lang, word), len(self.hashes))
+            if number == len(self.hashes):
+                self.hashes.append(h)
+        return out
+
+
+def phrase_counts(blocks: DataFrame, words: np.ndarray, bits: list[np.ndarray], least: int, slice_bits: int, longest: int) -> DataFrame:
     """(lang, phrase, n) of phrases with ``least`` occurrences or more: sums over all shards, exact for every phrase whose words, pairs and triples the bitmaps hold.
 
     A task adds up the counts of its automata; what leaves it is one row for each slice of the phrases' hashes, with the slice's phrases and counts.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast((words, bits))
+    shipped = blocks.sparkSession.sparkContext.broadcast((words, bits))
 
-    def add(held: dict[str, Counter], runs: Counter, known: list) -> None:
+    def listed(runs: Counter, known: Known) -> pa.Table:
+        """(lang, slice, phrase, n) of the strings of the runs' automaton."""
         automaton = Automaton()
         for run, weight in runs.items():
-            automaton.add(run, weight)
+            automaton.add(np.frombuffer(run, "<i4").tolist(), weight)
+        langs, texts = (pa.array([x, *(k[i] for k in known.of)], t) for i, (x, t) in enumerate((("", pa.string()), (b"", pa.binary()))))
+        hashes, tables = np.array(known.hashes, np.uint64), []
         for strings, times in automaton.strings(2, longest):
-            for x, n in zip(strings.tolist(), times.tolist(), strict=True):
-                held.setdefault(known[x[0]][0], Counter())[b" ".join([known[i][1] for i in x])] += n
-
-    def packed(held: dict[str, Counter]) -> pa.RecordBatch:
-        rows: list[tuple] = []
-        for lang, own in held.items():
-            slices: dict[int, list[bytes]] = {}
-            for phrase in own:
-                slices.setdefault(zlib.crc32(phrase) & ((1 << slice_bits) - 1), []).append(phrase)
-            # a line feed ends a piece, so no phrase has one
-            rows += [(lang, i, b"\n".join(x), np.array([own[p] for p in x], "<i8").tobytes()) for i, x in slices.items()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary(), pa.binary()))], ["lang", "slice", "phrases", "times"])
+            if len(strings):
+                h = hashes[strings[:, 0]]
+                for column in strings.T[1:]:
+                    h = pair_hashes(h, hashes[column])
+                phrases = pc.binary_join_element_wise(*[texts.take(pa.array(column)) for column in strings.T], b" ")
+                slices = pa.array((h & np.uint64((1 << slice_bits) - 1)).astype(np.int32))
+                tables.append(pa.table({"lang": langs.take(pa.array(strings[:, 0])), "slice": slices, "phrase": phrases, "n": times}))
+        return pa.concat_tables(tables)
+
+    def added(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by(["lang", "slice", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "slice", "phrase", "n"])
+
+    def packed(held: list[pa.Table]) -> pa.RecordBatch:
+        total = added(held).sort_by([("lang", "ascending"), ("slice", "ascending")])
+        lang, slices = total["lang"].combine_chunks().dictionary_encode().indices.to_numpy(), total["slice"].to_numpy()
+        starts = np.flatnonzero(np.append(True, (np.diff(slices) != 0) | (np.diff(lang) != 0)))
+        ends, times = np.append(starts[1:], len(slices)), total["n"].to_numpy().astype("<i8")
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(slices)), pa.int32()), total["phrase"].combine_chunks())
+        first = total.select(["lang", "slice"]).take(pa.array(starts)).combine_chunks()
+        # a line feed ends a piece, so no phrase has one
+        columns = [first["lang"].combine_chunks(), first["slice"].combine_chunks(), pc.binary_join(lists, b"\n"), pa.array([times[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "slice", "phrases", "times"])
 
     def count(batches):
         words, bits = shipped.value
-        runs, size, meaning = Counter(), 0, None
-        held: dict[str, Counter] = {}
-        for seq, known in numbered(batches, words):
-            if runs and known is not meaning:
-                add(held, runs, meaning)
-                runs, size = Counter(), 0
-            meaning = known
-            (pairs, _), (triples, h), *_ = grams(seq, known, bits[:1], slice_bits)
-            for run in runs_of(seq, pairs, triples[has(bits[1], h >> np.uint64(32 - slice_bits))]):
-                size += 0 if run in runs else len(run)
-                runs[run] += 1
+        runs, size, known = Counter(), 0, Known()
+        held: list[pa.Table] = []
+        for seq, hashes, block in numbered(batches, words):
+            (pairs, _), (triples, h), *_ = grams(seq, hashes, bits[:1], slice_bits)
+            places, lengths = runs_of(pairs, triples[has(bits[1], h >> np.uint64(32 - slice_bits))])
+            asked = np.unique(np.concatenate([seq[pairs], seq[pairs + 1]]))
+            numbers = known.numbers(block["lang"][0].as_py(), block["words"][0].values, hashes, asked)
+            for run, times in distinct_runs(numbers[seq], places, lengths):
+                size += 0 if run in runs else len(run) // 4
+                runs[run] += times
                 if size >= SHARD_WORDS:
-                    add(held, runs, known)
+                    held.append(listed(runs, known))
                     runs, size = Counter(), 0
-            if sum(map(len, held.values())) >= HELD_PHRASES:
-                yield packed(held)
-                held = {}
-        add(held, runs, meaning)
+            if runs and len(known.hashes) >= HELD_WORDS:
+                held.append(listed(runs, known))
+                runs, size, known = Counter(), 0, Known()
+            if sum(map(len, held)) >= HELD_PHRASES:
+                held = [added(held)]
+                if len(held[0]) >= HELD_PHRASES // 2:
+                    yield packed(held)
+                    held = []
+        if runs:
+            held.append(listed(runs, known))
         if held:
             yield packed(held)
 
@@ -309,22 +359,23 @@ def phrase_counts(docs: DataFrame, words: np.ndarray, bits: list[np.ndarray], le
         often = [(rows["lang"].iloc[0], p.decode(), n) for p, n in total.items() if n >= least]
         return pd.DataFrame(often, columns=["lang", "phrase", "n"])
 
-    parts = sources(docs).mapInArrow(count, "lang string, slice int, phrases binary, times binary")
+    parts = blocks.drop("times").mapInArrow(given_back(count), "lang string, slice int, phrases binary, times binary")
     return parts.groupBy("lang", "slice").applyInPandas(summed, "lang string, phrase string, n long")
 
 
 def candidates(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """((lang, word, n) of all words, (lang, phrase, n) of all phrases of two words or more that occur ``least`` times or more)."""
-    words = keep(word_counts(docs), "words")
+    blocks = keep(blocks_of(docs), "blocks", **ROW_GROUPS)
+    words = keep(word_counts(blocks), "words")
     often = words.filter(F.col("n") >= least)
     sums = words.agg(F.sum("n").alias("all"), F.count(F.when(F.col("n") >= least, 1)).alias("often")).first()
     word_bits = bitmap(often.select("lang", "word").mapInArrow(hashed, "key long"), "key", sums["often"])
     slice_bits = min(max(math.ceil(math.log2(max((sums["all"] or 0) / SLICE_WORDS, 1))), SLICE_BITS[0]), SLICE_BITS[1])
     bits: list[np.ndarray] = []
     for name in ("pairs", "triples"):
-        often_together = keep(frequent(docs, word_bits, bits, least, slice_bits), name)
+        often_together = keep(frequent(blocks, word_bits, bits, least, slice_bits), name)
         bits = [*bits, bitmap(often_together, "key", often_together.count())]
-    return words, keep(phrase_counts(docs, word_bits, bits, least, slice_bits, longest), "phrases")
+    return words, keep(phrase_counts(blocks, word_bits, bits, least, slice_bits, longest), "phrases")
 
 
 def unsubsumed(phrases: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from convolens.llm import collocations as c
 from tests.llm.brute import LOW
@@ -89,3 +90,40 @@ def test_bitmap(spark):
 
 def test_empty(spark, docs):
     assert c.collocations(docs.limit(0)).collect() == []
+
+
+def test_texts_are_cut_once(spark, docs):
+    """Words are cut and numbered in one pass, and not again for pairs, triples and phrases."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(text):
+        read.add(1)
+        return text
+
+    assert c.collocations(docs.withColumn("text", noted("text")), least=20).count()
+    assert read.value == len(rows())
+
+
+def test_block_of_texts():
+    r = random.Random(4)
+    for n in [0, 1, 2, *range(3, 60)]:
+        texts = ["".join(r.choices(["A", "Zz", "é", "É", "\x00", "\x1c", "\x85", "\xa0", " ", "\t", "  ", *".,;:!?\n\x0b\x0c\r"], k=r.randint(0, 40))) for _ in range(n)]
+        lang, words, times, numbers = c.block_of("en", [t.encode() for t in texts])
+        words, numbers = words.to_pylist(), np.frombuffer(numbers, "<i4").tolist()
+        pieces = [w for t in texts for p in re.split(r"[.,;:!?\x0A-\x0D]", t.translate(LOW)) if (w := [x for x in re.split(r"[\x20\x09]+", p) if x])]
+        got, piece = [], []
+        for i in [*numbers, 0]:
+            if i:
+                piece.append(words[i - 1])
+            elif piece:
+                got, piece = [*got, piece], []
+        assert (lang, got) == ("en", pieces)
+        assert dict(zip(words, times.tolist(), strict=True)) == Counter(w for p in pieces for w in p)
+
+
+def test_distinct_runs():
+    seq = np.array([1, 2, 3, 0, 1, 2, 0, 1, 2, 3, 2, 3], np.int32)
+    got = {tuple(np.frombuffer(k, "<i4").tolist()): n for k, n in c.distinct_runs(seq, np.array([0, 4, 7, 10]), np.array([3, 2, 3, 2]))}
+    assert got == {(1, 2, 3): 2, (1, 2): 1, (2, 3): 1}
+    assert list(c.distinct_runs(seq, np.zeros(0, np.int64), np.zeros(0, np.int64))) == []
