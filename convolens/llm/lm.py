@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from convolens.llm.examples import id_remainder
 from convolens.llm.jaccard import WordHashes
-from convolens.llm.shared import keep
+from convolens.llm.shared import keep, shuffles_freed
 from convolens.llm.trie import Level, Trie, from_codes, to_codes
 
 #: Hashes of what stands before and after a text; no word has a space.
@@ -37,16 +37,19 @@ START, END = xxhash.xxh3_64_intdigest(b" start"), xxhash.xxh3_64_intdigest(b" en
 ODD = np.uint64(0x9E3779B97F4A7C15)
 DISCOUNT = 0.75
 U8, U16, U32, U64, I64 = np.uint8, np.uint16, np.uint32, np.uint64, np.int64
-#: A word that is not among the listed ones, whose hash is written out.
-RARE = 65_535
+#: Words that have a number for their hash, and the number of all others, whose hash is written out.
+LISTED, RARE = 1 << 19, (1 << 24) - 1
+#: Bytes that are compressed by themselves and not with those of other arrays.
+ALONE = 2048
 #: Bytes of a text that are cut into words at once.
 SLICE = 1 << 22
 
 
 class Frequent(NamedTuple):
-    """Sorted hashes: words that have short codes, words and pairs of words whose n-grams are spread. They decide where and how n-grams travel, and no score."""
+    """Hashes of listed words, the commonest first, and their order by hash; sorted hashes of words and pairs of words whose n-grams are spread. They decide where and how n-grams travel, and no score."""
 
     listed: np.ndarray
+    order: np.ndarray
     words: np.ndarray
     pairs: np.ndarray
 
@@ -78,33 +81,60 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    body = struct.pack(f"<{len(arrays)}q", *[a.nbytes for a in arrays]) + b"".join(a.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(body)
+    """Arrays as bytes. Hashes stay as they are; other numbers are cut into their low, middle and high bytes, as each of these has few values by itself."""
+    press = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
+    alone, together = [], []
+    for a in arrays:
+        if a.dtype != U64:
+            for part in np.ascontiguousarray(a).view(U8).reshape(-1, a.itemsize).T:
+                if len(part) > ALONE:
+                    alone.append(press(part.tobytes()))
+                else:
+                    together.append(part.tobytes())
+    sizes = np.array([len(a) for a in arrays] + [len(x) for x in alone], U32)
+    head = press(sizes.tobytes() + b"".join(together))
+    return b"".join([struct.pack("<I", len(head)), head, *alone, *[a.tobytes() for a in arrays if a.dtype == U64]])
 
 
 def unpack(packed: bytes, kinds: tuple) -> list[np.ndarray]:
-    body = zstandard.ZstdDecompressor().decompress(packed)
-    sizes = struct.unpack_from(f"<{len(kinds)}q", body)
-    at, out = 8 * len(kinds), []
-    for size, kind in zip(sizes, kinds, strict=True):
-        out.append(np.frombuffer(body, kind, size // np.dtype(kind).itemsize, at))
-        at += size
+    expand = zstandard.ZstdDecompressor().decompress
+    at = 4 + struct.unpack_from("<I", packed)[0]
+    head = expand(packed[4:at])
+    sizes = np.frombuffer(head, U32, len(kinds)).tolist()
+    parts = sum(np.dtype(k).itemsize for k, n in zip(kinds, sizes, strict=True) if k != U64 and n > ALONE)
+    ends = at + np.cumsum(np.frombuffer(head, U32, parts, 4 * len(kinds)), dtype=I64)
+    small, alone, out = 4 * (len(kinds) + parts), 0, []
+    hashes = int(ends[-1]) if parts else at
+    for kind, n in zip(kinds, sizes, strict=True):
+        if kind == U64:
+            out.append(np.frombuffer(packed, U64, n, hashes))
+            hashes += 8 * n
+            continue
+        own = np.empty((n, np.dtype(kind).itemsize), U8)
+        for i in range(own.shape[1]):
+            if n > ALONE:
+                own[:, i] = np.frombuffer(expand(packed[at : int(ends[alone])]), U8)
+                at, alone = int(ends[alone]), alone + 1
+            else:
+                own[:, i] = np.frombuffer(head, U8, n, small)
+                small += n
+        out.append(own.reshape(-1).view(kind))
     return out
 
 
-def coded(h: np.ndarray, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words as 16-bit codes, and the hashes of those that are not listed, in order."""
-    at = place_in(listed, h)
-    return np.where(at < 0, RARE, at).astype(U16), h[at < 0]
-
-
 def decoded(code: np.ndarray, rest: np.ndarray, listed: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(code), U64)
-    out[code != RARE] = listed[code[code != RARE]]
-    out[code == RARE] = rest
+    """Hashes from the numbers of listed words and, in order, the hashes of others."""
+    out, own = np.zeros(len(code), U64), code != RARE
+    out[own] = listed[code[own]]
+    out[~own] = rest
     return out
 
 
+def steps(numbers: np.ndarray) -> np.ndarray:
+    """Numbers below 65,536 as differences, which wrap round; ``np.cumsum`` over 16 bits gives them back."""
+    return np.diff(numbers, prepend=0).astype(U16)
+
+
 def hashed_slices(text: str, hashes: WordHashes) -> Iterator[np.ndarray]:
     """Hashes of the words of a whole text, long texts in slices that end between words."""
     body, a = text.encode("utf-8", "replace"), 0
@@ -118,8 +148,8 @@ def hashed_slices(text: str, hashes: WordHashes) -> Iterator[np.ndarray]:
         a = e
 
 
-def frequent(docs: DataFrame, shards: int, one_in: int = 32, listed: int = RARE - 1, most: int = 4096) -> Frequent:
-    """From a sample: the ``listed`` commonest words, and words and pairs (``most`` of each) with more than a quarter of a shard's share."""
+def frequent(docs: DataFrame, shards: int, one_in: int = 32, listed: int = LISTED, most: int = 4096) -> Frequent:
+    """From a sample: about ``listed`` of the commonest words, and words and pairs (``most`` of each) with more than a quarter of a shard's share."""
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("text")
 
     def counted(held: list[np.ndarray]) -> pd.DataFrame:
@@ -148,19 +178,23 @@ def frequent(docs: DataFrame, shards: int, one_in: int = 32, listed: int = RARE
     bins = counts.groupBy("kind", "bin").agg(F.count("*").alias("k")).collect()  # a few hundred rows
 
     def top(kind: int, most: int, share: int) -> np.ndarray:
-        """At most ``most`` of those with 1 / ``share`` of the tokens: whole bins of like counts from above, so that nothing is sorted on the driver."""
-        least, held = 1 << 60, 0
+        """About ``most`` of those with 1 / ``share`` of the tokens, the commonest first: whole bins of like counts from above, and of the next bin as many as have room, by hash, so that nothing is sorted on the driver."""
+        least, held, part = 1 << 60, 0, 0
         for b, k in sorted(((r["bin"], r["k"]) for r in bins if r["kind"] == kind), reverse=True):
+            least = b
+            part = min(1024, 1024 * (most - held) // k)
             held += k
             if held > most:
                 break
-            least = b
-        rows = counts.filter((F.col("kind") == kind) & (F.col("bin") >= least) & (F.col("n") * share >= total)).select("h")
-        return rows.toPandas()["h"].to_numpy(I64).view(U64)
+        own = (F.col("bin") > least) | ((F.col("bin") == least) & (F.pmod("h", F.lit(1024)) < part))
+        rows = counts.filter((F.col("kind") == kind) & own & (F.col("n") * share >= total)).select("h", F.col("bin").cast("short").alias("bin"))
+        rows = rows.toPandas().sort_values(["bin", "h"], ascending=[False, True])
+        return rows["h"].to_numpy(I64).view(U64)
 
     start = np.array([START], U64)
+    common = top(0, listed, total + 1)
     words, pairs = (top(kind, most, 4 * shards) for kind in (0, 1))
-    return Frequent(np.unique(top(0, listed, total + 1)), np.unique(np.concatenate([words, start])), np.unique(np.concatenate([pairs, pair_hash(start, start)])))
+    return Frequent(common, np.argsort(common).astype(U32), np.unique(np.concatenate([words, start])), np.unique(np.concatenate([pairs, pair_hash(start, start)])))
 
 
 class Part(NamedTuple):
@@ -175,7 +209,7 @@ class Part(NamedTuple):
 
 
 #: A piece: n-grams by runs of words that are not frequent (run words, lengths, before, next), then those of frequent words (their numbers, before, next), each with bits for training; then what follows frequent contexts (contexts, next, training counts).
-PIECE = (U16, U64, U32, U16, U64, U16, U64, U8, U16, U16, U64, U16, U64, U8, U16, U16, U64, U32)
+PIECE = (U32, U64, U32, U32, U64, U32, U64, U8, U16, U32, U64, U32, U64, U8, U16, U32, U64, U32)
 #: What stays with a block: ids, null ids, training, stretches' marks, tokens; of each shard: runs, n-grams by kind, lists; the documents of n-grams by kind; run lengths and numbers of frequent words; for held-out n-grams the number of the next word; entries of the lists.
 STAY = (I64, np.bool_, np.bool_, I64, I64, U32, U16, U32, U32, U16, U16, U32, U32, U16, U16, U16, U32, U32, U32)
 #: An answer: for n-grams by kind codes and bits of what is final; counts of the runs' words; for the lists codes and bits of what was seen.
@@ -193,7 +227,9 @@ def block_pieces(held: list[Part], block: int, shards: int, fr: Frequent) -> pd.
     at = np.arange(int(sizes.sum())) + 2 * doc  # each part has two words ahead
     names, number = np.unique(flat, return_inverse=True)
     u, v, w = number[at], number[at + 1], number[at + 2]
-    hot_name = place_in(fr.words, names)
+    hot_name, code = place_in(fr.words, names), place_in(fr.listed[fr.order], names)
+    code = np.where(code < 0, RARE, np.append(fr.order, 0)[code]).astype(U32)
+    coded = lambda x: (code[x], names[x][code[x] == RARE])
     hot = hot_name[v]
     pair = np.full(len(v), -1, I64)
     own = np.flatnonzero(hot >= 0)
@@ -208,8 +244,8 @@ def block_pieces(held: list[Part], block: int, shards: int, fr: Frequent) -> pd.
     key = np.concatenate([hot[own], len(fr.words) + pair[pairs_at]]) * len(names) + np.concatenate([w[own], w[pairs_at]])
     entry, back = np.unique(key, return_inverse=True)
     times = np.bincount(back, np.concatenate([train[doc[own]], train[doc[pairs_at]]]), len(entry)).astype(U32)
-    context, nxt = entry // len(names), names[entry % len(names)]
-    entry_to = shard_of(fr.contexts[context] ^ (nxt * ODD), shards)
+    context, nxt = entry // len(names), entry % len(names)
+    entry_to = shard_of(fr.contexts[context] ^ (names[nxt] * ODD), shards)
     order = np.argsort(entry_to, kind="stable")
     rank = np.empty(len(order), I64)
     rank[order] = np.arange(len(order))
@@ -235,8 +271,8 @@ def block_pieces(held: list[Part], block: int, shards: int, fr: Frequent) -> pd.
         run = np.concatenate([v[n][starts], tail])
         lengths = np.concatenate([np.diff(np.append(starts, len(n))), np.zeros(len(tail), I64)]).astype(U32)
         x = slice(entry_edges[s], entry_edges[s + 1])
-        codes = [coded(names[y], fr.listed) for y in (run, u[n], w[n], u[h], w[h])]
-        c, rest = coded(nxt[x], fr.listed)
+        codes = [coded(y) for y in (run, u[n], w[n], u[h], w[h])]
+        c, rest = coded(nxt[x])
         body = pack(
             *codes[0], lengths, *codes[1], *codes[2], np.packbits(train[doc[n]]), hot[h].astype(U16), *codes[3], *codes[4],
             np.packbits(train[doc[h]]), context[x].astype(U16), c, rest, times[x],
@@ -255,8 +291,8 @@ def block_pieces(held: list[Part], block: int, shards: int, fr: Frequent) -> pd.
     stay = pack(
         np.array([0 if p.key is None else p.key for p in held], I64), np.array([p.key is None for p in held]), train,
         np.array([p.joint for p in held], I64), sizes.astype(I64), np.array(table, U32).ravel(),
-        doc[plain].astype(U16), lengths, out_of(plain), doc[spread].astype(U16), hot[spread].astype(U16), out_of(spread), word_entry[spread[~train[doc[spread]]]],
-        doc[pairs_at].astype(U16), pair[pairs_at].astype(U16), hot[pairs_at].astype(U16), out_of(pairs_at), pair_entry[pairs_at], word_entry[pairs_at],
+        steps(doc[plain]), lengths, out_of(plain), steps(doc[spread]), hot[spread].astype(U16), out_of(spread), word_entry[spread[~train[doc[spread]]]],
+        steps(doc[pairs_at]), pair[pairs_at].astype(U16), hot[pairs_at].astype(U16), out_of(pairs_at), pair_entry[pairs_at], word_entry[pairs_at],
     )
     return pd.DataFrame([(0, block, -1, stay), *rows], columns=COLUMNS)
 
@@ -447,6 +483,7 @@ def totals(known: DataFrame, fr: Frequent) -> Totals:
 def put_together(stay: bytes, replies: dict[int, bytes], fr: Frequent, t: Totals, discount: float) -> pd.DataFrame:
     """Rows of one block from what stayed and the shards' answers."""
     ids, none, train, joint, sizes, table, doc1, lengths, next1, doc2, hot2, next2, entry2, doc3, pair3, hot3, next3, pair_entry3, word_entry3 = unpack(stay, STAY)
+    doc1, doc2, doc3 = (np.cumsum(d, dtype=U16) for d in (doc1, doc2, doc3))
     table = table.reshape(-1, 5)
     got = [unpack(replies[s], ANSWER) for s in table[:, 0].tolist()]
     stacked = lambda i, k: np.concatenate([np.zeros(0, k), *(g[i] for g in got)])
@@ -532,7 +569,8 @@ def lm_scores(docs: DataFrame, discount: float = DISCOUNT, shard_bytes: int = 8
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(16, -(-size // shard_bytes))
     fr = frequent(slim, shards)
-    known = keep(answers(pieces(slim, shards, fr, block_tokens), shards, fr, discount), "answers")
+    with shuffles_freed(docs.sparkSession):  # pieces are the most that is written, and are not needed beside the answers' shuffle
+        known = keep(answers(pieces(slim, shards, fr, block_tokens), shards, fr, discount), "answers")
     t = totals(known, fr)
     rows = block_rows(known, fr, t, discount)
     whole = rows.filter("joint < 0").drop("joint")
