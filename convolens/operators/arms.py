@@ -24,7 +24,7 @@ from convolens.operators import batch, lexical
 from convolens.sources.scratch import keep
 
 #: Bytes of text that are cut at once, about; rows of (term, document) in a block; documents that are looked up at once; bits of a phrase sieve.
-PIECE, PLACES, LOOKED_UP, SIEVE = 8 << 20, 1 << 21, 1 << 20, 22
+PIECE, PLACES, LOOKED_UP, SIEVE = 1 << 20, 1 << 21, 1 << 20, 22
 #: A-Z lowered, and which bytes are of words: letters, digits, and what is not ASCII, which is told apart word by word.
 LOWERED = bytes(range(256)).lower()
 OF_WORDS = bytes(c >= 128 or chr(c).isalnum() for c in range(256))
